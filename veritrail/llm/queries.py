@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe, quality_rules, secrets
+from veritrail.llm import bpe, decontaminate, ngram_join, quality_rules, secrets
 from veritrail.sources.catalog import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -29,11 +29,19 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_sets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judged.select("doc_id", *(F.col(f"quality_rules.figures.{c}").alias(c) for c in base), "quality_rules.base_failed", "quality_rules.kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op5_decontaminate, op9_ngram_join, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
