@@ -9,21 +9,21 @@ similarity of the item's shingles and those of as many of the text, weighted by
 
 Items are sent to the workers in blocks of bounded size; a larger benchmark takes several passes over the texts.
 
-Defined results: null or blank texts and items match nothing; an item of fewer than WIDTH words matches only a text of just these words; rows that
-repeat an id are compared one by one and give one row for each item; a null id stays null; empty tables give an empty table; other columns are not read.
+Defined results: null or blank texts and items match nothing; an item of fewer than WIDTH words matches only a text of just these words; rows are
+compared one by one, and equal results are given once; a null id stays null; empty tables give an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritrail.llm.shingles import shingles, stretches, text_bytes, words
 
@@ -135,29 +135,47 @@ def _search(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, float,
         yield doc, item, score, at
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, item_id, similarity, first_word) for each text and each item of which it holds a passage as long as the item and similar to it."""
-    spark = docs.sparkSession
+def annotate(df: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "passages", keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """`df`, or its columns `keep`, with the passages of each text: an array of (item, similarity, first_word), empty for a clean text.
+
+    A row stays in its partition: nothing is joined or shuffled.
+    """
+    if into in df.columns:
+        raise ValueError(f"{into} is taken; choose another name")
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.coalesce(item_text, F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = total // ITEM_BYTES + 1
-    named = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    kept = df.columns if keep is None else keep
+    passage = T.StructType([T.StructField("item", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType())])
 
-    def found(part: int) -> DataFrame:
+    def found(df: DataFrame, part: int, kept: list[str]) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).orderBy("item", "text").collect()
-        sent = spark.sparkContext.broadcast(Index([r["item"] for r in rows], [r["text"].encode().lower() for r in rows]))
+        sent = df.sparkSession.sparkContext.broadcast(Index([r["item"] for r in rows], [r["text"].encode().lower() for r in rows]))
+        name = f"{into}_{part}"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = sent.value
+            kind = pa.list_(pa.struct([("item", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64())]))
             for batch in batches:
-                ids, raw = batch.column(0), text_bytes(batch.column(1))
-                for part in stretches([len(x) for x in raw]):
-                    got = list(_search(index, raw[part])) if index.sizes else []
-                    doc = ids.take(pa.array([part.start + x[0] for x in got], pa.int64()))
-                    columns = [pa.array([index.ids[x[1]] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.float64()), pa.array([x[3] for x in got], pa.int64())]
-                    yield pa.RecordBatch.from_arrays([doc, *columns], names=["id", "item", "similarity", "first_word"])
+                raw = text_bytes(batch.column(batch.schema.get_field_index(text)))
+                out: list[list[dict]] = [[] for _ in raw]
+                for rows in stretches([len(x) for x in raw]) if index.sizes else ():
+                    for doc, item, score, at in _search(index, raw[rows]):
+                        out[rows.start + doc].append({"item": index.ids[item], "similarity": score, "first_word": at})
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(out, kind)], names=[*kept, name])
+
+        fields = [df.schema[c] for c in kept]
+        return df.mapInArrow(run, T.StructType([*fields, T.StructField(name, T.ArrayType(passage))]))
 
-        return named.mapInArrow(run, f"id {dict(named.dtypes)['id']}, item long, similarity double, first_word long")
+    names = [f"{into}_{part}" for part in range(parts)]
+    for part in range(parts):
+        last = part == parts - 1
+        df = found(df, part, [*(kept if last else dict.fromkeys([*kept, text])), *names[:part]])
+    return df.select(*kept, F.concat(*names).alias(into))
 
-    every = reduce(DataFrame.unionByName, map(found, range(parts)))
-    return every.select(F.col("id").alias(id), F.col("item").alias(item_id), "similarity", "first_word").dropDuplicates([id, item_id])
+
+def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(id, item_id, similarity, first_word) for each text and each item of which it holds a passage as long as the item and similar to it."""
+    found = annotate(docs.select(id, text), benchmark, text, "passages", [id], item_id, item_text)
+    one = found.select(id, F.explode("passages").alias("p"))
+    return one.select(id, F.col("p.item").alias(item_id), "p.similarity", "p.first_word").distinct()

@@ -1,9 +1,10 @@
 """N-gram Jaccard join with signature trees, and the components of its links.
 
 1. Each text becomes the set of its distinct word shingles (64-bit hashes). Texts with equal sets form a class; its smallest id stands for it.
-2. Any two sets with the wanted similarity share a shingle among the first |s| - ceil(t|s|) + 1 of each, in any common order. Texts that share
-   such a shingle are tied to the smallest id that has it; the components of these ties hold all possible links. The order takes shingles
-   that many texts share last; that list is bounded and bears on the cost only, never on the result.
+2. Any two sets a, b with the wanted similarity t share at least k shingles among the first |a| - ceil(t|a|) + k of a and as many of b, in any
+   common order of shingles. The order takes shingles that many texts share last; that list is bounded and bears on the cost only, never
+   on the result. Texts of compatible sizes that share k such shingles that few texts have, or one that more than FEW texts have, are tied; along
+   a shingle that many have, each is tied to the next by size. The components of these ties hold all possible links.
 3. Inside a component, signature trees are built over blocks of sets: a node holds the OR of its sets' bitmaps, their range of sizes and the
    most shingles that share a bit with another. Two trees are walked together; a pair of nodes whose bitmaps and sizes allow too small an
    overlap is left with all below it. Pairs of sets that remain are compared exactly, unless links found before join them already.
@@ -34,7 +35,11 @@ WIDTH = 5
 #: Of the similarity, in hundredths.
 PERCENT = 80
 #: Shingles that are taken last, at most, and after how many shingles a task counts anew.
-COMMON, COUNTED = 1 << 17, 1 << 22
+COMMON, COUNTED = 1 << 19, 1 << 22
+#: Texts that share a shingle and are still paired one by one; a set of n shingles must share n // SHARE + 1 with another.
+FEW, SHARE = 16, 20
+#: Sets to compare that are sent to all executors at most, rather than shuffling all texts to meet them.
+SENT = 1 << 18
 BLOCK, FAN_OUT, CHUNK = 512, 8, 1 << 14
 
 
@@ -87,15 +92,18 @@ def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _first_shingles(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(id, token) for the shingles of which similar sets must share one. `common`: sorted; later in the order, the later listed in `rank`."""
+    """(id, n, need, token) for the first shingles of each set, of which similar sets share `need`. `common`: shingles, sorted, and how many texts have each."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = sent.value
         for batch in batches:
-            first, length = [], []
+            first, length, size, need = [], [], [], []
             for s in _sets(batch, "text", width):
-                m = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
+                least = (percent * len(s) + 99) // 100
+                size.append(len(s))
+                need.append(min(len(s) // SHARE + 1, least))
+                m = len(s) - least + need[-1]
                 if m and len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.lexsort((s, np.where(known[at] == s, rank[at], 0)))]
@@ -103,9 +111,22 @@ def _first_shingles(docs: DataFrame, common: np.ndarray, width: int, percent: in
                 length.append(m)
             flat = np.concatenate(first) if first else np.zeros(0, np.int64)
             tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), tokens], names=["id", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), pa.array(size, pa.int32()), pa.array(need, pa.int32()), tokens], names=["id", "n", "need", "tokens"])
 
-    return docs.mapInArrow(run, "id long, tokens array<long>").select("id", F.explode("tokens").alias("token"))
+    return docs.mapInArrow(run, "id long, n int, need int, tokens array<long>").select("id", "n", "need", F.explode("tokens").alias("token"))
+
+
+def _tied(first: DataFrame, percent: int) -> DataFrame:
+    """(src, dst) of texts that may be similar, or hang together by texts that may be."""
+    by_size = Window.partitionBy("token").orderBy("n", "id")
+    here = F.struct("id", "n", "need")
+    seen = first.withColumns({"texts": F.count("*").over(Window.partitionBy("token")), "last": F.collect_list(here).over(by_size.rowsBetween(1 - FEW, -1))}).where("texts > 1")
+    few = seen.where(F.col("texts") <= FEW).select("id", "n", "need", F.explode("last").alias("o"))
+    many = seen.where((F.col("texts") > FEW) & (F.size("last") > 0)).select("id", "n", "need", F.element_at("last", -1).alias("o"))
+    fits = (F.col("o.n") * 100 >= F.col("n") * percent) & (F.col("o.id") != F.col("id"))
+    ends = (F.least("id", "o.id").alias("src"), F.greatest("id", "o.id").alias("dst"))
+    paired = few.where(fits).select(*ends, F.least("need", "o.need").alias("need")).groupBy("src", "dst").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
+    return paired.where("shared >= need").select("src", "dst").unionByName(many.where(fits).select(*ends).distinct())
 
 
 class Tree:
@@ -223,9 +244,7 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     at = np.argsort(token)
     common = token[at], top["copies"].to_numpy(np.int64)[at]
 
-    ties = _first_shingles(named.where("id is not null"), common, width, percent)
-    to_least = ties.withColumn("least", F.first("id").over(Window.partitionBy("token").orderBy("id")))
-    near = connected_components(to_least.where("id <> least").select(F.col("id").alias("src"), F.col("least").alias("dst")).distinct())
+    near = connected_components(_tied(_first_shingles(named.where("id is not null"), common, width, percent), percent))
 
     classes = sized.where("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     members = classes.join(near.withColumnRenamed("node", "id"), "id").select("component", "id", "n", "class")
@@ -241,7 +260,8 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     compatible = (F.col("x.block") <= F.col("y.block")) & (F.col("x.high") * 100 >= F.col("y.low") * percent) & (F.col("y.high") * 100 >= F.col("x.low") * percent)
     pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & compatible).select("x.component", F.col("x.block").alias("a"), F.col("y.block").alias("b"))
     sides = pairs.select("*", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    groups = max(1, placed.count() // BLOCK)
+    n_placed = placed.count()
+    groups = n_placed // BLOCK + 1
     group = F.when((F.col("a") == 0) & (F.col("b") == 0), F.struct(F.lit(-1).cast("bigint").alias("c"), F.pmod(F.xxhash64("component"), F.lit(groups)).alias("a"), F.lit(0).cast("bigint").alias("b"))).otherwise(F.struct(F.col("component").alias("c"), F.col("a"), F.col("b")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +270,7 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
             got = [s.tobytes() if _class(s) == c else None for s, c in zip(_sets(batch, "text", width), wanted, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(got, pa.binary())], names=[*batch.schema.names[:4], "shingles"])
 
-    texts = named.join(placed, "id").select("id", "component", "block", "class", "text")
+    texts = named.join(F.broadcast(placed) if n_placed <= SENT else placed, "id").select("id", "component", "block", "class", "text")
     with_sets = texts.mapInArrow(run, "id long, component long, block long, class binary, shingles binary").where("shingles is not null")
     dealt = with_sets.join(sides, ["component", "block"]).withColumn("group", group).drop("class")
     found = dealt.groupBy("group").applyInPandas(_compare(percent), "src long, dst long")

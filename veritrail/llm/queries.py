@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe, decontaminate, ngram_join, quality_rules, secrets
-from veritrail.sources.catalog import table
+from veritrail.llm import bpe, decontaminate, ngram_join, quality_rules, secrets, sharding, token_files, warc
+from veritrail.sources.catalog import table, work_dir
 
+WORD_BPE, END_ID = public_tokenizers.path("word_bpe_49k.json"), 2
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -29,6 +30,29 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four arrivals that together are the table, then compaction; the rows as the last version's shards hold them."""
+    docs, at, arrivals = table(spark, sf_dir, "documents"), work_dir(spark, "shards"), 4
+    for k in range(arrivals):
+        sharding.append(docs.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(arrivals)) == k), at, k)
+    sharding.compact(spark, at)
+    sharding.vacuum(spark, at)
+    return sharding.read(spark, at).select("doc_id", F.col("_arrival").alias("arrival"), "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("text_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = work_dir(spark, "warc")
+    archives = warc.write(warc.classified(table(spark, sf_dir, "pages")), out)
+    warc.normalise(archives, out)
+    return warc.read(spark, archives, out).select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = work_dir(spark, "tokens")
+    shards = token_files.write(table(spark, sf_dir, "documents"), out, WORD_BPE, END_ID)
+    return token_files.read(spark, out, shards).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -43,5 +67,47 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"quality_rules.figures.{c}").alias(c) for c in base), "quality_rules.base_failed", "quality_rules.kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op5_decontaminate, op9_ngram_join, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op3_sharding, op4_warc, op5_decontaminate, op8_token_files, op9_ngram_join, op10_quality_rules)}
+ORACLE_SQL: dict[str, str] = {
+    "op3_sharding": """
+        SELECT doc_id, (coalesce(doc_id, 0) % 4 + 4) % 4 AS arrival, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS text_bytes, md5(text) AS text_md5
+        FROM documents
+    """,
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        f AS (SELECT payload_digest, min(page_id) AS least FROM h WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN least IS NULL OR least IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN least IS NULL OR least IS NOT DISTINCT FROM page_id THEN NULL ELSE least END AS refers_to
+        FROM h LEFT JOIN f USING (payload_digest)
+    """,
+    "op10_quality_rules": rf"""
+        WITH w AS (
+            SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
+                list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            FROM documents
+        ),
+        places AS (
+            SELECT doc_id, unnest(range(1, greatest(len(words) - 6, 1))) AS i, words FROM w
+        ),
+        windows AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS g FROM places),
+        again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+        reach AS (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS n FROM again),
+        repeated AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_repeat_words FROM reach GROUP BY doc_id),
+        m AS (
+            SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+                CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                length(text) - length(replace(text, '!', '')) AS n_shouts, len(lines) AS n_lines,
+                len(list_filter(string_split_regex(lower(translate(text, '.,;:!?', '')), '[\x20\x09-\x0D]+'), x -> x IN ({", ".join(f"'{x}'" for x in dict.fromkeys(quality_rules.STOP_WORDS))}))) AS n_stop,
+                len(list_filter(lines, x -> regexp_matches(x, '^[\x20\x09]*[-*•]|(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_marks
+            FROM w LEFT JOIN repeated USING (doc_id)
+        ),
+        b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 12 * n_words AND n_symbols <= 0.1 * n_words AND n_shouts <= 0.5 * n_words
+                AND n_stop >= 0.01 * n_words AND n_dup_lines <= 0.5 * n_lines AND n_marks <= 0.9 * n_lines AS kept
+        FROM b
+    """.replace("\\\\", "\\"),
+}
