@@ -18,12 +18,12 @@ def put(uri: str, data: bytes) -> None:
     fs, path = opened(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     attempt = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(attempt) as f:
+    with fs.open_output_stream(attempt, compression=None) as f:
         f.write(data)
     fs.move(attempt, path)
 
 
 def get(uri: str) -> bytes:
     fs, path = opened(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         return f.read()

@@ -84,8 +84,8 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op10_quality_rules": rf"""
         WITH w AS (
-            SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
-                list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
             FROM documents
         ),
         places AS (
@@ -100,8 +100,8 @@ ORACLE_SQL: dict[str, str] = {
                 CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
                 CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
                 length(text) - length(replace(text, '!', '')) AS n_shouts, len(lines) AS n_lines,
-                len(list_filter(string_split_regex(lower(translate(text, '.,;:!?', '')), '[\x20\x09-\x0D]+'), x -> x IN ({", ".join(f"'{x}'" for x in dict.fromkeys(quality_rules.STOP_WORDS))}))) AS n_stop,
-                len(list_filter(lines, x -> regexp_matches(x, '^[\x20\x09]*[-*•]|(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_marks
+                len(list_filter(string_split_regex(lower(translate(text, '.,;:!?', '')), '[\x20\x09-\x0D]+'), lambda x: x IN ({", ".join(f"'{x}'" for x in dict.fromkeys(quality_rules.STOP_WORDS))}))) AS n_stop,
+                len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]|(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_marks
             FROM w LEFT JOIN repeated USING (doc_id)
         ),
         b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)

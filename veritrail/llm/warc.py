@@ -99,7 +99,7 @@ def write(records: DataFrame, out: str, archives: int | None = None) -> DataFram
 def _pieces(uri: str) -> Iterator[bytes]:
     """The inflated stream, a bounded piece at a time; members that follow the first are read on."""
     fs, path = opened(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         inflate = zlib.decompressobj(wbits=_GZIP)
         while data := f.read(PIECE):
             while data:
@@ -107,6 +107,8 @@ def _pieces(uri: str) -> Iterator[bytes]:
                 data = inflate.unconsumed_tail
                 if inflate.eof:
                     data, inflate = inflate.unused_data, zlib.decompressobj(wbits=_GZIP)
+        while piece := inflate.decompress(b"", PIECE):
+            yield piece
 
 
 def records_in(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
