@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe, decontaminate, ngram_join, quality_rules, secrets, sharding, token_files, warc
+from veritrail.llm import bpe, decontaminate, language_id, ngram_join, quality_model, quality_rules, secrets, sharding, token_files, warc
 from veritrail.sources.catalog import table, work_dir
 
 WORD_BPE, END_ID = public_tokenizers.path("word_bpe_49k.json"), 2
@@ -47,6 +47,25 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, archives, out).select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _fold(parts: int):
+    """The remainder that folds are made by; a row without id counts as one with an empty id."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(_fold(5) != 0))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels").where(_fold(4) != 2))
+    found = quality_model.score(docs, model)
+    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_dir(spark, "tokens")
     shards = token_files.write(table(spark, sf_dir, "documents"), out, WORD_BPE, END_ID)
@@ -67,7 +86,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"quality_rules.figures.{c}").alias(c) for c in base), "quality_rules.base_failed", "quality_rules.kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op3_sharding, op4_warc, op5_decontaminate, op8_token_files, op9_ngram_join, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op3_sharding, op4_warc, op5_decontaminate, op6_language_id, op7_quality_model, op8_token_files, op9_ngram_join, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {
     "op3_sharding": """
         SELECT doc_id, (coalesce(doc_id, 0) % 4 + 4) % 4 AS arrival, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS text_bytes, md5(text) AS text_md5
