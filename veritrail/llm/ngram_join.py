@@ -121,12 +121,12 @@ def _tied(first: DataFrame, percent: int) -> DataFrame:
     by_size = Window.partitionBy("token").orderBy("n", "id")
     here = F.struct("id", "n", "need")
     seen = first.withColumns({"texts": F.count("*").over(Window.partitionBy("token")), "last": F.collect_list(here).over(by_size.rowsBetween(1 - FEW, -1))}).where("texts > 1")
-    few = seen.where(F.col("texts") <= FEW).select("id", "n", "need", F.explode("last").alias("o"))
-    many = seen.where((F.col("texts") > FEW) & (F.size("last") > 0)).select("id", "n", "need", F.element_at("last", -1).alias("o"))
-    fits = (F.col("o.n") * 100 >= F.col("n") * percent) & (F.col("o.id") != F.col("id"))
+    few = F.col("texts") <= FEW
+    others = F.when(few, F.col("last")).when(F.size("last") > 0, F.array(F.element_at("last", -1))).otherwise(F.array().cast(seen.schema["last"].dataType))
+    pairs = seen.select("id", "n", "need", few.alias("few"), F.explode(others).alias("o")).where((F.col("o.n") * 100 >= F.col("n") * percent) & (F.col("o.id") != F.col("id")))
     ends = (F.least("id", "o.id").alias("src"), F.greatest("id", "o.id").alias("dst"))
-    paired = few.where(fits).select(*ends, F.least("need", "o.need").alias("need")).groupBy("src", "dst").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
-    return paired.where("shared >= need").select("src", "dst").unionByName(many.where(fits).select(*ends).distinct())
+    tied = pairs.select(*ends, F.least("need", "o.need").alias("need"), "few").groupBy("src", "dst").agg(F.count_if("few").alias("shared"), F.min("need").alias("need"), F.bool_and("few").alias("few"))
+    return tied.where(~F.col("few") | (F.col("shared") >= F.col("need"))).select("src", "dst")
 
 
 class Tree:
