@@ -5,8 +5,9 @@ each such stream once, in bounded pieces, compresses each record as a member of
 offset and length. `read` opens records by that index alone.
 
 Records with equal payloads of at least LEAST bytes are stored once: the one with the smallest page id is the response, the others are revisits
-that name it and carry no payload. Smallest ids are taken by digest before rows meet, and the join that brings them back is an inner equi-join
-that adaptive execution splits, since a third of all pages may have one payload.
+that name it and carry no payload. Which are revisits is found on ids and digests alone: smallest ids are taken by digest before rows meet, and
+the join that brings them back is one that adaptive execution splits, since a third of all pages may have one payload. The payloads
+then meet the revisits' ids, at most once moved, and stay where they are.
 
 Defined results: null html is an empty payload, null url an empty target; a null page id writes its record with an empty id, is read back as null and is
 response unless another id has its payload; rows that repeat an id and a payload are all responses; an empty table writes nothing.
@@ -38,11 +39,15 @@ def classified(pages: DataFrame, id: str = "page_id", url: str = "url", html: st
     payload = F.encode(F.coalesce(html, F.lit("")), "UTF-8")
     rows = pages.select(F.col(id).cast("long").alias("page"), F.coalesce(url, F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    first = rows.where(F.col("payload_bytes") >= LEAST).groupBy("payload_digest").agg(F.min("page").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    again = F.col("least").isNotNull() & ~F.col("page").eqNullSafe(F.col("least"))
-    return rows.join(first, "payload_digest", "left").select(
-        "page", "url", F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("least")).alias("refers_to"),
+    ids = rows.where(F.col("payload_bytes") >= LEAST).select("page", "payload_digest")
+    first = ids.groupBy("payload_digest").agg(F.min("page").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    again = ids.join(first, "payload_digest").where(~F.col("page").eqNullSafe(F.col("least")) & F.col("least").isNotNull()).distinct()
+    again = again.select(F.col("page").alias("p"), F.col("payload_digest").alias("d"), "least")
+    found = rows.join(again, F.col("page").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d")), "left")
+    revisit = F.col("least").isNotNull()
+    return found.select(
+        "page", "url", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("least").alias("refers_to"),
     )
 
 
@@ -92,7 +97,7 @@ def write(records: DataFrame, out: str, archives: int | None = None) -> DataFram
 
     columns = ["page", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     dealt = records.select(columns)
-    dealt = dealt.repartition(archives, F.xxhash64("page", "url")) if archives else dealt.repartition(F.xxhash64("page", "url"))
+    dealt = dealt.repartition(archives, F.xxhash64("page", "url")) if archives else dealt
     return materialise(dealt.sortWithinPartitions("page", "url").mapInArrow(run, "archive string"), "archives")
 
 
