@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritrail.llm.shingles import mix, shingles, stretches, text_bytes, words
 from veritrail.operators.graph import connected_components
@@ -36,8 +37,8 @@ WIDTH = 5
 PERCENT = 80
 #: Shingles that are taken last, at most, and after how many shingles a task counts anew.
 COMMON, COUNTED = 1 << 19, 1 << 22
-#: Texts that share a shingle and are still paired one by one; a set of n shingles must share n // SHARE + 1 with another.
-FEW, SHARE = 16, 20
+#: Texts that share a shingle and are still paired one by one; a set of n shingles must share n // SHARE + 2 with another.
+FEW, SHARE = 64, 16
 #: Sets to compare that are sent to all executors at most, rather than shuffling all texts to meet them.
 SENT = 1 << 18
 BLOCK, FAN_OUT, CHUNK = 512, 8, 1 << 14
@@ -59,7 +60,7 @@ def _class(s: np.ndarray) -> bytes:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n, class) of each text; and (token, copies) of shingles that tasks saw in three texts or more."""
+    """(id, n, class) of each text; and (token, copies) of shingles that tasks saw in two texts or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[np.ndarray] = []
@@ -68,7 +69,7 @@ def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
         def common() -> pa.RecordBatch:
             token, copies = np.unique(np.concatenate(seen), return_counts=True)
-            token, copies = _signed(token[copies > 2]), copies[copies > 2]
+            token, copies = _signed(token[copies > 1]), copies[copies > 1]
             none = pa.nulls(len(token))
             return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(token), pa.array(copies)], names=names)
 
@@ -102,7 +103,7 @@ def _first_shingles(docs: DataFrame, common: np.ndarray, width: int, percent: in
             for s in _sets(batch, "text", width):
                 least = (percent * len(s) + 99) // 100
                 size.append(len(s))
-                need.append(min(len(s) // SHARE + 1, least))
+                need.append(min(len(s) // SHARE + 2, least))
                 m = len(s) - least + need[-1]
                 if m and len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -261,19 +262,23 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & compatible).select("x.component", F.col("x.block").alias("a"), F.col("y.block").alias("b"))
     sides = pairs.select("*", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
     n_placed = placed.count()
-    groups = n_placed // BLOCK + 1
-    group = F.when((F.col("a") == 0) & (F.col("b") == 0), F.struct(F.lit(-1).cast("bigint").alias("c"), F.pmod(F.xxhash64("component"), F.lit(groups)).alias("a"), F.lit(0).cast("bigint").alias("b"))).otherwise(F.struct(F.col("component").alias("c"), F.col("a"), F.col("b")))
+    first = (F.col("a") == 0) & (F.col("b") == 0)  # whole components, and first blocks: many to a group
+    group = F.struct(F.when(first, -1).otherwise(F.col("component")).alias("c"), F.when(first, F.pmod(F.xxhash64("component"), F.lit(n_placed // BLOCK + 1))).otherwise(F.col("a")).alias("p"), F.col("b").alias("q"))
+    dealt = sides.groupBy("component", "block").agg(F.collect_list(F.struct(group.alias("group"), "a")).alias("groups"))
+    placed = placed.join(dealt, ["component", "block"]).select("id", "component", "block", "class", "groups")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(3).to_pylist()
             got = [s.tobytes() if _class(s) == c else None for s, c in zip(_sets(batch, "text", width), wanted, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(got, pa.binary())], names=[*batch.schema.names[:4], "shingles"])
-
-    texts = named.join(F.broadcast(placed) if n_placed <= SENT else placed, "id").select("id", "component", "block", "class", "text")
-    with_sets = texts.mapInArrow(run, "id long, component long, block long, class binary, shingles binary").where("shingles is not null")
-    dealt = with_sets.join(sides, ["component", "block"]).withColumn("group", group).drop("class")
-    found = dealt.groupBy("group").applyInPandas(_compare(percent), "src long, dst long")
+            kept = [*batch.columns[:3], batch.column(4), pa.array(got, pa.binary())]
+            yield pa.RecordBatch.from_arrays(kept, names=["id", "component", "block", "groups", "shingles"])
+
+    texts = named.join(F.broadcast(placed) if n_placed <= SENT else placed, "id").select("id", "component", "block", "class", "groups", "text")
+    schema = T.StructType([texts.schema["id"], texts.schema["component"], texts.schema["block"], texts.schema["groups"], T.StructField("shingles", T.BinaryType())])
+    with_sets = texts.mapInArrow(run, schema).where("shingles is not null")
+    compared = with_sets.select("id", "component", "block", "shingles", F.explode("groups").alias("g")).select("id", "component", "block", "shingles", "g.group", "g.a")
+    found = compared.groupBy("group").applyInPandas(_compare(percent), "src long, dst long")
     joined = connected_components(found)
 
     heads = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").select("class", F.coalesce("component", "id").alias("head"))
