@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -70,11 +71,15 @@ def _in_order(df: DataFrame, key: str, order: list[str], fields: list[T.StructFi
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
 
 
+def _seconds(at: datetime) -> float:
+    return (at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp()
+
+
 def rate_limited(requests: DataFrame, key: str, at: str, id: str, most: int, seconds: int) -> DataFrame:
     """`requests` with `limited` and, where it is, the whole seconds until the next is accepted. A request that is refused doesn't count for later ones."""
 
     def step(kept: deque, row: dict) -> tuple[bool, int | None]:
-        now = row[at].timestamp()
+        now = _seconds(row[at])
         while kept and kept[0] <= now - seconds:
             kept.popleft()
         if len(kept) >= most:
@@ -90,7 +95,7 @@ def sessions(requests: DataFrame, key: str, at: str, id: str, absolute: int = AB
     """`requests` with the number of the user's session and whether the request opened it: the one before had been idle, or old, for longer than allowed."""
 
     def step(state: dict, row: dict) -> tuple[int, bool]:
-        now = row[at].timestamp()
+        now = _seconds(row[at])
         fresh = not state or now - state["last"] > idle or now - state["since"] > absolute
         if fresh:
             state.update(number=state.get("number", 0) + 1, since=now)

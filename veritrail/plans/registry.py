@@ -1,7 +1,7 @@
 """All queries of the library and their SQL, by name."""
 
-from veritrail.plans import decisions, relational, similarity, text
+from veritrail.plans import decisions, layout, relational, similarity, streams, text, training
 
-_PLANS = (relational, text, similarity, decisions)
+_PLANS = (relational, text, similarity, decisions, training, layout, streams)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 SQL = {name: text for plan in _PLANS for name, text in plan.SQL.items()}
