@@ -5,7 +5,7 @@ as a whole; the others are merged with a heap of candidate pairs over a linked l
 of a stretch of documents; a bounded memory of pre-tokens lives as long as its worker.
 
 Defined results: a null text encodes like the empty text, to no ids; null ids decode to no bytes; repeated rows are encoded one by one;
-an empty table gives an empty table; other columns stay as they are, and a name that is taken is refused.
+an empty table gives an empty table; other columns stay as they are, and one that has a result's name is replaced.
 The vocabulary's size bounds what is sent to the workers.
 """
 
@@ -231,8 +231,7 @@ def stretches(batch: pa.RecordBatch, most: int = STRETCH) -> Iterator[pa.RecordB
 
 def encode(df: DataFrame, vocab_path: str, pattern: str, text: str = "text", into: str = "ids", count: str = "n_tokens") -> DataFrame:
     """`df` with the ids of each whole text, as little-endian unsigned 32-bit integers, and their number."""
-    if {into, count} & set(df.columns):
-        raise ValueError(f"{into} or {count} is taken; choose another name")
+    df = df.drop(into, count)
     vocabulary = df.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(vocab_path)))
     key = f"{vocab_path} {pattern}"
 
@@ -250,8 +249,7 @@ def encode(df: DataFrame, vocab_path: str, pattern: str, text: str = "text", int
 
 def decode(df: DataFrame, vocab_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """`df` with the bytes that each row's ids stand for."""
-    if into in df.columns:
-        raise ValueError(f"{into} is taken; choose another name")
+    df = df.drop(into)
     tokens = read_ranks(vocab_path)
     sent = df.sparkSession.sparkContext.broadcast(tokens)
 

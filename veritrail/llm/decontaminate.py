@@ -138,10 +138,9 @@ def _search(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, float,
 def annotate(df: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "passages", keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """`df`, or its columns `keep`, with the passages of each text: an array of (item, similarity, first_word), empty for a clean text.
 
-    A row stays in its partition: nothing is joined or shuffled.
+    A row stays in its partition: nothing is joined or shuffled. A column that has the result's name is replaced.
     """
-    if into in df.columns:
-        raise ValueError(f"{into} is taken; choose another name")
+    df = df.drop(into)
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.coalesce(item_text, F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = total // ITEM_BYTES + 1

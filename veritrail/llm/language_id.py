@@ -7,7 +7,7 @@ temperature fitted on a part of the sample that the weights have not seen scales
 
 Defined results: a null text, or one without a letter, is `und` with score 0, and so is every text if nothing could be learned; of equal scores the
 first language in alphabetical order wins; repeated rows are predicted one by one; an empty table gives an empty table; rows without
-a language teach nothing; other columns stay as they are.
+a language teach nothing; other columns stay as they are, and one that has a result's name is replaced.
 """
 
 from __future__ import annotations
@@ -164,8 +164,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", per_class: int =
 
 def predict(df: DataFrame, model: Model, text: str = "text", lang_into: str = "lang_pred", score_into: str = "score") -> DataFrame:
     """`df` with the predicted language of each whole text and its calibrated probability."""
-    if {lang_into, score_into} & set(df.columns):
-        raise ValueError(f"{lang_into} or {score_into} is taken; choose another name")
+    df = df.drop(lang_into, score_into)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

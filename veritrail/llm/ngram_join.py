@@ -35,8 +35,8 @@ from veritrail.sources.catalog import materialise
 WIDTH = 5
 #: Of the similarity, in hundredths.
 PERCENT = 80
-#: Shingles that are taken last, at most, and after how many shingles a task counts anew.
-COMMON, COUNTED = 1 << 19, 1 << 22
+#: Shingles that are taken last, at most, and of how many copies at least; after how many shingles a task counts anew.
+COMMON, LEAST_COMMON, COUNTED = 1 << 17, 16, 1 << 22
 #: Texts that share a shingle and are still paired one by one; a set of n shingles must share n // SHARE + 2 with another.
 FEW, SHARE = 64, 16
 #: Sets to compare that are sent to all executors at most, rather than shuffling all texts to meet them.
@@ -92,6 +92,22 @@ def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     return both.where("n is not null").select("id", "n", "class"), both.where("copies is not null").select("token", "copies")
 
 
+def _common(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, and how many texts they were seen in: those of LEAST_COMMON copies, or of as many more as leave no more than COMMON of them."""
+    total = materialise(shared.groupBy("token").agg(F.sum("copies").alias("copies")).where(F.col("copies") >= LEAST_COMMON).withColumn("level", F.floor(F.log2("copies")).cast("int")), "common")
+    counts = dict(total.groupBy("level").count().collect())
+    least, seen = max(counts, default=0) + 1, 0
+    for level in sorted(counts, reverse=True):
+        seen += counts[level]
+        if seen > COMMON:
+            break
+        least = level
+    found = total.where(F.col("level") >= least).select("token", "copies").toPandas()
+    token = found["token"].to_numpy(np.int64).view(np.uint64)
+    at = np.argsort(token)
+    return token[at], found["copies"].to_numpy(np.int64)[at]
+
+
 def _first_shingles(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> DataFrame:
     """(id, n, need, token) for the first shingles of each set, of which similar sets share `need`. `common`: shingles, sorted, and how many texts have each."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
@@ -240,11 +256,7 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     spark = docs.sparkSession
     named = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     sized, shared = shingle_sets(named, width)
-    top = shared.groupBy("token").agg(F.sum("copies").alias("copies")).orderBy(F.desc("copies"), "token").limit(COMMON).toPandas()
-    token = top["token"].to_numpy(np.int64).view(np.uint64)
-    at = np.argsort(token)
-    common = token[at], top["copies"].to_numpy(np.int64)[at]
-
+    common = _common(shared)
     near = connected_components(_tied(_first_shingles(named.where("id is not null"), common, width, percent), percent))
 
     classes = sized.where("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"))

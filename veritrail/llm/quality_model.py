@@ -6,7 +6,8 @@ logistic unit scores it. Labels belong to documents only; the weights of all lay
 bounded sample of labelled documents (PER_CLASS of each label, by the hash of their id).
 
 Defined results: a null text or one without words is one passage without words, scored like any other; without labels of both classes the score is
-their share, 0.5 if there is none; repeated rows are scored one by one; an empty table gives an empty table; other columns stay as they are.
+their share, 0.5 if there is none; repeated rows are scored one by one; an empty table gives an empty table; other columns stay as they are, and one
+that has the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -159,8 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
 def score(df: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """`df` with the score of each whole text, higher where label 1 is likelier."""
-    if into in df.columns:
-        raise ValueError(f"{into} is taken; choose another name")
+    df = df.drop(into)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

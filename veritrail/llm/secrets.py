@@ -4,7 +4,8 @@ The rules' expressions become one nondeterministic automaton; subset constructio
 over byte classes. Its accepting state is absorbing, so that the pass over a text without a secret costs one array access a byte.
 Texts that it accepts get their spans from each rule's own minimal automaton: leftmost, longest, non-overlapping by rule.
 
-Defined results: a null text counts as empty and has no spans; repeated rows are scanned one by one; an empty table gives an empty table;
+Defined results: a null text counts as empty and has no spans; repeated rows are scanned one by one; an empty table gives an empty table; a
+column that has the result's name is replaced;
 offsets are code points, the end exclusive; spans of several rules may overlap and are ordered by start, then by the rules' order.
 """
 
@@ -270,8 +271,7 @@ def scan(df: DataFrame, text: str = "text", into: str = "secret_spans", rules: t
                 found.append(_code_points(data, spans) if spans else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, into])
 
-    if into in df.columns:
-        raise ValueError(f"{into} is taken; choose another name")
+    df = df.drop(into)
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, SPANS)]))
 
 

@@ -7,7 +7,7 @@ reads a version sees all of it, a writer that comes second with the same version
 lists any more go by `vacuum`.
 
 Defined results: nulls and empty texts are stored as they are; repeated rows stay repeated; an arrival without rows is a version that adds no shards;
-columns named like the manifest's own are refused; a table without arrivals is an error to read.
+a column named _arrival is replaced; a table without arrivals is an error to read.
 """
 
 from __future__ import annotations
@@ -64,15 +64,14 @@ def _shards(spark: SparkSession, at: str, run: str) -> DataFrame:
     fs, path = _fs(spark, at)
     sizes = [(f.getPath().getName(), f.getLen()) for f in fs.listStatus(path(f"{at}/runs/{run}")) if f.getPath().getName().startswith("part-")]
     listed = spark.createDataFrame(sizes, "file string, bytes long")
-    counted = spark.read.parquet(f"{at}/runs/{run}").groupBy("_arrival", F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows"))
+    named = spark.read.parquet(f"{at}/runs/{run}").select("_arrival", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
+    counted = named.groupBy("_arrival", "file").agg(F.count("*").alias("rows"))
     return counted.join(listed, "file").select(F.lit(run).alias("run"), F.col("_arrival").alias("arrival"), "file", "bytes", "rows")
 
 
 def append(df: DataFrame, at: str, arrival: int, rows: int = ARRIVAL_ROWS) -> int:
     """Write `df` as a run of small shards and commit it; returns the version."""
     spark = df.sparkSession
-    if {"_arrival", "_metadata"} & set(df.columns):
-        raise ValueError("a column has a name of the manifest's")
     known, run = versions(spark, at), f"a{arrival:06d}-{uuid.uuid4().hex[:12]}"
     df.withColumn("_arrival", F.lit(arrival).cast("long")).write.option("maxRecordsPerFile", rows).parquet(f"{at}/runs/{run}")
     shards = _shards(spark, at, run)
