@@ -208,7 +208,7 @@ def test_overlapping_boxes_and_lines(spark):
 
 
 def test_stream_of_limits_equals_the_batch(spark):
-    from conftest import SMALL
+    from helpers import SMALL
 
     from veritrail.plans import decisions, streams
 

@@ -1,7 +1,7 @@
 """Every query of the library against its SQL on the smallest tables."""
 
 import pytest
-from conftest import SMALL, rows
+from helpers import SMALL, rows
 
 from veritrail.plans import registry
 
