@@ -158,21 +158,23 @@ class Shard:
         return a.astype(np.uint32)
 
 
+#: Letters for bytes: those that print stand for themselves, the others are counted up from U+0100.
+_PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SPELLING = {b: 256 + sum(x not in _PRINTS for x in range(b)) for b in range(256) if b not in _PRINTS}
 _workers: dict[str, Encoder] = {}
 
 
 def _encoder(key: str, vocabulary) -> Encoder:
-    """This worker's encoder: the library encodes each distinct pre-token once and what it gave is remembered.
+    """This worker's encoder: the library's model encodes each distinct pre-token once and what it gave is remembered.
 
-    The vocabulary's file normalises (NFC, lower case by code point), splits at WORDS and merges inside each piece, so that a text's ids are its pieces' ids.
+    The vocabulary's file normalises (NFC, lower case by code point), splits at WORDS, spells each piece's bytes as letters and merges inside the
+    piece, so that a text's ids are its pieces' ids.
     """
     if key not in _workers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(vocabulary.value)
-        tokenizer.encode_special_tokens = True
-        split = splitter(WORDS)
+        model, split = Tokenizer.from_str(vocabulary.value).model, splitter(WORDS)
 
         def pieces(text: str) -> list[str]:
             if not text.isascii():
@@ -180,9 +182,8 @@ def _encoder(key: str, vocabulary) -> Encoder:
             return split(text.lower())
 
         def encode_new(pieces: list[str]) -> Iterator[list[int]]:
-            for at in range(0, len(pieces), 4096):
-                for e in tokenizer.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False):
-                    yield e.ids
+            for p in pieces:
+                yield [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(_SPELLING))]
 
         _workers.clear()
         _workers[key] = Encoder(pieces, encode_new)
