@@ -25,17 +25,19 @@ def undersampled(df: DataFrame, label: str, author: str, id: str, ratio: int = R
 
     Each author gives a rounded share, at least one row, and the whole is trimmed to the target. Without too many rows nothing is taken out.
     """
-    total = df.agg(F.count_if(F.col(label) == 0).alias("humans"), F.count_if(F.col(label) == 1).alias("machines"))
-    ones = df.where(F.col(label) == 1).crossJoin(F.broadcast(total))
-    target = F.col("humans") * ratio
+    humans, machines = df.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
+    target, ones = humans * ratio, df.where(F.col(label) == 1)
+    if machines <= target:
+        return df.where(F.col(label).isin(0, 1))
     of_author = Window.partitionBy(author)
-    share = F.count("*").over(of_author) / F.col("machines")
-    quota = F.least(F.greatest(F.lit(1), F.bround(target * share).cast("long")), F.count("*").over(of_author))
+    own = F.count("*").over(of_author)
+    quota = F.least(F.greatest(F.lit(1), F.bround(target * (own / machines)).cast("long")), own)
     rank = F.row_number().over(of_author.orderBy(draw(F.col(id)), id))
-    chosen = ones.withColumns({"quota": quota, "rank": rank}).where((F.col("machines") <= target) | (F.col("rank") <= F.col("quota")))
-    # the trim takes the last by draw; its limit is a rank among the chosen, which are bounded by the authors' quotas
-    trimmed = chosen.withColumn("place", F.row_number().over(Window.orderBy(draw(F.col(id)), id))).where((F.col("machines") <= target) | (F.col("place") <= target))
-    return trimmed.select(df.columns).unionByName(df.where(F.col(label) == 0))
+    chosen = ones.withColumns({"quota": quota, "rank": rank}).where(F.col("rank") <= F.col("quota")).select(df.columns)
+    # rounding takes at most one row an author too many: those last by draw go
+    over = max(0, chosen.count() - target)
+    last = chosen.select(id).orderBy(F.desc(draw(F.col(id))), F.desc(id)).limit(over)
+    return chosen.join(last, id, "left_anti").select(df.columns).unionByName(df.where(F.col(label) == 0))
 
 
 def group_split(df: DataFrame, group: str, share: float = TEST_SHARE) -> DataFrame:
