@@ -39,12 +39,14 @@ class Rule:
 
 #: Rules that any text has to meet.
 BASE = (Rule("n_words", least=20), Rule("repeat_percent", most=30))
-#: The method's own rules. Ratios are to the number of words or lines.
+#: The method's own rules. Ratios are to the number of words or lines; one stop word is given to each text, so that short ones need none. An echo
+#: is a word that equals the one before it.
 RULES = (
     Rule("mean_word_length", least=2, most=12),
     Rule("symbol_ratio", most=0.1),
     Rule("shout_ratio", most=0.5),
     Rule("stop_word_ratio", least=0.01),
+    Rule("echo_ratio", most=0.3),
     Rule("dup_line_ratio", most=0.5),
     Rule("mark_line_ratio", most=0.9),
 )
@@ -85,12 +87,13 @@ def metrics(text: Column, words: Column, lines: Column) -> Column:
     word_chars = F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("bigint")
     plain = F.split(F.lower(F.translate(text, ".,;:!?", "")), f"[{BLANK}]+")
     stop = F.size(F.filter(plain, lambda w: w.isin(*STOP_WORDS)))
+    echoes = F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1)))
     dup_lines = (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint")
     marked = F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09]*[-*•]|(\.\.\.|…)[\x20\x09-\x0D]*$")))
     figures = F.struct(
         n.alias("n_words"), word_chars.alias("word_chars"), taken_out(SYMBOLS).alias("n_symbols"), dup_lines.alias("n_dup_lines"),
         let(F.transform(words, lambda w: F.xxhash64(w)), _repeat_words).alias("n_repeat_words"),
-        taken_out("!").alias("n_shouts"), stop.alias("n_stop_words"), F.size(lines).alias("n_lines"), marked.alias("n_mark_lines"),
+        taken_out("!").alias("n_shouts"), (stop + 1).alias("n_stop_words"), echoes.alias("n_echoes"), F.size(lines).alias("n_lines"), marked.alias("n_mark_lines"),
     )
 
     def ratios(m: Column) -> Column:
@@ -98,7 +101,7 @@ def metrics(text: Column, words: Column, lines: Column) -> Column:
         return F.struct(
             *(m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
             part("word_chars", "n_words").alias("mean_word_length"), part("n_symbols", "n_words").alias("symbol_ratio"), part("n_shouts", "n_words").alias("shout_ratio"),
-            part("n_stop_words", "n_words").alias("stop_word_ratio"), part("n_dup_lines", "n_lines").alias("dup_line_ratio"), part("n_mark_lines", "n_lines").alias("mark_line_ratio"),
+            part("n_stop_words", "n_words").alias("stop_word_ratio"), part("n_echoes", "n_words").alias("echo_ratio"), part("n_dup_lines", "n_lines").alias("dup_line_ratio"), part("n_mark_lines", "n_lines").alias("mark_line_ratio"),
         )
 
     return let(figures, ratios)

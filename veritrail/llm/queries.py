@@ -120,13 +120,14 @@ ORACLE_SQL: dict[str, str] = {
                 CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
                 length(text) - length(replace(text, '!', '')) AS n_shouts, len(lines) AS n_lines,
                 len(list_filter(string_split_regex(lower(translate(text, '.,;:!?', '')), '[\x20\x09-\x0D]+'), lambda x: x IN ({", ".join(f"'{x}'" for x in dict.fromkeys(quality_rules.STOP_WORDS))}))) AS n_stop,
+                len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_echoes,
                 len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]|(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_marks
             FROM w LEFT JOIN repeated USING (doc_id)
         ),
         b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
             NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 12 * n_words AND n_symbols <= 0.1 * n_words AND n_shouts <= 0.5 * n_words
-                AND n_stop >= 0.01 * n_words AND n_dup_lines <= 0.5 * n_lines AND n_marks <= 0.9 * n_lines AS kept
+                AND n_stop + 1 >= 0.01 * n_words AND n_echoes <= 0.3 * n_words AND n_dup_lines <= 0.5 * n_lines AND n_marks <= 0.9 * n_lines AS kept
         FROM b
     """.replace("\\\\", "\\"),
 }
