@@ -7,6 +7,9 @@ cut into BLOCKS blocks; two within RADIUS bits agree in one block up to RADIUS /
 block values that near, so that no fingerprint within the radius is missed. Each pair found is aligned and verified: the weighted Jaccard
 similarity of the item's shingles and those of as many of the text, weighted by how often they occur.
 
+A text shorter than an item may fill none of its windows. It can only match as a whole, and then holds so many of the item's shingles that any
+few of its own include one of them: the few that the fewest items hold are looked up, and what they name is verified, so that none is missed.
+
 Items are sent to the workers in blocks of bounded size; a larger benchmark takes several passes over the texts.
 
 Defined results: null or blank texts and items match nothing; an item of fewer than WIDTH words matches only a text of just these words; rows are
@@ -81,6 +84,38 @@ class Index:
                 np.cumsum(np.bincount(near.ravel(), minlength=65536), out=first[1:])
                 tables.append((first, (order // len(_NEAR)).astype(np.int32)))
             self.sizes[window] = (fps, where, tables)
+        self.lengths = np.array([len(h) for h in self.items], np.int64)
+        self.sorted_lengths = np.unique(self.lengths[self.lengths > 0])
+        held = [np.unique(h) for h in self.items]
+        keys = np.concatenate([*held, np.zeros(0, np.uint64)])
+        order = np.argsort(keys, kind="stable")
+        self.keys, many = np.unique(keys, return_counts=True)
+        self.first_holder = np.concatenate([[0], np.cumsum(many)])
+        self.holder = np.repeat(np.arange(len(held)), [len(h) for h in held])[order]
+
+    def shorter(self, rows: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """(text, items longer than it) of all pairs that can be similar enough."""
+        sizes = np.array([len(h) for h in rows], np.int64)
+        after = np.searchsorted(self.sorted_lengths, sizes, side="right")
+        least = np.concatenate([self.sorted_lengths, [np.iinfo(np.int32).max]])[after]
+        texts = np.flatnonzero(sizes * 100 >= least * PERCENT)
+        if not len(texts):
+            return
+        flat = np.concatenate([rows[t] for t in texts])
+        slot = np.minimum(np.searchsorted(self.keys, flat), len(self.keys) - 1)
+        holders = np.where(self.keys[slot] == flat, self.first_holder[slot + 1] - self.first_holder[slot], 0)
+        at = 0
+        for t in texts.tolist():
+            n, m = int(sizes[t]), int(least[t])
+            s, h = slot[at : at + n], holders[at : at + n]
+            at += n
+            # both / (m + n - both) is 0.8 at least, so that all but n - both of the text's shingles are the item's
+            few = n + 1 + -PERCENT * (m + n) // (100 + PERCENT)
+            chosen = np.argpartition(h, few - 1)[:few]
+            chosen = np.unique(s[chosen[h[chosen] > 0]])
+            if len(chosen):
+                items = np.unique(np.concatenate([self.holder[self.first_holder[c] : self.first_holder[c + 1]] for c in chosen.tolist()]))
+                yield t, items[(self.lengths[items] > n) & (self.lengths[items] * PERCENT <= n * 100)]
 
     def near(self, window: tuple[int, int], prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(position in prints, position in the items' fingerprints) of all pairs within RADIUS."""
@@ -125,6 +160,8 @@ def _search(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, float,
                 doc = owner[starts[x]]
                 at = (starts[x] - first[doc]) * stride - where[y, 1]
                 candidates.update(zip(doc.tolist(), where[y, 0].tolist(), at.tolist(), strict=True))
+    for doc, items in index.shorter(rows):
+        candidates.update((doc, item, 0) for item in items.tolist())
     best: dict[tuple[int, int], tuple[float, int]] = {}
     for doc, item, at in sorted(candidates):
         at = max(at, 0)
