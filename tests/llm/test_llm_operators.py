@@ -361,6 +361,20 @@ def test_pieces_are_encoded_as_whole_texts(words_library):
         assert encoder.encode([x])[0].tolist() == words_library.encode(x, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_the_library_s(spark):
+    from tokenizers import Tokenizer
+
+    library, start, end = Tokenizer.from_file(queries.WORD_BPE), "<|startoftext|>", "<|endoftext|>"
+    texts = ["hello <|endoftext|> world", start, f"{end}{end}", f"a{end}{start}b", f"x<|{end}|>", "Not <|ENDOFTEXT|>", "<|endoftext|", f"é{end}\u0301a", f"I'{end}m", *odd_texts(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out, at = work_dir(spark, "test-added"), 0
+    got = {r["id"]: r for r in token_files.read(spark, out, token_files.write(docs, out, queries.WORD_BPE, 2)).collect()}
+    for d, x in enumerate(texts):
+        ids = [*library.encode(x, add_special_tokens=False).ids, 2]
+        assert (got[d]["start"], got[d]["n_tokens"], np.frombuffer(got[d]["ids"], "<u4").tolist()) == (at, len(ids), ids)
+        at += len(ids)
+
+
 def test_op8_query(spark, documents, words_library):
     got, at = queries.op8_token_files(spark, SMALL).toPandas().set_index("doc_id"), 0
     for d, text in sorted(zip(documents.doc_id, documents.text, strict=True)):

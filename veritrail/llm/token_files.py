@@ -8,7 +8,7 @@ opened when first needed. The documents' ids and lengths follow.
 Texts are dealt out by ranges of their id and sorted, each task writes its stretch as shards of about SHARD tokens, and the shards' names sort like
 the ids. Only the shards' totals are summed up in one place.
 
-Defined results: a null text encodes like the empty text, to the end id alone; rows without id come first; rows that repeat an id keep their own
+Defined results: a token that the vocabulary's file adds is its own id wherever a text holds it literally; a null text encodes like the empty text, to the end id alone; rows without id come first; rows that repeat an id keep their own
 entries, in the order of their texts; an empty table writes no shard and gives an empty table; other columns are not read.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -190,10 +191,31 @@ def _encoder(key: str, vocabulary) -> Encoder:
     return _workers[key]
 
 
+class Added:
+    """The tokens that the vocabulary's file adds: a raw text is cut where one stands, and the stretches between are encoded on their own."""
+
+    def __init__(self, vocabulary: str) -> None:
+        tokens = json.loads(vocabulary)["added_tokens"]
+        odd = [t["content"] for t in tokens if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]]
+        if odd:
+            raise ValueError(f"added tokens that are not matched as they stand: {odd}")
+        self.ids = {t["content"]: np.array([t["id"]], np.uint32) for t in tokens}
+        self.cut = re.compile(f"({'|'.join(map(re.escape, sorted(self.ids, key=len, reverse=True)))})").split
+
+    def encode(self, encoder: Encoder, texts: list[str]) -> list[np.ndarray]:
+        cut = {i: self.cut(x) for i, x in enumerate(texts) if any(t in x for t in self.ids)}
+        if not cut:
+            return encoder.encode(texts)
+        parts = [cut.get(i, [x]) for i, x in enumerate(texts)]
+        got = iter(encoder.encode([x for p in parts for x in p[::2]]))
+        return [np.concatenate([self.ids[x] if k % 2 else next(got) for k, x in enumerate(p)]) for p in parts]
+
+
 def write(df: DataFrame, out: str, tokenizer_path: str, end_id: int, bits: int = 16, id: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
     """Write the shards of all texts below `out`; returns (shard, first, tokens, docs): each shard's name, the tokens before it, its tokens and documents."""
     with open(tokenizer_path) as f:
         vocabulary = df.sparkSession.sparkContext.broadcast(f.read())
+    added = Added(vocabulary.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = _encoder(tokenizer_path, vocabulary), TaskContext.get().partitionId()
@@ -209,7 +231,7 @@ def write(df: DataFrame, out: str, tokenizer_path: str, end_id: int, bits: int =
         for batch in batches:
             for part in stretches(batch):
                 ids += part.column(0).to_pylist()
-                for got in encoder.encode([x or "" for x in part.column(1).to_pylist()]):
+                for got in added.encode(encoder, [x or "" for x in part.column(1).to_pylist()]):
                     parts.append(np.append(got, np.uint32(end_id)))
                     size += len(parts[-1])
                 if size >= shard:
