@@ -214,3 +214,37 @@ def test_stream_of_limits_equals_the_batch(spark):
 
     stream = {(r["event_id"], r["limited"]) for r in streams.rate_limit_stream(spark, SMALL).collect()}
     assert stream == {(r["event_id"], r["limited"]) for r in decisions.rate_limit_decisions(spark, SMALL).collect()}
+
+
+def _requests(spark, n):
+    draw, base = random.Random(5), dt.datetime(2024, 1, 1)
+    rows = [(i, draw.choice([1, 1, 1, 2, 3]), base + dt.timedelta(seconds=draw.randrange(400_000))) for i in range(n)]
+    return spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")
+
+
+def test_stream_of_limits_orders_a_user_across_chunks(spark, tmp_path):
+    from veritrail.plans import streams
+
+    df = _requests(spark, 300)
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    most, seconds = access.POLICIES["resend_verification"]
+    want = {(r["event_id"], r["limited"]) for r in access.rate_limited(df, "user_id", "ts", "event_id", most, seconds * 40).collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = {(r["event_id"], r["limited"]) for r in streams.rate_limit_stream(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == want and {x for _, x in want} == {True, False}
+
+
+def test_stream_of_limits_goes_on_from_batch_to_batch(spark, tmp_path):
+    from veritrail.streaming import events
+
+    df, path = _requests(spark, 300), f"{tmp_path}/parts"
+    days = sorted({r["d"] for r in df.select(F.to_date("ts").alias("d")).distinct().collect()})
+    for d in days:
+        df.where(F.to_date("ts") == d).coalesce(1).write.mode("append").parquet(path)
+    want = {(r["event_id"], r["limited"]) for r in access.rate_limited(df, "user_id", "ts", "event_id", 3, 36_000).collect()}
+    got = events.limited(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path), 3, 36_000).collect()
+    assert len(days) > 3 and len(got) == 300 and {(r["event_id"], r["limited"]) for r in got} == want

@@ -34,7 +34,7 @@ def watermark_dedup(spark: SparkSession, d: str) -> DataFrame:
 def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     """Z1 as a stream."""
     most, seconds = access.POLICIES["resend_verification"]
-    return events.finished(events.limited(events.stream_of(spark, d, "events").select("event_id", "user_id", "ts"), most, seconds * 40), "append")
+    return events.limited(events.stream_of(spark, d, "events"), most, seconds * 40)
 
 
 QUERIES = {f.__name__: f for f in (tumbling_counts, sliding_counts, session_windows, watermark_dedup, rate_limit_stream)}

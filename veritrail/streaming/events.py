@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 
+from veritrail.operators import access
 from veritrail.sources.catalog import work_dir
 
 
@@ -39,23 +37,39 @@ def first_seen(events: DataFrame, columns: list[str], late: str = "40 days") ->
     return events.withWatermark("ts", late).dropDuplicates(columns)
 
 
-def limited(events: DataFrame, most: int, seconds: int) -> DataFrame:
-    """Requests with the limiter's decision; a user's state is the times of accepted requests inside the window, at most `most`."""
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        for batch in (b.sort_values(["ts", "event_id"]) for b in batches):
-            out = []
-            for id, ts in zip(batch["event_id"], batch["ts"], strict=True):
-                now = ts.timestamp()
-                kept = [x for x in kept if x > now - seconds]
-                out.append((id, len(kept) >= most))
-                if not out[-1][1]:
-                    kept.append(now)
-            yield pd.DataFrame(out, columns=["event_id", "limited"])
-        state.update((kept,))
-
-    return events.groupBy("user_id").applyInPandasWithState(decide, "event_id long, limited boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+def limited(requests: DataFrame, most: int, seconds: int) -> DataFrame:
+    """Run a stream of requests over all that there is now; (event_id, limited) of each.
+
+    A micro-batch is sorted by user and time as a whole before its requests are decided one by one. What it decided is a table, and the accepted
+    requests of that inside the window, at most `most` of a user, go ahead of the next micro-batch. Rows without user are never limited.
+    """
+    out = work_dir(requests.sparkSession, "limits")
+    requests = requests.select("event_id", "user_id", "ts")
+    schema = T.StructType([*requests.schema.fields, T.StructField("fresh", T.BooleanType()), T.StructField("limited", T.BooleanType())])
+
+    def step(kept: list, row: dict) -> tuple[bool]:
+        now = access._seconds(row["ts"])
+        if row["fresh"]:
+            kept[:] = [x for x in kept if x > now - seconds]
+            if len(kept) >= most:
+                return (True,)
+        kept.append(now)
+        return (False,)
+
+    def decide(batch: DataFrame, n: int) -> None:
+        rows = batch.withColumn("fresh", F.lit(True))
+        if n:
+            before = batch.sparkSession.read.schema(schema).parquet(f"{out}/n={n - 1}")
+            newest = before.groupBy("user_id").agg(F.max("ts").alias("newest"))
+            inside = F.col("ts") > F.col("newest") - F.expr(f"INTERVAL {seconds} SECONDS")
+            kept = before.where("not limited").join(newest, "user_id").where(inside).withColumn("fresh", F.lit(False))
+            rows = rows.unionByName(kept.select(*rows.columns))
+        decided = access._in_order(rows, "user_id", ["fresh", "ts", "event_id"], [schema["limited"]], list, step)
+        decided.write.mode("overwrite").parquet(f"{out}/n={n}")
+
+    query = requests.writeStream.trigger(availableNow=True).option("checkpointLocation", work_dir(requests.sparkSession, "limits-state")).foreachBatch(decide).start()
+    query.awaitTermination()
+    return requests.sparkSession.read.schema(schema).parquet(f"{out}/n=*").where("fresh").select("event_id", "limited")
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
