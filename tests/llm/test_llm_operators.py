@@ -287,6 +287,18 @@ def test_languages_of_awkward_rows(spark, edge, empty):
     assert language_id.features("123 !") [0].size == 0
 
 
+def test_copies_do_not_thin_out_a_language_s_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda sample, langs, idf: seen.append([(langs[y], f.tolist(), c.tolist()) for y, f, c in sample]))
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    texts = [(" ".join(word() for _ in range(8)), "en", 50) for _ in range(40)] + [(" ".join(word() for _ in range(8)), "fr", 500) for _ in range(3)]
+    df = spark.createDataFrame(texts, "text string, lang string, copies int")
+    language_id.fit(df, per_class=10)
+    language_id.fit(df.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))), per_class=10)
+    assert seen[0] == seen[1] and collections.Counter(y for y, _, _ in seen[0]) == {"en": 10, "fr": 3}
+
+
 # 7. quality
 
 

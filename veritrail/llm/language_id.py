@@ -141,8 +141,9 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", per_class: int =
     if not langs:
         return Model([], idf, np.zeros((BUCKETS, 0)))
 
-    # a text is in the sample if its hash is below its language's share; copies have one hash and count once
-    share = F.create_map(*(F.lit(x) for name in langs for x in (name, min(1.0, 2 * per_class / by[name]))))
+    # a text is in the sample if its hash is below its language's share; copies have one hash and count once, in the share as well
+    distinct = {r["lang"]: r["count"] for r in rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count().collect()}
+    share = F.create_map(*(F.lit(x) for name in langs for x in (name, min(1.0, 2 * per_class / distinct[name]))))
     hashed = rows.withColumn("h", F.xxhash64("text")).where((F.col("h").cast("double") / 2.0**64 + 0.5) <= share[F.col("lang")])
     picked = hashed.groupBy("lang", "h").agg(F.min("text").alias("text"))
 
