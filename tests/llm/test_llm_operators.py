@@ -73,10 +73,13 @@ def test_op1_query(spark, library, documents):
 
 def test_memory_of_pieces_is_bounded(library):
     vocabulary = bpe.Vocabulary(bpe.read_ranks(RANKS)).ready()
-    encoder = bpe.Encoder(bpe.splitter(PATTERN), lambda pieces: (vocabulary.merged(p.encode()) for p in pieces), remembered=50)
+    encoder = bpe.Encoder(bpe.splitter(PATTERN), lambda pieces: (vocabulary.merged(p.encode()) for p in pieces), remembered=5000)
     for text in odd_texts(100):
         assert encoder.encode([text])[0].tolist() == [i for p in bpe.splitter(PATTERN)(text) for i in vocabulary.merged(p.encode())]
-    assert len(encoder.numbers) < 150
+    assert encoder.memory.bytes < 5000 + 26 * 400 and len(encoder.memory.numbers) < 100 and encoder.memory.older
+    for text in ("x" * 1000, "y" * 1000 + " x", "x" * 1000):
+        assert encoder.encode([text])[0].tolist() == [i for p in bpe.splitter(PATTERN)(text) for i in vocabulary.merged(p.encode())]
+    assert all(len(x) <= bpe.LONG for x in encoder.memory.numbers)
 
 
 # 2. secrets
@@ -365,12 +368,25 @@ def test_token_files_hold_every_document(spark, edge, empty, words_library):
     assert token_files.read(spark, out, token_files.write(empty, out, queries.WORD_BPE, 2)).count() == 0
 
 
-def test_pieces_are_encoded_as_whole_texts(words_library):
+def test_pieces_are_encoded_as_whole_texts(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.WORD_BPE)
     with open(queries.WORD_BPE) as f:
         text = f.read()
-    encoder = token_files._encoder("test", type("Sent", (), {"value": text}))
-    for x in odd_texts(400):
-        assert encoder.encode([x])[0].tolist() == words_library.encode(x, add_special_tokens=False).ids
+    texts = [*odd_texts(400), "", None, "x" * 3000, "a" * 100 + " \u0301a"]
+    want = [[*library.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+    for memory in (1 << 20, 2000):
+        monkeypatch.setattr(token_files, "REMEMBERED", memory)
+        encoder = token_files.WordEncoder(text, 2)
+        for step in (1, 7, len(texts)):
+            for at in range(0, len(texts), step):
+                ids, many = encoder.encode(pa.array(texts, pa.string()).slice(at, step))
+                assert [x.tolist() for x in np.split(ids, np.cumsum(many)[:-1])] == want[at : at + step]
+    with pytest.raises(ValueError):
+        with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+            token_files.WordEncoder(f.read(), 2)
 
 
 def test_added_tokens_are_the_library_s(spark):

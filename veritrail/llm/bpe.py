@@ -2,7 +2,7 @@
 
 Two tiers: a minimal perfect hash (hash and displace, checked against the key it stands for) resolves pre-tokens that are in the vocabulary
 as a whole; the others are merged with a heap of candidate pairs over a linked list of their bytes. Both run on the distinct pre-tokens
-of a stretch of documents; a bounded memory of pre-tokens lives as long as its worker.
+of a stretch of documents; a memory of pre-tokens, bounded in bytes, lives as long as its worker.
 
 Defined results: a null text encodes like the empty text, to no ids; null ids decode to no bytes; repeated rows are encoded one by one;
 an empty table gives an empty table; other columns stay as they are, and one that has a result's name is replaced.
@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Bytes of a generation of remembered pieces, those that an entry takes beside its text and ids, and characters of a piece worth remembering.
+REMEMBERED, ENTRY, LONG = 64 << 20, 160, 64
 STRETCH = 128
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -146,17 +146,87 @@ class Vocabulary:
 
 
 class _Numbers(dict):
-    """A number for each distinct piece, in the order of their first use."""
+    """A number for each distinct piece, counted on in the order of their first use."""
 
     def __init__(self) -> None:
         self.fresh: list[str] = []
+        self.used = 0
 
     def __missing__(self, piece: str) -> int:
-        n = self[piece] = len(self)
+        n = self[piece] = self.used
+        self.used += 1
         self.fresh.append(piece)
         return n
 
 
+class Memory:
+    """Ids of pieces, remembered in two generations of at most `most` bytes: when the younger is full it becomes the older one.
+
+    `encode_new` gives the ids of pieces, one after the other, and how many each has. What the older generation knows moves to the younger when it
+    is used. Pieces of more than LONG characters are forgotten after their stretch.
+    """
+
+    def __init__(self, encode_new, most: int) -> None:
+        self.encode_new, self.most = encode_new, most
+        self.older: dict[str, int] = {}
+        self.older_ids: tuple = ()
+        self._start()
+
+    def _start(self) -> None:
+        self.numbers, self.bytes = _Numbers(), 0
+        self.flat, self.start, self.length = array("I"), array("q"), array("q")
+
+    def turn(self) -> None:
+        """Between two stretches: numbers given before hold no longer once the generation is full."""
+        if self.bytes > self.most:
+            self.older, self.older_ids = self.numbers, self._held()
+            self._start()
+
+    def _held(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.frombuffer(self.flat, np.uint32), np.frombuffer(self.start, np.int64), np.frombuffer(self.length, np.int64)
+
+    def learn(self) -> None:
+        """Ids of the pieces that have been given numbers since the last call."""
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        if not fresh:
+            return
+        if self.older:
+            place = np.fromiter((self.older.get(p, -1) for p in fresh), np.int64, len(fresh))
+            new = place < 0
+            flat, many = self.encode_new([p for p, n in zip(fresh, new.tolist(), strict=True) if n])
+            old_flat, old_start, old_length = self.older_ids
+            start, length = old_start[place], old_length[place]
+            start[new], length[new] = len(old_flat) + np.cumsum(many) - many, many
+            flat = gather(np.concatenate([old_flat, flat]), start, length)
+        else:
+            flat, length = self.encode_new(fresh)
+        first = len(self.flat)
+        self.start.frombytes((first + np.cumsum(length) - length).tobytes())
+        self.length.frombytes(length.astype(np.int64).tobytes())
+        self.flat.frombytes(flat.astype(np.uint32).tobytes())
+        sizes = list(map(len, fresh))
+        self.bytes += ENTRY * len(fresh) + sum(sizes) + 4 * len(flat)
+        if max(sizes) > LONG:
+            for p in fresh:
+                if len(p) > LONG:
+                    del self.numbers[p]
+
+    def ids(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered pieces `used`, one after the other, and how many each has."""
+        flat, start, length = self._held()
+        many = length[used]
+        return gather(flat, start[used], many), many
+
+
+def flattened(found: Iterator[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The lists one after the other, and how long each is."""
+    flat, many = array("I"), array("q")
+    for ids in found:
+        flat.extend(ids)
+        many.append(len(ids))
+    return np.array(flat, np.uint32), np.array(many, np.int64)
+
+
 def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The stretches flat[start : start + length], one after the other."""
     shift = start - (np.cumsum(length) - length)
@@ -183,27 +253,14 @@ class Encoder:
     """Encodes stretches of texts; `encode_new` gives the ids of pieces that are not remembered."""
 
     def __init__(self, split, encode_new, remembered: int = REMEMBERED) -> None:
-        self.split, self.encode_new, self.remembered = split, encode_new, remembered
-        self.forget()
-
-    def forget(self) -> None:
-        self.numbers, self.flat, self.start, self.length = _Numbers(), array("I"), array("q"), array("q")
+        self.split, self.memory = split, Memory(lambda pieces: flattened(encode_new(pieces)), remembered)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.numbers) > self.remembered:
-            self.forget()
-        number = self.numbers.__getitem__
+        self.memory.turn()
+        number = self.memory.numbers.__getitem__
         used = [np.fromiter(map(number, p), np.int64, len(p)) for p in map(self.split, texts)]
-        if self.numbers.fresh:
-            for ids in self.encode_new(self.numbers.fresh):
-                self.start.append(len(self.flat))
-                self.length.append(len(ids))
-                self.flat.extend(ids)
-            self.numbers.fresh = []
-        if not self.flat:
-            return [np.zeros(0, np.uint32) for _ in texts]
-        flat, start, length = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.start, np.int64), np.frombuffer(self.length, np.int64)
-        return [gather(flat, start[u], length[u]) for u in used]
+        self.memory.learn()
+        return [self.memory.ids(u)[0] if len(u) else np.zeros(0, np.uint32) for u in used]
 
 
 _workers: dict[str, Encoder] = {}

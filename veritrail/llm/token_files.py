@@ -6,7 +6,7 @@ place, how often a token occurs before it, and where its k-th occurrence is. Pla
 opened when first needed. The documents' ids and lengths follow.
 
 Texts are dealt out by ranges of their id and sorted, each task writes its stretch as shards of about SHARD tokens, and the shards' names sort like
-the ids. Only the shards' totals are summed up in one place.
+the ids. Only the tasks' totals, one number each, are summed up in one place.
 
 Defined results: a token that the vocabulary's file adds is its own id wherever a text holds it literally; a null text encodes like the empty text, to the end id alone; rows without id come first; rows that repeat an id keep their own
 entries, in the order of their texts; an empty table writes no shard and gives an empty table; other columns are not read.
@@ -23,16 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritrail.llm.bpe import Encoder, splitter, stretches
+from veritrail.llm.bpe import REMEMBERED, Memory, flattened, splitter
 from veritrail.llm.files import get, put
+from veritrail.llm.shingles import stretches
 from veritrail.sources.catalog import materialise
 
-#: Tokens of a shard, about, and bits between two counts of ones.
-SHARD, EVERY = 1 << 22, 512
+#: Tokens of a shard, about, bits between two counts of ones, and bytes of text whose distinct words are looked up together.
+SHARD, EVERY, READ = 1 << 22, 512, 2_000_000
 MAGIC = b"WVM1"
 #: The vocabulary's split of a text, as its file states it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -53,11 +55,11 @@ def build(tokens: np.ndarray, bits: int, doc_ids: list[int | None], lengths: np.
     a = tokens.astype(np.uint16 if bits <= 16 else np.uint32)
     zeros, parts = [], []
     for bit in range(bits - 1, -1, -1):
-        on = (a >> a.dtype.type(bit) & a.dtype.type(1)).astype(bool)
+        on = ((a >> a.dtype.type(bit)).astype(np.uint8) & np.uint8(1)).view(bool)
         plane = np.packbits(on)
         parts += [plane.tobytes(), _ones_before(plane).tobytes()]
         zeros.append(len(a) - int(np.count_nonzero(on)))
-        a = np.concatenate([a[~on], a[on]])
+        a = np.concatenate([np.compress(~on, a), np.compress(on, a)])
     known = np.array([x is not None for x in doc_ids], np.uint8)
     parts += [np.array([x or 0 for x in doc_ids], "<i8").tobytes(), known.tobytes(), lengths.astype("<i8").tobytes()]
     packed = [_codec.compress(p, asbytes=True) for p in parts]
@@ -151,99 +153,145 @@ class Shard:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         a = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
-            on = np.unpackbits(self.plane(level), count=self.n).astype(bool)
+            on = np.unpackbits(self.plane(level), count=self.n).view(bool)
             z, out = self.zeros[level], np.empty(self.n, kind)
-            out[~on] = a[:z]
-            out[on] = a[z:] | kind(1 << (self.bits - 1 - level))
+            out[np.flatnonzero(~on)] = a[:z]
+            out[np.flatnonzero(on)] = a[z:] | kind(1 << (self.bits - 1 - level))
             a = out
         return a.astype(np.uint32)
 
 
 #: Letters for bytes: those that print stand for themselves, the others are counted up from U+0100.
 _PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_SPELLING = {b: 256 + sum(x not in _PRINTS for x in range(b)) for b in range(256) if b not in _PRINTS}
-_workers: dict[str, Encoder] = {}
+_SPELLING = {chr(b): chr(256 + sum(x not in _PRINTS for x in range(b))) for b in range(256) if b not in _PRINTS and b != ord("\n")}
+_SPELT_ANEW = re.compile(f"[{re.escape(''.join(_SPELLING))}]")
+#: What a vocabulary's file must state: how it normalises and splits texts, and which parts its model must leave out.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+_PLAIN = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 
 
-def _encoder(key: str, vocabulary) -> Encoder:
-    """This worker's encoder: the library's model encodes each distinct pre-token once and what it gave is remembered.
+class WordEncoder:
+    """Ids of texts by the library's model, word by word.
 
-    The vocabulary's file normalises (NFC, lower case by code point), splits at WORDS, spells each piece's bytes as letters and merges inside the
-    piece, so that a text's ids are its pieces' ids.
+    The file normalises (NFC, white space, lower case by code point), drops white space, splits at WORDS, spells each piece's bytes as letters and
+    merges inside the piece, so that a text's ids are those of its words between blanks, and a word's are those of its pieces. A token that
+    the file adds is cut out of a word as it stands. A file that states anything else is refused.
     """
-    if key not in _workers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model, split = Tokenizer.from_str(vocabulary.value).model, splitter(WORDS)
-
-        def pieces(text: str) -> list[str]:
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            return split(text.lower())
-
-        def encode_new(pieces: list[str]) -> Iterator[list[int]]:
-            for p in pieces:
-                yield [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(_SPELLING))]
-
-        _workers.clear()
-        _workers[key] = Encoder(pieces, encode_new)
-    return _workers[key]
-
 
-class Added:
-    """The tokens that the vocabulary's file adds: a raw text is cut where one stands, and the stretches between are encoded on their own."""
+    def __init__(self, vocabulary: str, end_id: int) -> None:
+        from tokenizers import models
 
-    def __init__(self, vocabulary: str) -> None:
-        tokens = json.loads(vocabulary)["added_tokens"]
-        odd = [t["content"] for t in tokens if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]]
+        told = json.loads(vocabulary)
+        split, spell = (told["pre_tokenizer"] or {}).get("pretokenizers") or [None, {}]
+        model = told["model"]
+        if told["normalizer"] != _NORMALIZER or split != _SPLIT or not _BYTES.items() <= spell.items() or not _PLAIN.items() <= model.items() or told["truncation"]:
+            raise ValueError("a vocabulary that normalises, splits or merges in another way")
+        odd = [t["content"] for t in told["added_tokens"] if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"[ \n]", t["content"])]
         if odd:
             raise ValueError(f"added tokens that are not matched as they stand: {odd}")
-        self.ids = {t["content"]: np.array([t["id"]], np.uint32) for t in tokens}
-        self.cut = re.compile(f"({'|'.join(map(re.escape, sorted(self.ids, key=len, reverse=True)))})").split
-
-    def encode(self, encoder: Encoder, texts: list[str]) -> list[np.ndarray]:
-        cut = {i: self.cut(x) for i, x in enumerate(texts) if any(t in x for t in self.ids)}
-        if not cut:
-            return encoder.encode(texts)
-        parts = [cut.get(i, [x]) for i, x in enumerate(texts)]
-        got = iter(encoder.encode([x for p in parts for x in p[::2]]))
-        return [np.concatenate([self.ids[x] if k % 2 else next(got) for k, x in enumerate(p)]) for p in parts]
+        merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+        # what the model remembers itself costs more than it saves: each piece comes once
+        self.model = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0)
+        self.added = {t["content"]: t["id"] for t in told["added_tokens"]}
+        self.cut = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})").split if self.added else None
+        self.split, self.end_id = splitter(WORDS + r"|\n"), end_id
+        self.pieces, self.words = Memory(self._new_pieces, REMEMBERED // 2), Memory(self._new_words, REMEMBERED)
+
+    def _new_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text = "\n".join("" if p == "\n" else p for p in pieces).encode().decode("latin-1")
+        spelled = _SPELT_ANEW.sub(lambda m: _SPELLING[m[0]], text).split("\n") if pieces else []
+        tokenize = self.model.tokenize
+        return flattened([t.id for t in tokenize(p)] if p else [] for p in spelled)
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without added tokens; each word ends with a line end, which is a piece of its own without ids."""
+        text = "\n".join([*words, ""])
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        pieces = self.split(text.lower())
+        self.pieces.turn()
+        end = self.pieces.numbers["\n"]
+        used = np.fromiter(map(self.pieces.numbers.__getitem__, pieces), np.int64, len(pieces))
+        self.pieces.learn()
+        ids, many = self.pieces.ids(used)
+        return ids, np.diff(np.cumsum(many)[used == end], prepend=0)
+
+    def _new_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text = "\n".join(words)
+        if not any(t in text for t in self.added):
+            return self._plain(words)
+        cut = [self.cut(w) for w in words]
+        ids, many = self._plain([x for parts in cut for x in parts[::2]])
+        stretches = iter(np.split(ids, np.cumsum(many)[:-1]))
+        return flattened([y for i, x in enumerate(parts) for y in ([self.added[x]] if i % 2 else next(stretches).tolist())] for parts in cut)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end's id behind it, one after the other, and how many each has."""
+        self.words.turn()
+        words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        distinct = words.flatten().dictionary_encode()
+        number = self.words.numbers.__getitem__
+        used = np.fromiter(map(number, distinct.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(distinct.dictionary))
+        self.words.learn()
+        ids, many = self.words.ids(used[distinct.indices.to_numpy()])
+        per_text = np.diff(np.concatenate([[0], np.cumsum(many)])[words.offsets.to_numpy() - words.offsets[0].as_py()])
+        return np.insert(ids, np.cumsum(per_text), np.uint32(self.end_id)), per_text + 1
+
+
+_workers: dict[tuple[str, int], WordEncoder] = {}
+
+
+def _encoder(key: tuple[str, int], vocabulary) -> WordEncoder:
+    """This worker's encoder; what it remembers serves its later tasks as well."""
+    if key not in _workers:
+        _workers.clear()
+        _workers[key] = WordEncoder(vocabulary.value, key[1])
+    return _workers[key]
 
 
 def write(df: DataFrame, out: str, tokenizer_path: str, end_id: int, bits: int = 16, id: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
     """Write the shards of all texts below `out`; returns (shard, first, tokens, docs): each shard's name, the tokens before it, its tokens and documents."""
     with open(tokenizer_path) as f:
-        vocabulary = df.sparkSession.sparkContext.broadcast(f.read())
-    added = Added(vocabulary.value)
+        told = f.read()
+    WordEncoder(told, end_id)  # refuses here what it can't follow
+    vocabulary = df.sparkSession.sparkContext.broadcast(told)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = _encoder(tokenizer_path, vocabulary), TaskContext.get().partitionId()
+        encoder, task = _encoder((tokenizer_path, end_id), vocabulary), TaskContext.get().partitionId()
         ids: list[int | None] = []
         parts: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         made = size = 0
 
         def close() -> pa.RecordBatch:
             name = f"{task:07d}-{made:05d}"
-            put(f"{out}/{name}.wvm", build(np.concatenate(parts), bits, ids, np.array([len(p) for p in parts])))
+            put(f"{out}/{name}.wvm", build(np.concatenate(parts), bits, ids, np.concatenate(lengths)))
             return pa.RecordBatch.from_pydict({"shard": [name], "tokens": [size], "docs": [len(ids)]})
 
         for batch in batches:
-            for part in stretches(batch):
+            for rows in stretches(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), READ):
+                part = batch.slice(rows.start, rows.stop - rows.start)
+                found, many = encoder.encode(part.column(1))
                 ids += part.column(0).to_pylist()
-                for got in added.encode(encoder, [x or "" for x in part.column(1).to_pylist()]):
-                    parts.append(np.append(got, np.uint32(end_id)))
-                    size += len(parts[-1])
+                parts.append(found)
+                lengths.append(many)
+                size += len(found)
                 if size >= shard:
                     yield close()
-                    ids, parts, made, size = [], [], made + 1, 0
+                    ids, parts, lengths, made, size = [], [], [], made + 1, 0
         if ids:
             yield close()
 
     dealt = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
     shards = materialise(dealt.mapInArrow(run, "shard string, tokens long, docs long"), "shards")
-    before = F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    return shards.select("shard", F.coalesce(before, F.lit(0)).alias("first"), "tokens", "docs")
+    # a task's shards stand in one partition of names; only the tasks' totals are summed up in one place
+    by_task = shards.withColumn("task", F.substring("shard", 1, 7))
+    totals = by_task.groupBy("task").agg(F.sum("tokens").alias("of_task"))
+    tasks = totals.withColumn("before", F.sum("of_task").over(Window.orderBy("task")) - F.col("of_task")).select("task", "before")
+    inside = F.sum("tokens").over(Window.partitionBy("task").orderBy("shard")) - F.col("tokens")
+    return by_task.withColumn("inside", inside).join(tasks, "task").select("shard", (F.col("before") + F.col("inside")).alias("first"), "tokens", "docs")
 
 
 def read(spark: SparkSession, out: str, shards: DataFrame) -> DataFrame:
