@@ -1,11 +1,12 @@
 """Text cleaning and text features as expressions of built-in functions.
 
-A word is a run of letters, digits and underscores. Phrases are looked up in the sequence of words, so that punctuation between words
-does not matter and a phrase never begins inside a word. Null texts count as empty.
+A word is a run of letters, digits and underscores. Phrases count where they stand as written, case apart, and neither begin nor end inside a
+word. Null texts count as empty.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 from html.parser import HTMLParser
@@ -120,19 +121,29 @@ def in_list(tokens: Column, known: tuple[str, ...]) -> Column:
     return F.size(F.filter(tokens, lambda w: w.isin(*known)))
 
 
-def phrase_words(phrase: str) -> str:
-    """A phrase as it stands in a text of spaced words."""
-    return " " + "  ".join("".join(c if c.isalnum() or c == "_" else " " for c in phrase).split()) + " "
+def overlap(p: str, q: str) -> bool:
+    """Whether two phrases can share words in a text."""
+    a, b = p.split(), q.split()
+    return any(x[k : k + len(y)] == y[: len(x) - k] for x, y in ((a, b), (b, a)) for k in range(len(x)))
 
 
-def phrase_hits(spaced: Column, tokens: Column, phrases: tuple[str, ...]) -> Column:
-    """Occurrences of all phrases. `spaced`: the words, each with a blank on either side."""
-    several = [p for p in map(phrase_words, phrases) if len(p.split()) > 1]
-    single = tuple(p for p in phrases if len(phrase_words(p).split()) == 1)
-    hits = in_list(tokens, single) if single else F.lit(0)
-    for p in several:
-        hits = hits + ((F.length(spaced) - F.length(F.replace(spaced, F.lit(p), F.lit("")))) / len(p)).cast("int")
-    return hits
+def phrase_groups(phrases: tuple[str, ...]) -> list[list[str]]:
+    """The phrases in as few lists as it takes for no two of one list to overlap."""
+    groups: list[list[str]] = []
+    for p in phrases:
+        fits = next((g for g in groups if not any(overlap(p, q) for q in g)), None)
+        if fits is None:
+            groups.append([p])
+        else:
+            fits.append(p)
+    return groups
+
+
+def phrase_hits(lowered: Column, phrases: tuple[str, ...]) -> Column:
+    """Occurrences of all phrases, as they are written, between ends of words; one expression a group of phrases that can't overlap."""
+    quoted = lambda p: re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", p)
+    whole = [rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(map(quoted, g))})(?![\p{{L}}\p{{N}}_])" for g in phrase_groups(phrases)]
+    return sum((F.regexp_count(lowered, F.lit(w)) for w in whole[1:]), F.regexp_count(lowered, F.lit(whole[0])))
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -161,10 +172,10 @@ def fingerprint(text: Column) -> Column:
 
 
 def _bound(text: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` over a struct of the text t, its lower-cased words and n, their number, at least 1."""
-    whole = F.coalesce(text, F.lit(""))
-    first = F.struct(whole.alias("t"), words(F.lower(whole)).alias("tokens"))
-    return let(let(first, lambda d: F.struct(d["t"].alias("t"), d["tokens"].alias("tokens"), F.greatest(F.lit(1), F.size(d["tokens"])).alias("n"))), use)
+    """`use` over a struct of the text t, the text in lower case, its words in lower case and n, their number, at least 1."""
+    first = let(F.coalesce(text, F.lit("")), lambda t: F.struct(t.alias("t"), F.lower(t).alias("lower")))
+    tokens = let(first, lambda d: F.struct(d["t"].alias("t"), d["lower"].alias("lower"), words(d["lower"]).alias("tokens")))
+    return let(let(tokens, lambda d: F.struct(d["t"].alias("t"), d["lower"].alias("lower"), d["tokens"].alias("tokens"), F.greatest(F.lit(1), F.size(d["tokens"])).alias("n"))), use)
 
 
 def stylometrics(text: Column) -> Column:
@@ -210,16 +221,11 @@ def phrase_features(text: Column) -> Column:
     """Struct of generic phrasing, lack of personal voice, over-structured coherence and repetitiveness, not rounded."""
 
     def of(d: Column) -> Column:
-        spaced = F.concat(F.lit(" "), F.array_join(d["tokens"], "  "), F.lit(" "))
-
-        def hits(s: Column) -> Column:
-            count = lambda phrases: phrase_hits(s, d["tokens"], phrases)
-            return F.struct(
-                F.least(F.lit(1.0), count(fixed.GENERIC_PHRASES) * 10 / d["n"]).alias("generic"), F.greatest(F.lit(0.0), 1 - count(fixed.PERSONAL_VOICE) * 5 / d["n"]).alias("impersonal"),
-                F.least(F.lit(1.0), count(fixed.TRANSITIONS) * 15 / d["n"]).alias("structured"), F.greatest(F.lit(0.0), 1 - F.size(F.array_distinct(d["tokens"])) / d["n"]).alias("repetitiveness"),
-            )
-
-        return let(spaced, hits)
+        count = lambda phrases: phrase_hits(d["lower"], phrases)
+        return F.struct(
+            F.least(F.lit(1.0), count(fixed.GENERIC_PHRASES) * 10 / d["n"]).alias("generic"), F.greatest(F.lit(0.0), 1 - count(fixed.PERSONAL_VOICE) * 5 / d["n"]).alias("impersonal"),
+            F.least(F.lit(1.0), count(fixed.TRANSITIONS) * 15 / d["n"]).alias("structured"), F.greatest(F.lit(0.0), 1 - F.size(F.array_distinct(d["tokens"])) / d["n"]).alias("repetitiveness"),
+        )
 
     return _bound(text, of)
 

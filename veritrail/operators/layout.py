@@ -83,6 +83,17 @@ def row_bands(anchors: DataFrame, page: str = "page", id: str = "region") -> Dat
     )
 
 
+def cells_in_rows(anchors: DataFrame, cells: DataFrame, page: str = "page", id: str = "region") -> DataFrame:
+    """`cells` (page, id, y) with the row of the anchor whose stretch y falls into.
+
+    Bands and cells of a page stand in one order, and a cell takes the last band that begins at or before it: no pair of them is formed.
+    """
+    bands = row_bands(anchors, page, id).select(page, F.lit(None).cast(cells.schema[id].dataType).alias(id), F.when(F.col("row") == 1, float("-inf")).otherwise(F.col("low")).alias("y"), "row")
+    both = bands.unionByName(cells.select(page, id, F.col("y").cast("double").alias("y"), F.lit(None).cast("int").alias("row")))
+    before = Window.partitionBy(page).orderBy("y", F.col("row").asc_nulls_last(), id).rowsBetween(Window.unboundedPreceding, 0)
+    return both.select(page, id, F.col("row").isNull().alias("cell"), F.last("row", True).over(before).alias("row")).where(F.col("cell") & F.col("row").isNotNull()).drop("cell")
+
+
 def anchor_gaps(boxes: DataFrame, page: str = "page", column: str = "column", id: str = "region") -> DataFrame:
     """(page, column) whose items are spaced most evenly, of columns with three items at least."""
     mid = (F.col("y1") + F.col("y2")) / 2

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions.text import stripped
-from veritrail.operators import similarity
+from veritrail.operators import ranks, similarity
 from veritrail.operators.graph import connected_components
 from veritrail.sources.catalog import materialise
 
@@ -36,6 +36,11 @@ def rings(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     link = kept.join(member.withColumnRenamed("node", "src"), "src").groupBy("component").agg(
         F.count("*").alias("links"), F.round(100 * F.max("weight"), 1).alias("max_similarity"), F.array_join(F.array_sort(F.collect_set("subject")), ",").alias("subjects")
     )
-    number = F.row_number().over(Window.orderBy("component"))
-    named = size.join(link, "component").withColumn("ring", F.format_string("RING-%02d", number))
+    numbered = ranks.running(size.join(link, "component").withColumn("one", F.lit(1)), ["component"], {"before": "one"})
+    named = numbered.withColumn("ring", F.format_string("RING-%02d", F.col("before") + 1))
     return named.select("ring", "students", "links", "max_similarity", "subjects"), named.join(member, "component").select("ring", F.col("node").alias("student_id"))
+
+
+def with_details(members: DataFrame, students: DataFrame, id: str) -> DataFrame:
+    """Each member of a ring with what the roster says of them; a student whom the roster doesn't know stays, with nulls."""
+    return members.join(students.withColumnRenamed(id, "student_id"), "student_id", "left")

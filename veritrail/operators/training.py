@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritrail.operators import ranks
+
 #: The class ratio that is let through, the share of groups held out, the forest, and the gates of its quality.
 RATIO, TEST_SHARE, SEED = 2, 0.2, 42
 TREES, DEPTH = 200, 10
@@ -42,17 +44,21 @@ def undersampled(df: DataFrame, label: str, author: str, id: str, ratio: int = R
 
 def group_split(df: DataFrame, group: str, share: float = TEST_SHARE) -> DataFrame:
     """`df` with `part`: whole groups are held out, `share` of the groups rounded up, those first by draw. The ranks are over groups, not rows."""
-    groups = df.select(group).distinct()
-    ranked = groups.withColumn("rank", F.row_number().over(Window.orderBy(draw(F.col(group)), group)))
-    n = groups.agg(F.ceil(F.count("*") * share).alias("n"))
-    part = F.when(F.col("rank") <= F.col("n"), "test").otherwise("train")
+    groups = df.select(group).distinct().withColumns({"draw": draw(F.col(group)), "one": F.lit(1)})
+    ranked = ranks.running(groups, ["draw", group], {"before": "one"})
+    n = ranked.agg(F.ceil(F.count("*") * share).alias("n"))
+    part = F.when(F.col("before") < F.col("n"), "test").otherwise("train")
     return df.join(ranked.crossJoin(F.broadcast(n)).select(group, part.alias("part")), group)
 
 
 def imputed(df: DataFrame, columns: list[str]) -> DataFrame:
     """`df` without NaN (the median takes their place) and without infinities (the greatest or least finite value does)."""
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.col(c))
-    stats = df.agg(*(x for c in columns for x in (F.median(finite(c)).alias(f"{c}_mid"), F.max(finite(c)).alias(f"{c}_top"), F.min(finite(c)).alias(f"{c}_low"))))
+    ends = df.agg(*(x for c in columns for x in (F.max(finite(c)).alias(f"{c}_top"), F.min(finite(c)).alias(f"{c}_low"))))
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), finite(c).cast("double").alias("value")) for c in columns))).alias("x")).select("x.*").where("value is not null")
+    # one row a column and one in all: what is brought together is as wide as the list of columns
+    middle = ranks.quantiles(long, "value", (0.5,), "name").agg(*(F.max(F.when(F.col("name") == c, F.col("q")[0])).alias(f"{c}_mid") for c in columns))
+    stats = ends.crossJoin(F.broadcast(middle))
     filled = {c: F.when(F.col(c).isNull() | F.isnan(c), F.col(f"{c}_mid")).when(F.col(c) == float("inf"), F.col(f"{c}_top")).when(F.col(c) == float("-inf"), F.col(f"{c}_low")).otherwise(F.col(c)) for c in columns}
     return df.crossJoin(F.broadcast(stats)).withColumns(filled).select(df.columns)
 
@@ -92,17 +98,17 @@ def passes_gates(measures: DataFrame) -> DataFrame:
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the curve from rank sums, ties at their mean rank; rows are first summed up by score."""
     by = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("ones"), F.count_if(F.col(label) == 0).alias("zeros"))
-    below = F.coalesce(F.sum("zeros").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by.withColumn("won", F.col("ones") * (below + F.col("zeros") / 2))
+    won = ranks.running(by, [score], {"below": "zeros"}).withColumn("won", F.col("ones") * (F.col("below") + F.col("zeros") / 2))
     return won.agg(F.round(F.sum("won") / (F.sum("ones") * F.sum("zeros")), 6).alias("auc"))
 
 
 def roc(df: DataFrame, label: str, score: str) -> DataFrame:
     """(threshold, false positive rate, true positive rate) at each distinct score."""
     by = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("ones"), F.count_if(F.col(label) == 0).alias("zeros"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    total = by.agg(F.sum("ones").alias("p"), F.sum("zeros").alias("n"))
-    return by.crossJoin(F.broadcast(total)).select("threshold", F.round(F.sum("zeros").over(down) / F.col("n"), 6).alias("fpr"), F.round(F.sum("ones").over(down) / F.col("p"), 6).alias("tpr"))
+    down = ranks.running(by, [F.desc("threshold")], {"p_above": "ones", "n_above": "zeros"})
+    total = down.agg(F.sum("ones").alias("p"), F.sum("zeros").alias("n"))
+    rate = lambda above, own, of: F.round((F.col(above) + F.col(own)) / F.col(of), 6)
+    return down.crossJoin(F.broadcast(total)).select("threshold", rate("n_above", "zeros", "n").alias("fpr"), rate("p_above", "ones", "p").alias("tpr"))
 
 
 def train_forest(df: DataFrame, columns: list[str], label: str, trees: int = TREES, depth: int = DEPTH) -> PipelineModel:
@@ -119,6 +125,6 @@ def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("probability_1", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability")
 
 
-def importances(model: PipelineModel, columns: list[str]) -> list[tuple[str, float]]:
-    """Features by importance, greatest first."""
-    return sorted(zip(columns, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+def importances(model: PipelineModel, columns: list[str], top: int | None = None) -> list[tuple[str, float]]:
+    """Features by importance, greatest first; all of them, or the first `top`."""
+    return sorted(zip(columns, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:top]

@@ -36,9 +36,9 @@ def split_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 def row_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Cells of the second column per row of the first."""
-    r = regions(spark, d).where("y1 < 300")
-    rows, cells = layout.row_bands(r.where("region % 2 = 0")), r.where("region % 2 = 1").withColumn("y", (F.col("y1") + F.col("y2")) / 2)
-    return cells.join(rows, "page").where("y >= low and y < high").groupBy("page", "row").agg(F.count("*").alias("cells"))
+    r = regions(spark, d)
+    cells = r.where("region % 2 = 1").withColumn("y", (F.col("y1") + F.col("y2")) / 2)
+    return layout.cells_in_rows(r.where("region % 2 = 0"), cells).groupBy("page", "row").agg(F.count("*").alias("cells"))
 
 
 def anchor_column(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +72,7 @@ SQL = {
         SELECT page, min(x) AS x1, max(next) AS x2 FROM s WHERE low AND page IN (SELECT page FROM n GROUP BY 1 HAVING count(*) >= 6) GROUP BY page, run HAVING max(next) - min(x) >= 14""",
     "split_boxes": f"""{_B}, m AS (SELECT *, median(y2 - y1) OVER (PARTITION BY page) AS mid FROM b)
         SELECT page, region, x1, x2, y1, CASE WHEN y2 - y1 > 1.8::DOUBLE * mid THEN (y1 + y2) // 2 ELSE y2 END AS y2 FROM m UNION ALL SELECT page, region, x1, x2, (y1 + y2) // 2, y2 FROM m WHERE y2 - y1 > 1.8::DOUBLE * mid""",
-    "row_alignment": f"""{_B}, r AS (SELECT *, (y1 + y2) / 2 AS y FROM b WHERE y1 < 300), a AS (SELECT page, row_number() OVER w AS row, coalesce((lag(y) OVER w + y) / 2, 0) AS low, coalesce((lead(y) OVER w + y) / 2, 1e9) AS high
+    "row_alignment": f"""{_B}, r AS (SELECT *, (y1 + y2) / 2 AS y FROM b), a AS (SELECT page, row_number() OVER w AS row, coalesce((lag(y) OVER w + y) / 2, 0) AS low, coalesce((lead(y) OVER w + y) / 2, 1e9) AS high
             FROM r WHERE region % 2 = 0 WINDOW w AS (PARTITION BY page ORDER BY y, region))
         SELECT r.page, row, count(*) AS cells FROM r JOIN a ON r.page = a.page AND y >= low AND y < high WHERE region % 2 = 1 GROUP BY 1, 2""",
     "anchor_column": f"""{_B}, g AS (SELECT page, region % 2 AS c, (y1 + y2) / 2 - lag((y1 + y2) / 2) OVER (PARTITION BY page, region % 2 ORDER BY (y1 + y2) / 2, region) AS gap FROM b),

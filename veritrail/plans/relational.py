@@ -21,8 +21,8 @@ def evaluation_savings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hour_risk_bins(spark: SparkSession, d: str) -> DataFrame:
-    """A3; reports of three users, so that some hours are empty."""
-    return analytics.hour_risk_bins(spark.range(24), stand_ins.reports(spark, d).where("student_id in (1, 2, 3)"))
+    """A3."""
+    return analytics.hour_risk_bins(spark.range(24), stand_ins.reports(spark, d))
 
 
 def forensic_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +79,7 @@ def batch_reports(spark: SparkSession, d: str) -> DataFrame:
     """Submissions, reports and users in one; the joins' sides are left to the planner."""
     li, o, c = table(spark, d, "lineitem"), table(spark, d, "orders"), table(spark, d, "customer")
     both = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
-    return both.groupBy("c_mktsegment", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 6).alias("avg_discount"))
+    return both.groupBy("c_mktsegment", "o_orderpriority").agg(F.count("*").alias("n"), analytics.rounded_mean("l_discount", 6).alias("avg_discount"))
 
 
 def section_reports(spark: SparkSession, d: str) -> DataFrame:
@@ -119,8 +119,9 @@ def distinct_sections(spark: SparkSession, d: str) -> DataFrame:
 def intersect_except_groups(spark: SparkSession, d: str) -> DataFrame:
     """Users of two kinds of events, in both and in one only."""
     e = table(spark, d, "events")
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    a, b = (e.where((F.col("event_type") == k) & (F.col("value") > 100)).select("user_id") for k in (kinds[0], kinds[-1]))
+    kinds = e.select("event_type").distinct().orderBy("event_type").limit(2)
+    ends = kinds.agg(F.min("event_type").alias("first"), F.max("event_type").alias("last"))
+    a, b = (e.join(F.broadcast(ends), e.event_type == ends[k], "left_semi").select("user_id") for k in ("first", "last"))
     return a.intersect(b).select("user_id", F.lit("both").alias("side")).unionByName(a.distinct().exceptAll(b.distinct()).select("user_id", F.lit("first").alias("side")))
 
 
@@ -175,14 +176,27 @@ QUERIES = {
     )
 }
 _R = f"WITH {stand_ins.REPORTS}"
+
+
+def _mean(column: str, digits: int) -> str:
+    """The mean in whole numbers, rounded half up."""
+    step = 10 ** (6 - digits)
+    total, n = f"sum(CAST(round({column} * 1000000) AS BIGINT))", f"count({column})"
+    return f"((2 * abs({total}) + {step} * {n}) // nullif({2 * step} * {n}, 0)) * sign({total}) / {10.0**digits}::DOUBLE"
+
+
+def _avg(column: str) -> str:
+    return f"CAST(sum(CAST(round({column} * 1000000) AS BIGINT)) AS DOUBLE) / count({column}) / 1000000"
+
+
 SQL = {
-    "subject_vulnerability": f"""{_R} SELECT subject, count(*) AS total, round(avg(plagiarism_score), 1) AS avg_plagiarism, round(avg(ai_score), 1) AS avg_ai,
-        round(avg(CASE WHEN plagiarism_score > 30 OR ai_score > 50 THEN 100.0 ELSE 0.0 END), 1) AS flagged_rate, round(0.6 * avg(plagiarism_score) + 0.4 * avg(ai_score), 1) AS vulnerability
+    "subject_vulnerability": f"""{_R} SELECT subject, count(*) AS total, {_mean("plagiarism_score", 1)} AS avg_plagiarism, {_mean("ai_score", 1)} AS avg_ai,
+        round(avg(CASE WHEN plagiarism_score > 30 OR ai_score > 50 THEN 100.0 ELSE 0.0 END), 1) AS flagged_rate, round(0.6::DOUBLE * ({_avg("plagiarism_score")}) + 0.4::DOUBLE * ({_avg("ai_score")}), 1) AS vulnerability
         FROM reports GROUP BY subject""",
     "evaluation_savings": f"""{_R} SELECT count(*) AS total_evaluated, CAST(count(*) * 0.25 AS DOUBLE) AS hours_saved,
         CASE WHEN count(*) > 0 THEN 'computed from reports' ELSE 'no reports yet' END AS note FROM reports""",
-    "hour_risk_bins": f"""{_R}, h AS (SELECT hour(created_at) AS hour, count(*) AS n, avg(plagiarism_score) AS p, avg(ai_score) AS a FROM reports WHERE student_id IN (1, 2, 3) AND created_at IS NOT NULL GROUP BY 1)
-        SELECT printf('%02d:00', r.hour) AS hour, coalesce(n, 0) AS submissions, round(coalesce(p, 0), 1) AS avg_plagiarism, round(coalesce(a, 0), 1) AS avg_ai,
+    "hour_risk_bins": f"""{_R}, h AS (SELECT hour(created_at) AS hour, count(*) AS n, {_avg("plagiarism_score")} AS p, {_avg("ai_score")} AS a, {_mean("plagiarism_score", 1)} AS p1, {_mean("ai_score", 1)} AS a1 FROM reports WHERE created_at IS NOT NULL GROUP BY 1)
+        SELECT printf('%02d:00', r.hour) AS hour, coalesce(n, 0) AS submissions, coalesce(p1, 0) AS avg_plagiarism, coalesce(a1, 0) AS avg_ai,
             CASE WHEN n > 0 AND (p > 25 OR a > 40) THEN 'High' ELSE 'Normal' END AS risk
         FROM (SELECT unnest(range(24)) AS hour) r LEFT JOIN h ON h.hour = r.hour""",
     "forensic_totals": f"""{_R} SELECT count(*) AS reports, count(DISTINCT student_id) AS students, count(DISTINCT subject) AS subjects,
@@ -203,7 +217,7 @@ SQL = {
             WHERE c_mktsegment = 'BUILDING' AND (c_name ILIKE '%00%' OR c_mktsegment ILIKE '%00%') AND c_acctbal >= 0), n AS (SELECT count(*) AS total FROM f)
         SELECT *, greatest(1, CAST(ceil(total / 20.0) AS BIGINT)) AS total_pages FROM (SELECT * FROM f ORDER BY c_custkey DESC LIMIT 20 OFFSET 20), n""",
     "nation_or_segment": "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_nationkey = 7 OR c_mktsegment = 'AUTOMOBILE'",
-    "batch_reports": """SELECT c_mktsegment, o_orderpriority, count(*) AS n, round(avg(l_discount), 6) AS avg_discount
+    "batch_reports": f"""SELECT c_mktsegment, o_orderpriority, count(*) AS n, {_mean("l_discount", 6)} AS avg_discount
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
     "section_reports": """SELECT o_orderkey, c_custkey, c_mktsegment AS section, o_orderpriority AS subject FROM orders JOIN customer ON o_custkey = c_custkey
         WHERE c_mktsegment ILIKE '%hold%' AND o_orderpriority = '1-URGENT'""",
@@ -212,14 +226,14 @@ SQL = {
     "dedup_pages": "SELECT md5(html) AS digest, min(page_id) AS page_id, count(*) AS copies FROM pages GROUP BY 1",
     "top_flagged": f"{_R} SELECT report_id, subject, plagiarism_score FROM reports WHERE plagiarism_score > 30 ORDER BY plagiarism_score DESC, report_id LIMIT 5",
     "distinct_sections": "SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment <> '' UNION ALL SELECT 'Other'",
-    "intersect_except_groups": """WITH k AS (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2), e AS (SELECT * FROM events WHERE value > 100),
-        a AS (SELECT DISTINCT user_id FROM e WHERE event_type = (SELECT min(event_type) FROM k)), b AS (SELECT DISTINCT user_id FROM e WHERE event_type = (SELECT max(event_type) FROM k))
+    "intersect_except_groups": """WITH k AS (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2),
+        a AS (SELECT DISTINCT user_id FROM events WHERE event_type = (SELECT min(event_type) FROM k)), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = (SELECT max(event_type) FROM k))
         SELECT user_id, 'both' AS side FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT user_id, 'first' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""",
     "semi_anti_roster": """SELECT c_mktsegment, count(*) AS n, 'with' AS side FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) GROUP BY 1
         UNION ALL SELECT c_mktsegment, count(*), 'without' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1""",
     "asof_last_score": """SELECT p.event_id, p.user_id, max_by(v.value, (v.ts, v.value)) AS last_value FROM events p
         LEFT JOIN events v ON v.event_type = 'view' AND v.user_id = p.user_id AND v.ts <= p.ts WHERE p.event_type = 'purchase' GROUP BY 1, 2""",
-    "cube_risk": f"""{_R} SELECT subject, hour(created_at) AS hour, count(*) AS n, round(avg(plagiarism_score), 4) AS avg_plagiarism, grouping(subject, hour(created_at)) AS level
+    "cube_risk": f"""{_R} SELECT subject, hour(created_at) AS hour, count(*) AS n, {_mean("plagiarism_score", 4)} AS avg_plagiarism, grouping(subject, hour(created_at)) AS level
         FROM reports GROUP BY CUBE (subject, hour(created_at))""",
     "rollup_subject_hour": f"{_R} SELECT subject, hour(created_at) AS hour, count(*) AS n, max(plagiarism_score) AS most FROM reports GROUP BY ROLLUP (subject, hour(created_at))",
     "latest_status": "SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id",

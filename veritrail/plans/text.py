@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,10 +119,13 @@ def _list(values: tuple[str, ...]) -> str:
     return ", ".join(map(_quoted, values))
 
 
+def _marked(phrase: str) -> str:
+    """The phrase with its words between marks, as the text `marked` has it."""
+    return re.sub(r"(\w+)", "\x01\\1\x02", phrase)
+
+
 def _hits(phrases: tuple[str, ...]) -> str:
-    several = [p for p in map(text.phrase_words, phrases) if len(p.split()) > 1]
-    single = tuple(p for p in phrases if len(text.phrase_words(p).split()) == 1)
-    parts = [f"len(list_filter(tokens, lambda w: w IN ({_list(single)})))"] + [f"(length(spaced) - length(replace(spaced, {_quoted(p)}, ''))) // {len(p)}" for p in several]
+    parts = [f"(length(marked) - length(replace(marked, {_quoted(_marked(p))}, ''))) // {len(_marked(p))}" for p in phrases]
     return "(" + " + ".join(parts) + ")"
 
 
@@ -128,7 +133,7 @@ _ESSAYS = "essays AS (SELECT doc_id, list_extract([" + ", ".join("replace(replac
 _STRIP = r"regexp_replace(regexp_replace({}, '^[\s\x0B\x{{00A0}}]+', ''), '[\s\x0B\x{{00A0}}]+$', '')"
 _LINE = r"regexp_replace(regexp_replace(x, '^[ \t\f\r\x0B\x{00A0}]+', ''), '[ \t\f\r\x0B\x{00A0}]+$', '')"
 _WORDS = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+')"
-_BOUND = f"{_ESSAYS}, b AS (SELECT doc_id, text, {_WORDS.format('lower(text)')} AS tokens FROM essays), w AS (SELECT *, greatest(1, len(tokens)) AS n, ' ' || array_to_string(tokens, '  ') || ' ' AS spaced FROM b)"
+_BOUND = f"{_ESSAYS}, b AS (SELECT doc_id, text, {_WORDS.format('lower(text)')} AS tokens FROM essays), w AS (SELECT *, greatest(1, len(tokens)) AS n, regexp_replace(lower(text), '([\\p{{L}}\\p{{N}}_]+)', chr(1) || '\\1' || chr(2), 'g') AS marked FROM b)"
 _SPLIT = r"list_filter(string_split_regex({}, '[\s\x0B\x{{00A0}}]+'), lambda x: x <> '')"
 _SENTENCES = r"list_filter(string_split_regex(text, '[.!?]+'), lambda s: regexp_matches(s, '[^\s\x0B\x{00A0}]'))"
 _LEAKED = "text"

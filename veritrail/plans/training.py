@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.functions import text
-from veritrail.operators import analytics, training
-from veritrail.sources.catalog import table
+from veritrail.functions import fixed
+from veritrail.operators import features, models, training
+from veritrail.plans import text
+from veritrail.sources import readers
+from veritrail.sources.catalog import materialise, table, work_dir
 
-FEATURES = [*analytics.STYLE_METRICS, "n_chars"]
+FEATURES = features.FEATURES
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -18,8 +20,20 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    f = _labelled(spark, d).select("doc_id", "source", "quality", F.col("n_chars").cast("double").alias("n_chars"), text.fingerprint(F.col("text")).alias("f"))
-    return f.select("doc_id", "source", "quality", "n_chars", "f.*")
+    """The 18 features of labelled essays; what a language model gives is counted over all of them."""
+    essays, known = text.essays(spark, d), _labelled(spark, d).select("doc_id", "source", "quality")
+    return features.all_features(essays.join(known, "doc_id", "left_semi"), "doc_id", "text", models.bigram_losses(essays, "doc_id", "text")).join(known, "doc_id")
+
+
+def all_features(spark: SparkSession, d: str) -> DataFrame:
+    """X15."""
+    return features.all_features(text.essays(spark, d), "doc_id", "text")
+
+
+def feature_map(spark: SparkSession, d: str) -> DataFrame:
+    """How many features each document's map holds, and one of them."""
+    found = features.as_map(features.all_features(text.essays(spark, d), "doc_id", "text"), "doc_id")
+    return found.select("doc_id", F.size("features").alias("n"), F.element_at("features", "type_token_ratio").alias("type_token_ratio"))
 
 
 def undersample_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +62,7 @@ def impute(spark: SparkSession, d: str) -> DataFrame:
 
 def class_means_top5(spark: SparkSession, d: str) -> DataFrame:
     """A10."""
-    top = training.class_differences(_features(spark, d), "quality", FEATURES, 3)
+    top = training.class_differences(_features(spark, d), "quality", FEATURES)
     return top.select("feature", *(F.round(c, 4).alias(c) for c in ("mean_0", "mean_1", "difference")))
 
 
@@ -68,25 +82,59 @@ def roc_curve(spark: SparkSession, d: str) -> DataFrame:
     return training.roc(_labelled(spark, d), "quality", "n_chars")
 
 
+def _forest(spark: SparkSession, d: str):
+    split = materialise(training.group_split(_features(spark, d), "source"), "features")
+    return training.train_forest(split.where("part = 'train'"), FEATURES, "quality"), split
+
+
 def rf_train_eval(spark: SparkSession, d: str) -> DataFrame:
-    """M6 to M9: trained on some sources, measured on the others."""
-    f = training.group_split(_features(spark, d), "source").cache()
-    model = training.train_forest(f.where("part = 'train'"), FEATURES, "quality", trees=50)
-    return training.passes_gates(training.confusion(training.scored(model, f.where("part = 'test'")), "quality", "prediction"))
+    """M6, M7: trained on some sources, measured on the others."""
+    model, split = _forest(spark, d)
+    return training.passes_gates(training.confusion(training.scored(model, split.where("part = 'test'")), "quality", "prediction"))
+
+
+def rf_importances(spark: SparkSession, d: str) -> DataFrame:
+    """M8: the features by importance."""
+    found = training.importances(_forest(spark, d)[0], FEATURES)
+    return spark.createDataFrame([(k + 1, *x) for k, x in enumerate(found)], "place int, feature string, importance double")
 
 
-QUERIES = {f.__name__: f for f in (undersample_counts, group_split, standardise, impute, class_means_top5, confusion_metrics, roc_auc, roc_curve, rf_train_eval)}
+def rf_online_scores(spark: SparkSession, d: str) -> DataFrame:
+    """M9: a stored model, loaded again, scores held-out documents."""
+    model, split = _forest(spark, d)
+    at = work_dir(spark, "forest")
+    readers.save_model(model, at)
+    found = training.scored(readers.load_model(at), split.where("part = 'test'"))
+    return found.select("doc_id", F.round("probability_1", 4).alias("ai_probability"), F.round(100 * F.col("probability_1"), 2).alias("ai_score"))
+
+
+def legacy_forest(spark: SparkSession, d: str) -> DataFrame:
+    """The classifier of three features."""
+    split = materialise(training.group_split(_features(spark, d), "source"), "features")
+    model = training.train_forest(split.where("part = 'train'"), FEATURES[:3], "quality")
+    return training.confusion(training.scored(model, split.where("part = 'test'")), "quality", "prediction")
+
+
+QUERIES = {f.__name__: f for f in (undersample_counts, group_split, standardise, impute, class_means_top5, confusion_metrics, roc_auc, roc_curve, all_features, feature_map, rf_train_eval, rf_importances, rf_online_scores, legacy_forest)}
 _L = "WITH l AS (SELECT doc_id, source, n_chars, text, quality, toxic FROM documents JOIN labels USING (doc_id))"
 _DRAW = "md5({} || ':42')"
 _COUNTS = "count(*) FILTER (quality = 1 AND n_chars > 1000) AS tp, count(*) FILTER (quality = 0 AND n_chars > 1000) AS fp, count(*) FILTER (quality = 0 AND n_chars <= 1000) AS tn, count(*) FILTER (quality = 1 AND n_chars <= 1000) AS fn"
 
 
-def _means() -> str:
-    from veritrail.plans.text import _FINGERPRINT, _PIECES
+_PHRASED = f"""WITH {text._BOUND} SELECT doc_id, round(least(1.0::DOUBLE, {text._hits(fixed.GENERIC_PHRASES)} * 10 / n), 4) AS generic_phrasing,
+    round(greatest(0.0::DOUBLE, 1 - {text._hits(fixed.PERSONAL_VOICE)} * 5 / n), 4) AS lack_of_personal_voice, round(least(1.0::DOUBLE, {text._hits(fixed.TRANSITIONS)} * 15 / n), 4) AS over_structured_coherence FROM w"""
+_MODEL = rf"""WITH {text._ESSAYS}, t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM essays), p AS (SELECT doc_id, unnest(list_zip(w[:-2], w[2:])) AS ab FROM t WHERE len(w) > 1),
+    c AS (SELECT ab, count(*) AS nab FROM p GROUP BY 1), a AS (SELECT ab[1] AS a, sum(nab) AS na FROM c GROUP BY 1), v AS (SELECT count(DISTINCT x) AS v FROM (SELECT unnest(w) AS x FROM t)),
+    l AS (SELECT ab, -ln((nab + 1) / (na + v)) AS loss FROM c JOIN a ON ab[1] = a.a, v)
+    SELECT doc_id, round(exp(least(avg(loss), 50)), 2) AS mean_perplexity, round(coalesce(var_samp(loss), 0), 4) AS perplexity_variance, round(avg(loss), 4) AS entropy FROM p JOIN l USING (ab) GROUP BY 1"""
+_ALL = f"""s AS ({text.SQL["stylometric_11"]}), e AS ({text.SQL["flesch_manual"]}), ph AS ({_PHRASED}), lm AS ({_MODEL}),
+    x AS (SELECT doc_id, {", ".join(f"coalesce({c}, {features.WITHOUT_MODEL[c]}) AS {c}" if c in features.WITHOUT_MODEL else c for c in FEATURES)} FROM s JOIN e USING (doc_id) JOIN ph USING (doc_id) LEFT JOIN lm USING (doc_id))"""
+
 
+def _means() -> str:
     parts = " UNION ALL ".join(f"SELECT '{c}' AS feature, avg(CAST({c} AS DOUBLE)) FILTER (quality = 0) AS mean_0, avg(CAST({c} AS DOUBLE)) FILTER (quality = 1) AS mean_1 FROM figures" for c in FEATURES)
-    return f"""{_L}, g AS (SELECT doc_id, quality, n_chars, text, {_PIECES} FROM l), {_FINGERPRINT}, m AS ({parts})
-        SELECT feature, round(mean_0, 4) AS mean_0, round(mean_1, 4) AS mean_1, round(abs(mean_0 - mean_1), 4) AS difference FROM m ORDER BY abs(mean_0 - mean_1) DESC, feature LIMIT 3"""
+    return f"""WITH {_ALL}, figures AS (SELECT x.*, quality FROM x JOIN labels USING (doc_id)), m AS ({parts})
+        SELECT feature, round(mean_0, 4) AS mean_0, round(mean_1, 4) AS mean_1, round(abs(mean_0 - mean_1), 4) AS difference FROM m ORDER BY abs(mean_0 - mean_1) DESC, feature LIMIT 5"""
 
 
 SQL = {
@@ -101,6 +149,8 @@ SQL = {
     "impute": """WITH f AS (SELECT median(value) AS mid, max(value) AS top FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0)
         SELECT event_id, CASE WHEN event_id % 11 = 0 THEN mid WHEN event_id % 13 = 0 THEN top ELSE value END AS value FROM events, f""",
     "class_means_top5": _means(),
+    "all_features": f"WITH {_ALL} SELECT * FROM x",
+    "feature_map": f"WITH {_ALL} SELECT doc_id, 18 AS n, type_token_ratio FROM x",
     "confusion_metrics": f"""{_L}, c AS (SELECT {_COUNTS} FROM l), m AS (SELECT *, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall,
         round(tn / (tn + fp), 6) AS specificity, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c) SELECT *, f1 >= 0.8 AND recall >= 0.7 AND specificity >= 0.7 AS passes FROM m""",
     "roc_auc": f"""{_L} SELECT round(avg(CASE WHEN a.n_chars > b.n_chars THEN 1.0 WHEN a.n_chars = b.n_chars THEN 0.5 ELSE 0.0 END), 6) AS auc FROM l a, l b WHERE a.quality = 1 AND b.quality = 0""",
