@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+import threading
 import zlib
 
 import numpy as np
@@ -157,6 +158,43 @@ def test_second_writer_of_a_version_fails(spark, edge, empty):
         sharding.read(spark, work_dir(spark, "none"))
 
 
+def test_of_two_writers_past_the_look_up_one_fails(spark, monkeypatch):
+    at, meet, look_up = work_dir(spark, "test-shards"), threading.Barrier(2), sharding.versions
+    sharding.append(spark.range(3), at, 0)
+    monkeypatch.setattr(sharding, "versions", lambda *a: (look_up(*a), meet.wait(60))[0] if threading.current_thread() is not threading.main_thread() else look_up(*a))
+    monkeypatch.setattr(sharding, "manifest", lambda s, a, v=None, inner=sharding.manifest: s.read.schema(sharding.MANIFEST).parquet(sharding._folder(s, a, v or look_up(s, a)[-1])))
+    won, lost = [], []
+
+    def write(k):
+        try:
+            won.append((sharding.append(spark.range(10 * k, 10 * k + k), at, k), k))
+        except RuntimeError:
+            lost.append(k)
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in (1, 2)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert len(won) == len(lost) == 1 and won[0][0] == 2 and look_up(spark, at) == [1, 2]
+    k = won[0][1]
+    assert sorted(r["id"] for r in sharding.read(spark, at).collect()) == sorted([0, 1, 2, *range(10 * k, 10 * k + k)])
+
+
+def test_runs_on_both_sides_of_a_power_are_one_tier(spark):
+    at = work_dir(spark, "test-shards")
+    draw = random.Random(8)
+    for k, n in enumerate((900, 1100, 1000, 1200, 400_000)):
+        texts = [("".join(draw.choice("abcdefghijklmnop") for _ in range(40)),) for _ in range(n // 40)]
+        sharding.append(spark.createDataFrame(texts, "text string").coalesce(1), at, k)
+    sizes = {r["run"]: r["bytes"] for r in sharding.plan(spark, at, fan_in=4).collect()}
+    assert len(sizes) == 4 and max(sizes.values()) <= 4 * min(sizes.values())
+    rows_before = sharding.read(spark, at).count()
+    sharding.compact(spark, at)
+    after = sharding.manifest(spark, at)
+    assert after.select("run").distinct().count() == 2 and after.select("run", "file").distinct().count() == 2
+    assert sharding.read(spark, at).count() == rows_before
+    assert sharding.plan(spark, at, fan_in=1).count() == 2
+
+
 # 4. WARC
 
 

@@ -2,9 +2,11 @@
 
 A table is a folder of immutable runs and of manifest versions. `append` writes an arrival as a run of small shards, straight from the partitions
 it comes in. `compact` merges runs of one size tier, once there are `fan_in` of them, into a run of shards of the target size: the small
-shards are scanned and put together without a shuffle. Each change is a new manifest, a folder written aside and renamed to its version: who
-reads a version sees all of it, a writer that comes second with the same version fails and leaves nothing that is read. Runs that no version
-lists any more go by `vacuum`.
+shards are scanned and put together without a shuffle. Runs are of one tier when none has more than `fan_in` times the bytes of the smallest.
+Each change is a new manifest, a folder written aside, and one small file, the version, that names it. The file is written whole under
+another name and takes the version's name only if nothing has it, in one step of the file system: a link on local disks and a rename without
+overwriting elsewhere, which HDFS does in one step too. Who reads a version sees all of it; of two writers of the same version one fails and
+leaves nothing that is read. Runs that no version lists any more go by `vacuum`, which must not run beside a writer.
 
 Defined results: nulls and empty texts are stored as they are; repeated rows stay repeated; an arrival without rows is a version that adds no shards;
 a column named _arrival is replaced; a table without arrivals is an error to read.
@@ -15,7 +17,8 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a shard that a merge aims at, rows of one in an arrival at most, and how many runs of a tier are merged.
@@ -39,23 +42,48 @@ def versions(spark: SparkSession, at: str) -> list[int]:
     return sorted(int(n[1:]) for n in names if n.startswith("v"))
 
 
+def _folder(spark: SparkSession, at: str, version: int) -> str:
+    """The folder with a version's manifest."""
+    return f"{at}/parts/{spark.read.text(f'{at}/manifest/v{version:08d}').first()[0]}"
+
+
 def manifest(spark: SparkSession, at: str, version: int | None = None) -> DataFrame:
     """(run, arrival, file, bytes, rows): a row for each shard of a version, the latest by default, and each arrival in it."""
     known = versions(spark, at)
     if not known:
         raise ValueError(f"no version of {at}")
-    return spark.read.schema(MANIFEST).parquet(f"{at}/manifest/v{version or known[-1]:08d}")
+    return spark.read.schema(MANIFEST).parquet(_folder(spark, at, version or known[-1]))
+
+
+def _taken(error: Py4JJavaError) -> bool:
+    names = (error.java_exception.getClass().getName(), str(error.java_exception.getCause()))
+    return any("FileAlreadyExists" in n for n in names)
 
 
 def _commit(spark: SparkSession, at: str, shards: DataFrame, version: int) -> int:
-    """Make `shards` the given version, if nobody has made it before."""
+    """Make `shards` the given version, if nobody has made it: nothing is looked up before, taking the name is the only test."""
     fs, path = _fs(spark, at)
-    aside, place = f"{at}/aside/{uuid.uuid4().hex}", f"{at}/manifest/v{version:08d}"
-    shards.coalesce(1).write.parquet(aside)
+    jvm, name = spark.sparkContext._jvm, uuid.uuid4().hex
+    aside, place = path(f"{at}/aside/{name}"), path(f"{at}/manifest/v{version:08d}")
+    shards.coalesce(1).write.parquet(f"{at}/parts/{name}")
     fs.mkdirs(path(f"{at}/manifest"))
-    if fs.exists(path(place)) or not fs.rename(path(aside), path(place)):
-        fs.delete(path(aside), True)
-        raise RuntimeError(f"version {version} of {at} has been committed by another writer")
+    out = fs.create(aside)
+    out.writeBytes(name)
+    out.close()
+    try:
+        if fs.getScheme() == "file":
+            local = lambda p: jvm.java.nio.file.Path.of(p.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+            jvm.java.nio.file.Files.createLink(local(place), local(aside))
+        else:
+            none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, place, none)
+    except Py4JJavaError as e:
+        fs.delete(path(f"{at}/parts/{name}"), True)
+        if _taken(e):
+            raise RuntimeError(f"version {version} of {at} has been committed by another writer") from None
+        raise
+    finally:
+        fs.delete(aside, False)
     return version
 
 
@@ -81,11 +109,20 @@ def append(df: DataFrame, at: str, arrival: int, rows: int = ARRIVAL_ROWS) -> in
 
 
 def plan(spark: SparkSession, at: str, target: int = TARGET, fan_in: int = FAN_IN) -> DataFrame:
-    """(run, bytes, tier, runs): runs whose tier is full. A tier spans a factor of `fan_in` in bytes; runs of the target's size and more in each shard are done."""
+    """(run, bytes, tier, runs): runs whose tier is full. A tier spans a factor of `fan_in` in bytes from its smallest run; runs whose shards have half
+    the target's size on average are done. One array of the open runs is walked, as many as the driver lists folders."""
     files = manifest(spark, at).groupBy("run", "file").agg(F.max("bytes").alias("bytes"))
     runs = files.groupBy("run").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("files"))
     open_ = runs.where(F.col("bytes") < F.col("files") * F.lit(target / 2)) if target else runs
-    tiered = open_.withColumn("tier", F.floor(F.log(float(fan_in), F.greatest(F.col("bytes"), F.lit(1)).cast("double"))))
+    listed = open_.agg(F.array_sort(F.collect_list(F.struct("bytes", "run"))).alias("runs"))
+
+    def tier(state: Column, x: Column) -> Column:
+        wider = x["bytes"] > state["least"] * fan_in
+        number, least = state["tier"] + F.when(wider, 1).otherwise(0), F.when(wider, x["bytes"]).otherwise(state["least"])
+        return F.struct(F.concat(state["out"], F.array(F.struct(x["run"].alias("run"), x["bytes"].alias("bytes"), number.alias("tier")))).alias("out"), number.alias("tier"), least.alias("least"))
+
+    start = F.struct(F.array().cast("array<struct<run:string,bytes:bigint,tier:int>>").alias("out"), F.lit(0).alias("tier"), F.lit(-1).cast("bigint").alias("least"))
+    tiered = listed.select(F.explode(F.aggregate("runs", start, tier, lambda s: s["out"])).alias("r")).select("r.*")
     full = tiered.groupBy("tier").agg(F.count("*").alias("runs"), F.sum("bytes").alias("tier_bytes")).where(F.col("runs") >= fan_in)
     return tiered.join(full, "tier").select("run", "bytes", "tier", "runs")
 
@@ -114,7 +151,9 @@ def vacuum(spark: SparkSession, at: str, keep: int = 1) -> int:
     fs, path = _fs(spark, at)
     kept = {r["run"] for v in known[-keep:] for r in manifest(spark, at, v).select("run").distinct().collect()}
     for v in known[:-keep]:
-        fs.delete(path(f"{at}/manifest/v{v:08d}"), True)
+        folder = _folder(spark, at, v)
+        fs.delete(path(f"{at}/manifest/v{v:08d}"), False)
+        fs.delete(path(folder), True)
     gone = [x.getPath() for x in fs.listStatus(path(f"{at}/runs")) if x.getPath().getName() not in kept]
     for p in gone:
         fs.delete(p, True)
