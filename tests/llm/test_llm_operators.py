@@ -7,6 +7,7 @@ import json
 import random
 import re
 import threading
+import time
 import zlib
 
 import numpy as np
@@ -110,8 +111,29 @@ def test_base_spans_are_those_of_the_expressions(spark, edge, documents):
 
 def test_added_rules_and_masks(spark):
     text = "é ghp_" + "aZ" * 18 + " and -----BEGIN RSA PRIVATE KEY----- token=abcdefgh."
-    row = secrets.scan(spark.createDataFrame([(text,)], "text string")).select("secret_spans", secrets.masked(F.col("text"), F.col("secret_spans")).alias("m")).first()
-    assert [x["kind"] for x in row["secret_spans"]] == ["repo", "pem", "assign"] and row["m"] == "é [repo] and [pem] [assign]"
+    rows_ = secrets.scan(spark.createDataFrame([(1, text), (2, None), (3, "clean é")], "id int, text string"), mask=True).collect()
+    assert {r["id"]: ([x["kind"] for x in r["secret_spans"]], r["text"]) for r in rows_} == {1: (["repo", "pem", "assign"], "é [repo] and [pem] [assign]"), 2: ([], None), 3: ([], "clean é")}
+
+
+def test_spans_of_all_rules_are_those_of_the_expressions():
+    every = {k: v for k, v in BASE.items()} | {r.kind: (re.compile(f"({r.lead})({r.value})"), r.least) for r in secrets.MORE}
+    parts = ["token", "secret", "=", " ", '"', "abc", "AKIA", "ABCDEF0123456789", "0123456789abcdef", "deadbeef", "é", ".", "-", "ghp_", "gho", "_", "eyJ", "eyJhbGciOi", "-----BEGIN ", "RSA ", "PRIVATE KEY", "-----"]
+    draw, scanner = random.Random(11), secrets.Scanner()
+    for n in (6, 20, 400):
+        for _ in range(600):
+            text = "".join(draw.choice(parts) for _ in range(draw.randint(0, n)))
+            want = sorted((len(text[: m.start()].encode()), k, len(text[: m.end()].encode())) for k, (rule, least) in enumerate(every.values()) for m in rule.finditer(text) if len(m[2]) >= least)
+            assert scanner.spans(text.encode()) == [(list(every)[k], a, e) for a, k, e in want]
+
+
+def test_time_grows_with_the_text():
+    scanner = secrets.Scanner()
+    assert scanner.spans(b"clean") == []
+    for text, spans in (("eyJ" * 300_000, 0), ("deadbeef0123456789abcdef01 " * 200_000, 200_000), ("token" * 200_000, 0), ("eyJaa.bb" * 100_000, 0)):
+        began = time.process_time()
+        found = scanner.spans(text.encode())
+        assert len(found) == spans and len(secrets._masked(text.encode(), found)) == len(text) - 21 * spans and len(secrets._code_points(f"{text}é".encode(), found)) == spans
+        assert time.process_time() - began < 6e-6 * len(text)
 
 
 def test_minimal_automaton():
