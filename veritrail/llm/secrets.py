@@ -302,15 +302,3 @@ def scan(df: DataFrame, text: str = "text", into: str = "secret_spans", rules: t
 def joined(spans: Column) -> Column:
     """The spans as kind:start:end, joined by commas."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-
-
-def masked(text: Column, spans: Column) -> Column:
-    """`text` with each stretch that spans cover replaced by [kind] of the first of them."""
-    empty = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-
-    def put(state: Column, x: Column) -> Column:
-        fresh = F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), (x["start"] - state["at"]).cast("int")), F.lit("["), x["kind"], F.lit("]"))
-        return F.struct(F.when(x["start"] < state["at"], state["out"]).otherwise(fresh).alias("out"), F.greatest(state["at"], x["end"]).alias("at"))
-
-    rest = lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, empty, put, rest))
