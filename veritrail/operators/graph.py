@@ -1,11 +1,11 @@
-"""Connected components by alternating stars: every round is two joins on node ids, and its edges are a written table."""
+"""Connected components by alternating stars: every round is two joins on node ids, and its edges are a written table, in place of the last round's."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.sources.catalog import materialise
+from veritrail.sources.catalog import remove, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     Minima are taken before rows move, and joins on a hub's id are inner equi-joins that adaptive execution splits.
     """
     a, b = F.col(src), F.col(dst)
-    e = materialise(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    spark = edges.sparkSession
+    e, at = written(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     before = _mark(e)
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,8 +29,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = materialise(small.distinct(), "edges")
-        if (after := _mark(e)) == before:
+        e, fresh = written(small.distinct(), "edges")
+        after = _mark(e)
+        remove(spark, at)
+        at = fresh
+        if after == before:
             break
         before = after
     else:

@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`.
 
-    Only where the session has none (a test, a notebook) is a local one set, for checkpoint() as well.
+    Only where a local session has none (a test, a notebook) is a temporary one set, for checkpoint() as well; a cluster has to name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm_dir.isDefined():
         return jvm_dir.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
     own = "file://" + tempfile.mkdtemp(prefix="veritrail-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -34,8 +36,19 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write `df` as Parquet below the shared folder and read it again: the lineage ends at files that outlive any executor."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`df` written as Parquet below the shared folder and read again, and where."""
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write `df` below the shared folder and read it again: the lineage ends at files that outlive any executor."""
+    return written(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Take away a table that was `written`, once nothing reads it any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
