@@ -518,8 +518,6 @@ def near_copies():
 def test_components_are_those_of_all_pairs(spark, near_copies, monkeypatch, block, few):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "FEW", few)
-    if block == 3:
-        monkeypatch.setattr(ngram_join, "SENT", 0)
     got = ngram_join.similar_sets(spark.createDataFrame(near_copies, "doc_id long, text string")).collect()
     want = components(near_copies)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want

@@ -1,17 +1,20 @@
 """N-gram Jaccard join with signature trees, and the components of its links.
 
-1. Each text becomes the set of its distinct word shingles (64-bit hashes). Texts with equal sets form a class; its smallest id stands for it.
+1. Each text becomes the set of its distinct word shingles (64-bit hashes). Texts with equal sets form a class; its smallest id stands for it, and
+   from here on only these texts are looked at.
 2. Any two sets a, b with the wanted similarity t share at least k shingles among the first |a| - ceil(t|a|) + k of a and as many of b, in any
    common order of shingles. The order takes shingles that many texts share last; that list is bounded and bears on the cost only, never
-   on the result. Texts of compatible sizes that share k such shingles that few texts have, or one that more than FEW texts have, are tied; along
-   a shingle that many have, each is tied to the next by size. The components of these ties hold all possible links.
+   on the result. Texts of compatible sizes that share k such shingles that few texts have are tied. Along a shingle that more than FEW texts
+   have, each is tied to the next by size: those rows lie in ranges of (shingle, size, id), so that no shingle is one task's.
+   The components of these ties hold all possible links.
 3. Inside a component, signature trees are built over blocks of sets: a node holds the OR of its sets' bitmaps, their range of sizes and the
    most shingles that share a bit with another. Two trees are walked together; a pair of nodes whose bitmaps and sizes allow too small an
    overlap is left with all below it. Pairs of sets that remain are compared exactly, unless links found before join them already.
 4. The components of the links, with every class at its smallest id.
 
-A component of more than BLOCK classes is cut into blocks by size, and each pair of blocks of compatible sizes is a group of its own,
-so that no group is larger than two blocks.
+A component of more than BLOCK classes is cut into blocks by size, from counts. First each block is compared with itself and the next one; in a
+group of near copies that links nearly all. What then isn't in the component's largest part is compared, in blocks of its own, with all blocks of
+compatible sizes; pairs inside the largest part need no look. No group is larger than about two blocks.
 
 Defined results: a null or blank text has no shingles and is linked with nothing; so is a row without id (component null); rows that repeat an
 id are judged each by its own text; an empty table gives an empty table; other columns are not read.
@@ -30,7 +33,7 @@ from pyspark.sql import types as T
 
 from veritrail.llm.shingles import mix, shingles, stretches, text_bytes, words
 from veritrail.operators.graph import connected_components
-from veritrail.sources.catalog import materialise
+from veritrail.sources.catalog import materialise, remove, written
 
 WIDTH = 5
 #: Of the similarity, in hundredths.
@@ -39,8 +42,6 @@ PERCENT = 80
 COMMON, LEAST_COMMON, COUNTED = 1 << 17, 16, 1 << 22
 #: Texts that share a shingle and are still paired one by one; a set of n shingles must share n // SHARE + 2 with another.
 FEW, SHARE = 64, 16
-#: Sets to compare that are sent to all executors at most, rather than shuffling all texts to meet them.
-SENT = 1 << 18
 BLOCK, FAN_OUT, CHUNK = 512, 8, 1 << 14
 
 
@@ -133,17 +134,35 @@ def _first_shingles(docs: DataFrame, common: np.ndarray, width: int, percent: in
     return docs.mapInArrow(run, "id long, n int, need int, tokens array<long>").select("id", "n", "need", F.explode("tokens").alias("token"))
 
 
-def _tied(first: DataFrame, percent: int) -> DataFrame:
-    """(src, dst) of texts that may be similar, or hang together by texts that may be."""
-    by_size = Window.partitionBy("token").orderBy("n", "id")
-    here = F.struct("id", "n", "need")
-    seen = first.withColumns({"texts": F.count("*").over(Window.partitionBy("token")), "last": F.collect_list(here).over(by_size.rowsBetween(1 - FEW, -1))}).where("texts > 1")
-    few = F.col("texts") <= FEW
-    others = F.when(few, F.col("last")).when(F.size("last") > 0, F.array(F.element_at("last", -1))).otherwise(F.array().cast(seen.schema["last"].dataType))
-    pairs = seen.select("id", "n", "need", few.alias("few"), F.explode(others).alias("o")).where((F.col("o.n") * 100 >= F.col("n") * percent) & (F.col("o.id") != F.col("id")))
-    ends = (F.least("id", "o.id").alias("src"), F.greatest("id", "o.id").alias("dst"))
-    tied = pairs.select(*ends, F.least("need", "o.need").alias("need"), "few").groupBy("src", "dst").agg(F.count_if("few").alias("shared"), F.min("need").alias("need"), F.bool_and("few").alias("few"))
-    return tied.where(~F.col("few") | (F.col("shared") >= F.col("need"))).select("src", "dst")
+def _paired(few: DataFrame, percent: int) -> DataFrame:
+    """(src, dst) of texts that share as many shingles as they need, each of at most FEW texts."""
+    by_size = Window.partitionBy("token").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1)
+    seen = few.withColumn("others", F.collect_list(F.struct("id", "n", "need")).over(by_size)).select("id", "n", "need", F.explode("others").alias("o"))
+    pairs = seen.where((F.col("o.n") * 100 >= F.col("n") * percent) & (F.col("o.id") != F.col("id")))
+    ends = pairs.select(F.least("id", "o.id").alias("src"), F.greatest("id", "o.id").alias("dst"), F.least("need", "o.need").alias("need"))
+    return ends.groupBy("src", "dst").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("src", "dst")
+
+
+def _chained(many: DataFrame, percent: int) -> DataFrame:
+    """(src, dst) of texts that follow each other by size along a shingle. `many` is ordered by ranges; where a range begins, the last row of the one before is looked at."""
+    row = F.struct("token", "n", "id")
+    inside = many.select("token", "n", "id", F.lag(row).over(Window.partitionBy("part").orderBy("token", "n", "id")).alias("o"))
+    ends = many.groupBy("part").agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    across = ends.select("first.*", F.lag("last").over(Window.orderBy("part")).alias("o"))
+    near = (F.col("o.token") == F.col("token")) & (F.col("o.n") * 100 >= F.col("n") * percent) & (F.col("o.id") != F.col("id"))
+    return inside.unionByName(across).where(near).select(F.least("id", "o.id").alias("src"), F.greatest("id", "o.id").alias("dst"))
+
+
+def _near(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, percent: int) -> DataFrame:
+    """(node, component): texts that may be similar, or hang together by texts that may be, are of one component."""
+    spark = texts.sparkSession
+    first, first_at = written(_first_shingles(texts, common, width, percent), "first")
+    often, often_at = written(first.groupBy("token").agg(F.count("*").alias("texts")).where(F.col("texts") > FEW).select("token"), "often")
+    many, many_at = written(first.join(often, "token").select("token", "n", "id").repartitionByRange("token", "n", "id").withColumn("part", F.spark_partition_id()), "many")
+    near = connected_components(_paired(first.join(often, "token", "left_anti"), percent).unionByName(_chained(many, percent)))
+    for at in (first_at, often_at, many_at):
+        remove(spark, at)
+    return near
 
 
 class Tree:
@@ -201,8 +220,11 @@ def _pairs(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndar
             todo.append((p2, q2, x2[inside], y2[inside]))
 
 
-def links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that join all similar sets of `left` (with those of `right`, if given): a forest; positions in left, then right."""
+def links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join all similar sets of `left` (with those of `right`, if given): a forest; positions in left, then right.
+
+    `joined`: a label for each position; those with the same one hang together already.
+    """
     every = left + (right or [])
     typical = int(np.median([len(s) for s in every]))
     bits = 1 << min(13, max(8, (2 * typical).bit_length()))
@@ -212,6 +234,9 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int =
     name_a = np.array(order[0])
     name_b = np.array(order[1]) + len(left) if right else name_a
     top = np.arange(len(every))
+    if joined is not None:
+        _, first, of = np.unique(joined, return_index=True, return_inverse=True)
+        top = first[of]
 
     def find(x: int) -> int:
         while top[x] != x:
@@ -239,59 +264,97 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int =
 def _compare(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
-        for _, part in pdf.sort_values(["component", "id"]).groupby("component"):
-            sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
-            ids, one = part["id"].to_numpy(), (part["block"] == part["a"]).to_numpy()
-            lefts, rights = np.flatnonzero(one), np.flatnonzero(~one)
-            place = np.concatenate([lefts, rights])
-            got = links([sets[k] for k in lefts], [sets[k] for k in rights] or None, percent)
-            out += [(ids[place[u]], ids[place[v]]) for u, v in got]
+        for _, part in pdf.sort_values(["component", "side", "id"]).groupby("component"):
+            sets, ids = [np.frombuffer(x, np.uint64) for x in part["shingles"]], part["id"].to_numpy()
+            n = int((part["side"] == 0).sum())
+            if 0 < n and len(sets) > 1:
+                out += [(ids[u], ids[v]) for u, v in links(sets[:n], sets[n:] or None, percent, part["head"].to_numpy())]
         return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
 
     return run
 
 
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """`rows` (component, n, class, ...) with `block`: by size, `block` rows each or about; places are counts of the sizes before, and a hash among equal sizes."""
+    per = rows.groupBy("component", "n").agg(F.count("*").alias("many"))
+    before = F.coalesce(F.sum("many").over(Window.partitionBy("component").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = F.pmod(F.xxhash64("class"), F.lit(1 << 20)) / float(1 << 20)
+    placed = rows.join(per.withColumn("before", before), ["component", "n"])
+    return placed.withColumn("block", F.floor((F.col("before") + F.floor(share * F.col("many"))) / block)).drop("before", "many")
+
+
+def _ranges(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+
+
+def _with_sets(named: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """`rows` (id, class, ...) with `shingles`, the set of the text of that id and class, in place of `class`."""
+    kept = [c for c in rows.columns if c != "class"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(batch.schema.get_field_index("class")).to_pylist()
+            got = [s.tobytes() if _class(s) == c else None for s, c in zip(_sets(batch, "text", width), wanted, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(got, pa.binary())], names=[*kept, "shingles"])
+
+    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("shingles", T.BinaryType())])
+    return named.join(rows, "id").mapInArrow(run, schema).where("shingles is not null")
+
+
+def _links(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.select("group", "component", "side", "id", "head", "shingles").groupBy("group").applyInPandas(_compare(percent), "src long, dst long")
+
+
+def _first_links(named: DataFrame, placed: DataFrame, blocks: DataFrame, n_placed: int, width: int, percent: int) -> DataFrame:
+    """Links inside small components and blocks, and between blocks that follow each other."""
+    key = lambda c, p, q: F.struct(F.lit(c).cast("long").alias("c") if isinstance(c, int) else c.alias("c"), p.cast("long").alias("p"), q.cast("long").alias("q"))
+    packed = key(-1, F.pmod(F.xxhash64("component"), F.lit(n_placed // BLOCK + 1)), F.lit(0))  # small components: many to a group
+    small = placed.where(F.col("classes") <= BLOCK).select("id", "component", "class", F.array(F.struct(packed.alias("group"), F.lit(0).alias("side"))).alias("groups"))
+    after = Window.partitionBy("component").orderBy("block")
+    of = _ranges(blocks).withColumns({"next": F.lead("block").over(after), "next_low": F.lead("low").over(after), "last": F.lag("block").over(after), "last_high": F.lag("high").over(after)})
+    member = lambda p, q, side: F.struct(key(F.col("component"), p, q).alias("group"), F.lit(side).alias("side"))
+    own = F.array(member(F.col("block"), F.col("block"), 0))
+    ahead = F.when(F.col("high") * 100 >= F.col("next_low") * percent, F.array(member(F.col("block"), F.col("next"), 0)))
+    behind = F.when(F.col("last_high") * 100 >= F.col("low") * percent, F.array(member(F.col("last"), F.col("block"), 1)))
+    none = F.array().cast("array<struct<group:struct<c:bigint,p:bigint,q:bigint>,side:int>>")
+    groups = of.select("component", "block", F.concat(own, F.coalesce(ahead, none), F.coalesce(behind, none)).alias("groups"))
+    large = blocks.join(groups, ["component", "block"]).select("id", "component", "class", "groups")
+    sets = _with_sets(named, small.unionByName(large), width)
+    dealt = sets.select("id", F.col("id").alias("head"), "component", "shingles", F.explode("groups").alias("g"))
+    return _links(dealt.select("id", "head", "component", "shingles", "g.group", "g.side"), percent)
+
+
+def _other_links(named: DataFrame, blocks: DataFrame, joined: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of what isn't in its component's largest part with all blocks of compatible sizes."""
+    headed = blocks.join(joined.select(F.col("node").alias("id"), F.col("component").alias("top")), "id", "left").withColumn("head", F.coalesce("top", "id")).drop("top")
+    parts = headed.groupBy("component", "head").agg(F.count("*").alias("many"))
+    largest = parts.groupBy("component").agg(F.max_by("head", F.struct("many", "head")).alias("largest"))
+    apart = headed.join(largest, "component").where(F.col("head") != F.col("largest")).drop("largest", "block")
+    left = materialise(_in_blocks(apart, BLOCK), "apart")
+    x, y = _ranges(left).alias("x"), _ranges(blocks).alias("y")
+    compatible = (F.col("x.high") * 100 >= F.col("y.low") * percent) & (F.col("y.high") * 100 >= F.col("x.low") * percent)
+    pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & compatible).select("x.component", F.col("x.block").alias("p"), F.col("y.block").alias("q"))
+    sets = lambda rows: _with_sets(named, rows.select("id", "component", "block", "class", "head"), width)
+    one = sets(left).withColumnRenamed("block", "p").join(pairs, ["component", "p"]).withColumn("side", F.lit(0))
+    other = sets(headed.join(left.select("component").distinct(), "component", "left_semi")).withColumnRenamed("block", "q").join(pairs, ["component", "q"]).withColumn("side", F.lit(1))
+    return _links(one.unionByName(other).withColumn("group", F.struct("component", "p", "q")), percent)
+
+
 def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row for each row of `docs`: `id`, n_shingles and component_id."""
-    spark = docs.sparkSession
     named = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     sized, shared = shingle_sets(named, width)
-    common = _common(shared)
-    near = connected_components(_tied(_first_shingles(named.where("id is not null"), common, width, percent), percent))
+    classes = materialise(sized.where("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n")), "classes")
+    near = _near(named.join(classes.select("id"), "id", "left_semi"), _common(shared), width, percent)
 
-    classes = sized.where("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     members = classes.join(near.withColumnRenamed("node", "id"), "id").select("component", "id", "n", "class")
-    big = members.groupBy("component").agg(F.count("*").alias("classes")).where("classes > 1")
-    placed = members.join(big, "component")
-    by_size = Window.partitionBy("component").orderBy("n", "id")
-    large = placed.where(F.col("classes") > BLOCK).withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK))
-    small = placed.where(F.col("classes") <= BLOCK).withColumn("block", F.lit(0).cast("bigint"))
-    placed = materialise(small.unionByName(large).select("component", "id", "n", "class", "block"), "blocks")
-
-    range_of = placed.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    x, y = range_of.alias("x"), range_of.alias("y")
-    compatible = (F.col("x.block") <= F.col("y.block")) & (F.col("x.high") * 100 >= F.col("y.low") * percent) & (F.col("y.high") * 100 >= F.col("x.low") * percent)
-    pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & compatible).select("x.component", F.col("x.block").alias("a"), F.col("y.block").alias("b"))
-    sides = pairs.select("*", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    n_placed = placed.count()
-    first = (F.col("a") == 0) & (F.col("b") == 0)  # whole components, and first blocks: many to a group
-    group = F.struct(F.when(first, -1).otherwise(F.col("component")).alias("c"), F.when(first, F.pmod(F.xxhash64("component"), F.lit(n_placed // BLOCK + 1))).otherwise(F.col("a")).alias("p"), F.col("b").alias("q"))
-    dealt = sides.groupBy("component", "block").agg(F.collect_list(F.struct(group.alias("group"), "a")).alias("groups"))
-    placed = placed.join(dealt, ["component", "block"]).select("id", "component", "block", "class", "groups")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = batch.column(3).to_pylist()
-            got = [s.tobytes() if _class(s) == c else None for s, c in zip(_sets(batch, "text", width), wanted, strict=True)]
-            kept = [*batch.columns[:3], batch.column(4), pa.array(got, pa.binary())]
-            yield pa.RecordBatch.from_arrays(kept, names=["id", "component", "block", "groups", "shingles"])
-
-    texts = named.join(F.broadcast(placed) if n_placed <= SENT else placed, "id").select("id", "component", "block", "class", "groups", "text")
-    schema = T.StructType([texts.schema["id"], texts.schema["component"], texts.schema["block"], texts.schema["groups"], T.StructField("shingles", T.BinaryType())])
-    with_sets = texts.mapInArrow(run, schema).where("shingles is not null")
-    compared = with_sets.select("id", "component", "block", "shingles", F.explode("groups").alias("g")).select("id", "component", "block", "shingles", "g.group", "g.a")
-    found = compared.groupBy("group").applyInPandas(_compare(percent), "src long, dst long")
-    joined = connected_components(found)
+    several = members.groupBy("component").agg(F.count("*").alias("classes")).where("classes > 1")
+    placed = materialise(members.join(several, "component"), "placed")
+    blocks = materialise(_in_blocks(placed.where(F.col("classes") > BLOCK).drop("classes"), BLOCK), "blocks")
+    joined = connected_components(_first_links(named, placed, blocks, placed.count(), width, percent))
+    if not blocks.isEmpty():
+        found = _other_links(named, blocks, joined, width, percent)
+        joined = connected_components(found.unionByName(joined.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
 
     heads = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").select("class", F.coalesce("component", "id").alias("head"))
     by_id = sized.join(heads, "class", "left").select("id", "n", "class", "head")
