@@ -10,7 +10,8 @@ similarity of the item's shingles and those of as many of the text, weighted by
 A text shorter than an item may fill none of its windows. It can only match as a whole, and then holds so many of the item's shingles that any
 few of its own include one of them: the few that the fewest items hold are looked up, and what they name is verified, so that none is missed.
 
-Items are sent to the workers in blocks of bounded size; a larger benchmark takes several passes over the texts.
+Items are sent to the workers as texts, in blocks of bounded number and size; each worker builds the index of a block once. A larger benchmark
+takes several passes over the texts.
 
 Defined results: null or blank texts and items match nothing; an item of fewer than WIDTH words matches only a text of just these words; rows are
 compared one by one, and equal results are given once; a null id stays null; empty tables give an empty table; other columns are not read.
@@ -18,6 +19,7 @@ compared one by one, and equal results are given once; a null id stays null; emp
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -28,32 +30,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritrail.llm.shingles import shingles, stretches, text_bytes, words
+from veritrail.llm.shingles import mix, shingles, stretches, text_bytes, words
 
 WIDTH, PERCENT = 5, 80
 STRIDE, RADIUS, BLOCKS = 4, 15, 4
-#: Bytes of items' text that are sent to the workers at once.
-ITEM_BYTES = 4_000_000
+#: Items that are sent to the workers at once, and bytes of their text; an item has seven fingerprints at most, and each takes some 6 KB of a worker's index.
+ITEMS, ITEM_BYTES = 1_000, 4_000_000
 _NEAR = np.array([sum(1 << b for b in bits) for r in range(RADIUS // BLOCKS + 1) for bits in combinations(range(16), r)], np.uint16)
 
 
 def _window(m: int) -> tuple[int, int]:
-    """(size, stride) of the windows for an item of m shingles."""
-    return (STRIDE * ((m - STRIDE + 1) // STRIDE), STRIDE) if m >= 2 * STRIDE - 1 else (m, 1)
+    """(size, stride) of the windows for an item of m shingles; an item too short for a window of the grid has windows of its own size at every shingle."""
+    return (STRIDE * ((m - STRIDE + 1) // STRIDE), STRIDE) if m >= 3 * STRIDE - 1 else (m, 1)
 
 
-def fingerprints(hashes: np.ndarray, starts: np.ndarray, size: int, stride: int, sums: np.ndarray) -> np.ndarray:
-    """Majority bits of the windows that begin at steps `starts`; `sums`: running sums of bits over steps of `stride` shingles."""
+def fingerprints(sums: np.ndarray, size: int, stride: int) -> np.ndarray:
+    """Majority bits of the windows of `size` shingles at every step; `sums`: running sums of bits over steps of `stride` shingles."""
     n = size // stride
-    most = (sums[starts + n] - sums[starts]) > np.uint16(size // 2)
+    if len(sums) <= n:
+        return np.zeros(0, np.uint64)
+    most = (sums[n:] - sums[:-n]) > sums.dtype.type(size // 2)
     return np.packbits(most, axis=1).view(np.uint64).ravel()
 
 
-def _running(hashes: np.ndarray, stride: int) -> np.ndarray:
-    """Running sums, modulo 2^16, of the hashes' bits over steps; `hashes` fills whole steps."""
+def _running(hashes: np.ndarray, stride: int, longest: int) -> np.ndarray:
+    """Running sums of the hashes' bits over steps, modulo a power of two above `longest`, the largest window; `hashes` fills whole steps."""
+    kind = np.uint16 if longest < 1 << 16 else np.uint32
     bits = np.unpackbits(hashes.view(np.uint8)).reshape(-1, stride, 64)
-    out = np.zeros((len(bits) + 1, 64), np.uint16)
-    np.cumsum(bits.sum(axis=1, dtype=np.uint16), axis=0, dtype=np.uint16, out=out[1:])
+    out = np.zeros((len(bits) + 1, 64), kind)
+    np.cumsum(bits.sum(axis=1, dtype=kind), axis=0, dtype=kind, out=out[1:])
     return out
 
 
@@ -67,23 +72,24 @@ class Index:
         for k, h in enumerate(self.items):
             if len(h):
                 size, stride = _window(len(h))
-                sums = _running(h, 1)
-                starts = np.arange(len(h) - size + 1)
-                most = (sums[starts + size] - sums[starts]) > np.uint16(size // 2)
-                for at, fp in enumerate(np.packbits(most, axis=1).view(np.uint64).ravel().tolist()):
+                for at, fp in enumerate(fingerprints(_running(h, 1, size), size, 1).tolist()):
                     by.setdefault((size, stride), []).append((fp, k, at))
+        self.longest = max((size for size, _ in by), default=0)
         self.sizes = {}
         for window, found in by.items():
             fps = np.array([f for f, _, _ in found], np.uint64)
             where = np.array([(k, at) for _, k, at in found], np.int64)
             tables = []
             for b in range(BLOCKS):
-                near = (fps.view(np.uint16).reshape(-1, 4)[:, b, None] ^ _NEAR[None, :]).astype(np.int64)
-                order = np.argsort(near.ravel(), kind="stable")
+                near = (fps.view(np.uint16).reshape(-1, 4)[:, b, None] ^ _NEAR[None, :]).ravel()
+                order = np.argsort(near, kind="stable")  # of 16 bits: by counting
                 first = np.zeros(65537, np.int64)
-                np.cumsum(np.bincount(near.ravel(), minlength=65536), out=first[1:])
-                tables.append((first, (order // len(_NEAR)).astype(np.int32)))
+                np.cumsum(np.bincount(near, minlength=65536), out=first[1:])
+                tables.append((first, (order // len(_NEAR)).astype(np.uint16 if len(fps) < 1 << 16 else np.int32)))
             self.sizes[window] = (fps, where, tables)
+        # each item's shingles under hashes of its own, to count a stretch's shingles that are in the item
+        self.seed = mix(np.arange(1, len(self.items) + 1, dtype=np.uint64))
+        self.own = np.unique(np.concatenate([mix(h ^ x) for h, x in zip(self.items, self.seed, strict=True)] or [np.zeros(0, np.uint64)]))
         self.lengths = np.array([len(h) for h in self.items], np.int64)
         self.sorted_lengths = np.unique(self.lengths[self.lengths > 0])
         held = [np.unique(h) for h in self.items]
@@ -131,6 +137,22 @@ class Index:
             close = np.bitwise_count(prints[left] ^ fps[right]) <= RADIUS
             yield left[close], right[close]
 
+    def likely(self, rows: list[np.ndarray], candidates: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Those (text, item, place) whose stretch holds enough shingles of the item, each counted as often as it occurs: a bound on what both share."""
+        kept = []
+        for some in stretches([int(self.lengths[item]) for _, item, _ in candidates]):
+            part = candidates[some]
+            cut = [rows[doc][at : at + int(self.lengths[item])] for doc, item, at in part]
+            n = np.array([len(c) for c in cut], np.int64)
+            of = np.array([item for _, item, _ in part], np.int64)
+            keys = mix(np.concatenate(cut) ^ np.repeat(self.seed[of], n))
+            slot = np.minimum(np.searchsorted(self.own, keys), len(self.own) - 1)
+            ends = np.concatenate([[0], np.cumsum(self.own[slot] == keys)])
+            both = np.minimum(np.diff(ends[np.concatenate([[0], np.cumsum(n)])]), self.lengths[of])
+            enough = both * (100 + PERCENT) >= PERCENT * (self.lengths[of] + n)
+            kept += [c for c, ok in zip(part, enough.tolist(), strict=True) if ok]
+        return kept
+
     def similarity(self, item: int, hashes: np.ndarray) -> float:
         a, b = Counter(self.items[item].tolist()), Counter(hashes.tolist())
         both = (a & b).total()
@@ -147,24 +169,23 @@ def _search(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, float,
         flat = np.zeros(int(steps.sum()) * stride, np.uint64)
         for h, f in zip(rows, first.tolist(), strict=True):
             flat[f * stride : f * stride + len(h)] = h
-        sums = _running(flat, stride)
+        sums = _running(flat, stride, index.longest)
         owner = np.repeat(np.arange(len(rows)), steps)
         left = np.repeat(np.array([len(h) for h in rows], np.int64), steps) - (np.arange(len(owner)) - first[owner]) * stride
         for window in index.sizes:
             if window[1] != stride:
                 continue
-            starts = np.flatnonzero(left >= window[0])
             where = index.sizes[window][1]
-            prints = fingerprints(flat, starts, *window, sums)
+            starts = np.flatnonzero(left >= window[0])
+            prints = fingerprints(sums, *window)[starts] if len(starts) else np.zeros(0, np.uint64)
             for x, y in index.near(window, prints):
                 doc = owner[starts[x]]
                 at = (starts[x] - first[doc]) * stride - where[y, 1]
-                candidates.update(zip(doc.tolist(), where[y, 0].tolist(), at.tolist(), strict=True))
+                candidates.update(zip(doc.tolist(), where[y, 0].tolist(), np.maximum(at, 0).tolist(), strict=True))
     for doc, items in index.shorter(rows):
         candidates.update((doc, item, 0) for item in items.tolist())
     best: dict[tuple[int, int], tuple[float, int]] = {}
-    for doc, item, at in sorted(candidates):
-        at = max(at, 0)
+    for doc, item, at in index.likely(rows, sorted(candidates)):
         score = index.similarity(item, rows[doc][at : at + len(index.items[item])])
         if score * 100 >= PERCENT and score > best.get((doc, item), (0.0, 0))[0]:
             best[doc, item] = score, at
@@ -172,6 +193,18 @@ def _search(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, float,
         yield doc, item, score, at
 
 
+_workers: dict[str, Index] = {}
+
+
+def _index(key: str, sent) -> Index:
+    """This worker's index of a block of items, built once; a few blocks' indexes are kept."""
+    if key not in _workers:
+        if len(_workers) > 2:
+            _workers.clear()
+        _workers[key] = Index(*sent.value)
+    return _workers[key]
+
+
 def annotate(df: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "passages", keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """`df`, or its columns `keep`, with the passages of each text: an array of (item, similarity, first_word), empty for a clean text.
 
@@ -179,18 +212,18 @@ def annotate(df: DataFrame, benchmark: DataFrame, text: str = "text", into: str
     """
     df = df.drop(into)
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.coalesce(item_text, F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = total // ITEM_BYTES + 1
+    size, count = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    parts = max(size // ITEM_BYTES, count // ITEMS) + 1
     kept = df.columns if keep is None else keep
     passage = T.StructType([T.StructField("item", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType())])
 
     def found(df: DataFrame, part: int, kept: list[str]) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).orderBy("item", "text").collect()
-        sent = df.sparkSession.sparkContext.broadcast(Index([r["item"] for r in rows], [r["text"].encode().lower() for r in rows]))
-        name = f"{into}_{part}"
+        sent = df.sparkSession.sparkContext.broadcast(([r["item"] for r in rows], [r["text"].encode().lower() for r in rows]))
+        name, key = f"{into}_{part}", uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = sent.value
+            index = _index(key, sent)
             kind = pa.list_(pa.struct([("item", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64())]))
             for batch in batches:
                 raw = text_bytes(batch.column(batch.schema.get_field_index(text)))
