@@ -242,12 +242,12 @@ def test_members_stand_alone_and_the_whole_is_still_one_stream(spark):
     pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 50) for i in range(20)], "page_id long, url string, html string")
     out = work_dir(spark, "test-warc")
     archives = warc.write(warc.classified(pages), out, 1)
-    warc.normalise(archives, out)
+    warc.normalise(archives, out, keep=True)
     name = archives.first()["archive"]
     normal = files.get(f"{out}/{name}.warc.gz")
     index = [json.loads(x) for x in files.get(f"{out}/{name}.index.jsonl").decode().splitlines()]
     one = zlib.decompressobj(wbits=31)
-    whole = one.decompress(files.get(f"{out}/{name}.whole.warc.gz"))
+    whole = one.decompress(files.get(f"{out}/{warc.WHOLE}/{name}.warc.gz"))
     assert one.eof and len(index) == 20
     assert b"".join(zlib.decompress(normal[e["offset"] : e["offset"] + e["length"]], wbits=31) for e in index) == whole
     assert warc.fetch(f"{out}/{name}.warc.gz", index[7])[1] == b"<p>7</p>" * 50

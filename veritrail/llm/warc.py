@@ -2,12 +2,13 @@
 
 `write` puts the pages' records into archives of one gzip stream each, as crawlers that compress whole files leave them. `normalise` inflates
 each such stream once, in bounded pieces, compresses each record as a member of its own and writes a sidecar index with every record's
-offset and length. `read` opens records by that index alone.
+offset and length; members and index lines go to their files as they are made, so that no archive is held in memory, one record is.
+`read` opens records by that index alone.
 
 Records with equal payloads of at least LEAST bytes are stored once: the one with the smallest page id is the response, the others are revisits
 that name it and carry no payload. Which are revisits is found on ids and digests alone: smallest ids are taken by digest before rows meet, and
-the join that brings them back is one that adaptive execution splits, since a third of all pages may have one payload. The payloads
-then meet the revisits' ids, at most once moved, and stay where they are.
+the join that brings them back is one that adaptive execution splits, since a third of all pages may have one payload. The revisits' ids are
+a written table; if it is below the session's limit for broadcasts, payloads stay where they are, else they move once to meet it.
 
 Defined results: null html is an empty payload, null url an empty target; a null page id writes its record with an empty id, is read back as null and is
 response unless another id has its payload; rows that repeat an id and a payload are all responses; an empty table writes nothing.
@@ -24,13 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm.files import get, opened, put
-from veritrail.sources.catalog import materialise
+from veritrail.llm.files import growing, lines, opened, put
+from veritrail.sources.catalog import materialise, remove
 
 LEAST = 100
 #: Bytes of records before an archive is closed, of a piece that is inflated at once, and the compression level.
 ARCHIVE, PIECE, LEVEL = 64 << 20, 1 << 20, 4
 _GZIP = 31
+#: The folder with archives as they came.
+WHOLE = "whole"
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -42,7 +45,7 @@ def classified(pages: DataFrame, id: str = "page_id", url: str = "url", html: st
     ids = rows.where(F.col("payload_bytes") >= LEAST).select("page", "payload_digest")
     first = ids.groupBy("payload_digest").agg(F.min("page").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     again = ids.join(first, "payload_digest").where(~F.col("page").eqNullSafe(F.col("least")) & F.col("least").isNotNull()).distinct()
-    again = again.select(F.col("page").alias("p"), F.col("payload_digest").alias("d"), "least")
+    again = materialise(again.select(F.col("page").alias("p"), F.col("payload_digest").alias("d"), "least"), "revisits")
     found = rows.join(again, F.col("page").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d")), "left")
     revisit = F.col("least").isNotNull()
     return found.select(
@@ -81,7 +84,7 @@ def write(records: DataFrame, out: str, archives: int | None = None) -> DataFram
 
         def close() -> pa.RecordBatch:
             name = f"crawl-{task:06d}-{made:04d}"
-            put(f"{out}/{name}.whole.warc.gz", b"".join([*parts, stream.flush()]))
+            put(f"{out}/{WHOLE}/{name}.warc.gz", b"".join([*parts, stream.flush()]))
             return pa.RecordBatch.from_pydict({"archive": [name]})
 
         for batch in batches:
@@ -142,23 +145,27 @@ def records_in(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]
         del held[:end]
 
 
-def normalise(archives: DataFrame, out: str) -> DataFrame:
-    """Rewrite each archive with a member a record and write its index; returns (archive, records)."""
+def normalise(archives: DataFrame, out: str, keep: bool = False) -> DataFrame:
+    """Rewrite each archive with a member a record and write its index; returns (archive, records). The archives as they came go once all are rewritten, unless `keep`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                members, index, at = [], [], 0
-                for headers, record in records_in(_pieces(f"{out}/{name}.whole.warc.gz")):
-                    pack = zlib.compressobj(LEVEL, wbits=_GZIP)
-                    members.append(pack.compress(record) + pack.flush())
-                    index.append({"id": headers["WARC-Record-ID"], "url": headers["WARC-Target-URI"], "type": headers["WARC-Type"], "digest": headers["WARC-Payload-Digest"], "offset": at, "length": len(members[-1])})
-                    at += len(members[-1])
-                put(f"{out}/{name}.warc.gz", b"".join(members))
-                put(f"{out}/{name}.index.jsonl", "".join(json.dumps(x) + "\n" for x in index).encode())
-                yield pa.RecordBatch.from_pydict({"archive": [name], "records": [len(index)]})
-
-    return materialise(archives.repartition(max(1, archives.count()), "archive").mapInArrow(run, "archive string, records long"), "normalised")
+                at = records = 0
+                with growing(f"{out}/{name}.warc.gz") as members, growing(f"{out}/{name}.index.jsonl") as index:
+                    for headers, record in records_in(_pieces(f"{out}/{WHOLE}/{name}.warc.gz")):
+                        pack = zlib.compressobj(LEVEL, wbits=_GZIP)
+                        member = pack.compress(record) + pack.flush()
+                        entry = {"id": headers["WARC-Record-ID"], "url": headers["WARC-Target-URI"], "type": headers["WARC-Type"], "digest": headers["WARC-Payload-Digest"], "offset": at, "length": len(member)}
+                        members.write(member)
+                        index.write(json.dumps(entry).encode() + b"\n")
+                        at, records = at + len(member), records + 1
+                yield pa.RecordBatch.from_pydict({"archive": [name], "records": [records]})
+
+    done = materialise(archives.repartition(max(1, archives.count()), "archive").mapInArrow(run, "archive string, records long"), "normalised")
+    if not keep:
+        remove(archives.sparkSession, f"{out}/{WHOLE}")
+    return done
 
 
 def fetch(uri: str, entry: dict) -> tuple[dict[str, str], bytes]:
@@ -186,10 +193,10 @@ def read(spark: SparkSession, archives: DataFrame, out: str) -> DataFrame:
         kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                index, rows, size = get(f"{out}/{name}.index.jsonl").decode().splitlines(), [], 0
+                rows, size = [], 0
                 fs, path = opened(f"{out}/{name}.warc.gz")
                 with fs.open_input_file(path) as f:
-                    for entry in map(json.loads, index):
+                    for entry in map(json.loads, lines(f"{out}/{name}.index.jsonl")):
                         f.seek(entry["offset"])
                         h, payload = parsed(f.read(entry["length"]))
                         refers = h.get("WARC-Refers-To")
