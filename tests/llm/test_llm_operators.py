@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import json
+import math
 import random
 import re
 import threading
@@ -400,14 +401,87 @@ def test_quality_of_awkward_rows(spark, edge, empty, edge_rows):
     assert {r["score"] for r in quality_model.score(edge, quality_model.fit(edge, labels.limit(0))).collect()} == {0.5}
 
 
+def _bags(draw, texts):
+    passages = draw.integers(1, 4, texts)
+    n = int(passages.sum())
+    at = np.sort(draw.integers(0, n, 9 * n))
+    return quality_model.Bags(draw.normal(0, 1, (n, quality_model.WIDTH)), passages, at, *(draw.integers(0, 40, len(at)) for _ in range(2)))
+
+
 def test_attention_weighs_passages():
     draw = np.random.default_rng(0)
-    x = draw.normal(0, 1, (300, quality_model.WIDTH))
-    passages = np.full(100, 3)
+    bags = _bags(draw, 100)
     label = (np.arange(100) % 2).astype(float)
-    x[::3, 0] += 4 * label
-    model = quality_model.train(x, passages, label)
-    assert ((model.scores(x, passages) > 0.5) == label).mean() > 0.95
+    bags.x[np.cumsum(bags.passages) - bags.passages, 0] += 4 * label
+    model = quality_model.train(bags, label)
+    assert ((model.scores(bags) > 0.5) == label).mean() > 0.95
+
+
+def test_words_of_a_passage_are_learned():
+    draw = np.random.default_rng(1)
+    bags, label = _bags(draw, 200), (np.arange(200) % 2).astype(float)
+    bags.word[:] = np.where(np.repeat(label, bags.passages)[bags.at] == 1, bags.word + 40, bags.word)
+    held = _bags(draw, 50)
+    model = quality_model.train(bags, label)
+    assert (model.scores(held) < 0.5).all() and ((model.scores(bags) > 0.5) == label).all()
+
+
+def test_scores_are_those_of_a_plain_forward_pass():
+    draw = np.random.default_rng(2)
+    bags, label = _bags(draw, 30), (np.arange(30) % 2).astype(float)
+    model = quality_model.train(bags, label)
+    p, row, want = model.layers, 0, []
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    for n in bags.passages:
+        codes, weights = [], []
+        for k in range(row, row + n):
+            u = []
+            for table, bucket in ((p["words"], bags.word), (p["pairs"], bags.pair)):
+                mine = [table[bucket[i]] for i in range(len(bags.at)) if bags.at[i] == k]
+                u += [sum(float(v[j]) for v in mine) / max(1, len(mine)) for j in range(quality_model.DIM)]
+            x = [(bags.x[k, j] - model.mean[j]) / model.scale[j] for j in range(quality_model.WIDTH)]
+            e = [math.tanh(sum(a * w for a, w in zip(x, p["encode"][:, h])) + sum(a * w for a, w in zip(u, p["mix"][:, h])) + p["encode_b"][h]) for h in range(quality_model.HIDDEN)]
+            gates = [math.tanh(sum(a * w for a, w in zip(e, p["tanh"][:, h]))) * sigmoid(sum(a * w for a, w in zip(e, p["gate"][:, h]))) for h in range(quality_model.GATE)]
+            codes.append(e)
+            weights.append(math.exp(sum(a * w for a, w in zip(gates, p["attend"]))))
+        z = [sum(w * e[h] for w, e in zip(weights, codes)) / sum(weights) for h in range(quality_model.HIDDEN)]
+        want.append(sigmoid(sum(a * w for a, w in zip(z, p["score"])) + p["score_b"][0]))
+        row += n
+    assert np.allclose(model.scores(bags), want, atol=1e-5)
+
+
+def test_gradients_are_those_of_small_steps():
+    draw = np.random.default_rng(3)
+    bags, label = _bags(draw, 12), (np.arange(12) % 2).astype(float)
+    model = quality_model.train(bags, label)
+    model.layers = {k: v.astype(np.float64) for k, v in model.layers.items()}
+    x, n, weight = (bags.x - model.mean) / model.scale, len(bags.x), np.full(12, 1 / 12)
+    shares = [quality_model._shares(bags.at, b, n).astype(np.float64) for b in (bags.word, bags.pair)]
+
+    def loss():
+        u = np.concatenate([shares[0] @ model.layers["words"], shares[1] @ model.layers["pairs"]], axis=1)
+        s = model._forward(x, u, bags.passages)["score"]
+        return -(weight * np.where(label == 1, np.log(s), np.log(1 - s))).sum()
+
+    for name, g in quality_model.gradients(model, x, shares, bags.passages, label, weight).items():
+        flat = model.layers[name].reshape(-1)
+        for at in draw.choice(len(flat), min(6, len(flat)), replace=False):
+            keep, sides = flat[at], []
+            for step in (1e-5, -1e-5):
+                flat[at] = keep + step
+                sides.append(loss())
+            flat[at] = keep
+            assert abs((sides[0] - sides[1]) / 2e-5 - np.reshape(g, -1)[at]) < 1e-6, name
+
+
+def test_passages_are_drawn_evenly_and_in_bounds():
+    texts = [" ".join(f"w{i}" for i in range(n)).encode() for n in (0, 10, 64, 700, 6400)]
+    bags = quality_model.encode(texts)
+    assert bags.passages.tolist() == [1, 1, 1, 11, 100]
+    few = bags.spread(12)
+    assert few.passages.tolist() == [1, 1, 1, 11, 12] and len(few.x) == 26 and few.at.max() == 25 and len(few.at) == 10 + 64 + 700 + 12 * 64
+    one = few.first(20)
+    assert one.passages.tolist() == [1, 1, 1, 11] and len(one.at) == 774 and (one.word == few.word[:774]).all()
 
 
 # 8. token files
