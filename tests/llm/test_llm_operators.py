@@ -606,7 +606,7 @@ def near_copies():
     return [(i, t.upper() if draw.random() < 0.2 else t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("block,few", [(512, 64), (3, 2)])
+@pytest.mark.parametrize("block,few", [(256, 64), (3, 2)])
 def test_components_are_those_of_all_pairs(spark, near_copies, monkeypatch, block, few):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "FEW", few)

@@ -42,7 +42,7 @@ PERCENT = 80
 COMMON, LEAST_COMMON, COUNTED = 1 << 17, 16, 1 << 22
 #: Texts that share a shingle and are still paired one by one; a set of n shingles must share n // SHARE + 2 with another.
 FEW, SHARE = 64, 16
-BLOCK, FAN_OUT, CHUNK = 512, 8, 1 << 14
+BLOCK, FAN_OUT, CHUNK = 256, 8, 1 << 14
 
 
 def _sets(batch: pa.RecordBatch, text: str, width: int) -> Iterator[np.ndarray]:
@@ -110,15 +110,19 @@ def _common(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first_shingles(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(id, n, need, token) for the first shingles of each set, of which similar sets share `need`. `common`: shingles, sorted, and how many texts have each."""
+    """(class, id, n, need, tokens): each class with its smallest id and the first shingles of its set, of which similar sets share `need`.
+
+    `common`: shingles, sorted, and how many texts have each. Copies become one row in the task that reads them, and one in all after that.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = sent.value
         for batch in batches:
-            first, length, size, need = [], [], [], []
+            first, length, size, need, key = [], [], [], [], []
             for s in _sets(batch, "text", width):
                 least = (percent * len(s) + 99) // 100
+                key.append(_class(s))
                 size.append(len(s))
                 need.append(min(len(s) // SHARE + 2, least))
                 m = len(s) - least + need[-1]
@@ -129,9 +133,11 @@ def _first_shingles(docs: DataFrame, common: np.ndarray, width: int, percent: in
                 length.append(m)
             flat = np.concatenate(first) if first else np.zeros(0, np.int64)
             tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), pa.array(size, pa.int32()), pa.array(need, pa.int32()), tokens], names=["id", "n", "need", "tokens"])
+            columns = [batch.column(batch.schema.get_field_index("id")), pa.array(key, pa.binary()), pa.array(size, pa.int64()), pa.array(need, pa.int32()), tokens]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "class", "n", "need", "tokens"])
 
-    return docs.mapInArrow(run, "id long, n int, need int, tokens array<long>").select("id", "n", "need", F.explode("tokens").alias("token"))
+    every = docs.where("id is not null").mapInArrow(run, "id long, class binary, n long, need int, tokens array<long>").where("n > 0")
+    return every.groupBy("class").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "need", "tokens")))
 
 
 def _paired(few: DataFrame, percent: int) -> DataFrame:
@@ -153,14 +159,13 @@ def _chained(many: DataFrame, percent: int) -> DataFrame:
     return inside.unionByName(across).where(near).select(F.least("id", "o.id").alias("src"), F.greatest("id", "o.id").alias("dst"))
 
 
-def _near(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, percent: int) -> DataFrame:
+def _near(classes: DataFrame, percent: int) -> DataFrame:
     """(node, component): texts that may be similar, or hang together by texts that may be, are of one component."""
-    spark = texts.sparkSession
-    first, first_at = written(_first_shingles(texts, common, width, percent), "first")
+    spark, first = classes.sparkSession, classes.select("id", F.col("n").cast("int").alias("n"), "need", F.explode("tokens").alias("token"))
     often, often_at = written(first.groupBy("token").agg(F.count("*").alias("texts")).where(F.col("texts") > FEW).select("token"), "often")
     many, many_at = written(first.join(often, "token").select("token", "n", "id").repartitionByRange("token", "n", "id").withColumn("part", F.spark_partition_id()), "many")
     near = connected_components(_paired(first.join(often, "token", "left_anti"), percent).unionByName(_chained(many, percent)))
-    for at in (first_at, often_at, many_at):
+    for at in (often_at, many_at):
         remove(spark, at)
     return near
 
@@ -344,9 +349,10 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     """One row for each row of `docs`: `id`, n_shingles and component_id."""
     named = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     sized, shared = shingle_sets(named, width)
-    classes = materialise(sized.where("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n")), "classes")
-    near = _near(named.join(classes.select("id"), "id", "left_semi"), _common(shared), width, percent)
+    classes = materialise(_first_shingles(named, _common(shared), width, percent), "classes")
+    near = _near(classes, percent)
 
+    classes = classes.select("class", "id", "n")
     members = classes.join(near.withColumnRenamed("node", "id"), "id").select("component", "id", "n", "class")
     several = members.groupBy("component").agg(F.count("*").alias("classes")).where("classes > 1")
     placed = materialise(members.join(several, "component"), "placed")
