@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veritrail.functions import text
-from veritrail.operators import access, analytics, graph, layout, reports, rings, scoring, similarity, training
+from veritrail.operators import access, analytics, graph, layout, parsing, ranks, reads, reports, rings, scoring, similarity, training
 
 
 def one(spark, value, expression):
@@ -203,7 +203,7 @@ def test_overlapping_boxes_and_lines(spark):
     df = spark.createDataFrame(boxes, "page int, region int, x1 int, y1 int, x2 int, y2 int")
     kept = layout.without_overlaps(df)
     assert sorted(r["region"] for r in kept.collect()) == [1, 3, 4]
-    merged = layout.merged_lines(layout.lines(kept))
+    merged = layout.merged_lines(layout.lines(kept.withColumns({"column": F.lit(0), "confidence": F.lit(0.5)})))
     assert sorted((r["x1"], r["x2"], r["boxes"]) for r in merged.collect()) == [(0, 50, 1), (0, 130, 2)]
 
 
@@ -248,3 +248,98 @@ def test_stream_of_limits_goes_on_from_batch_to_batch(spark, tmp_path):
     want = {(r["event_id"], r["limited"]) for r in access.rate_limited(df, "user_id", "ts", "event_id", 3, 36_000).collect()}
     got = events.limited(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path), 3, 36_000).collect()
     assert len(days) > 3 and len(got) == 300 and {(r["event_id"], r["limited"]) for r in got} == want
+
+
+def _plain_lines(boxes):
+    """The lines of one column by the rules, box by box; boxes are (region, x1, y1, x2, y2)."""
+    heights = sorted(y2 - y1 for _, _, y1, _, y2 in boxes)
+    median = (heights[(len(heights) - 1) // 2] + heights[len(heights) // 2]) / 2
+    cut = [part for r, x1, y1, x2, y2 in boxes for part in ([(r, x1, y1, x2, y1 + (y2 - y1) // 2), (r, x1, y1 + (y2 - y1) // 2, x2, y2)] if y2 - y1 > 1.8 * median else [(r, x1, y1, x2, y2)])]
+    lines = []
+    for box in sorted(cut, key=lambda b: ((b[2] + b[4]) / 2, b[1], b[0])):
+        _, x1, y1, x2, y2 = box
+        fits = []
+        for k, line in enumerate(lines):
+            mean = sum((b[2] + b[4]) / 2 for b in line) / len(line)
+            top, bottom, right = min(b[2] for b in line), max(b[4] for b in line), max(b[3] for b in line)
+            away = abs((y1 + y2) / 2 - mean)
+            if away <= max(10, 0.4 * median) and all(min(x2, b[3]) - max(x1, b[1]) <= 8 for b in line):
+                if max(bottom, y2) - min(top, y1) <= 1.6 * max(y2 - y1, bottom - top, median) and x1 - right <= 1.8 * max(y2 - y1, bottom - top):
+                    fits.append((away, k))
+        if fits:
+            lines[min(fits)[1]].append(box)
+        else:
+            lines.append([box])
+    return sorted((min(b[1] for b in x), min(b[2] for b in x), max(b[3] for b in x), max(b[4] for b in x), len(x)) for x in lines)
+
+
+def test_lines_are_those_of_the_rules(spark):
+    draw = random.Random(3)
+    pages = {p: [(r, x := draw.randrange(0, 900), y := draw.choice([0, 4, 9, 30, 33, 60]) + draw.randrange(6), x + draw.randrange(10, 90), y + draw.choice([12, 16, 20, 24, 60])) for r in range(draw.randrange(1, 40))] for p in range(12)}
+    rows = [(p, r, *box, 0, 0.5) for p, boxes in pages.items() for r, *box in boxes]
+    df = spark.createDataFrame(rows, "page int, region int, x1 int, y1 int, x2 int, y2 int, column int, confidence double")
+    got = defaultdict(list)
+    for r in layout.merged_lines(layout.lines(df)).collect():
+        got[r["page"]].append((r["x1"], r["y1"], r["x2"], r["y2"], r["boxes"]))
+    assert {p: sorted(x) for p, x in got.items()} == {p: _plain_lines(boxes) for p, boxes in pages.items()}
+    assert any(n > 1 for x in got.values() for *_, n in x)
+
+
+def test_last_gutter_goes_if_it_leaves_no_column(spark):
+    df = spark.createDataFrame([(1, 100, 140), (1, 300, 340), (1, 921, 935), (2, 950, 990)], "page int, x1 int, x2 int")
+    assert {r["page"]: r["gutters"] for r in layout.spaced_gutters(df, 1000).collect()} == {1: [320, 928], 2: []}
+    narrow = spark.createDataFrame([(1, 300, 340), (1, 926, 940)], "page int, x1 int, x2 int")
+    assert layout.spaced_gutters(narrow, 1000).first()["gutters"] == [320]
+
+
+def test_sections_of_a_paper(spark):
+    said = [
+        (1, "Name: Ada  "), (1, "Question 1: Why?"), (1, "(a) First part"), (1, "and more of it?"), (1, "because"), (2, "Ans: since"), (2, "E = mc2"), (2, "   "), (2, "Q2) " + "long prompt " * 3), (2, "goes on"),
+    ]
+    rows = [("d", i, page, t, 0.9 if i != 4 else 0.5, "FORMULA" if "=" in t else "TEXT", False) for i, (page, t) in enumerate(said)] + [("e", 0, 1, "only text", 0.25, "TEXT", True), ("e", 1, 1, "", 0.5, "TEXT", True), ("f", 0, 1, None, 0.5, "TEXT", False)]
+    df = spark.createDataFrame(rows, "doc string, place int, page int, text string, confidence double, content_type string, needs_review boolean")
+    got = {(r["doc"], r["section"]): r for r in parsing.sections(df).collect()}
+    one, two = got["d", 1], got["d", 2]
+    assert one["question"] == "Why? (a) First part" and one["answer"] == "and more of it? because since\n\nE = mc2" and one["parts"] == ["a"] and one["number"] == "1"
+    assert one["confidence"] == 0.8 and one["regions"] == 6  # ((((0.9 + 0.9)/2 + 0.9)/2 + 0.5)/2 + 0.9)/2
+    assert (two["question"], two["answer"], two["page"]) == (("long prompt " * 3).strip(), "goes on", 2) and got["e", 1]["answer"] == "only text" and len(got) == 3
+    docs = {r["doc"]: r for r in parsing.documents(df).collect()}
+    assert docs["d"]["name"] == "Ada" and docs["d"]["sections"] == 2 and docs["e"]["title"] == "only text" and docs["f"]["sections"] == 0 and docs["f"]["confidence"] == 0.5
+
+
+def test_access_of_every_role(spark):
+    user = lambda role, action, owner: reads.reaches_submission(F.lit(role), F.lit(1), F.lit(action), F.lit(owner), F.array(F.struct(F.lit("Maths").alias("subject"), F.lit("").alias("section"))), F.lit("A"), F.lit("maths II"))
+    cases = {("admin", "delete", 2): True, ("hod", "read", 2): True, ("hod", "delete", 2): False, ("student", "delete", 1): True, ("student", "read", 2): False, ("teacher", "read", 2): True, ("teacher", "delete", 2): False, ("guest", "read", 1): False, (None, "read", 1): False}
+    got = spark.range(1).select(*(user(*c).alias(str(i)) for i, c in enumerate(cases))).first()
+    assert list(got) == list(cases.values())
+
+
+def test_fifth_wrong_code_burns_the_link(spark):
+    now = dt.datetime(2024, 1, 31)
+    df = spark.createDataFrame([(1, 3, False), (2, 4, False), (3, 4, True), (4, 4, None)], "id int, tries int, good boolean").withColumns({"now": F.lit(now), "sent": F.lit(now - dt.timedelta(minutes=10))})
+    s = access.reset_outcome(F.lit(False), F.col("now"), F.lit("10.0.0.1"), F.lit("10.0.0.2"), F.col("sent"), F.col("tries"), F.col("good"), F.col("now"))
+    assert [tuple(r["s"]) for r in df.select("id", s.alias("s")).orderBy("id").collect()] == [("wrong code", 4, False), ("wrong code", 5, True), ("accepted", 4, False), ("code needed", 4, False)]
+
+
+def test_exact_means_do_not_depend_on_order(spark):
+    values = [53.24975] * 2 + [0.1] * 10 + [0.2] * 10
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert df.agg(analytics.rounded_mean("v", 4)).first()[0] == df.orderBy(F.desc("v")).agg(analytics.rounded_mean("v", 4)).first()[0]
+    tie = spark.createDataFrame([(2129.99,)] + [(0.0,)] * 39 + [(None,)], "v double")
+    assert tie.agg(analytics.rounded_mean("v", 4)).first()[0] == 53.2498 and tie.where("v is null").agg(analytics.rounded_mean("v", 4)).first()[0] is None
+
+
+def test_quantiles_over_ranges_are_exact(spark):
+    draw = random.Random(4)
+    values = [draw.choice([1.5, 2.0, draw.random() * 10]) for _ in range(501)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    q = ranks.quantiles(df, "v", (0.25, 0.5, 0.9)).first()["q"]
+    s = sorted(values)
+    assert q == pytest.approx([s[125], s[250], s[450]])
+    assert ranks.quantiles(df.limit(0), "v", (0.5,)).first()["q"] == [None]
+
+
+def test_phrases_count_as_written(spark):
+    said = "let's dive in, in today's fast-paced world; prior to begin with. multifacetedly rapidly, changing"
+    got = spark.range(1).select(text.phrase_hits(F.lit(said), ("let's dive in", "in today's fast-paced", "prior to", "to begin with", "multifaceted", "rapidly changing")).alias("n")).first()
+    assert got["n"] == 4

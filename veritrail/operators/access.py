@@ -25,6 +25,8 @@ ROLES = {
 #: Requests and seconds by action; any other action has the last.
 POLICIES = {"login": (10, 300), "login_account": (5, 300), "register": (15, 3600), "forgot_password": (5, 900), "reset_password": (5, 900), "resend_verification": (3, 900), "": (20, 60)}
 ABSOLUTE, IDLE, PURGE_DAYS = 86_400, 1800, 7
+#: How long a code is good, how many wrong ones burn a link, and addresses that are the machine's own.
+CODE_MINUTES, CODE_TRIES, LOCAL = 10, 5, ("testclient", "127.0.0.1", "localhost")
 
 
 def permitted(role: Column, permission: Column) -> Column:
@@ -104,3 +106,39 @@ def sessions(requests: DataFrame, key: str, at: str, id: str, absolute: int = AB
 
     fields = [T.StructField("session", T.LongType()), T.StructField("opened", T.BooleanType())]
     return _in_order(requests, key, [at, id], fields, dict, step)
+
+
+def limited_by_both(requests: DataFrame, first: str, second: str, at: str, id: str, first_policy: tuple[int, int], second_policy: tuple[int, int]) -> DataFrame:
+    """`requests` with `limited_by`: the key whose limit refused it, null if both let it pass. What the first refuses never reaches the second."""
+    one = rate_limited(requests, first, at, id, *first_policy).withColumnRenamed("limited", "first_limited").drop("retry_after")
+    passed = rate_limited(one.where(~F.col("first_limited")), second, at, id, *second_policy)
+    two = passed.select(*requests.columns, F.when(F.col("limited"), F.lit(second)).alias("limited_by"))
+    return one.where("first_limited").select(*requests.columns, F.lit(first).alias("limited_by")).unionByName(two)
+
+
+def revoked_all(sessions: DataFrame, users: DataFrame, user: str) -> tuple[DataFrame, DataFrame]:
+    """(sessions with all of `users` revoked, (user, revoked): how many were live until then)."""
+    wanted = users.select(user).distinct().withColumn("_wanted", F.lit(True))
+    marked = sessions.join(wanted, user, "left").withColumn("_wanted", F.coalesce("_wanted", F.lit(False)))
+    after = marked.withColumn("is_revoked", F.col("is_revoked") | F.col("_wanted")).select(sessions.columns)
+    return after, marked.where("_wanted").groupBy(user).agg(F.count_if(~F.col("is_revoked")).alias("revoked"))
+
+
+def rotated(sessions: DataFrame, old: DataFrame, fresh: DataFrame, id: str) -> DataFrame:
+    """`sessions` with those of `old` revoked and `fresh` ones opened, in one version of the table."""
+    gone = old.select(id).distinct().withColumn("_gone", F.lit(True))
+    revoked = sessions.join(gone, id, "left").withColumn("is_revoked", F.col("is_revoked") | F.coalesce("_gone", F.lit(False))).select(sessions.columns)
+    return revoked.unionByName(fresh, allowMissingColumns=True)
+
+
+def reset_outcome(used: Column, expires: Column, issued_to: Column, client: Column, code_sent: Column, tries: Column, code_right: Column, now: Column) -> Column:
+    """Struct of outcome, attempts and burnt for an attempt at a reset. Another address than the link's needs a code, which is good for ten minutes; the
+    fifth wrong one burns the link. `code_right` is null where no code was given."""
+    risky = F.coalesce(issued_to != client, F.lit(False)) & ~client.isin(*LOCAL)
+    outcome = (
+        F.when(used, "used").when(now > expires, "expired").when(~risky, "accepted").when(code_right.isNull(), "code needed")
+        .when(now > code_sent + F.expr(f"INTERVAL {CODE_MINUTES} MINUTES"), "code expired").when(code_right, "accepted").otherwise("wrong code")
+    )
+    wrong = outcome == "wrong code"
+    after = tries + F.when(wrong, 1).otherwise(0)
+    return F.struct(outcome.alias("outcome"), after.alias("attempts"), (wrong & (after >= CODE_TRIES)).alias("burnt"))

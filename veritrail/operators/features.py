@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions import fixed, text
-from veritrail.operators import models
+from veritrail.operators import models, scoring
 
 FEATURES = list(fixed.FEATURES)
-#: What the language model's features are where it gives none.
-WITHOUT_MODEL = {"mean_perplexity": 50.0, "perplexity_variance": 1.0, "entropy": 3.0}
+WITHOUT_MODEL = scoring.NO_STATISTICS
 
 
 def of_text(column: Column) -> Column:

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 #: Fixed values, as shares of the page unless they are pixels or ratios.
 TALL, HEADER_PIXELS, HEADER, WIDE_HEADER, FOOTER, SPANNING = 1.8, 45, 0.05, 0.18, 0.92, 0.55
 BODY_TOP, VALLEY, GUTTER_PIXELS, COLUMN, LEAST_BOXES = 0.04, 0.12, 14, 0.12, 6
+MARGINS, LAST_COLUMN, GROUPED = (0.08, 0.94), 0.6, 8
+LEAD_IN, LEAD_OUT = 22, 15
 OVERLAP, LINE_PIXELS, LINE_SHARE, SIDE_PIXELS, GROWTH, GAP = 0.70, 10, 0.4, 8, 1.6, 1.8
 
 
@@ -40,12 +42,15 @@ def reading_order(boxes: DataFrame, width: Column, height: Column, column: Colum
 
 
 def valleys(boxes: DataFrame, width: float, height: float, page: str = "page") -> DataFrame:
-    """(page, x1, x2) of gutters: stretches across which few of the body's narrow boxes reach.
+    """(page, x1, x2) of gutters: stretches between the margins across which few of the body's narrow boxes reach.
 
     Boxes are swept from left to right: their number changes only where one begins or ends, so that a page's work grows with its boxes, not its pixels.
     """
     body = boxes.where((F.col("y1") >= BODY_TOP * height) & (F.col("y2") <= FOOTER * height) & ((F.col("x2") - F.col("x1")) < SPANNING * width))
-    ends = body.select(page, F.explode(F.array(F.struct(F.col("x1").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x2").alias("x"), F.lit(-1).alias("d")))).alias("e")).select(page, "e.x", "e.d")
+    left, right = (int(m * width) for m in MARGINS)
+    inside = lambda c: F.least(F.greatest(F.col(c).cast("int"), F.lit(left)), F.lit(right))
+    end = lambda x, d: F.struct(x.alias("x"), F.lit(d).alias("d"))
+    ends = body.select(page, F.explode(F.array(end(inside("x1"), 1), end(inside("x2"), -1), end(F.lit(left), 0), end(F.lit(right), 0))).alias("e")).select(page, "e.x", "e.d")
     by_x = ends.groupBy(page, "x").agg(F.sum("d").alias("d"), F.count_if(F.col("d") == 1).alias("begun"))
     w, all_ = Window.partitionBy(page).orderBy("x"), Window.partitionBy(page)
     level = by_x.select(page, "x", F.sum("d").over(w).alias("level"), F.lead("x").over(w).alias("next"), F.sum("begun").over(all_).alias("boxes")).where("next is not null")
@@ -56,15 +61,35 @@ def valleys(boxes: DataFrame, width: float, height: float, page: str = "page") -
 
 
 def spaced_gutters(gutters: DataFrame, width: float, page: str = "page") -> DataFrame:
-    """(page, gutters): middles of gutters from left to right, each at least a column's width after the one kept before it, and after the margin."""
-    mids = F.array_sort(F.collect_list((F.col("x1") + F.col("x2")) / 2))
-    start = F.struct(F.array().cast("array<double>").alias("kept"), F.lit(0.0).alias("last"))
+    """(page, gutters): middles of gutters from left to right. The first begins a column's width from the edge at least, the others lie as far from the
+    one kept before them; the last goes if it leaves too narrow a column behind it."""
+    least = int(COLUMN * width)
+    listed = F.array_sort(F.collect_list(F.struct("x1", "x2")))
 
-    def keep(state: Column, x: Column) -> Column:
-        far = x - state["last"] >= COLUMN * width
-        return F.struct(F.when(far, F.concat(state["kept"], F.array(x))).otherwise(state["kept"]).alias("kept"), F.when(far, x).otherwise(state["last"]).alias("last"))
+    def keep(kept: Column, g: Column) -> Column:
+        mid = F.floor((g["x1"] + g["x2"]) / 2).cast("int")
+        far = F.when(F.size(kept) == 0, g["x1"] >= least).otherwise(mid - F.try_element_at(kept, F.lit(-1)) >= least)
+        return F.when(far, F.concat(kept, F.array(mid))).otherwise(kept)
 
-    return gutters.groupBy(page).agg(mids.alias("mids")).select(page, F.aggregate("mids", start, keep, lambda s: s["kept"]).alias("gutters"))
+    narrow = width - F.try_element_at("gutters", F.lit(-1)) < LAST_COLUMN * least
+    found = gutters.groupBy(page).agg(listed.alias("listed")).select(page, F.aggregate("listed", F.array().cast("array<int>"), keep).alias("gutters"))
+    return found.select(page, F.when(F.coalesce(narrow, F.lit(False)), F.slice("gutters", 1, F.size("gutters") - 1)).otherwise(F.col("gutters")).alias("gutters"))
+
+
+def column_ranges(boxes: DataFrame, width: int, height: int, page: str = "page") -> DataFrame:
+    """(page, column, x1, x2): the stretches between a page's gutters, one over the whole width where there are none."""
+    found = spaced_gutters(valleys(boxes, width, height, page), width, page)
+    cuts = F.concat(F.array(F.lit(0)), F.coalesce("gutters", F.array().cast("array<int>")), F.array(F.lit(width)))
+    ranges = F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), lambda i: F.struct((i - 1).alias("column"), F.element_at("cuts", i).alias("x1"), F.element_at("cuts", i + 1).alias("x2")))
+    return boxes.select(page).distinct().join(found, page, "left").withColumn("cuts", cuts).select(page, F.explode(ranges).alias("r")).select(page, "r.*")
+
+
+def in_columns(boxes: DataFrame, width: int, height: int, page: str = "page") -> DataFrame:
+    """`boxes` with the column that holds their middle; pages of few boxes have one."""
+    cuts = spaced_gutters(valleys(boxes, width, height, page), width, page)
+    many = boxes.groupBy(page).agg(F.count("*").alias("_boxes")).where(F.col("_boxes") >= GROUPED)
+    joined = boxes.join(many.join(cuts, page).select(page, "gutters"), page, "left")
+    return joined.withColumn("column", F.coalesce(column_of(F.col("gutters")), F.lit(0))).drop("gutters")
 
 
 def column_of(gutters: Column) -> Column:
@@ -72,6 +97,16 @@ def column_of(gutters: Column) -> Column:
     return F.size(F.filter(gutters, lambda g: g <= (F.col("x1") + F.col("x2")) / 2))
 
 
+def column_spans(boxes: DataFrame, width: int, page: str = "page", column: str = "column") -> DataFrame:
+    """(page, column, x1, x2): columns numbered anew from 0, each reaching to the middle of the gutters at its sides, and a little over its boxes."""
+    w = Window.partitionBy(page).orderBy(column)
+    b = boxes.groupBy(page, column).agg(F.min("x1").alias("a"), F.max("x2").alias("b"))
+    b = b.withColumns({"n": F.row_number().over(w) - 1, "before": F.lag("b").over(w), "after": F.lead("a").over(w)})
+    left = F.greatest(F.lit(0), F.least(F.floor((F.col("before") + F.col("a")) / 2), F.col("a") - LEAD_IN))
+    right = F.least(F.lit(width), F.greatest(F.floor((F.col("b") + F.col("after")) / 2), F.col("b") + LEAD_OUT))
+    return b.select(page, F.col("n").alias("column"), F.when(F.col("before").isNull(), 0).otherwise(left).cast("int").alias("x1"), F.when(F.col("after").isNull(), width).otherwise(right).cast("int").alias("x2"))
+
+
 def row_bands(anchors: DataFrame, page: str = "page", id: str = "region") -> DataFrame:
     """(page, row, low, high): each anchor's stretch of the page, to half-way to its neighbours, the outer ones open."""
     mid = (F.col("y1") + F.col("y2")) / 2
@@ -122,41 +157,67 @@ def without_overlaps(boxes: DataFrame, page: str = "page") -> DataFrame:
     return boxes.groupBy(page).applyInPandas(_without_overlaps, boxes.schema)
 
 
-def _lines(page: pd.DataFrame) -> pd.DataFrame:
-    page = page.sort_values(["y1", "x1", "region"]).reset_index(drop=True)
-    reach = max(LINE_PIXELS, LINE_SHARE * float((page["y2"] - page["y1"]).median()))
-    lines: list[dict] = []
-    line_of = []
-    for r in page.itertuples(index=False):
-        mid, best, least = (r.y1 + r.y2) / 2, None, None
-        for i, line in enumerate(lines):
-            distance = abs(mid - (line["y1"] + line["y2"]) / 2)
-            height = line["y2"] - line["y1"]
-            over = min(min(r.x2, x2) - max(r.x1, x1) for x1, x2 in line["boxes"]) if len(line["boxes"]) == 1 else max(min(r.x2, x2) - max(r.x1, x1) for x1, x2 in line["boxes"])
-            taller = max(line["y2"], r.y2) - min(line["y1"], r.y1)
-            gap = max(r.x1 - line["x2"], line["x1"] - r.x2)
-            if distance <= reach and over <= SIDE_PIXELS and taller <= GROWTH * max(height, r.y2 - r.y1) and gap <= GAP * max(height, r.y2 - r.y1) and (least is None or distance < least):
-                best, least = i, distance
-        if best is None:
-            lines.append({"x1": r.x1, "y1": r.y1, "x2": r.x2, "y2": r.y2, "boxes": [(r.x1, r.x2)]})
-            line_of.append(len(lines))
-        else:
-            line = lines[best]
-            line.update(x1=min(line["x1"], r.x1), y1=min(line["y1"], r.y1), x2=max(line["x2"], r.x2), y2=max(line["y2"], r.y2))
-            line["boxes"].append((r.x1, r.x2))
-            line_of.append(best + 1)
-    return page.assign(line=line_of)
-
-
-def lines(boxes: DataFrame, page: str = "page") -> DataFrame:
-    """Boxes with the line they belong to: the nearest open line that they fit in height and place, or a new one."""
-    schema = T.StructType([*boxes.schema.fields, T.StructField("line", T.IntegerType())])
-    return boxes.groupBy(page).applyInPandas(_lines, schema)
-
-
-def merged_lines(with_lines: DataFrame, page: str = "page") -> DataFrame:
-    """One box a line, with the number of boxes in it."""
-    return with_lines.groupBy(page, "line").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("boxes"))
+class _Line:
+    """An open line: its box, the sum of its boxes' middles, and their sides."""
+
+    def __init__(self) -> None:
+        self.x2, self.y1, self.y2, self.mids, self.sides = -1.0, float("inf"), float("-inf"), [], []
+
+    def take(self, r) -> None:
+        self.x2, self.y1, self.y2 = max(self.x2, r.x2), min(self.y1, r.y1), max(self.y2, r.y2)
+        self.mids.append((r.y1 + r.y2) / 2)
+        self.sides.append((r.x1, r.x2))
+
+    def distance(self, r, median: float) -> float | None:
+        """How far a box's middle is from the line's, or None if it can't be of it."""
+        away, own, height = abs((r.y1 + r.y2) / 2 - sum(self.mids) / len(self.mids)), r.y2 - r.y1, self.y2 - self.y1
+        if away > max(LINE_PIXELS, LINE_SHARE * median) or any(min(r.x2, b) - max(r.x1, a) > SIDE_PIXELS for a, b in self.sides):
+            return None
+        if max(self.y2, r.y2) - min(self.y1, r.y1) > GROWTH * max(own, height, median) or r.x1 - self.x2 > GAP * max(own, height):
+            return None
+        return away
+
+
+def _lines(part: pd.DataFrame) -> pd.DataFrame:
+    part = part.assign(mid=(part["y1"] + part["y2"]) / 2).sort_values(["mid", "x1", "region"], kind="stable").drop(columns="mid")
+    open_: list[_Line] = []
+    number = []
+    for r in part.itertuples(index=False):
+        near = [(d, k) for k, line in enumerate(open_) if (d := line.distance(r, r.median)) is not None]
+        k = min(near)[1] if near else len(open_)
+        if not near:
+            open_.append(_Line())
+        open_[k].take(r)
+        number.append(k + 1)
+    return part.assign(line=number).drop(columns="median")
+
+
+def lines(boxes: DataFrame, page: str = "page", column: str = "column") -> DataFrame:
+    """Boxes of each column, tall ones in two halves, with the line they belong to.
+
+    From the top, by their middles: a box goes to the open line whose mean middle is nearest, of those that it fits in height and side by side, or
+    begins a new one. A column of a page is one group, as large as a page.
+    """
+    height = F.col("y2") - F.col("y1")
+    middle = boxes.groupBy(page, column).agg(F.median(height).alias("median"))
+    half = F.floor((F.col("y1") + F.col("y2")) / 2)
+    parts = F.when(height > TALL * F.col("median"), F.array(F.struct("y1", half.cast(boxes.schema["y2"].dataType).alias("y2")), F.struct(half.cast(boxes.schema["y1"].dataType).alias("y1"), "y2"))).otherwise(F.array(F.struct("y1", "y2")))
+    rest = [c for c in boxes.columns if c not in ("y1", "y2")]
+    split = boxes.join(middle, [page, column]).select(*rest, F.explode(parts).alias("part"), "median").select(*rest, "part.y1", "part.y2", "median")
+    schema = T.StructType([*(f for f in split.schema.fields if f.name != "median"), T.StructField("line", T.IntegerType())])
+    return split.groupBy(page, column).applyInPandas(_lines, schema)
+
+
+def merged_lines(with_lines: DataFrame, page: str = "page", column: str = "column") -> DataFrame:
+    """One box a line, numbered through the page column by column, with its boxes, their mean confidence and its proportions."""
+    thousandths, n = F.sum(F.round(F.col("confidence") * 1000).cast("long")), F.count("confidence")
+    of = with_lines.groupBy(page, column, "line").agg(
+        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("boxes"),
+        (F.call_function("div", thousandths * 2 + n, F.nullif(n * 2, F.lit(0))) / 1000.0).alias("confidence"),
+    )
+    number = F.row_number().over(Window.partitionBy(page).orderBy(column, "line"))
+    aspect = F.round((F.col("x2") - F.col("x1")) / F.greatest(F.lit(1), F.col("y2") - F.col("y1")), 2)
+    return of.select(page, column, number.alias("line"), "x1", "y1", "x2", "y2", "boxes", "confidence", aspect.alias("aspect_ratio"))
 
 
 def markdown(rows: DataFrame, page: str, order: str, cells: list[str]) -> DataFrame:

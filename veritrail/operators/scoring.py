@@ -9,7 +9,9 @@ from veritrail.functions.text import similarity, stripped
 
 #: Limits of the labels, of disagreement and of the fused recognisers.
 AI_ABOVE, ORIGINAL_BELOW, DISAGREE = 70, 30, 40
-AGREEMENT, REVIEW_SIMILARITY, REVIEW_CONFIDENCE = 0.82, 0.60, 0.70
+AGREEMENT, REVIEW_SIMILARITY, REVIEW_CONFIDENCE, ESCALATE_BELOW = 0.82, 0.60, 0.70, 0.80
+#: Statistics of a text that has none.
+NO_STATISTICS = {"mean_perplexity": 50.0, "perplexity_variance": 1.0, "entropy": 3.0}
 
 
 def label(score: Column) -> Column:
@@ -88,3 +90,30 @@ def fused_recognisers(line: Column, line_confidence: Column, page: Column, page_
         text.alias("text"), sure.alias("confidence"), F.when(by_line, "line").otherwise("page").alias("model"),
         (F.coalesce(both & (alike < REVIEW_SIMILARITY), F.lit(False)) | (sure < REVIEW_CONFIDENCE)).alias("needs_review"),
     )
+
+
+def with_vision(vision: Column, vision_confidence: Column, fused: Column) -> Column:
+    """`fused`, the struct of two recognisers, unless a vision model has read the region: its text is taken as it is."""
+    own = F.struct(vision.alias("text"), vision_confidence.alias("confidence"), F.lit("vision").alias("model"), (vision_confidence < REVIEW_CONFIDENCE).alias("needs_review"))
+    return F.when(vision_confidence.isNotNull(), own).otherwise(fused)
+
+
+def escalation(category: Column, line_confidence: Column, line_on: Column, page_on: Column, vision_on: Column, vision_first: Column) -> Column:
+    """Struct of the recognisers that read a region: line, page, vision.
+
+    Plain regions go to the line recogniser, and further up where it is off or unsure: to vision, else to the page recogniser. Complex ones go to the
+    page recogniser, else to vision; doubtful ones to the first reader and the page recogniser. Where vision comes first it stands for the line reader.
+    """
+    instead, normal, complex_ = vision_first & vision_on, category == "NORMAL", category == "COMPLEX"
+    line = ~complex_ & ~instead & line_on
+    up = normal & ~instead & (~line_on | (F.coalesce(line_confidence, F.lit(0.0)) < ESCALATE_BELOW))
+    return F.struct(
+        line.alias("line"), F.when(normal, up & ~vision_on & page_on).otherwise(page_on).alias("page"),
+        F.when(normal, instead | (up & vision_on)).when(complex_, ~page_on & vision_on).otherwise(instead).alias("vision"),
+    )
+
+
+def with_fallback(statistics: Column, length: Column) -> Column:
+    """Struct of a text's statistics, the fixed ones where it is below 50 characters or there are none, and whether they are."""
+    missing = (length < 50) | statistics.isNull()
+    return F.struct(*(F.when(missing, F.lit(x)).otherwise(statistics[c]).alias(c) for c, x in NO_STATISTICS.items()), missing.alias("fallback"))

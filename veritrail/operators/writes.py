@@ -57,3 +57,15 @@ def current_state(events: DataFrame, key: str = "submission_id") -> DataFrame:
     """Each submission's last state; of equal times the later in its life."""
     rank = F.array_position(F.array(*map(F.lit, STATES)), F.col("status"))
     return events.groupBy(key).agg(F.max_by("status", F.struct("at", rank)).alias("status"))
+
+
+def replaced(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """With `rows` in place of all that their keys had: a list is replaced as a whole."""
+    return table.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
+
+
+def without_conflicts(table: DataFrame, changes: DataFrame, key: str, unique: str) -> DataFrame:
+    """Those of `changes` whose new value of `unique` no other row has; a change that leaves it alone has no conflict."""
+    taken = table.select(F.col(key).alias("_holder"), F.col(unique).alias("_value"))
+    clash = changes.join(taken, (F.col(unique) == F.col("_value")) & (F.col(key) != F.col("_holder"))).select(key).distinct()
+    return changes.join(clash, key, "left_anti")

@@ -76,7 +76,7 @@ def token_purge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rate_limit_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """Z1 to Z3."""
+    """One key."""
     most, seconds = access.POLICIES["resend_verification"]
     return access.rate_limited(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", most, seconds * 40).select("event_id", "limited", "retry_after")
 
@@ -128,3 +128,21 @@ SQL = {
 SQL["permission_matrix"] = (
     "WITH held(role, permission) AS (VALUES " + ", ".join(f"('{r}', '{p}')" for r, held in access.ROLES.items() for p in held) + "), roles(role) AS (VALUES " + ", ".join(f"('{r}')" for r in [*access.ROLES, "guest"]) + ") " + SQL["permission_matrix"]
 )
+
+
+def limits_sql(events: str, key: str, most: int, seconds: int, name: str) -> str:
+    """Common table expressions that end with `name` (event_id, limited, retry_after): each key's requests in order, with the times that count."""
+    return f"""{name}_o AS (SELECT event_id, {key} AS key, epoch_us(ts) / 1000000 AS sec, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS k FROM {events}),
+        {name}_s AS (SELECT key, 0::BIGINT AS k, []::DOUBLE[] AS kept, NULL::BIGINT AS event_id, false AS limited, NULL::BIGINT AS retry_after FROM (SELECT DISTINCT key FROM {name}_o)
+            UNION ALL SELECT key, k, CASE WHEN len(live) >= {most} THEN live ELSE list_append(live, sec) END, event_id, len(live) >= {most}, CASE WHEN len(live) >= {most} THEN greatest(1, CAST(floor(live[1] + {seconds} - sec) AS BIGINT) + 1) END
+            FROM (SELECT o.key, o.k, o.sec, o.event_id, list_filter(s.kept, lambda x: x > o.sec - {seconds}) AS live FROM {name}_s s JOIN {name}_o o ON o.key = s.key AND o.k = s.k + 1)),
+        {name} AS (SELECT event_id, limited, retry_after FROM {name}_s WHERE event_id IS NOT NULL)"""
+
+
+_MOST, _SECONDS = access.POLICIES["resend_verification"]
+SQL["rate_limit_decisions"] = f"WITH RECURSIVE {limits_sql('events', 'user_id', _MOST, _SECONDS * 40, 'one')} SELECT * FROM one"
+SQL["session_validity"] = f"""WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) / 1000000 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    s AS (SELECT user_id, k, event_id, sec AS since, sec AS last, 1::BIGINT AS session, true AS opened FROM o WHERE k = 1
+        UNION ALL SELECT user_id, k, event_id, CASE WHEN fresh THEN sec ELSE since END, sec, session + CASE WHEN fresh THEN 1 ELSE 0 END, fresh
+        FROM (SELECT o.*, s.since, s.session, o.sec - s.last > {access.IDLE * 24} OR o.sec - s.since > {access.ABSOLUTE} AS fresh FROM s JOIN o ON o.user_id = s.user_id AND o.k = s.k + 1))
+    SELECT event_id, session, opened FROM s"""

@@ -19,9 +19,8 @@ def regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
-    """L8 to L10, T8, W8."""
-    column = F.when(F.col("x1") + F.col("x2") < WIDTH, 0).otherwise(1)
-    return layout.reading_order(regions(spark, d), F.lit(WIDTH), F.lit(HEIGHT), column).select("page", "region", "zone", "column", "place")
+    """Columns as the gutters make them."""
+    return layout.reading_order(layout.in_columns(regions(spark, d), WIDTH, HEIGHT), F.lit(WIDTH), F.lit(HEIGHT), F.col("column")).select("page", "region", "zone", "column", "place")
 
 
 def column_gutters(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +28,32 @@ def column_gutters(spark: SparkSession, d: str) -> DataFrame:
     return layout.valleys(regions(spark, d), WIDTH, HEIGHT)
 
 
+def page_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Columns between the gutters that are kept."""
+    return layout.column_ranges(regions(spark, d), WIDTH, HEIGHT)
+
+
+def boxes_in_columns(spark: SparkSession, d: str) -> DataFrame:
+    """L5, J14."""
+    return layout.in_columns(regions(spark, d), WIDTH, HEIGHT).select("page", "region", "column")
+
+
+def column_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of columns whose numbers have gaps."""
+    return layout.column_spans(regions(spark, d).where("x2 - x1 < 550").withColumn("column", F.col("region") % 2 * 5 + 2), WIDTH)
+
+
+def text_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of each column, as boxes."""
+    sure = layout.in_columns(regions(spark, d), WIDTH, HEIGHT).withColumn("confidence", (F.col("region") % 100) / 100)
+    return layout.merged_lines(layout.lines(sure))
+
+
+def without_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes that no other covers."""
+    return layout.without_overlaps(regions(spark, d)).select("page", "region")
+
+
 def split_boxes(spark: SparkSession, d: str) -> DataFrame:
     """L1, A25."""
     return layout.split_tall(regions(spark, d))
@@ -47,7 +72,7 @@ def anchor_column(spark: SparkSession, d: str) -> DataFrame:
 
 
 def question_sections(spark: SparkSession, d: str) -> DataFrame:
-    """L12, W9."""
+    """The header rule of L12 alone."""
     return layout.question_sections(table(spark, d, "conversations"), "conv_id", "turn", F.col("role") == "user").select("conv_id", "turn", "section")
 
 
@@ -57,19 +82,34 @@ def conversation_tables(spark: SparkSession, d: str) -> DataFrame:
     return layout.markdown(c, "conv_id", "turn", ["role", "length"])
 
 
-QUERIES = {f.__name__: f for f in (reading_order, column_gutters, split_boxes, row_alignment, anchor_column, question_sections, conversation_tables)}
+QUERIES = {f.__name__: f for f in (reading_order, column_gutters, page_columns, boxes_in_columns, column_spans, text_lines, without_overlaps, split_boxes, row_alignment, anchor_column, question_sections, conversation_tables)}
 _B = """WITH b AS (SELECT user_id AS page, event_id AS region, event_id % 2 * 480 + 60 + event_id % 23 AS x1, event_id * 53 % 1330 AS y1,
     event_id % 2 * 480 + 60 + event_id % 23 + CASE WHEN event_id % 17 = 0 THEN 600 ELSE 300 + event_id % 90 END AS x2, event_id * 53 % 1330 + 20 + event_id % 31 AS y2 FROM events)"""
+_G = f"""{_B}, n AS (SELECT * FROM b WHERE y1 >= 56 AND y2 <= 1288 AND x2 - x1 < 550),
+    e AS (SELECT page, least(greatest(x1, 80), 940) AS x, 1 AS d FROM n UNION ALL SELECT page, least(greatest(x2, 80), 940), -1 FROM n UNION ALL SELECT DISTINCT page, unnest([80, 940]), 0 FROM n),
+    l AS (SELECT page, x, sum(sum(d)) OVER w AS level, lead(x) OVER w AS next FROM e GROUP BY page, x WINDOW w AS (PARTITION BY page ORDER BY x)),
+    o AS (SELECT *, level <= 0.12 * max(level) OVER (PARTITION BY page) AS low FROM l WHERE next IS NOT NULL),
+    s AS (SELECT *, count(*) FILTER (NOT low) OVER (PARTITION BY page ORDER BY x) AS run FROM o),
+    g AS (SELECT page, min(x) AS x1, max(next) AS x2 FROM s WHERE low AND page IN (SELECT page FROM n GROUP BY 1 HAVING count(*) >= 6) GROUP BY page, run HAVING max(next) - min(x) >= 14)"""
+#: Gutters one by one: the last that is kept decides on the next.
+_K = f"""{_G.replace("WITH b", "WITH RECURSIVE b")}, i AS (SELECT *, (x1 + x2) // 2 AS mid, row_number() OVER (PARTITION BY page ORDER BY x1) AS k FROM g),
+    f AS (SELECT page, 0::BIGINT AS k, []::BIGINT[] AS kept FROM (SELECT DISTINCT page FROM g)
+        UNION ALL SELECT i.page, i.k, CASE WHEN (len(kept) = 0 AND x1 >= 120) OR (len(kept) > 0 AND mid - kept[-1] >= 120) THEN list_append(kept, mid) ELSE kept END FROM f JOIN i ON i.page = f.page AND i.k = f.k + 1),
+    q AS (SELECT page, CASE WHEN len(kept) > 0 AND 1000 - kept[-1] < 72 THEN kept[:-2] ELSE kept END AS cuts FROM f WHERE (page, k) IN (SELECT (page, max(k)) FROM f GROUP BY page)),
+    m AS (SELECT page FROM b GROUP BY 1 HAVING count(*) >= 8),
+    c AS (SELECT b.*, len(list_filter(coalesce(CASE WHEN page IN (SELECT page FROM m) THEN cuts END, []), lambda t: t <= (x1 + x2) / 2)) AS of FROM b LEFT JOIN q USING (page))"""
 SQL = {
-    "reading_order": f"""{_B}, z AS (SELECT *, CASE WHEN y2 <= 70 OR (y2 <= 252 AND x2 - x1 > 550) THEN 0 WHEN y1 >= 1288 AND x2 - x1 > 550 THEN 2 ELSE 1 END AS zone FROM b),
-        c AS (SELECT *, CASE WHEN zone = 1 AND x1 + x2 >= 1000 THEN 1 ELSE 0 END AS "column" FROM z)
-        SELECT page, region, zone, "column", row_number() OVER (PARTITION BY page ORDER BY zone, "column", y1, x1, region) AS place FROM c""",
-    "column_gutters": f"""{_B}, n AS (SELECT * FROM b WHERE y1 >= 56 AND y2 <= 1288 AND x2 - x1 < 550), e AS (SELECT page, x1 AS x, 1 AS d FROM n UNION ALL SELECT page, x2, -1 FROM n),
-        l AS (SELECT page, x, sum(sum(d)) OVER w AS level, lead(x) OVER w AS next FROM e GROUP BY page, x WINDOW w AS (PARTITION BY page ORDER BY x)),
-        o AS (SELECT *, level <= 0.12 * max(level) OVER (PARTITION BY page) AS low FROM l WHERE next IS NOT NULL),
-        r AS (SELECT *, x - sum(CASE WHEN low THEN next - x ELSE 0 END) OVER (PARTITION BY page ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM o),
-        s AS (SELECT *, count(*) FILTER (NOT low) OVER (PARTITION BY page ORDER BY x) AS run FROM r)
-        SELECT page, min(x) AS x1, max(next) AS x2 FROM s WHERE low AND page IN (SELECT page FROM n GROUP BY 1 HAVING count(*) >= 6) GROUP BY page, run HAVING max(next) - min(x) >= 14""",
+    "reading_order": f"""{_K}, z AS (SELECT *, CASE WHEN y2 <= 70 OR (y2 <= 252 AND x2 - x1 > 550) THEN 0 WHEN y1 >= 1288 AND x2 - x1 > 550 THEN 2 ELSE 1 END AS zone FROM c),
+        d AS (SELECT *, CASE WHEN zone = 1 THEN of ELSE 0 END AS "column" FROM z)
+        SELECT page, region, zone, "column", row_number() OVER (PARTITION BY page ORDER BY zone, "column", y1, x1, region) AS place FROM d""",
+    "column_gutters": f"{_G} SELECT page, x1, x2 FROM g",
+    "page_columns": f"""{_K}, r AS (SELECT page, list_concat([0], coalesce(cuts, []), [1000]) AS cuts FROM (SELECT DISTINCT page FROM b) LEFT JOIN q USING (page))
+        SELECT page, i - 1 AS "column", cuts[i] AS x1, cuts[i + 1] AS x2 FROM (SELECT page, cuts, unnest(range(1, len(cuts))) AS i FROM r)""",
+    "boxes_in_columns": f'{_K} SELECT page, region, of AS "column" FROM c',
+    "column_spans": f"""{_B}, s AS (SELECT page, region % 2 AS c, min(x1) AS x1, max(x2) AS x2 FROM b WHERE x2 - x1 < 550 GROUP BY 1, 2),
+        n AS (SELECT *, row_number() OVER w - 1 AS k, lag(x2) OVER w AS before, lead(x1) OVER w AS after FROM s WINDOW w AS (PARTITION BY page ORDER BY c))
+        SELECT page, k AS "column", CASE WHEN before IS NULL THEN 0 ELSE greatest(0, least((before + x1) // 2, x1 - 22)) END AS x1,
+            CASE WHEN after IS NULL THEN 1000 ELSE least(1000, greatest((x2 + after) // 2, x2 + 15)) END AS x2 FROM n""",
     "split_boxes": f"""{_B}, m AS (SELECT *, median(y2 - y1) OVER (PARTITION BY page) AS mid FROM b)
         SELECT page, region, x1, x2, y1, CASE WHEN y2 - y1 > 1.8::DOUBLE * mid THEN (y1 + y2) // 2 ELSE y2 END AS y2 FROM m UNION ALL SELECT page, region, x1, x2, (y1 + y2) // 2, y2 FROM m WHERE y2 - y1 > 1.8::DOUBLE * mid""",
     "row_alignment": f"""{_B}, r AS (SELECT *, (y1 + y2) / 2 AS y FROM b), a AS (SELECT page, row_number() OVER w AS row, coalesce((lag(y) OVER w + y) / 2, 0) AS low, coalesce((lead(y) OVER w + y) / 2, 1e9) AS high
