@@ -293,8 +293,11 @@ def _ranges(blocks: DataFrame) -> DataFrame:
 
 
 def _with_sets(named: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """`rows` (id, class, ...) with `shingles`, the set of the text of that id and class, in place of `class`."""
-    kept = [c for c in rows.columns if c != "class"]
+    """`rows` (id, class, ...) with `shingles`, the set of the text of that id and class, in place of `class`.
+
+    The rows are a written table, whose size the planner knows: below the session's limit they go to the texts, else texts and rows meet in a shuffle.
+    """
+    rows, kept = materialise(rows, "wanted"), [c for c in rows.columns if c != "class"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
