@@ -152,7 +152,7 @@ def test_token_times_are_inclusive(spark):
 
 def test_similarity_is_symmetric_and_one_for_equal_texts(spark):
     docs = spark.createDataFrame([(1, "s", 1, "alpha beta gamma"), (2, "s", 2, "alpha beta gamma"), (3, "s", 3, "delta"), (4, "t", 4, "alpha"), (5, "s", 1, None)], "submission_id long, subject string, student_id long, text string")
-    got = similarity.pairs(similarity.weights(docs, "subject", "submission_id", "text", False, 10), 0.3).collect()
+    got = similarity.pairs(similarity.vectors(docs, "subject", "submission_id", "text", False, 10), 0.3).collect()
     assert [(r["a"], r["b"]) for r in got] == [(1, 2)] and got[0]["cosine"] == pytest.approx(1)
     peers = {r["submission_id"]: r["similarity_score"] for r in similarity.peer_scores(docs, "subject", "submission_id", "student_id", "text").collect()}
     assert peers == {1: 100.0, 2: 100.0, 3: 0.0, 4: 0.0, 5: 0.0}

@@ -75,3 +75,23 @@ def test_relevance_of_short_and_unknown(spark):
     docs = spark.createDataFrame([(1, "s", "alpha beta " + "x" * 50), (2, "s", "alpha " + "x" * 50), (3, "s", "alpha beta"), (4, "t", "x" * 60), (5, "s", None)], "id long, subject string, text string")
     got = {r["id"]: (r["hits"], r["confidence"]) for r in models.subject_relevance(docs, known, "id", "subject", "text").collect()}
     assert got == {1: (2, 0.6667), 2: (1, 0.8), 3: (None, 1.0), 4: (None, 1.0), 5: (None, 1.0)}
+
+
+def test_csv_and_reports_come_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "quoted", text\nin lines'), (2, None)], "id long, x string")
+    readers.write_csv(df, str(tmp_path / "csv"))
+    assert {tuple(r) for r in readers.table_csv(spark, str(tmp_path / "csv"), df.schema).collect()} == {(1, 'a "quoted", text\nin lines'), (2, None)}
+    readers.write_report(spark.createDataFrame([(2, 0.5), (1, None)], "id int, f1 double"), str(tmp_path / "report"), "id")
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()] == ["id: 1", "f1: -", "id: 2", "f1: 0.5"]
+    assert readers.open_source(spark, f"csv:{tmp_path / 'csv'}").count() >= 2
+    df.write.parquet(str(tmp_path / "p"))
+    assert readers.open_source(spark, str(tmp_path / "p")).count() == 2
+
+
+def test_pages_are_joined_and_equal_files_read_once(spark, tmp_path):
+    pages = spark.createDataFrame([("a", 2, "second", 50.0), ("a", 1, "first", 75.0), ("b", 1, None, 10.0)], "path string, page int, text string, confidence double")
+    assert {tuple(r) for r in readers.joined_pages(pages).collect()} == {("a", "first\nsecond", 62.5), ("b", "", 10.0)}
+    files = spark.createDataFrame([("b", bytearray(b"x")), ("a", bytearray(b"x")), ("c", bytearray(b"y"))], "path string, content binary")
+    assert {r["path"] for r in readers.first_of_files(files).collect()} == {"a", "c"}
+    words = spark.createDataFrame([("own text", 2, "read"), ("own", 30, "read"), (None, 0, None)], "own string, n int, seen string")
+    assert [r["t"] for r in words.select(readers.chosen_text(F.col("own"), F.col("n"), F.col("seen")).alias("t")).collect()] == ["read", "own", None]

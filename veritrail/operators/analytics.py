@@ -116,6 +116,17 @@ def risk_rollup(reports: DataFrame) -> DataFrame:
     return r.rollup("subject", "hour").agg(F.count("*").alias("n"), F.max("plagiarism_score").alias("most"))
 
 
+def risk_sets(reports: DataFrame) -> DataFrame:
+    """Counts by subject, by hour, and over all, in one pass."""
+    r = reports.select("subject", F.hour("created_at").alias("hour"))
+    return r.groupingSets([("subject",), ("hour",), ()], "subject", "hour").agg(F.count("*").alias("n"))
+
+
+def drill_down(reports: DataFrame, section: str, wanted: str, default: str = "CSE-A") -> DataFrame:
+    """Reports of one section, those without counted with `default`."""
+    return reports.where(F.coalesce(section, F.lit(default)) == wanted)
+
+
 def style_anomalies(fingerprints: DataFrame, student: str = "student_id", at: str = "created_at", id: str = "submission_id") -> DataFrame:
     """Students whose latest text is unlike their earlier ones.
 

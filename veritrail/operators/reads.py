@@ -128,6 +128,11 @@ def reaches_submission(role: Column, user: Column, action: Column, owner: Column
     return F.coalesce(allowed, F.lit(False))
 
 
+def preview(text: Column, length: int) -> Column:
+    """The beginning of a long text, marked as cut."""
+    return F.when(F.length(text) > length, F.concat(F.left(text, F.lit(length)), F.lit("..."))).otherwise(text)
+
+
 def row_quality(df: DataFrame, text: str, cleaned: Callable[[Column], Column], tagged: Callable[[Column], Column]) -> DataFrame:
     """One row: texts that are missing, that hold markup, and that cleaning changes."""
     t = F.col(text)

@@ -17,7 +17,7 @@ def edges(submissions: DataFrame, hash: str = "visual_hash") -> DataFrame:
     Students with the same hash are tied to the first of them, which joins the same rings as all pairs would.
     """
     long = submissions.where(F.length(stripped(F.col("text"))) > similarity.LEAST_LENGTH)
-    found = similarity.pairs(similarity.weights(long, "subject", "submission_id", "text", False, similarity.PAIR_TERMS), similarity.EDGE)
+    found = similarity.pairs(similarity.vectors(long, "subject", "submission_id", "text", False, similarity.PAIR_TERMS), similarity.EDGE)
     owner = submissions.select("submission_id", "student_id")
     text = found.join(owner.withColumnsRenamed({"submission_id": "a", "student_id": "src"}), "a").join(owner.withColumnsRenamed({"submission_id": "b", "student_id": "dst"}), "b")
     seen = submissions.where(F.col(hash).isNotNull()).select(hash, "student_id", "subject").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veritrail.functions.text import similarity, stripped
+from veritrail.functions.text import similarity, stripped, word_count
 
 #: Limits of the labels, of disagreement and of the fused recognisers.
 AI_ABOVE, ORIGINAL_BELOW, DISAGREE = 70, 30, 40
@@ -117,3 +117,11 @@ def with_fallback(statistics: Column, length: Column) -> Column:
     """Struct of a text's statistics, the fixed ones where it is below 50 characters or there are none, and whether they are."""
     missing = (length < 50) | statistics.isNull()
     return F.struct(*(F.when(missing, F.lit(x)).otherwise(statistics[c]).alias(c) for c, x in NO_STATISTICS.items()), missing.alias("fallback"))
+
+
+def first_accepted(readings: list[tuple[str, Column, int]]) -> Column:
+    """Struct of engine and text: of (engine, text, least words), in order, the first with enough words; else the one with the most, of equals the first."""
+    n = [F.coalesce(word_count(t), F.lit(0)) for _, t, _ in readings]
+    taken = [F.when(k >= least, F.struct(F.lit(e).alias("engine"), t.alias("text"))) for k, (e, t, least) in zip(n, readings, strict=True)]
+    longest = [F.when(k == F.greatest(*n), F.struct(F.lit(e).alias("engine"), t.alias("text"))) for k, (e, t, _) in zip(n, readings, strict=True)]
+    return F.coalesce(*taken, *longest)

@@ -1,26 +1,37 @@
-"""TF-IDF cosine similarity inside subjects, by joins over an inverted index.
+"""TF-IDF cosine similarity inside subjects, by blocks of documents.
 
 Weights follow the usual library's defaults: words of two characters and more, stop words out before bigrams are formed, raw counts,
 idf = ln((1 + n) / (1 + df)) + 1, rows of length 1; the cap keeps the terms that occur most often, of equals the first in order.
-The work of the join is the sum over terms of their squared document frequency; the cap and the stop list keep that bounded by subject.
+
+A subject's documents are dealt into blocks of about BLOCK, those with the same heaviest term together. A pair of blocks is compared as a product of
+two matrices, if the greatest weights of each term in both allow the wanted similarity; others are never brought together. No pair of
+documents leaves a block's task but those that are wanted, and where only each document's best and count are, one row a document does.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions import fixed
 from veritrail.functions.text import let, words
+from veritrail.sources.catalog import materialise
 
 #: Caps of the vocabularies, the similarity of an edge, and that of a match.
 PAIR_TERMS, PEER_TERMS = 2500, 5000
 EDGE, MATCH = 0.30, 0.15
 LEAST_LENGTH = 5
+#: Documents of a block, about.
+BLOCK = 512
+
 
+def vectors(docs: DataFrame, subject: str, id: str, text: str, bigrams: bool, cap: int, stop: tuple[str, ...] = fixed.STOP_WORDS) -> DataFrame:
+    """(subject, id, terms, weights) of the documents, a written table; the vocabulary, its cap and the frequencies are each subject's own, and a term is its place there.
 
-def weights(docs: DataFrame, subject: str, id: str, text: str, bigrams: bool, cap: int, stop: tuple[str, ...] = fixed.STOP_WORDS) -> DataFrame:
-    """(subject, id, term, weight) of the documents; the vocabulary, its cap and the frequencies are each subject's own."""
+    A document without known terms has no row.
+    """
     token = F.filter(words(F.lower(text)), lambda w: (F.length(w) >= 2) & ~w.isin(*stop))
 
     def with_bigrams(t):
@@ -29,23 +40,72 @@ def weights(docs: DataFrame, subject: str, id: str, text: str, bigrams: bool, ca
 
     terms = let(token, with_bigrams) if bigrams else token
     docs = docs.select(F.col(subject).alias("subject"), F.col(id).alias("id"), text)
-    tf = docs.select("subject", "id", F.explode(terms).alias("term")).groupBy("subject", "id", "term").agg(F.count("*").alias("tf"))
+    tf = materialise(docs.select("subject", "id", F.explode(terms).alias("term")).groupBy("subject", "id", "term").agg(F.count("*").alias("tf")), "tf")
     total = tf.groupBy("subject", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("total"), "term"))
-    known = total.withColumn("rank", rank).where(F.col("rank") <= cap).select("subject", "term", "df")
+    known = total.withColumn("rank", rank).where(F.col("rank") <= cap)
     size = docs.groupBy("subject").agg(F.count("*").alias("n"))
-    idf = known.join(size, "subject").select("subject", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, ["subject", "term"]).select("subject", "id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy("subject", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, ["subject", "id"]).select("subject", "id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    idf = known.join(size, "subject").select("subject", "term", "rank", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = tf.join(idf, ["subject", "term"]).select("subject", "id", F.struct((F.col("rank") - 1).alias("term"), (F.col("tf") * F.col("idf")).alias("w")).alias("x"))
+    listed = raw.groupBy("subject", "id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    norm = F.sqrt(F.aggregate("xs", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    with_norm = listed.withColumn("norm", norm)
+    return materialise(with_norm.select("subject", "id", F.transform("xs", lambda x: x["term"]).alias("terms"), F.transform("xs", lambda x: x["w"] / F.col("norm")).alias("weights")), "vectors")
+
+
+def _blocks(vectors: DataFrame) -> DataFrame:
+    """`vectors` with their block: cells of documents with the same heaviest term, small ones of a subject together, large ones cut by a hash of the id."""
+    heaviest = F.element_at("terms", F.array_position("weights", F.array_max("weights")).cast("int"))
+    size = vectors.groupBy("subject").agg(F.ceil(F.count("*") / BLOCK).alias("cells"))
+    placed = vectors.join(F.broadcast(size), "subject").withColumn("cell", F.pmod(F.xxhash64(heaviest), F.col("cells"))).drop("cells")
+    many = placed.groupBy("subject", "cell").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("parts"))
+    cut = placed.join(F.broadcast(many), ["subject", "cell"])
+    return cut.withColumn("block", F.concat_ws("-", "cell", F.pmod(F.xxhash64("id"), F.col("parts")))).drop("cell", "parts")
+
+
+def _block_pairs(blocks: DataFrame, least: float) -> DataFrame:
+    """(subject, p, q) of blocks with p <= q whose greatest weights by term allow a similarity above `least`."""
+    most = blocks.select("subject", "block", F.explode(F.arrays_zip("terms", "weights")).alias("x")).groupBy("subject", "block", "x.terms").agg(F.max("x.weights").alias("w"))
+    a, b = most.select("subject", "terms", F.col("block").alias("p"), F.col("w").alias("x")), most.select("subject", "terms", F.col("block").alias("q"), F.col("w").alias("y"))
+    bound = a.join(b, ["subject", "terms"]).where("p <= q").groupBy("subject", "p", "q").agg(F.sum(F.col("x") * F.col("y")).alias("bound"))
+    return bound.where(F.col("bound") > least * (1 - 1e-6)).select("subject", "p", "q")
+
+
+def _compared(vectors: DataFrame, least: float, use, schema: str) -> DataFrame:
+    """What `use` gives for each pair of blocks: a frame from (subject, rows of p, rows of q, their cosines, whether p is q)."""
+    blocks = materialise(_blocks(vectors), "blocks")
+    pairs = materialise(_block_pairs(blocks, least), "block-pairs")
+    ways = pairs.select("subject", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+    dealt = blocks.join(ways, ["subject", "block"])
+
+    def matrix(rows: pd.DataFrame, width: int) -> np.ndarray:
+        out = np.zeros((len(rows), width))
+        for k, (t, w) in enumerate(zip(rows["terms"], rows["weights"], strict=True)):
+            out[k, t] = w
+        return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, p, q = pdf["block"] == pdf["p"], pdf["p"].iloc[0], pdf["q"].iloc[0]
+        left, right = pdf[one].sort_values("id"), pdf[~one].sort_values("id") if p != q else pdf.sort_values("id")
+        width = 1 + max(int(t.max()) for t in pdf["terms"])
+        x = matrix(left, width)
+        return use(pdf["subject"].iloc[0], left, right, x @ (x if p == q else matrix(right, width)).T, p == q)
+
+    return dealt.groupBy("subject", "p", "q").applyInPandas(run, schema)
+
+
+def pairs(vectors: DataFrame, least: float) -> DataFrame:
+    """(subject, a, b, cosine) of documents of one subject with a < b and a cosine above `least`."""
 
+    def wanted(subject, left: pd.DataFrame, right: pd.DataFrame, cosine: np.ndarray, same: bool) -> pd.DataFrame:
+        i, j = np.nonzero(np.round(cosine, 9) > least)
+        if same:
+            i, j = i[i < j], j[i < j]
+        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+        return pd.DataFrame({"subject": subject, "a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": cosine[i, j]})
 
-def pairs(weights: DataFrame, least: float) -> DataFrame:
-    """(subject, a, b, cosine) of documents of one subject with a < b and a cosine above `least`."""
-    a = weights.select("subject", "term", F.col("id").alias("a"), F.col("weight").alias("x"))
-    b = weights.select("subject", "term", F.col("id").alias("b"), F.col("weight").alias("y"))
-    both = a.join(b, ["subject", "term"]).where("a < b").groupBy("subject", "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
-    return both.where(F.round("cosine", 9) > least)
+    kind = dict(vectors.dtypes)
+    return _compared(vectors, least, wanted, f"subject {kind['subject']}, a {kind['id']}, b {kind['id']}, cosine double")
 
 
 def peer_scores(docs: DataFrame, subject: str, id: str, student: str, text: str) -> DataFrame:
@@ -53,13 +113,18 @@ def peer_scores(docs: DataFrame, subject: str, id: str, student: str, text: str)
 
     The vocabulary and its frequencies are fitted to the subject. A document without words, or without peers, scores 0.
     """
-    fitted = weights(docs, subject, id, text, True, PEER_TERMS)
     owner = docs.select(F.col(id).alias("id"), F.col(student).alias("student"))
-    found = pairs(fitted, 0.0)
-    sides = found.select("a", "b", "cosine").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-    named = sides.join(owner.withColumnsRenamed({"id": "a", "student": "sa"}), "a").join(owner.withColumnsRenamed({"id": "b", "student": "sb"}), "b").where("sa <> sb")
-    best = named.groupBy(F.col("a").alias("id")).agg(F.max("cosine").alias("most"), F.count_if(F.round("cosine", 9) > MATCH).alias("matches"))
-    return owner.join(best, "id", "left").select(
+    fitted = vectors(docs, subject, id, text, True, PEER_TERMS).join(owner, "id")
+
+    def best(subject, left: pd.DataFrame, right: pd.DataFrame, cosine: np.ndarray, same: bool) -> pd.DataFrame:
+        cosine = np.where(left["student"].to_numpy()[:, None] == right["student"].to_numpy()[None, :], 0.0, cosine)
+        matches = np.round(cosine, 9) > MATCH
+        sides = [(left["id"], cosine.max(axis=1), matches.sum(axis=1))] + ([] if same else [(right["id"], cosine.max(axis=0), matches.sum(axis=0))])
+        return pd.concat([pd.DataFrame({"id": ids.to_numpy(), "most": m, "matches": n}) for ids, m, n in sides])
+
+    found = _compared(fitted, 0.0, best, f"id {dict(fitted.dtypes)['id']}, most double, matches long")
+    best_of = found.groupBy("id").agg(F.max("most").alias("most"), F.sum("matches").alias("matches"))
+    return owner.join(best_of, "id", "left").select(
         F.col("id").alias(id), F.round(100 * F.coalesce("most", F.lit(0.0)), 2).alias("similarity_score"), F.round(F.coalesce("most", F.lit(0.0)), 4).alias("max_similarity"), F.coalesce("matches", F.lit(0)).alias("matches")
     )
 

@@ -22,6 +22,17 @@ def draw(key: Column, seed: int = SEED) -> Column:
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(seed)).cast("binary"))
 
 
+def sampled(df: DataFrame, id: str, rows: int, seed: int = SEED) -> DataFrame:
+    """`rows` rows as if at random, the same in every run: a top-k of each partition by draw, then of all."""
+    return df.orderBy(draw(F.col(id), seed), id).limit(rows)
+
+
+def class_ratio(df: DataFrame, label: str, ratio: int = RATIO) -> DataFrame:
+    """One row: rows of either class, how many of label 1 there are for one of label 0, and how many of label 1 are let through."""
+    zeros, ones = F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)
+    return df.agg(zeros.alias("zeros"), ones.alias("ones"), F.round(ones / F.nullif(zeros, F.lit(0)), 4).alias("ratio"), F.least(ones, zeros * ratio).alias("most"))
+
+
 def undersampled(df: DataFrame, label: str, author: str, id: str, ratio: int = RATIO) -> DataFrame:
     """`df` with at most `ratio` rows of label 1 for each of label 0, taken from authors in proportion; all of label 0 stay.
 

@@ -205,12 +205,43 @@ def dual_rate_limits(spark: SparkSession, d: str) -> DataFrame:
     return access.limited_by_both(e, "ip", "account", "ts", "event_id", (40, 86_400), (5, 86_400 * 2)).select("event_id", "limited_by")
 
 
+def history_search(spark: SparkSession, d: str) -> DataFrame:
+    """a word in any of four fields; a blank one is no filter, as the second half shows."""
+    fields = ["p_name", "p_brand", "p_type", "label"]
+    p = table(spark, d, "part").withColumn("label", F.concat(F.lit("size "), F.col("p_size").cast("string")))
+    found = lambda q, side: p.where(reports.contains_any(fields, q)).agg(F.count("*").alias("n"), F.max("p_partkey").alias("last")).withColumn("query", F.lit(side))
+    return found("Size 1", "word").unionByName(found("  ", "blank"))
+
+
+def section_drill_down(spark: SparkSession, d: str) -> DataFrame:
+    """F25."""
+    section = F.when(F.col("student_id") % 7 != 0, F.concat(F.lit("CSE-"), F.substring(F.lit("ABCDE"), (F.col("student_id") % 5 + 1).cast("int"), F.lit(1))))
+    return analytics.drill_down(stand_ins.reports(spark, d).withColumn("section", section), "section", "CSE-A").select("report_id", "student_id")
+
+
+def grouping_sets(spark: SparkSession, d: str) -> DataFrame:
+    """2.19."""
+    return analytics.risk_sets(stand_ins.reports(spark, d))
+
+
+def text_previews(spark: SparkSession, d: str) -> DataFrame:
+    """What is shown of a text, and what goes to a model."""
+    return table(spark, d, "documents").select("doc_id", reads.preview(F.col("text"), 400).alias("preview"), F.md5(F.left("text", F.lit(5000)).cast("binary")).alias("model_md5"))
+
+
+def engine_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Three engines' readings of a document, the first with enough words."""
+    t, id = F.col("text"), F.col("doc_id")
+    said = scoring.first_accepted([("page", F.when(id % 3 != 0, F.left(t, F.lit(60))), 10), ("line", F.left(t, (id % 200).cast("int")), 15), ("plain", F.when(id % 5 != 0, F.left(t, F.lit(30))), 10)])
+    return table(spark, d, "documents").select("doc_id", said.alias("s")).select("doc_id", "s.*")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         point_lookup, email_lookup, active_subjects, newest_orders, latest_named, readable_lines, subject_violations, user_violations, report_details, content_labels, client_addresses, section_subjects,
         submission_access, visible_users, text_quality, page_confidence, ring_details, forensic_counts, logout_all, rotated_sessions, reset_state, escalation, statistics_fallback, replaced_mappings,
-        supplied_fields, dual_rate_limits,
+        supplied_fields, dual_rate_limits, history_search, section_drill_down, grouping_sets, text_previews, engine_cascade,
     )
 }
 _SUBJECTS = """s AS (SELECT p_partkey AS subject_id, p_type AS subject_code, CASE WHEN p_partkey % 9 <> 0 THEN p_name ELSE ' x ' END AS subject_name, CASE WHEN p_partkey % 11 <> 0 THEN p_brand END AS branch,
@@ -273,3 +304,15 @@ SQL = {
 SQL["dual_rate_limits"] = f"""WITH RECURSIVE e AS (SELECT *, user_id % 37 AS ip FROM events), {limits_sql("e", "ip", 40, 86_400, "one")},
     p AS (SELECT e.* FROM e JOIN one USING (event_id) WHERE NOT limited), {limits_sql("p", "user_id", 5, 86_400 * 2, "two")}
     SELECT one.event_id, CASE WHEN one.limited THEN 'ip' WHEN two.limited THEN 'account' END AS limited_by FROM one LEFT JOIN two USING (event_id)"""
+_SEARCH = " OR ".join(f"{c} ILIKE '%size 1%'" for c in ("p_name", "p_brand", "p_type", "'size ' || p_size"))
+_COUNT = lambda t: rf"len(list_filter(string_split_regex(coalesce({t}, ''), '[\s\x0B\x{{00A0}}]+'), lambda x: x <> ''))"
+SQL |= {
+    "history_search": f"SELECT count(*) AS n, max(p_partkey) AS last, 'word' AS query FROM part WHERE {_SEARCH} UNION ALL SELECT count(*), max(p_partkey), 'blank' FROM part",
+    "section_drill_down": f"WITH {stand_ins.REPORTS} SELECT report_id, student_id FROM reports WHERE student_id % 7 = 0 OR student_id % 5 = 0",
+    "grouping_sets": f"WITH {stand_ins.REPORTS} SELECT subject, hour(created_at) AS hour, count(*) AS n FROM reports GROUP BY GROUPING SETS ((subject), (hour(created_at)), ())",
+    "text_previews": "SELECT doc_id, CASE WHEN length(text) > 400 THEN left(text, 400) || '...' ELSE text END AS preview, md5(left(text, 5000)) AS model_md5 FROM documents",
+    "engine_cascade": f"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN left(text, 60) END AS a, left(text, doc_id % 200) AS b, CASE WHEN doc_id % 5 <> 0 THEN left(text, 30) END AS c FROM documents),
+        n AS (SELECT *, {_COUNT("a")} AS x, {_COUNT("b")} AS y, {_COUNT("c")} AS z FROM r),
+        e AS (SELECT *, CASE WHEN x >= 10 THEN 'page' WHEN y >= 15 THEN 'line' WHEN z >= 10 THEN 'plain' WHEN x >= y AND x >= z THEN 'page' WHEN y >= z THEN 'line' ELSE 'plain' END AS engine FROM n)
+        SELECT doc_id, engine, CASE engine WHEN 'page' THEN a WHEN 'line' THEN b ELSE c END AS text FROM e""",
+}

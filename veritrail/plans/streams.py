@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.operators import access
+from veritrail.plans import decisions
 from veritrail.streaming import events
 
 
@@ -46,3 +47,4 @@ SQL = {
         SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""",
     "watermark_dedup": "SELECT DISTINCT user_id, event_type FROM events",
 }
+SQL["rate_limit_stream"] = f"SELECT event_id, limited FROM ({decisions.SQL['rate_limit_decisions']})"

@@ -36,6 +36,16 @@ def feature_map(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.size("features").alias("n"), F.element_at("features", "type_token_ratio").alias("type_token_ratio"))
 
 
+def sampled_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Five rows as if at random."""
+    return training.sampled(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 5)
+
+
+def class_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """A8."""
+    return training.class_ratio(table(spark, d, "labels"), "quality")
+
+
 def undersample_counts(spark: SparkSession, d: str) -> DataFrame:
     """M1, M2, A8, T9."""
     kept = training.undersampled(_labelled(spark, d).select("doc_id", "source", "quality"), "quality", "source", "doc_id")
@@ -115,7 +125,7 @@ def legacy_forest(spark: SparkSession, d: str) -> DataFrame:
     return training.confusion(training.scored(model, split.where("part = 'test'")), "quality", "prediction")
 
 
-QUERIES = {f.__name__: f for f in (undersample_counts, group_split, standardise, impute, class_means_top5, confusion_metrics, roc_auc, roc_curve, all_features, feature_map, rf_train_eval, rf_importances, rf_online_scores, legacy_forest)}
+QUERIES = {f.__name__: f for f in (sampled_rows, class_ratio, undersample_counts, group_split, standardise, impute, class_means_top5, confusion_metrics, roc_auc, roc_curve, all_features, feature_map, rf_train_eval, rf_importances, rf_online_scores, legacy_forest)}
 _L = "WITH l AS (SELECT doc_id, source, n_chars, text, quality, toxic FROM documents JOIN labels USING (doc_id))"
 _DRAW = "md5({} || ':42')"
 _COUNTS = "count(*) FILTER (quality = 1 AND n_chars > 1000) AS tp, count(*) FILTER (quality = 0 AND n_chars > 1000) AS fp, count(*) FILTER (quality = 0 AND n_chars <= 1000) AS tn, count(*) FILTER (quality = 1 AND n_chars <= 1000) AS fn"
@@ -143,6 +153,8 @@ SQL = {
         c AS (SELECT *, row_number() OVER (ORDER BY {_DRAW.format("doc_id")}, doc_id) AS place FROM o WHERE machines <= target OR rank <= least(greatest(1, round_even(target * (own / machines), 0)), own)),
         k AS (SELECT quality, source, doc_id FROM c WHERE machines <= target OR place <= target UNION ALL SELECT quality, source, doc_id FROM l WHERE quality = 0)
         SELECT quality, source, count(*) AS n, min(doc_id) AS first FROM k GROUP BY 1, 2""",
+    "sampled_rows": f"SELECT o_orderkey, o_custkey FROM orders ORDER BY {_DRAW.format('o_orderkey')}, o_orderkey LIMIT 5",
+    "class_ratio": """WITH c AS (SELECT count(*) FILTER (quality = 0) AS zeros, count(*) FILTER (quality = 1) AS ones FROM labels) SELECT zeros, ones, round(ones / nullif(zeros, 0), 4) AS ratio, least(ones, zeros * 2) AS most FROM c""",
     "group_split": f"""WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
         SELECT CASE WHEN row_number() OVER (ORDER BY {_DRAW.format("source")}, source) <= ceil(count(*) OVER () * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS part, source, n FROM g""",
     "standardise": "SELECT event_id, round((value - avg(value) OVER ()) / stddev_pop(value) OVER (), 6) AS value FROM events",

@@ -29,6 +29,30 @@ def essays(spark: SparkSession, path: str) -> DataFrame:
     return read.schema(schema).csv(path).select(*ESSAY)
 
 
+def table_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A table that an earlier step wrote as CSV; its columns are given, so that no file is read twice."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header in each part; quotes inside values are doubled, as the readers here expect."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+
+
+def write_report(df: DataFrame, path: str, order: str) -> None:
+    """A text report, a line `name: value` for each column of each row. Reports are short: they lie in one file."""
+    named = F.concat_ws("\n", *(F.concat_ws(": ", F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in df.columns))
+    df.orderBy(order).select(named.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def open_source(spark: SparkSession, url: str, table: str = "") -> DataFrame:
+    """A table by its URL: a database's by JDBC, files by their format's name before the colon, anything else as Parquet."""
+    scheme, _, rest = url.partition(":")
+    if scheme == "jdbc":
+        return from_database(spark, url, table)
+    return spark.read.format(scheme).load(rest) if scheme in ("csv", "json", "orc", "parquet", "text") else spark.read.parquet(url)
+
+
 def from_database(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """A table by JDBC; filters and columns go to the database."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
@@ -78,6 +102,19 @@ def chosen_text(own: Column, own_words: Column, recognised: Column) -> Column:
     return F.when(own_words >= LEAST_WORDS, own).otherwise(F.coalesce(recognised, own))
 
 
+def joined_pages(pages: DataFrame, path: str = "path", number: str = "page") -> DataFrame:
+    """(path, text, confidence): a document's pages in order, one a line, and the mean of their confidences to one digit."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.coalesce("text", F.lit("")).alias("t"))))
+    return pages.groupBy(path).agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n").alias("text"), F.round(F.avg("confidence"), 1).alias("confidence"))
+
+
+def first_of_files(files: DataFrame) -> DataFrame:
+    """Files without those whose bytes an earlier path has; digests are grouped, contents stay where they are until one row each is left."""
+    digest = F.md5("content")
+    first = files.select(digest.alias("_digest"), "path").groupBy("_digest").agg(F.min("path").alias("path"))
+    return files.join(first.select("path"), "path", "left_semi")
+
+
 def audit_events(df: DataFrame) -> DataFrame:
     """Rows as the audit log keeps them: a status and an id for each, and a user agent of bounded length."""
     return df.select("at", "event", F.coalesce("status", F.lit("info")).alias("status"), "user_id", F.lower(F.trim("email")).alias("email"), "ip", F.left("user_agent", F.lit(AGENT)).alias("user_agent"), "detail")

@@ -33,8 +33,8 @@ def by_session(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours"
 
 
 def first_seen(events: DataFrame, columns: list[str], late: str = "40 days") -> DataFrame:
-    """Each combination once; state older than the watermark is dropped."""
-    return events.withWatermark("ts", late).dropDuplicates(columns)
+    """Each combination once inside the time that rows may be late by; what was seen before that is forgotten, and so the state is bounded."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(columns)
 
 
 def limited(requests: DataFrame, most: int, seconds: int) -> DataFrame:
