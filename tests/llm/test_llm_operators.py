@@ -369,6 +369,73 @@ def test_languages_of_awkward_rows(spark, edge, empty):
     assert language_id.features("123 !") [0].size == 0
 
 
+def _plain_features(text):
+    """The n-grams of a text one by one, with the hash on whole numbers."""
+    kept = [" "]
+    for ch in (text or "").lower():
+        if ch.isalpha():
+            kept.append(ch)
+        elif len(kept) > 1 and kept[-1] != " ":
+            kept.append(" ")
+    grams, every = collections.Counter(), 2**64
+    codes = [ord(c) for c in [*kept, " "]]
+    for i in range(len(codes)):
+        for n in (1, 2, 3):
+            part = codes[i : i + n]
+            if len(part) == n and (n > 1 or i > 0):
+                h = part[0] * (0xD6E8FEB86659FD93 if n == 1 else 0x9E3779B97F4A7C15) % every
+                for k, c in enumerate(part[1:], 2):
+                    h = (h ^ (h >> 29) ^ (c + (k << 32))) * 0xBF58476D1CE4E5B9 % every
+                grams[h >> 50] += 1
+    return grams if any(c.isalpha() for c in text or "") else collections.Counter()
+
+
+def test_n_grams_are_those_of_a_plain_count():
+    for text in ["Ab, c!", "été à 12 ponts", "  x", "", None, "9 8", "日本 go", *odd_texts(60)]:
+        found, counts = language_id.features(text)
+        assert dict(zip(found.tolist(), counts.tolist(), strict=True)) == dict(_plain_features(text))
+
+
+def test_learning_is_that_of_plain_steps():
+    said = [("der hund und die katze", 0), ("the dog and the cat", 1), ("das haus ist alt", 0), ("a house that is old", 1), ("und so weiter", 0), ("and so on", 1), ("die alte katze", 0), ("the old cat", 1)]
+    idf = np.linspace(1, 3, language_id.BUCKETS)
+    model = language_id.train([(y, *language_id.features(t)) for t, y in said], ["de", "en"], idf)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def vector(text):
+        x = {b: math.log1p(c) * idf[b] for b, c in _plain_features(text).items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        return {b: v / size for b, v in x.items()}
+
+    def weight(b, k):
+        if abs(z[b, k]) <= language_id.L1:
+            return 0.0
+        return (math.copysign(language_id.L1, z[b, k]) - z[b, k]) / ((language_id.BETA + math.sqrt(n[b, k])) / language_id.ALPHA + language_id.L2)
+
+    def shares(logits):
+        e = [math.exp(v - max(logits)) for v in logits]
+        return [v / sum(e) for v in e]
+
+    for _ in range(language_id.EPOCHS):
+        for i, (text, y) in enumerate(said):
+            if i % 5:
+                x = vector(text)
+                w = {(b, k): weight(b, k) for b in x for k in (0, 1)}
+                p = shares([sum(v * w[b, k] for b, v in x.items()) for k in (0, 1)])
+                for b, v in x.items():
+                    for k in (0, 1):
+                        g = v * (p[k] - (k == y))
+                        z[b, k] += g - (math.sqrt(n[b, k] + g * g) - math.sqrt(n[b, k])) / language_id.ALPHA * w[b, k]
+                        n[b, k] += g * g
+    plain = np.zeros((language_id.BUCKETS, 2))
+    for b, k in list(z):
+        plain[b, k] = weight(b, k)
+    assert np.allclose(model.weights, plain, atol=1e-9) and (plain == 0).sum() > plain.size / 2
+    for text in ("die katze", "the cat", "x y z"):
+        p = shares([sum(v * plain[b, k] for b, v in vector(text).items()) / model.temperature for k in (0, 1)])
+        assert model.predict(text) == (["de", "en"][p.index(max(p))], pytest.approx(max(p)))
+
+
 def test_copies_do_not_thin_out_a_language_s_sample(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(language_id, "train", lambda sample, langs, idf: seen.append([(langs[y], f.tolist(), c.tolist()) for y, f, c in sample]))
