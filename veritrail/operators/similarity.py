@@ -39,7 +39,8 @@ def vectors(docs: DataFrame, subject: str, id: str, text: str, bigrams: bool, ca
         return F.when(F.size(t) > 1, F.concat(t, pairs)).otherwise(t)
 
     terms = let(token, with_bigrams) if bigrams else token
-    docs = docs.select(F.col(subject).alias("subject"), F.col(id).alias("id"), text)
+    # texts are dealt out by id before they fall into words: what is counted by document is then in its place, and no word is moved for it
+    docs = docs.select(F.col(subject).alias("subject"), F.col(id).alias("id"), text).repartition("id")
     tf = materialise(docs.select("subject", "id", F.explode(terms).alias("term")).groupBy("subject", "id", "term").agg(F.count("*").alias("tf")), "tf")
     total = tf.groupBy("subject", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("total"), "term"))
@@ -49,8 +50,9 @@ def vectors(docs: DataFrame, subject: str, id: str, text: str, bigrams: bool, ca
     raw = tf.join(idf, ["subject", "term"]).select("subject", "id", F.struct((F.col("rank") - 1).alias("term"), (F.col("tf") * F.col("idf")).alias("w")).alias("x"))
     listed = raw.groupBy("subject", "id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     norm = F.sqrt(F.aggregate("xs", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    with_norm = listed.withColumn("norm", norm)
-    return materialise(with_norm.select("subject", "id", F.transform("xs", lambda x: x["term"]).alias("terms"), F.transform("xs", lambda x: x["w"] / F.col("norm")).alias("weights")), "vectors")
+    # bound once: inside the function over the list the length would be taken anew for each term
+    weights = let(norm, lambda n: F.transform("xs", lambda x: x["w"] / n))
+    return materialise(listed.select("subject", "id", F.transform("xs", lambda x: x["term"]).alias("terms"), weights.alias("weights")), "vectors")
 
 
 def _blocks(vectors: DataFrame) -> DataFrame:
