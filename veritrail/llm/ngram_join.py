@@ -295,9 +295,9 @@ def _ranges(blocks: DataFrame) -> DataFrame:
 def _with_sets(named: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """`rows` (id, class, ...) with `shingles`, the set of the text of that id and class, in place of `class`.
 
-    The rows are a written table, whose size the planner knows: below the session's limit they go to the texts, else texts and rows meet in a shuffle.
+    Texts and rows meet in a shuffle at every size: the rows grow with the texts, so that sending them to all executors would not last.
     """
-    rows, kept = materialise(rows, "wanted"), [c for c in rows.columns if c != "class"]
+    kept = [c for c in rows.columns if c != "class"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,7 +306,7 @@ def _with_sets(named: DataFrame, rows: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(got, pa.binary())], names=[*kept, "shingles"])
 
     schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("shingles", T.BinaryType())])
-    return named.join(rows, "id").mapInArrow(run, schema).where("shingles is not null")
+    return named.join(rows.hint("merge"), "id").mapInArrow(run, schema).where("shingles is not null")
 
 
 def _links(compared: DataFrame, percent: int) -> DataFrame:
