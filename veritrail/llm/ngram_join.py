@@ -293,11 +293,11 @@ def _ranges(blocks: DataFrame) -> DataFrame:
 
 
 def _with_sets(named: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """`rows` (id, class, ...) with `shingles`, the set of the text of that id and class, in place of `class`.
+    """`rows` (id, class, ...) with `shingles`, the set of the text of that id and class.
 
     Texts and rows meet in a shuffle at every size: the rows grow with the texts, so that sending them to all executors would not last.
     """
-    kept = [c for c in rows.columns if c != "class"]
+    kept = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,11 +313,11 @@ def _links(compared: DataFrame, percent: int) -> DataFrame:
     return compared.select("group", "component", "side", "id", "head", "shingles").groupBy("group").applyInPandas(_compare(percent), "src long, dst long")
 
 
-def _first_links(named: DataFrame, placed: DataFrame, blocks: DataFrame, n_placed: int, width: int, percent: int) -> DataFrame:
+def _first_links(sets: DataFrame, blocks: DataFrame, n_sets: int, percent: int) -> DataFrame:
     """Links inside small components and blocks, and between blocks that follow each other."""
     key = lambda c, p, q: F.struct(F.lit(c).cast("long").alias("c") if isinstance(c, int) else c.alias("c"), p.cast("long").alias("p"), q.cast("long").alias("q"))
-    packed = key(-1, F.pmod(F.xxhash64("component"), F.lit(n_placed // BLOCK + 1)), F.lit(0))  # small components: many to a group
-    small = placed.where(F.col("classes") <= BLOCK).select("id", "component", "class", F.array(F.struct(packed.alias("group"), F.lit(0).alias("side"))).alias("groups"))
+    packed = key(-1, F.pmod(F.xxhash64("component"), F.lit(n_sets // BLOCK + 1)), F.lit(0))  # small components: many to a group
+    small = sets.where(F.col("classes") <= BLOCK).select("id", "component", "shingles", F.array(F.struct(packed.alias("group"), F.lit(0).alias("side"))).alias("groups"))
     after = Window.partitionBy("component").orderBy("block")
     of = _ranges(blocks).withColumns({"next": F.lead("block").over(after), "next_low": F.lead("low").over(after), "last": F.lag("block").over(after), "last_high": F.lag("high").over(after)})
     member = lambda p, q, side: F.struct(key(F.col("component"), p, q).alias("group"), F.lit(side).alias("side"))
@@ -326,13 +326,12 @@ def _first_links(named: DataFrame, placed: DataFrame, blocks: DataFrame, n_place
     behind = F.when(F.col("last_high") * 100 >= F.col("low") * percent, F.array(member(F.col("last"), F.col("block"), 1)))
     none = F.array().cast("array<struct<group:struct<c:bigint,p:bigint,q:bigint>,side:int>>")
     groups = of.select("component", "block", F.concat(own, F.coalesce(ahead, none), F.coalesce(behind, none)).alias("groups"))
-    large = blocks.join(groups, ["component", "block"]).select("id", "component", "class", "groups")
-    sets = _with_sets(named, small.unionByName(large), width)
-    dealt = sets.select("id", F.col("id").alias("head"), "component", "shingles", F.explode("groups").alias("g"))
+    large = blocks.join(groups, ["component", "block"]).select("id", "component", "shingles", "groups")
+    dealt = small.unionByName(large).select("id", F.col("id").alias("head"), "component", "shingles", F.explode("groups").alias("g"))
     return _links(dealt.select("id", "head", "component", "shingles", "g.group", "g.side"), percent)
 
 
-def _other_links(named: DataFrame, blocks: DataFrame, joined: DataFrame, width: int, percent: int) -> DataFrame:
+def _other_links(blocks: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     """Links of what isn't in its component's largest part with all blocks of compatible sizes."""
     headed = blocks.join(joined.select(F.col("node").alias("id"), F.col("component").alias("top")), "id", "left").withColumn("head", F.coalesce("top", "id")).drop("top")
     parts = headed.groupBy("component", "head").agg(F.count("*").alias("many"))
@@ -342,9 +341,9 @@ def _other_links(named: DataFrame, blocks: DataFrame, joined: DataFrame, width:
     x, y = _ranges(left).alias("x"), _ranges(blocks).alias("y")
     compatible = (F.col("x.high") * 100 >= F.col("y.low") * percent) & (F.col("y.high") * 100 >= F.col("x.low") * percent)
     pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & compatible).select("x.component", F.col("x.block").alias("p"), F.col("y.block").alias("q"))
-    sets = lambda rows: _with_sets(named, rows.select("id", "component", "block", "class", "head"), width)
-    one = sets(left).withColumnRenamed("block", "p").join(pairs, ["component", "p"]).withColumn("side", F.lit(0))
-    other = sets(headed.join(left.select("component").distinct(), "component", "left_semi")).withColumnRenamed("block", "q").join(pairs, ["component", "q"]).withColumn("side", F.lit(1))
+    columns = ["id", "component", "block", "shingles", "head"]
+    one = left.select(columns).withColumnRenamed("block", "p").join(pairs, ["component", "p"]).withColumn("side", F.lit(0))
+    other = headed.join(left.select("component").distinct(), "component", "left_semi").select(columns).withColumnRenamed("block", "q").join(pairs, ["component", "q"]).withColumn("side", F.lit(1))
     return _links(one.unionByName(other).withColumn("group", F.struct("component", "p", "q")), percent)
 
 
@@ -358,11 +357,12 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     classes = classes.select("class", "id", "n")
     members = classes.join(near.withColumnRenamed("node", "id"), "id").select("component", "id", "n", "class")
     several = members.groupBy("component").agg(F.count("*").alias("classes")).where("classes > 1")
-    placed = materialise(members.join(several, "component"), "placed")
-    blocks = materialise(_in_blocks(placed.where(F.col("classes") > BLOCK).drop("classes"), BLOCK), "blocks")
-    joined = connected_components(_first_links(named, placed, blocks, placed.count(), width, percent))
+    # the texts are met once; what is compared after that are sets of this table
+    sets = materialise(_with_sets(named, members.join(several, "component"), width), "compared")
+    blocks = materialise(_in_blocks(sets.where(F.col("classes") > BLOCK).drop("classes"), BLOCK), "blocks")
+    joined = connected_components(_first_links(sets, blocks, sets.count(), percent))
     if not blocks.isEmpty():
-        found = _other_links(named, blocks, joined, width, percent)
+        found = _other_links(blocks, joined, percent)
         joined = connected_components(found.unionByName(joined.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
 
     heads = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").select("class", F.coalesce("component", "id").alias("head"))
