@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe, decontaminate, language_id, ngram_join, quality_model, quality_rules, secrets, sharding, token_files, warc
+from veritrail.llm import bpe, centroids, conversations, decontaminate, language_id, ngram_join, quality_model, quality_rules, secrets, sharding, token_files, warc
 from veritrail.sources.catalog import table, work_dir
 
 WORD_BPE, END_ID = public_tokenizers.path("word_bpe_49k.json"), 2
@@ -86,8 +86,37 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"quality_rules.figures.{c}").alias(c) for c in base), "quality_rules.base_failed", "quality_rules.kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op3_sharding, op4_warc, op5_decontaminate, op6_language_id, op7_quality_model, op8_token_files, op9_ngram_join, op10_quality_rules)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")), present="present")
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op3_sharding, op4_warc, op5_decontaminate, op6_language_id, op7_quality_model, op8_token_files, op9_ngram_join, op10_quality_rules, op11_conversation_repair, op13_centroid_clusters)}
+
+
+def _clusters_sql(k: int = centroids.CENTROIDS, rounds: int = centroids.ROUNDS, width: int = centroids.WIDTH) -> str:
+    """Each round as two common tables: the nearest centroid of each vector, and the centroids after it."""
+    far = f"list_sum(list_transform(range(1, {width + 1}), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i])))"
+    steps = [f"""kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {width}),
+        c0 AS (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v FROM kept QUALIFY c < {k})"""]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS (SELECT r, min((CAST({far} AS BIGINT), c)) AS near FROM kept k, c{n} c GROUP BY r)")
+        if n < rounds:
+            steps.append(f"""t{n} AS (SELECT near[2] AS c, unnest(range(1, {width + 1})) AS i, unnest(v) AS x FROM a{n} JOIN kept USING (r)),
+        m{n} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM t{n} GROUP BY c, i), f{n} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM m{n} GROUP BY c),
+        c{n + 1} AS (SELECT c, coalesce(f.v, o.v) AS v FROM c{n} o LEFT JOIN f{n} f USING (c))""")
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, CAST(near[2] AS INTEGER) AS cluster, near[1] AS distance, CAST(sum(near[1]) OVER (PARTITION BY near[2]) AS BIGINT) AS cluster_inertia,
+            CAST(sum(near[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} c ON c.c = near[2]"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_centroid_clusters": _clusters_sql(),
     "op3_sharding": """
         SELECT doc_id, (coalesce(doc_id, 0) % 4 + 4) % 4 AS arrival, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS text_bytes, md5(text) AS text_md5
         FROM documents
