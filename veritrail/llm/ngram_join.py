@@ -4,9 +4,10 @@
    from here on only these texts are looked at.
 2. Any two sets a, b with the wanted similarity t share at least k shingles among the first |a| - ceil(t|a|) + k of a and as many of b, in any
    common order of shingles. The order takes shingles that many texts share last; that list is bounded and bears on the cost only, never
-   on the result. Texts of compatible sizes that share k such shingles that few texts have are tied. Along a shingle that more than FEW texts
-   have, each is tied to the next by size: those rows lie in ranges of (shingle, size, id), so that no shingle is one task's.
-   The components of these ties hold all possible links.
+   on the result. Texts of compatible sizes that share k such shingles are tied: those that few texts have are counted, of others each text has
+   so many at most. What shares none of the first kind has k of the second by itself, so that only texts that have as many are tied along
+   a shingle that more than FEW texts have, each to the next by size: those rows lie in ranges of (shingle, size, id), and no shingle is
+   one task's. Texts of one template that are not alike enough have too few of these. The components of these ties hold all possible links.
 3. Inside a component, signature trees are built over blocks of sets: a node holds the OR of its sets' bitmaps, their range of sizes and the
    most shingles that share a bit with another. Two trees are walked together; a pair of nodes whose bitmaps and sizes allow too small an
    overlap is left with all below it. Pairs of sets that remain are compared exactly, unless links found before join them already.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,7 +96,7 @@ def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
 def _common(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles, sorted, and how many texts they were seen in: those of LEAST_COMMON copies, or of as many more as leave no more than COMMON of them."""
-    total = materialise(shared.groupBy("token").agg(F.sum("copies").alias("copies")).where(F.col("copies") >= LEAST_COMMON).withColumn("level", F.floor(F.log2("copies")).cast("int")), "common")
+    total, place = written(shared.groupBy("token").agg(F.sum("copies").alias("copies")).where(F.col("copies") >= LEAST_COMMON).withColumn("level", F.floor(F.log2("copies")).cast("int")), "common")
     counts = dict(total.groupBy("level").count().collect())
     least, seen = max(counts, default=0) + 1, 0
     for level in sorted(counts, reverse=True):
@@ -104,6 +105,7 @@ def _common(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             break
         least = level
     found = total.where(F.col("level") >= least).select("token", "copies").toPandas()
+    remove(shared.sparkSession, place)
     token = found["token"].to_numpy(np.int64).view(np.uint64)
     at = np.argsort(token)
     return token[at], found["copies"].to_numpy(np.int64)[at]
@@ -140,16 +142,24 @@ def _first_shingles(docs: DataFrame, common: np.ndarray, width: int, percent: in
     return every.groupBy("class").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "need", "tokens")))
 
 
-def _paired(few: DataFrame, percent: int) -> DataFrame:
-    """(src, dst) of texts that share as many shingles as they need, each of at most FEW texts."""
+def _needed(n: Column, percent: int) -> Column:
+    """How many of its first shingles a set of n shares with a similar one, as in _first_shingles."""
+    return F.least(F.floor(n / SHARE) + 2, F.ceil(n * percent / 100))
+
+
+def _paired(few: DataFrame, often: DataFrame, percent: int) -> DataFrame:
+    """(src, dst) of texts that share shingles of at most FEW texts, and as many as they need with those that more texts have: `often` (id, own) says how many of these a text has."""
     by_size = Window.partitionBy("token").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1)
     seen = few.withColumn("others", F.collect_list(F.struct("id", "n", "need")).over(by_size)).select("id", "n", "need", F.explode("others").alias("o"))
     pairs = seen.where((F.col("o.n") * 100 >= F.col("n") * percent) & (F.col("o.id") != F.col("id")))
     ends = pairs.select(F.least("id", "o.id").alias("src"), F.greatest("id", "o.id").alias("dst"), F.least("need", "o.need").alias("need"))
-    return ends.groupBy("src", "dst").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("src", "dst")
+    counted = ends.groupBy("src", "dst").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
+    with_own = counted.join(often.select(F.col("id").alias("src"), F.col("own").alias("x")), "src", "left").join(often.select(F.col("id").alias("dst"), F.col("own").alias("y")), "dst", "left")
+    more = F.least(F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0)))
+    return with_own.where(F.col("shared") + more >= F.col("need")).select("src", "dst")
 
 
-def _chained(many: DataFrame, percent: int) -> DataFrame:
+def chained(many: DataFrame, percent: int) -> DataFrame:
     """(src, dst) of texts that follow each other by size along a shingle. `many` is ordered by ranges; where a range begins, the last row of the one before is looked at."""
     row = F.struct("token", "n", "id")
     inside = many.select("token", "n", "id", F.lag(row).over(Window.partitionBy("part").orderBy("token", "n", "id")).alias("o"))
@@ -159,13 +169,21 @@ def _chained(many: DataFrame, percent: int) -> DataFrame:
     return inside.unionByName(across).where(near).select(F.least("id", "o.id").alias("src"), F.greatest("id", "o.id").alias("dst"))
 
 
+def dealt_by_size(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Rows (token, n, id) as a written table in ranges of these, with the range as `part`; and where it is."""
+    return written(rows.select("token", "n", "id").repartitionByRange("token", "n", "id").withColumn("part", F.spark_partition_id()), name)
+
+
 def _near(classes: DataFrame, percent: int) -> DataFrame:
     """(node, component): texts that may be similar, or hang together by texts that may be, are of one component."""
     spark, first = classes.sparkSession, classes.select("id", F.col("n").cast("int").alias("n"), "need", F.explode("tokens").alias("token"))
     often, often_at = written(first.groupBy("token").agg(F.count("*").alias("texts")).where(F.col("texts") > FEW).select("token"), "often")
-    many, many_at = written(first.join(often, "token").select("token", "n", "id").repartitionByRange("token", "n", "id").withColumn("part", F.spark_partition_id()), "many")
-    near = connected_components(_paired(first.join(often, "token", "left_anti"), percent).unionByName(_chained(many, percent)))
-    for at in (often_at, many_at):
+    shared, shared_at = written(first.join(often, "token").select("token", "n", "id"), "shared")
+    own, own_at = written(shared.groupBy("id", "n").agg(F.count("*").alias("own")), "own")
+    enough = own.where(F.col("own") >= _needed(F.ceil(F.col("n") * percent / 100), percent)).select("id")
+    many, many_at = dealt_by_size(shared.join(enough, "id", "left_semi"), "many")
+    near = connected_components(_paired(first.join(often, "token", "left_anti"), own, percent).unionByName(chained(many, percent)))
+    for at in (often_at, shared_at, own_at, many_at):
         remove(spark, at)
     return near
 
@@ -337,7 +355,7 @@ def _other_links(blocks: DataFrame, joined: DataFrame, percent: int) -> DataFram
     parts = headed.groupBy("component", "head").agg(F.count("*").alias("many"))
     largest = parts.groupBy("component").agg(F.max_by("head", F.struct("many", "head")).alias("largest"))
     apart = headed.join(largest, "component").where(F.col("head") != F.col("largest")).drop("largest", "block")
-    left = materialise(_in_blocks(apart, BLOCK), "apart")
+    left = materialise(_in_blocks(apart, BLOCK), "apart")  # stays until the links are read
     x, y = _ranges(left).alias("x"), _ranges(blocks).alias("y")
     compatible = (F.col("x.high") * 100 >= F.col("y.low") * percent) & (F.col("y.high") * 100 >= F.col("x.low") * percent)
     pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & compatible).select("x.component", F.col("x.block").alias("p"), F.col("y.block").alias("q"))
@@ -347,25 +365,40 @@ def _other_links(blocks: DataFrame, joined: DataFrame, percent: int) -> DataFram
     return _links(one.unionByName(other).withColumn("group", F.struct("component", "p", "q")), percent)
 
 
-def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of `docs`: `id`, n_shingles and component_id."""
-    named = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    sized, shared = shingle_sets(named, width)
-    classes = materialise(_first_shingles(named, _common(shared), width, percent), "classes")
-    near = _near(classes, percent)
+def confirmed(named: DataFrame, classes: DataFrame, near: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, component) of the classes that links join, from exact comparison of the sets in each component of `near` (node, component).
 
-    classes = classes.select("class", "id", "n")
-    members = classes.join(near.withColumnRenamed("node", "id"), "id").select("component", "id", "n", "class")
+    `named` has (id, text), `classes` (class, id, n), an id for each class.
+    """
+    spark = named.sparkSession
+    members = classes.select("class", "id", "n").join(near.withColumnRenamed("node", "id"), "id").select("component", "id", "n", "class")
     several = members.groupBy("component").agg(F.count("*").alias("classes")).where("classes > 1")
     # the texts are met once; what is compared after that are sets of this table
-    sets = materialise(_with_sets(named, members.join(several, "component"), width), "compared")
-    blocks = materialise(_in_blocks(sets.where(F.col("classes") > BLOCK).drop("classes"), BLOCK), "blocks")
+    sets, sets_at = written(_with_sets(named, members.join(several, "component"), width), "compared")
+    blocks, blocks_at = written(_in_blocks(sets.where(F.col("classes") > BLOCK).drop("classes"), BLOCK), "blocks")
     joined = connected_components(_first_links(sets, blocks, sets.count(), percent))
+    remove(spark, sets_at)
     if not blocks.isEmpty():
         found = _other_links(blocks, joined, percent)
         joined = connected_components(found.unionByName(joined.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
+    remove(spark, blocks_at)
+    return joined
+
 
+def answered(sized: DataFrame, classes: DataFrame, joined: DataFrame, id: str) -> DataFrame:
+    """A row for each of `sized` (id, n, class): `id`, n_shingles and component_id."""
     heads = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").select("class", F.coalesce("component", "id").alias("head"))
-    by_id = sized.join(heads, "class", "left").select("id", "n", "class", "head")
+    by_id = sized.select("id", "n", "class").join(heads, "class", "left").select("id", "n", "class", "head")
     answer = F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("id"))
     return by_id.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), answer).alias("component_id"))
+
+
+def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row for each row of `docs`: `id`, n_shingles and component_id."""
+    named = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    sized, shared = shingle_sets(named, width)
+    classes, place = written(_first_shingles(named, _common(shared), width, percent), "classes")
+    near = _near(classes, percent)
+    heads = materialise(classes.select("class", "id", "n"), "heads")
+    remove(named.sparkSession, place)
+    return answered(sized, heads, confirmed(named, heads, near, width, percent), id)
