@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe, centroids, conversations, decontaminate, language_id, ngram_join, quality_model, quality_rules, secrets, sharding, token_files, warc
+from veritrail.llm import bpe, centroids, conversations, decontaminate, language_id, minhash, ngram_join, quality_model, quality_rules, secrets, sharding, token_files, warc
 from veritrail.sources.catalog import table, work_dir
 
 WORD_BPE, END_ID = public_tokenizers.path("word_bpe_49k.json"), 2
@@ -90,11 +90,36 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")), present="present")
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op3_sharding, op4_warc, op5_decontaminate, op6_language_id, op7_quality_model, op8_token_files, op9_ngram_join, op10_quality_rules, op11_conversation_repair, op13_centroid_clusters)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op3_sharding, op4_warc, op5_decontaminate, op6_language_id, op7_quality_model, op8_token_files, op9_ngram_join, op10_quality_rules, op11_conversation_repair, op12_minhash_dedup, op13_centroid_clusters)}
+
+
+def _similar_sql(width: int, percent: int, more: str = "") -> str:
+    """All pairs of shingle sets that share a shingle, those that link, and what links reach."""
+    return rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i:i + {width - 1}], ' '))) END AS shingles FROM w
+        ),
+        n AS (SELECT doc_id, len(shingles) AS n FROM s),
+        u AS (SELECT doc_id, unnest(shingles) AS g FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {percent} * (x.n + y.n - k)),
+        ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        reach AS (SELECT a AS node, a AS other FROM ways UNION SELECT r.node, w.b FROM reach r JOIN ways w ON r.other = w.a),
+        least AS (SELECT node, min(other) AS least FROM reach GROUP BY 1)
+        SELECT doc_id, n AS n_shingles, coalesce(least, doc_id) AS component_id{more} FROM n LEFT JOIN least ON node = doc_id
+    """
 
 
 def _clusters_sql(k: int = centroids.CENTROIDS, rounds: int = centroids.ROUNDS, width: int = centroids.WIDTH) -> str:
@@ -130,23 +155,8 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN least IS NULL OR least IS NOT DISTINCT FROM page_id THEN NULL ELSE least END AS refers_to
         FROM h LEFT JOIN f USING (payload_digest)
     """,
-    "op9_ngram_join": """
-        WITH RECURSIVE w AS (
-            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
-        ),
-        s AS (
-            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS shingles FROM w
-        ),
-        n AS (SELECT doc_id, len(shingles) AS n FROM s),
-        u AS (SELECT doc_id, unnest(shingles) AS g FROM s),
-        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
-        ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-        reach AS (SELECT a AS node, a AS other FROM ways UNION SELECT r.node, w.b FROM reach r JOIN ways w ON r.other = w.a),
-        least AS (SELECT node, min(other) AS least FROM reach GROUP BY 1)
-        SELECT doc_id, n AS n_shingles, coalesce(least, doc_id) AS component_id FROM n LEFT JOIN least ON node = doc_id
-    """,
+    "op9_ngram_join": _similar_sql(ngram_join.WIDTH, ngram_join.PERCENT),
+    "op12_minhash_dedup": _similar_sql(minhash.WIDTH, minhash.PERCENT, ", coalesce(least, doc_id) = doc_id AS kept"),
     "op10_quality_rules": rf"""
         WITH w AS (
             SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
