@@ -35,7 +35,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, at, arrivals = table(spark, sf_dir, "documents"), work_dir(spark, "shards"), 4
     for k in range(arrivals):
         sharding.append(docs.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(arrivals)) == k), at, k)
-    sharding.compact(spark, at)
+    sharding.settle(spark, at)
     sharding.vacuum(spark, at)
     return sharding.read(spark, at).select("doc_id", F.col("_arrival").alias("arrival"), "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("text_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 

@@ -5,24 +5,30 @@ it comes in. `compact` merges runs of one size tier, once there are `fan_in` of
 shards are scanned and put together without a shuffle. Runs are of one tier when none has more than `fan_in` times the bytes of the smallest.
 Each change is a new manifest, a folder written aside, and one small file, the version, that names it. The file is written whole under
 another name and takes the version's name only if nothing has it, in one step of the file system: a link on local disks and a rename without
-overwriting elsewhere, which HDFS does in one step too. Who reads a version sees all of it; of two writers of the same version one fails and
-leaves nothing that is read. Runs that no version lists any more go by `vacuum`, which must not run beside a writer.
+overwriting elsewhere, which HDFS does in one step too. Object stores that copy to rename (COPIES) have no such step and are refused. Who reads
+a version sees all of it; of two writers of the same version one fails and leaves nothing that is read. The version's file holds the table's
+columns as well: those of its arrivals, in the order they came. Runs that no version lists any more go by `vacuum`, which must not run beside a writer.
 
-Defined results: nulls and empty texts are stored as they are; repeated rows stay repeated; an arrival without rows is a version that adds no shards;
-a column named _arrival is replaced; a table without arrivals is an error to read.
+Defined results: nulls and empty texts are stored as they are; repeated rows stay repeated; an arrival without rows is a version that adds no shards,
+and a table of such arrivals alone is read as no rows of their columns; a column that an arrival lacks is null in its rows; a column named
+_arrival is replaced; a table without arrivals is an error to read.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a shard that a merge aims at, rows of one in an arrival at most, and how many runs of a tier are merged.
 TARGET, ARRIVAL_ROWS, FAN_IN = 128 << 20, 50_000, 4
+#: Schemes of stores that have no rename in one step.
+COPIES = {"s3", "s3a", "s3n", "gs", "oss", "cosn", "obs", "wasb", "wasbs"}
 MANIFEST = "run string, arrival long, file string, bytes long, rows long"
 
 
@@ -42,9 +48,19 @@ def versions(spark: SparkSession, at: str) -> list[int]:
     return sorted(int(n[1:]) for n in names if n.startswith("v"))
 
 
+def _version(spark: SparkSession, at: str, version: int) -> tuple[str, T.StructType]:
+    """What a version's file says: the name of its manifest, and the table's columns."""
+    said = json.loads(spark.read.text(f"{at}/manifest/v{version:08d}", wholetext=True).first()[0])
+    return said["parts"], T.StructType.fromJson(said["columns"])
+
+
 def _folder(spark: SparkSession, at: str, version: int) -> str:
     """The folder with a version's manifest."""
-    return f"{at}/parts/{spark.read.text(f'{at}/manifest/v{version:08d}').first()[0]}"
+    return f"{at}/parts/{_version(spark, at, version)[0]}"
+
+
+def columns(spark: SparkSession, at: str, version: int) -> T.StructType:
+    return _version(spark, at, version)[1]
 
 
 def manifest(spark: SparkSession, at: str, version: int | None = None) -> DataFrame:
@@ -52,7 +68,7 @@ def manifest(spark: SparkSession, at: str, version: int | None = None) -> DataFr
     known = versions(spark, at)
     if not known:
         raise ValueError(f"no version of {at}")
-    return spark.read.schema(MANIFEST).parquet(_folder(spark, at, version or known[-1]))
+    return spark.read.schema(MANIFEST).parquet(_folder(spark, at, known[-1] if version is None else version))
 
 
 def _taken(error: Py4JJavaError) -> bool:
@@ -60,15 +76,18 @@ def _taken(error: Py4JJavaError) -> bool:
     return any("FileAlreadyExists" in n for n in names)
 
 
-def _commit(spark: SparkSession, at: str, shards: DataFrame, version: int) -> int:
+def _commit(spark: SparkSession, at: str, shards: DataFrame, version: int, schema: T.StructType | None = None) -> int:
     """Make `shards` the given version, if nobody has made it: nothing is looked up before, taking the name is the only test."""
     fs, path = _fs(spark, at)
+    if fs.getScheme() in COPIES:
+        raise ValueError(f"{fs.getScheme()} has no rename in one step: versions of {at} could be lost")
+    said = {"columns": (schema or T.StructType()).jsonValue()}
     jvm, name = spark.sparkContext._jvm, uuid.uuid4().hex
     aside, place = path(f"{at}/aside/{name}"), path(f"{at}/manifest/v{version:08d}")
     shards.coalesce(1).write.parquet(f"{at}/parts/{name}")
     fs.mkdirs(path(f"{at}/manifest"))
     out = fs.create(aside)
-    out.writeBytes(name)
+    out.write(bytearray(json.dumps(said | {"parts": name}).encode()))
     out.close()
     try:
         if fs.getScheme() == "file":
@@ -87,12 +106,17 @@ def _commit(spark: SparkSession, at: str, shards: DataFrame, version: int) -> in
     return version
 
 
-def _shards(spark: SparkSession, at: str, run: str) -> DataFrame:
+def _merged(one: T.StructType, other: T.StructType) -> T.StructType:
+    """All columns of one, then what only the other has."""
+    return T.StructType([*one, *(f for f in other if f.name not in one.names)])
+
+
+def _shards(spark: SparkSession, at: str, run: str, schema: T.StructType) -> DataFrame:
     """Manifest rows of a run that has been written: sizes as stored, rows as counted from the files' footers."""
     fs, path = _fs(spark, at)
     sizes = [(f.getPath().getName(), f.getLen()) for f in fs.listStatus(path(f"{at}/runs/{run}")) if f.getPath().getName().startswith("part-")]
     listed = spark.createDataFrame(sizes, "file string, bytes long")
-    named = spark.read.parquet(f"{at}/runs/{run}").select("_arrival", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
+    named = spark.read.schema(schema).parquet(f"{at}/runs/{run}").select("_arrival", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
     counted = named.groupBy("_arrival", "file").agg(F.count("*").alias("rows"))
     return counted.join(listed, "file").select(F.lit(run).alias("run"), F.col("_arrival").alias("arrival"), "file", "bytes", "rows")
 
@@ -101,11 +125,13 @@ def append(df: DataFrame, at: str, arrival: int, rows: int = ARRIVAL_ROWS) -> in
     """Write `df` as a run of small shards and commit it; returns the version."""
     spark = df.sparkSession
     known, run = versions(spark, at), f"a{arrival:06d}-{uuid.uuid4().hex[:12]}"
-    df.withColumn("_arrival", F.lit(arrival).cast("long")).write.option("maxRecordsPerFile", rows).parquet(f"{at}/runs/{run}")
-    shards = _shards(spark, at, run)
+    named = df.withColumn("_arrival", F.lit(arrival).cast("long"))
+    named.write.option("maxRecordsPerFile", rows).parquet(f"{at}/runs/{run}")
+    schema = _merged(columns(spark, at, known[-1]), named.schema) if known else named.schema
+    shards = _shards(spark, at, run, schema)
     if known:
-        shards = manifest(spark, at).unionByName(shards)
-    return _commit(spark, at, shards, (known or [0])[-1] + 1)
+        shards = manifest(spark, at, known[-1]).unionByName(shards)
+    return _commit(spark, at, shards, (known or [0])[-1] + 1, schema)
 
 
 def plan(spark: SparkSession, at: str, target: int = TARGET, fan_in: int = FAN_IN) -> DataFrame:
@@ -139,10 +165,19 @@ def compact(spark: SparkSession, at: str, target: int = TARGET, fan_in: int = FA
         return latest
     total, names = sum(r["bytes"] for r in chosen), [r["run"] for r in chosen]
     run = f"m{latest + 1:06d}-{uuid.uuid4().hex[:12]}"
-    merged = spark.read.parquet(*(f"{at}/runs/{n}" for n in names))
+    schema = columns(spark, at, latest)
+    merged = spark.read.schema(schema).parquet(*(f"{at}/runs/{n}" for n in names))
     merged.coalesce(max(1, math.ceil(total / target))).write.parquet(f"{at}/runs/{run}")
     rest = manifest(spark, at, latest).where(~F.col("run").isin(names))
-    return _commit(spark, at, rest.unionByName(_shards(spark, at, run)), latest + 1)
+    return _commit(spark, at, rest.unionByName(_shards(spark, at, run, schema)), latest + 1, schema)
+
+
+def settle(spark: SparkSession, at: str, target: int = TARGET, fan_in: int = FAN_IN) -> int:
+    """Compact until no tier is full; returns the version."""
+    before, version = -1, versions(spark, at)[-1]
+    while version != before:
+        before, version = version, compact(spark, at, target, fan_in)
+    return version
 
 
 def vacuum(spark: SparkSession, at: str, keep: int = 1) -> int:
@@ -162,5 +197,7 @@ def vacuum(spark: SparkSession, at: str, keep: int = 1) -> int:
 
 def read(spark: SparkSession, at: str, version: int | None = None) -> DataFrame:
     """All rows of a version, with the arrival that brought each, in `_arrival`."""
+    known = versions(spark, at)
     runs = [r["run"] for r in manifest(spark, at, version).select("run").distinct().collect()]
-    return spark.read.parquet(*(f"{at}/runs/{n}" for n in runs))
+    schema = columns(spark, at, known[-1] if version is None else version)
+    return spark.read.schema(schema).parquet(*(f"{at}/runs/{n}" for n in runs)) if runs else spark.createDataFrame([], schema)
