@@ -10,13 +10,19 @@ that name it and carry no payload. Which are revisits is found on ids and digest
 the join that brings them back is one that adaptive execution splits, since a third of all pages may have one payload. The revisits' ids are
 a written table; if it is below the session's limit for broadcasts, payloads stay where they are, else they move once to meet it.
 
+Archives of others are taken as they are: records of any type, header names in any case, with or without blanks, folded or repeated fields, records without
+target or digest (the digest is then taken of the block), several members, zeros after the last. An archive that ends inside a record or inside
+a gzip member, or whose record is not as long as it says, is an error and leaves no file under its name.
+
 Defined results: null html is an empty payload, null url an empty target; a null page id writes its record with an empty id, is read back as null and is
 response unless another id has its payload; rows that repeat an id and a payload are all responses; an empty table writes nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -66,13 +72,38 @@ def _record(page, url: str, payload: bytes, size: int, digest: str, kind: str, r
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _headers(raw: bytes) -> dict[str, str]:
-    return dict(x.split(": ", 1) for x in raw.decode().split("\r\n")[1:])
+class Headers(dict):
+    """The fields of a record by name, in any case; of a field that comes again the first, folded lines joined by a blank."""
+
+    def __init__(self, raw: bytes) -> None:
+        first, *rest = raw.decode("utf-8", "replace").split("\r\n")
+        if not first.startswith("WARC/"):
+            raise ValueError(f"no record begins with {first[:40]!r}")
+        for line in re.sub(r"\r\n[ \t]+", " ", "\r\n".join(rest)).split("\r\n"):
+            name, _, value = line.partition(":")
+            self.setdefault(name.strip().lower(), value.strip())
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return super().get(name.lower(), default)
+
+
+def _page(urn: str | None) -> int | None:
+    """The page that a record of `write` is of; null for other records."""
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
+    return int(found[1]) if found else None
 
 
-def _page(urn: str) -> int | None:
-    name = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(name) if name else None
+def _block(headers: Headers, block: bytes) -> bytes:
+    """The payload: what follows the header of an HTTP message, or the whole block."""
+    http = (headers.get("Content-Type") or "").replace(" ", "").startswith("application/http")
+    return block.partition(b"\r\n\r\n")[2] if http else block
+
+
+def _digest(headers: Headers, payload: bytes) -> str:
+    return headers.get("WARC-Payload-Digest") or f"sha256:{hashlib.sha256(payload).hexdigest()}"
 
 
 def write(records: DataFrame, out: str, archives: int | None = None) -> DataFrame:
@@ -108,18 +139,22 @@ def _pieces(uri: str) -> Iterator[bytes]:
     """The inflated stream, a bounded piece at a time; members that follow the first are read on."""
     fs, path = opened(uri)
     with fs.open_input_stream(path, compression=None) as f:
-        inflate = zlib.decompressobj(wbits=_GZIP)
+        inflate, begun = zlib.decompressobj(wbits=_GZIP), False
         while data := f.read(PIECE):
             while data:
+                data = data if begun else data.lstrip(b"\0")
+                begun = begun or bool(data)
                 yield inflate.decompress(data, PIECE)
                 data = inflate.unconsumed_tail
                 if inflate.eof:
-                    data, inflate = inflate.unused_data, zlib.decompressobj(wbits=_GZIP)
-        while piece := inflate.decompress(b"", PIECE):
+                    data, inflate, begun = inflate.unused_data, zlib.decompressobj(wbits=_GZIP), False
+        while begun and not inflate.eof and (piece := inflate.decompress(b"", PIECE)):
             yield piece
+        if begun and not inflate.eof:
+            raise ValueError("the archive ends inside a gzip member")
 
 
-def records_in(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+def records_in(pieces: Iterator[bytes]) -> Iterator[tuple[Headers, bytes]]:
     """(headers, whole record) of each record of an inflated stream."""
     held = bytearray()
 
@@ -136,11 +171,13 @@ def records_in(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]
                 if held.strip():
                     raise ValueError("the archive ends inside a record")
                 return
-        headers = _headers(bytes(held[:at]))
+        headers = Headers(bytes(held[:at]))
         end = at + 4 + int(headers["Content-Length"]) + 4
         while len(held) < end:
             if not more():
                 raise ValueError("the archive ends inside a record")
+        if held[end - 4 : end] != b"\r\n\r\n":
+            raise ValueError(f"record {headers.get('WARC-Record-ID')} is not as long as it says")
         yield headers, bytes(held[:end])
         del held[:end]
 
@@ -156,7 +193,8 @@ def normalise(archives: DataFrame, out: str, keep: bool = False) -> DataFrame:
                     for headers, record in records_in(_pieces(f"{out}/{WHOLE}/{name}.warc.gz")):
                         pack = zlib.compressobj(LEVEL, wbits=_GZIP)
                         member = pack.compress(record) + pack.flush()
-                        entry = {"id": headers["WARC-Record-ID"], "url": headers["WARC-Target-URI"], "type": headers["WARC-Type"], "digest": headers["WARC-Payload-Digest"], "offset": at, "length": len(member)}
+                        digest = headers.get("WARC-Payload-Digest") or _digest(headers, split(record)[1])
+                        entry = {"id": headers.get("WARC-Record-ID"), "url": headers.get("WARC-Target-URI"), "type": headers.get("WARC-Type"), "digest": digest, "offset": at, "length": len(member)}
                         members.write(member)
                         index.write(json.dumps(entry).encode() + b"\n")
                         at, records = at + len(member), records + 1
@@ -168,7 +206,7 @@ def normalise(archives: DataFrame, out: str, keep: bool = False) -> DataFrame:
     return done
 
 
-def fetch(uri: str, entry: dict) -> tuple[dict[str, str], bytes]:
+def fetch(uri: str, entry: dict) -> tuple[Headers, bytes]:
     """(headers, payload) of the record that an index entry names: one ranged read and one inflation."""
     fs, path = opened(uri)
     with fs.open_input_file(path) as f:
@@ -176,17 +214,20 @@ def fetch(uri: str, entry: dict) -> tuple[dict[str, str], bytes]:
         return parsed(f.read(entry["length"]))
 
 
-def parsed(member: bytes) -> tuple[dict[str, str], bytes]:
-    """(headers, payload) of one member."""
-    record = zlib.decompress(member, wbits=_GZIP)
+def split(record: bytes) -> tuple[Headers, bytes]:
+    """(headers, payload) of a whole record."""
     at = record.index(b"\r\n\r\n")
-    headers = _headers(record[:at])
-    block = record[at + 4 : at + 4 + int(headers["Content-Length"])]
-    return headers, block[block.index(b"\r\n\r\n") + 4 :]
+    headers = Headers(record[:at])
+    return headers, _block(headers, record[at + 4 : at + 4 + int(headers["Content-Length"])])
+
+
+def parsed(member: bytes) -> tuple[Headers, bytes]:
+    """(headers, payload) of one member."""
+    return split(zlib.decompress(member, wbits=_GZIP))
 
 
 def read(spark: SparkSession, archives: DataFrame, out: str) -> DataFrame:
-    """(page, url, payload, payload_bytes, payload_digest, record_type, refers_to) of every record, by the archives' indexes."""
+    """(page, url, payload, payload_bytes, payload_digest, record_type, refers_to) of every record, by the archives' indexes; records that are not of `write` have no page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
@@ -199,8 +240,8 @@ def read(spark: SparkSession, archives: DataFrame, out: str) -> DataFrame:
                     for entry in map(json.loads, lines(f"{out}/{name}.index.jsonl")):
                         f.seek(entry["offset"])
                         h, payload = parsed(f.read(entry["length"]))
-                        refers = h.get("WARC-Refers-To")
-                        rows.append((_page(h["WARC-Record-ID"]), h["WARC-Target-URI"], payload, int(h["X-Payload-Bytes"]), h["WARC-Payload-Digest"].removeprefix("sha256:"), h["WARC-Type"], _page(refers) if refers else None))
+                        size_ = int(h.get("X-Payload-Bytes") or len(payload))
+                        rows.append((_page(h.get("WARC-Record-ID")), h.get("WARC-Target-URI"), payload, size_, _digest(h, payload).removeprefix("sha256:"), h.get("WARC-Type"), _page(h.get("WARC-Refers-To"))))
                         size += len(payload)
                         if size > PIECE * 8:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names=names)
