@@ -1,37 +1,37 @@
-"""TF-IDF cosine similarity inside subjects, by blocks of documents.
+"""TF-IDF cosine similarity inside subjects.
 
 Weights follow the usual library's defaults: words of two characters and more, stop words out before bigrams are formed, raw counts,
 idf = ln((1 + n) / (1 + df)) + 1, rows of length 1; the cap keeps the terms that occur most often, of equals the first in order.
 
-A subject's documents are dealt into blocks of about BLOCK, those with the same heaviest term together. A pair of blocks is compared as a product of
-two matrices, if the greatest weights of each term in both allow the wanted similarity; others are never brought together. No pair of
-documents leaves a block's task but those that are wanted, and where only each document's best and count are, one row a document does.
+Pairs above a similarity are found by an inverted index whose lists hold only entries that may still matter, and candidates are measured once on
+their whole vectors: see `candidates`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions import fixed
 from veritrail.functions.text import let, words
-from veritrail.sources.catalog import materialise
+from veritrail.sources.catalog import materialise, remove, written
 
-#: Caps of the vocabularies, the similarity of an edge, and that of a match.
-PAIR_TERMS, PEER_TERMS = 2500, 5000
-EDGE, MATCH = 0.30, 0.15
+#: The cap of the vocabulary and the similarity of an edge.
+PAIR_TERMS = 2500
+EDGE = 0.30
 LEAST_LENGTH = 5
-#: Documents of a block, about.
-BLOCK = 512
-
+#: Entries of a term that one task still meets with all others, and in how many parts a vocabulary is cut to its most frequent terms first.
+HOT, PARTS = 1 << 14, 32
+#: What sums of rounded numbers may be off by.
+SLACK = 1e-9
 
-def vectors(docs: DataFrame, subject: str, id: str, text: str, bigrams: bool, cap: int, stop: tuple[str, ...] = fixed.STOP_WORDS) -> DataFrame:
-    """(subject, id, terms, weights) of the documents, a written table; the vocabulary, its cap and the frequencies are each subject's own, and a term is its place there.
 
-    A document without known terms has no row.
-    """
+def term_counts(docs: DataFrame, keys: list[str], text: str, bigrams: bool, stop: tuple[str, ...] = fixed.STOP_WORDS) -> DataFrame:
+    """(*keys, term, tf): the words of each text, in lower case, of two characters and more and not in `stop`, and pairs of such that follow each other."""
     token = F.filter(words(F.lower(text)), lambda w: (F.length(w) >= 2) & ~w.isin(*stop))
 
     def with_bigrams(t):
@@ -39,12 +39,22 @@ def vectors(docs: DataFrame, subject: str, id: str, text: str, bigrams: bool, ca
         return F.when(F.size(t) > 1, F.concat(t, pairs)).otherwise(t)
 
     terms = let(token, with_bigrams) if bigrams else token
+    return docs.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+
+
+def vectors(docs: DataFrame, subject: str, id: str, text: str, bigrams: bool, cap: int, stop: tuple[str, ...] = fixed.STOP_WORDS) -> DataFrame:
+    """(subject, id, terms, weights) of the documents, a written table; the vocabulary, its cap and the frequencies are each subject's own, and a term is its place there.
+
+    A document without known terms has no row.
+    """
     # texts are dealt out by id before they fall into words: what is counted by document is then in its place, and no word is moved for it
     docs = docs.select(F.col(subject).alias("subject"), F.col(id).alias("id"), text).repartition("id")
-    tf = materialise(docs.select("subject", "id", F.explode(terms).alias("term")).groupBy("subject", "id", "term").agg(F.count("*").alias("tf")), "tf")
+    tf = materialise(term_counts(docs, ["subject", "id"], text, bigrams, stop), "tf")
     total = tf.groupBy("subject", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("total"), "term"))
-    known = total.withColumn("rank", rank).where(F.col("rank") <= cap)
+    # the most frequent terms of each part of a vocabulary first, so that no task ranks more than PARTS times the cap
+    most = [F.desc("total"), F.col("term")]
+    few = total.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS))).withColumn("rank", F.row_number().over(Window.partitionBy("subject", "part").orderBy(*most))).where(F.col("rank") <= cap)
+    known = few.withColumn("rank", F.row_number().over(Window.partitionBy("subject").orderBy(*most))).where(F.col("rank") <= cap)
     size = docs.groupBy("subject").agg(F.count("*").alias("n"))
     idf = known.join(size, "subject").select("subject", "term", "rank", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = tf.join(idf, ["subject", "term"]).select("subject", "id", F.struct((F.col("rank") - 1).alias("term"), (F.col("tf") * F.col("idf")).alias("w")).alias("x"))
@@ -55,80 +65,84 @@ def vectors(docs: DataFrame, subject: str, id: str, text: str, bigrams: bool, ca
     return materialise(listed.select("subject", "id", F.transform("xs", lambda x: x["term"]).alias("terms"), weights.alias("weights")), "vectors")
 
 
-def _blocks(vectors: DataFrame) -> DataFrame:
-    """`vectors` with their block: cells of documents with the same heaviest term, small ones of a subject together, large ones cut by a hash of the id."""
-    heaviest = F.element_at("terms", F.array_position("weights", F.array_max("weights")).cast("int"))
-    size = vectors.groupBy("subject").agg(F.ceil(F.count("*") / BLOCK).alias("cells"))
-    placed = vectors.join(F.broadcast(size), "subject").withColumn("cell", F.pmod(F.xxhash64(heaviest), F.col("cells"))).drop("cells")
-    many = placed.groupBy("subject", "cell").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("parts"))
-    cut = placed.join(F.broadcast(many), ["subject", "cell"])
-    return cut.withColumn("block", F.concat_ws("-", "cell", F.pmod(F.xxhash64("id"), F.col("parts")))).drop("cell", "parts")
+def postings(vectors: DataFrame, least: float) -> DataFrame:
+    """(subject, term, id, w, rest): terms of each vector, and the length of what it holds from this term on, rare terms first; where that is `least` or more.
 
+    Terms are numbered by how often they occur: a smaller number is a more frequent term, and comes later.
+    """
+    kind = dict(vectors.dtypes)
 
-def _block_pairs(blocks: DataFrame, least: float) -> DataFrame:
-    """(subject, p, q) of blocks with p <= q whose greatest weights by term allow a similarity above `least`."""
-    most = blocks.select("subject", "block", F.explode(F.arrays_zip("terms", "weights")).alias("x")).groupBy("subject", "block", "x.terms").agg(F.max("x.weights").alias("w"))
-    a, b = most.select("subject", "terms", F.col("block").alias("p"), F.col("w").alias("x")), most.select("subject", "terms", F.col("block").alias("q"), F.col("w").alias("y"))
-    bound = a.join(b, ["subject", "terms"]).where("p <= q").groupBy("subject", "p", "q").agg(F.sum(F.col("x") * F.col("y")).alias("bound"))
-    return bound.where(F.col("bound") > least * (1 - 1e-6)).select("subject", "p", "q")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, weights = batch.column(2), batch.column(3).flatten().to_numpy()
+            size = np.diff(terms.offsets.to_numpy())
+            total = np.concatenate([[0.0], np.cumsum(weights * weights)])
+            begin = np.cumsum(size) - size
+            rest = np.sqrt(np.maximum(total[1:] - np.repeat(total[begin], size), 0))
+            kept = np.flatnonzero(rest >= least - SLACK)
+            row = pa.array(np.repeat(np.arange(len(size)), size)[kept])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), terms.flatten().take(pa.array(kept)), batch.column(1).take(row), pa.array(weights[kept]), pa.array(rest[kept])], names=["subject", "term", "id", "w", "rest"]
+            )
 
+    return vectors.select("subject", "id", "terms", "weights").mapInArrow(run, f"subject {kind['subject']}, term int, id {kind['id']}, w double, rest double")
 
-def _compared(vectors: DataFrame, least: float, use, schema: str) -> DataFrame:
-    """What `use` gives for each pair of blocks: a frame from (subject, rows of p, rows of q, their cosines, whether p is q)."""
-    blocks = materialise(_blocks(vectors), "blocks")
-    pairs = materialise(_block_pairs(blocks, least), "block-pairs")
-    ways = pairs.select("subject", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
-    dealt = blocks.join(ways, ["subject", "block"])
 
-    def matrix(rows: pd.DataFrame, width: int) -> np.ndarray:
-        out = np.zeros((len(rows), width))
-        for k, (t, w) in enumerate(zip(rows["terms"], rows["weights"], strict=True)):
-            out[k, t] = w
-        return out
+def met(left: DataFrame, right: DataFrame, on: list[str], deal: str, hot: int = HOT) -> DataFrame:
+    """`left` joined with `right` on columns: a key with more than `hot` rows on the right is split, its rows on the left are dealt by `deal` into parts, each of which meets all on the right."""
+    sizes = right.groupBy(*on).agg(F.ceil(F.count("*") / hot).cast("int").alias("parts"))
+    dealt = left.join(sizes, on).withColumn("part", F.pmod(F.xxhash64(deal), F.col("parts")).cast("int")).drop("parts")
+    every = right.join(sizes, on).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return dealt.join(every, [*on, "part"]).drop("part")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        one, p, q = pdf["block"] == pdf["p"], pdf["p"].iloc[0], pdf["q"].iloc[0]
-        left, right = pdf[one].sort_values("id"), pdf[~one].sort_values("id") if p != q else pdf.sort_values("id")
-        width = 1 + max(int(t.max()) for t in pdf["terms"])
-        x = matrix(left, width)
-        return use(pdf["subject"].iloc[0], left, right, x @ (x if p == q else matrix(right, width)).T, p == q)
 
-    return dealt.groupBy("subject", "p", "q").applyInPandas(run, schema)
+def candidates(vectors: DataFrame, least: float, hot: int = HOT) -> DataFrame:
+    """(subject, a, b) of documents with a < b that may have a cosine above `least`.
 
+    Along the terms, rare ones first, a pair's products are summed up as long as the lengths of what is left on both sides can still reach half of
+    `least`; what is then not summed is less than that half, so that a pair whose sum is less than the other half can't reach it. Common
+    terms are met only by vectors that consist of little else, and a pair that shares no rarer term is never formed.
+    """
+    half = least / 2
+    index, at = written(postings(vectors, half), "postings")
+    left = index.select("subject", "term", F.col("id").alias("a"), F.col("w").alias("x"), F.col("rest").alias("p"))
+    right = index.select("subject", "term", F.col("id").alias("b"), F.col("w").alias("y"), F.col("rest").alias("q"))
+    pairs_ = met(left, right, ["subject", "term"], "a", hot).where((F.col("a") < F.col("b")) & (F.col("p") * F.col("q") >= half - SLACK))
+    summed = pairs_.groupBy("subject", "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("sum")).where(F.col("sum") >= half - SLACK)
+    found = materialise(summed.select("subject", "a", "b"), "candidates")
+    remove(vectors.sparkSession, at)
+    return found
 
-def pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """(subject, a, b, cosine) of documents of one subject with a < b and a cosine above `least`."""
 
-    def wanted(subject, left: pd.DataFrame, right: pd.DataFrame, cosine: np.ndarray, same: bool) -> pd.DataFrame:
-        i, j = np.nonzero(np.round(cosine, 9) > least)
-        if same:
-            i, j = i[i < j], j[i < j]
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        return pd.DataFrame({"subject": subject, "a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": cosine[i, j]})
+def _cosines(a_terms: pa.Array, a_weights: pa.Array, b_terms: pa.Array, b_weights: pa.Array) -> np.ndarray:
+    """The dot products of the vectors of each row: entries of all rows are matched at once, by row and term."""
+    rows = len(a_terms)
 
-    kind = dict(vectors.dtypes)
-    return _compared(vectors, least, wanted, f"subject {kind['subject']}, a {kind['id']}, b {kind['id']}, cosine double")
+    def flat(terms: pa.Array, weights: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = np.diff(terms.offsets.to_numpy())
+        row = np.repeat(np.arange(rows, dtype=np.int64), size)
+        return (row << 32) | terms.flatten().to_numpy().astype(np.int64), weights.flatten().to_numpy(), row
 
+    key, x, row = flat(a_terms, a_weights)
+    other, y, _ = flat(b_terms, b_weights)
+    at = np.minimum(np.searchsorted(other, key), max(len(other) - 1, 0))
+    same = other[at] == key if len(other) else np.zeros(len(key), bool)
+    return np.bincount(row[same], x[same] * y[at[same]], minlength=rows)
 
-def peer_scores(docs: DataFrame, subject: str, id: str, student: str, text: str) -> DataFrame:
-    """Each document's highest similarity, in percent, to other students' documents of its subject, and how many of them match.
 
-    The vocabulary and its frequencies are fitted to the subject. A document without words, or without peers, scores 0.
-    """
-    owner = docs.select(F.col(id).alias("id"), F.col(student).alias("student"))
-    fitted = vectors(docs, subject, id, text, True, PEER_TERMS).join(owner, "id")
-
-    def best(subject, left: pd.DataFrame, right: pd.DataFrame, cosine: np.ndarray, same: bool) -> pd.DataFrame:
-        cosine = np.where(left["student"].to_numpy()[:, None] == right["student"].to_numpy()[None, :], 0.0, cosine)
-        matches = np.round(cosine, 9) > MATCH
-        sides = [(left["id"], cosine.max(axis=1), matches.sum(axis=1))] + ([] if same else [(right["id"], cosine.max(axis=0), matches.sum(axis=0))])
-        return pd.concat([pd.DataFrame({"id": ids.to_numpy(), "most": m, "matches": n}) for ids, m, n in sides])
-
-    found = _compared(fitted, 0.0, best, f"id {dict(fitted.dtypes)['id']}, most double, matches long")
-    best_of = found.groupBy("id").agg(F.max("most").alias("most"), F.sum("matches").alias("matches"))
-    return owner.join(best_of, "id", "left").select(
-        F.col("id").alias(id), F.round(100 * F.coalesce("most", F.lit(0.0)), 2).alias("similarity_score"), F.round(F.coalesce("most", F.lit(0.0)), 4).alias("max_similarity"), F.coalesce("matches", F.lit(0)).alias("matches")
-    )
+def pairs(vectors: DataFrame, least: float) -> DataFrame:
+    """(subject, a, b, cosine) of documents of one subject with a < b and a cosine above `least`: each candidate is measured once, on both whole vectors."""
+    kind = dict(vectors.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _cosines(*(batch.column(i) for i in range(3, 7)))
+            kept = pa.array(np.round(found, 9) > least)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(kept) for i in range(3)), pa.array(found).filter(kept)], names=["subject", "a", "b", "cosine"])
+
+    side = lambda end, t, w: vectors.select("subject", F.col("id").alias(end), F.col("terms").alias(t), F.col("weights").alias(w))
+    both = candidates(vectors, least).join(side("a", "ta", "wa"), ["subject", "a"]).join(side("b", "tb", "wb"), ["subject", "b"])
+    return both.select("subject", "a", "b", "ta", "wa", "tb", "wb").mapInArrow(run, f"subject {kind['subject']}, a {kind['id']}, b {kind['id']}, cosine double")
 
 
 def visual_duplicates(docs: DataFrame, hash: str, id: str, student: str) -> DataFrame:
