@@ -1,12 +1,13 @@
 """Who may see what, tokens that expire, and the ordered rules of sessions and rate limits.
 
 Rate limits and sessions depend on which earlier requests were accepted, so that they run over each key's requests in order: rows are dealt
-out by key and sorted, and a task keeps the state of one key at a time, which is bounded by the policy. Rows without key are never limited.
+out by key and sorted, and a task keeps the state of one key at a time, which is bounded by the policy. One key's requests are one task's by the
+rule itself: each decision needs the one before. Rows without key are never limited, and are dealt by their id.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -22,6 +23,8 @@ ROLES = {
     "hod": ("assignment:read:all", "assignment:download:all", "assignment:lock:all", "report:read:all", "analytics:read:all", "user:read:own", "user:update:own"),
     "admin": ("*",),
 }
+#: Roles that may see analytics.
+STAFF = ("hod", "teacher", "admin")
 #: Requests and seconds by action; any other action has the last.
 POLICIES = {"login": (10, 300), "login_account": (5, 300), "register": (15, 3600), "forgot_password": (5, 900), "reset_password": (5, 900), "resend_verification": (3, 900), "": (20, 60)}
 ABSOLUTE, IDLE, PURGE_DAYS = 86_400, 1800, 7
@@ -36,6 +39,16 @@ def permitted(role: Column, permission: Column) -> Column:
     return F.coalesce(F.array_contains(held, "*") | F.array_contains(held, permission), F.lit(False))
 
 
+def has_role(role: Column, roles: tuple[str, ...]) -> Column:
+    """Whether a role is one of `roles`; none is no role."""
+    return F.coalesce(role.isin(*roles), F.lit(False))
+
+
+def gated(df: DataFrame, role: str | None, roles: tuple[str, ...] | None = None) -> DataFrame:
+    """`df` if who asks has one of `roles`, those of the staff by default; its columns without rows if not."""
+    return df if role in (STAFF if roles is None else roles) else df.limit(0)
+
+
 def in_scope(mappings: Column, section: Column, subject: Column) -> Column:
     """Whether any of a teacher's (subject, section) takes in a row: either contains the other, and an empty section takes in all."""
     each_way = lambda a, b: F.lower(a).contains(F.lower(b)) | F.lower(b).contains(F.lower(a))
@@ -70,34 +83,49 @@ def _in_order(df: DataFrame, key: str, order: list[str], fields: list[T.StructFi
             columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    dealt = F.when(F.col(key).isNull(), F.xxhash64(order[-1])).otherwise(F.xxhash64(key))
+    return df.repartition(dealt).sortWithinPartitions(key, *order).mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
 
 
-def _seconds(at: datetime) -> float:
+def at_seconds(at: datetime) -> float:
     return (at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp()
 
 
-def rate_limited(requests: DataFrame, key: str, at: str, id: str, most: int, seconds: int) -> DataFrame:
-    """`requests` with `limited` and, where it is, the whole seconds until the next is accepted. A request that is refused doesn't count for later ones."""
+def decided(kept: list[float], now: float, most: int, seconds: int) -> tuple[bool, int | None]:
+    """Whether a request is refused, and the whole seconds until the next is accepted; `kept`, the times that count, is brought up to date."""
+    kept[:] = [x for x in kept if x > now - seconds]
+    if len(kept) >= most:
+        return True, max(1, int(kept[0] + seconds - now) + 1)
+    kept.append(now)
+    return False, None
+
+
+def rate_limited(requests: DataFrame, key: str, at: str, id: str, most: int, seconds: int, reset: str | None = None, cleared: list[datetime] | None = None) -> DataFrame:
+    """`requests` with `limited` and, where it is, the whole seconds until the next is accepted. A request that is refused doesn't count for later ones.
+
+    Rows whose column `reset` is true are no requests (`limited` is null): what their key has done until then counts for nothing. After each of
+    the moments `cleared`, no key's does.
+    """
 
-    def step(kept: deque, row: dict) -> tuple[bool, int | None]:
-        now = _seconds(row[at])
-        while kept and kept[0] <= now - seconds:
-            kept.popleft()
-        if len(kept) >= most:
-            return True, max(1, int(kept[0] + seconds - now) + 1)
-        kept.append(now)
-        return False, None
+    def step(kept: list, row: dict) -> tuple[bool | None, int | None]:
+        if reset and row[reset]:
+            kept.clear()
+            return None, None
+        now = at_seconds(row[at])
+        if moments and kept and bisect_left(moments, kept[-1]) != bisect_left(moments, now):
+            kept.clear()
+        return decided(kept, now, most, seconds)
 
+    moments = sorted(map(at_seconds, cleared or []))
     fields = [T.StructField("limited", T.BooleanType()), T.StructField("retry_after", T.LongType())]
-    return _in_order(requests, key, [at, id], fields, deque, step)
+    return _in_order(requests, key, [at, *([reset] if reset else []), id], fields, list, step)
 
 
 def sessions(requests: DataFrame, key: str, at: str, id: str, absolute: int = ABSOLUTE, idle: int = IDLE) -> DataFrame:
     """`requests` with the number of the user's session and whether the request opened it: the one before had been idle, or old, for longer than allowed."""
 
     def step(state: dict, row: dict) -> tuple[int, bool]:
-        now = _seconds(row[at])
+        now = at_seconds(row[at])
         fresh = not state or now - state["last"] > idle or now - state["since"] > absolute
         if fresh:
             state.update(number=state.get("number", 0) + 1, since=now)

@@ -84,12 +84,17 @@ def column_ranges(boxes: DataFrame, width: int, height: int, page: str = "page")
     return boxes.select(page).distinct().join(found, page, "left").withColumn("cuts", cuts).select(page, F.explode(ranges).alias("r")).select(page, "r.*")
 
 
-def in_columns(boxes: DataFrame, width: int, height: int, page: str = "page") -> DataFrame:
-    """`boxes` with the column that holds their middle; pages of few boxes have one."""
+def with_gutters(boxes: DataFrame, width: int, height: int, page: str = "page") -> DataFrame:
+    """`boxes` with their page's `gutters`; pages of few boxes have none."""
     cuts = spaced_gutters(valleys(boxes, width, height, page), width, page)
     many = boxes.groupBy(page).agg(F.count("*").alias("_boxes")).where(F.col("_boxes") >= GROUPED)
     joined = boxes.join(many.join(cuts, page).select(page, "gutters"), page, "left")
-    return joined.withColumn("column", F.coalesce(column_of(F.col("gutters")), F.lit(0))).drop("gutters")
+    return joined.withColumn("gutters", F.coalesce("gutters", F.array().cast("array<int>")))
+
+
+def in_columns(boxes: DataFrame, width: int, height: int, page: str = "page") -> DataFrame:
+    """`boxes` with the column that holds their middle; pages of few boxes have one."""
+    return with_gutters(boxes, width, height, page).withColumn("column", column_of(F.col("gutters"))).drop("gutters")
 
 
 def column_of(gutters: Column) -> Column:
@@ -98,9 +103,10 @@ def column_of(gutters: Column) -> Column:
 
 
 def column_spans(boxes: DataFrame, width: int, page: str = "page", column: str = "column") -> DataFrame:
-    """(page, column, x1, x2): columns numbered anew from 0, each reaching to the middle of the gutters at its sides, and a little over its boxes."""
+    """(page, column, x1, x2): columns numbered anew from 0, each reaching to the middle of the gutters at its sides, and a little over its boxes; boxes
+    that span the page are of no column."""
     w = Window.partitionBy(page).orderBy(column)
-    b = boxes.groupBy(page, column).agg(F.min("x1").alias("a"), F.max("x2").alias("b"))
+    b = boxes.where(F.col("x2") - F.col("x1") < SPANNING * width).groupBy(page, column).agg(F.min("x1").alias("a"), F.max("x2").alias("b"))
     b = b.withColumns({"n": F.row_number().over(w) - 1, "before": F.lag("b").over(w), "after": F.lead("a").over(w)})
     left = F.greatest(F.lit(0), F.least(F.floor((F.col("before") + F.col("a")) / 2), F.col("a") - LEAD_IN))
     right = F.least(F.lit(width), F.greatest(F.floor((F.col("b") + F.col("after")) / 2), F.col("b") + LEAD_OUT))

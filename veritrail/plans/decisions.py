@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.operators import access, scoring
+from veritrail.operators import access, scopes, scoring
 from veritrail.sources.catalog import table
 
 NOW = "2024-01-31 00:00:00"
+CLEARED = ("2024-01-05 00:00:00", "2024-01-05 06:30:00", "2024-01-20 12:00:00")
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -54,18 +57,48 @@ def fusion_decision(spark: SparkSession, d: str) -> DataFrame:
 
 
 def permission_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """every role against every permission that any role has."""
-    names = spark.createDataFrame([(r,) for r in [*access.ROLES, "guest"]], "role string")
-    wanted = spark.createDataFrame([(p,) for p in sorted({p for held in access.ROLES.values() for p in held})], "permission string")
-    return names.crossJoin(F.broadcast(wanted)).select("role", "permission", access.permitted(F.col("role"), F.col("permission")).alias("allowed"))
+    """users' requests, each for one of all permissions, and whether the user's role holds it; customers are the users, some without a role."""
+    wanted = sorted({p for held in access.ROLES.values() for p in held} | {"user:delete:all"})
+    roles = [*access.ROLES, "guest", None]
+    c = table(spark, d, "customer")
+    role = F.element_at(F.array(*(F.lit(r).cast("string") for r in roles)), (F.col("c_custkey") % len(roles) + 1).cast("int"))
+    asked = F.element_at(F.array(*map(F.lit, wanted)), (F.floor(F.col("c_custkey") / len(roles)) % len(wanted) + 1).cast("int"))
+    users = c.select("c_custkey", role.alias("role"), asked.alias("permission"))
+    return users.withColumns({"allowed": access.permitted(F.col("role"), F.col("permission")), "staff": access.has_role(F.col("role"), access.STAFF)})
 
 
-def teacher_scope(spark: SparkSession, d: str) -> DataFrame:
-    """Orders inside a teacher's mapping."""
-    pairs = (("urgent", "build"), ("4-NOT SPECIFIED", ""), ("low", "MACHINERY-A"))
-    mappings = F.array(*(F.struct(F.lit(a).alias("subject"), F.lit(b).alias("section")) for a, b in pairs))
+#: Priorities and segments of which teachers' mappings are made.
+SUBJECTS, SECTIONS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"), ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+def _teachers(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as teachers, whose mappings are JSON lists: parts of subjects and sections, longer texts that contain them, blank ones, and bad JSON."""
+    k = F.col("s_suppkey")
+    pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (n % len(xs) + 1).cast("int"))
+    some = F.struct(F.substring(pick(SUBJECTS, k), F.lit(3), (k % 6 + 1).cast("int")).alias("subject"), F.substring(pick(SECTIONS, k * 3), (k % 3 + 1).cast("int"), (k % 7).cast("int")).alias("section"))
+    more = F.struct(F.concat(F.lit(" "), pick(SUBJECTS, k + 2), F.lit(" course")).alias("subject"), F.when(k % 4 != 0, F.concat(F.lit("the "), pick(SECTIONS, k), F.lit("s"))).alias("section"))
+    text = F.to_json(F.when(k % 2 == 0, F.array(some, more)).otherwise(F.array(some)))
+    bad = F.when(k % 11 == 0, "{oops").when(k % 13 == 0, None).when(k % 17 == 0, "[]").when(k % 19 == 0, F.to_json(more)).otherwise(text)
+    return table(spark, d, "supplier").select("s_suppkey", bad.alias("mapping"))
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    return o.join(c, o.o_custkey == c.c_custkey).where(access.in_scope(mappings, F.col("c_mktsegment"), F.col("o_orderpriority"))).select("o_orderkey", "c_mktsegment", "o_orderpriority")
+    return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "o_orderpriority", "c_mktsegment")
+
+
+def teacher_scope(spark: SparkSession, d: str) -> DataFrame:
+    """How many orders of each kind lie inside each teacher's mapping, and the first of them."""
+    kinds = _orders(spark, d).groupBy("o_orderpriority", "c_mktsegment").agg(F.count("*").alias("orders"), F.min("o_orderkey").alias("first_order"))
+    found = scopes.scope(kinds, scopes.mappings(_teachers(spark, d), "s_suppkey", "mapping"), "o_orderpriority", "c_mktsegment")
+    return kinds.join(found, ["o_orderpriority", "c_mktsegment"]).withColumnRenamed("teacher", "s_suppkey")
+
+
+def orders_in_scope(spark: SparkSession, d: str) -> DataFrame:
+    """J11 as a semi-join: orders that lie inside any teacher's mapping of one subject and section; F28."""
+    narrow = _teachers(spark, d).where("mapping like '%,%'")
+    found = scopes.scope(_orders(spark, d), scopes.mappings(narrow, "s_suppkey", "mapping").where("length(subject) > 3 and length(section) > 5"), "o_orderpriority", "c_mktsegment")
+    return _orders(spark, d).join(found, ["o_orderpriority", "c_mktsegment"], "left_semi").select("o_orderkey", "c_mktsegment", "o_orderpriority")
 
 
 def token_purge(spark: SparkSession, d: str) -> DataFrame:
@@ -81,6 +114,20 @@ def rate_limit_decisions(spark: SparkSession, d: str) -> DataFrame:
     return access.rate_limited(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", most, seconds * 40).select("event_id", "limited", "retry_after")
 
 
+def rate_limit_resets(spark: SparkSession, d: str) -> DataFrame:
+    """A purchase resets its user's limit; what it is itself is no request."""
+    most, seconds = access.POLICIES["resend_verification"]
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "purchase").alias("reset"))
+    return access.rate_limited(e, "user_id", "ts", "event_id", most, seconds * 40, "reset").select("event_id", "limited", "retry_after")
+
+
+def rate_limits_cleared(spark: SparkSession, d: str) -> DataFrame:
+    """All limits are cleared at some moments."""
+    most, seconds = access.POLICIES["resend_verification"]
+    moments = [datetime.fromisoformat(x).replace(tzinfo=UTC) for x in CLEARED]
+    return access.rate_limited(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", most, seconds * 40, cleared=moments).select("event_id", "limited", "retry_after")
+
+
 def session_validity(spark: SparkSession, d: str) -> DataFrame:
     """Z4, Z5."""
     return access.sessions(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", idle=access.IDLE * 24).select("event_id", "session", "opened")
@@ -89,7 +136,7 @@ def session_validity(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ai_label, ai_label_fusion, statistical_likelihood, ocr_gate, region_routing, fusion_decision, permission_matrix, teacher_scope, token_purge, rate_limit_decisions, session_validity,
+        ai_label, ai_label_fusion, statistical_likelihood, ocr_gate, region_routing, fusion_decision, permission_matrix, teacher_scope, orders_in_scope, token_purge, rate_limit_decisions, rate_limit_resets, rate_limits_cleared, session_validity,
     )
 }
 _E = "WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"
@@ -118,24 +165,37 @@ SQL = {
         c AS (SELECT *, round(CASE WHEN x IS NULL OR y IS NULL THEN own WHEN NOT by_line AND marked THEN least(0.99::DOUBLE, {_NEAR} + 0.04) ELSE {_NEAR} END, 3) AS sure FROM o)
         SELECT p_partkey, CASE WHEN by_line THEN x ELSE y END AS text, sure AS confidence, CASE WHEN by_line THEN 'line' ELSE 'page' END AS model,
             coalesce(x IS NOT NULL AND y IS NOT NULL AND a < 0.60, false) OR sure < 0.70 AS needs_review FROM c""",
-    "permission_matrix": "SELECT r.role, p.permission, r.role = 'admin' OR p.permission IN (SELECT q.permission FROM held q WHERE q.role = r.role) AS allowed FROM roles r, (SELECT DISTINCT permission FROM held) p",
-    "teacher_scope": """SELECT o_orderkey, c_mktsegment, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey WHERE EXISTS (
-        SELECT 1 FROM (VALUES ('urgent', 'build'), ('4-not specified', ''), ('low', 'machinery-a')) m(subject, section)
-        WHERE (section = '' OR contains(section, lower(c_mktsegment)) OR contains(lower(c_mktsegment), section)) AND (contains(subject, lower(o_orderpriority)) OR contains(lower(o_orderpriority), subject)))""",
+    "teacher_scope": """WITH {teachers}, k AS (SELECT o_orderpriority, c_mktsegment, count(*) AS orders, min(o_orderkey) AS first_order FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
+        SELECT k.*, s_suppkey FROM k, (SELECT DISTINCT s_suppkey FROM m) t WHERE EXISTS (SELECT 1 FROM m WHERE m.s_suppkey = t.s_suppkey AND {inside})""",
+    "orders_in_scope": """WITH {teachers} SELECT o_orderkey, c_mktsegment, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey
+        WHERE EXISTS (SELECT 1 FROM m WHERE mapping LIKE '%,%' AND length(subject) > 3 AND length(section) > 5 AND {inside})""",
     "token_purge": f"""SELECT event_id, CASE WHEN value > 50 THEN 'used' WHEN TIMESTAMP '{NOW}' > ts + INTERVAL 10 DAY THEN 'expired' ELSE 'valid' END AS state,
         ts + INTERVAL 10 DAY < TIMESTAMP '{NOW}' - INTERVAL 7 DAY OR (value > 50 AND ts + INTERVAL 5 HOUR < TIMESTAMP '{NOW}' - INTERVAL 7 DAY) AS purge FROM events""",
 }
-SQL["permission_matrix"] = (
-    "WITH held(role, permission) AS (VALUES " + ", ".join(f"('{r}', '{p}')" for r, held in access.ROLES.items() for p in held) + "), roles(role) AS (VALUES " + ", ".join(f"('{r}')" for r in [*access.ROLES, "guest"]) + ") " + SQL["permission_matrix"]
-)
-
-
-def limits_sql(events: str, key: str, most: int, seconds: int, name: str) -> str:
+_HELD = ", ".join(f"('{r}', '{p}')" for r, held in access.ROLES.items() for p in held)
+_WANTED = "list_sort(list_distinct(list_concat(['user:delete:all'], (SELECT list(permission) FROM held))))"
+SQL["permission_matrix"] = f"""WITH held(role, permission) AS (VALUES {_HELD}), w AS (SELECT {_WANTED} AS w),
+    u AS (SELECT c_custkey, [{", ".join(f"'{r}'" for r in [*access.ROLES, "guest"])}, NULL][c_custkey % {len(access.ROLES) + 2} + 1] AS role, w[c_custkey // {len(access.ROLES) + 2} % len(w) + 1] AS permission FROM customer, w)
+    SELECT *, EXISTS (SELECT 1 FROM held h WHERE h.role = u.role AND h.permission IN ('*', u.permission)) AS allowed, coalesce(role IN ({", ".join(f"'{r}'" for r in access.STAFF)}), false) AS staff FROM u"""
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_TEACHERS = f"""p AS (SELECT s_suppkey AS k, substr({_LIST(SUBJECTS)}[s_suppkey % 5 + 1], 3, s_suppkey % 6 + 1) AS a, substr({_LIST(SECTIONS)}[s_suppkey * 3 % 5 + 1], s_suppkey % 3 + 1, s_suppkey % 7) AS b,
+        ' ' || {_LIST(SUBJECTS)}[(s_suppkey + 2) % 5 + 1] || ' course' AS c, CASE WHEN s_suppkey % 4 <> 0 THEN 'the ' || {_LIST(SECTIONS)}[s_suppkey % 5 + 1] || 's' END AS d FROM supplier),
+    j AS (SELECT k, '{{"subject":"' || a || '","section":"' || b || '"}}' AS one, '{{"subject":"' || c || '"' || coalesce(',"section":"' || d || '"', '') || '}}' AS two FROM p),
+    t AS (SELECT k AS s_suppkey, CASE WHEN k % 11 = 0 THEN '{{oops' WHEN k % 13 = 0 THEN NULL WHEN k % 17 = 0 THEN '[]' WHEN k % 19 = 0 THEN two WHEN k % 2 = 0 THEN '[' || one || ',' || two || ']' ELSE '[' || one || ']' END AS mapping FROM j),
+    e AS (SELECT s_suppkey, mapping, unnest(CASE WHEN json_type(mapping) = 'ARRAY' THEN CAST(json(mapping) AS JSON[]) ELSE [json(mapping)] END) AS x FROM t WHERE json_valid(mapping)),
+    m AS (SELECT s_suppkey, mapping, lower(trim(coalesce(json_extract_string(x, '$.subject'), ''))) AS subject, lower(trim(coalesce(json_extract_string(x, '$.section'), ''))) AS section FROM e)"""
+_INSIDE = "(section = '' OR contains(section, lower(c_mktsegment)) OR contains(lower(c_mktsegment), section)) AND (contains(subject, lower(o_orderpriority)) OR contains(lower(o_orderpriority), subject))"
+for _name in ("teacher_scope", "orders_in_scope"):
+    SQL[_name] = SQL[_name].replace("{teachers}", _TEACHERS).replace("{inside}", _INSIDE)
+
+
+def limits_sql(events: str, key: str, most: int, seconds: int, name: str, reset: str = "false", epoch: str = "0") -> str:
     """Common table expressions that end with `name` (event_id, limited, retry_after): each key's requests in order, with the times that count."""
-    return f"""{name}_o AS (SELECT event_id, {key} AS key, epoch_us(ts) / 1000000 AS sec, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS k FROM {events}),
-        {name}_s AS (SELECT key, 0::BIGINT AS k, []::DOUBLE[] AS kept, NULL::BIGINT AS event_id, false AS limited, NULL::BIGINT AS retry_after FROM (SELECT DISTINCT key FROM {name}_o)
-            UNION ALL SELECT key, k, CASE WHEN len(live) >= {most} THEN live ELSE list_append(live, sec) END, event_id, len(live) >= {most}, CASE WHEN len(live) >= {most} THEN greatest(1, CAST(floor(live[1] + {seconds} - sec) AS BIGINT) + 1) END
-            FROM (SELECT o.key, o.k, o.sec, o.event_id, list_filter(s.kept, lambda x: x > o.sec - {seconds}) AS live FROM {name}_s s JOIN {name}_o o ON o.key = s.key AND o.k = s.k + 1)),
+    return f"""{name}_o AS (SELECT event_id, {key} AS key, epoch_us(ts) / 1000000 AS sec, {reset} AS reset, {epoch} AS epoch, row_number() OVER (PARTITION BY {key} ORDER BY ts, {reset}, event_id) AS k FROM {events}),
+        {name}_s AS (SELECT key, 0::BIGINT AS k, []::DOUBLE[] AS kept, NULL::BIGINT AS event_id, false AS limited, NULL::BIGINT AS retry_after, 0::BIGINT AS epoch FROM (SELECT DISTINCT key FROM {name}_o)
+            UNION ALL SELECT key, k, CASE WHEN reset THEN [] WHEN len(live) >= {most} THEN live ELSE list_append(live, sec) END, event_id, CASE WHEN NOT reset THEN len(live) >= {most} END,
+                CASE WHEN NOT reset AND len(live) >= {most} THEN greatest(1, CAST(floor(live[1] + {seconds} - sec) AS BIGINT) + 1) END, epoch
+            FROM (SELECT o.key, o.k, o.sec, o.event_id, o.reset, o.epoch, CASE WHEN o.epoch <> s.epoch THEN [] ELSE list_filter(s.kept, lambda x: x > o.sec - {seconds}) END AS live FROM {name}_s s JOIN {name}_o o ON o.key = s.key AND o.k = s.k + 1)),
         {name} AS (SELECT event_id, limited, retry_after FROM {name}_s WHERE event_id IS NOT NULL)"""
 
 
@@ -146,3 +206,7 @@ SQL["session_validity"] = f"""WITH RECURSIVE o AS (SELECT event_id, user_id, epo
         UNION ALL SELECT user_id, k, event_id, CASE WHEN fresh THEN sec ELSE since END, sec, session + CASE WHEN fresh THEN 1 ELSE 0 END, fresh
         FROM (SELECT o.*, s.since, s.session, o.sec - s.last > {access.IDLE * 24} OR o.sec - s.since > {access.ABSOLUTE} AS fresh FROM s JOIN o ON o.user_id = s.user_id AND o.k = s.k + 1))
     SELECT event_id, session, opened FROM s"""
+_RESET = "event_type = 'purchase'"
+SQL["rate_limit_resets"] = f"WITH RECURSIVE {limits_sql('events', 'user_id', _MOST, _SECONDS * 40, 'one', reset=_RESET)} SELECT * FROM one"
+_EPOCH = " + ".join(f"CASE WHEN ts > TIMESTAMP '{x}' THEN 1 ELSE 0 END" for x in CLEARED)
+SQL["rate_limits_cleared"] = f"WITH RECURSIVE {limits_sql('events', 'user_id', _MOST, _SECONDS * 40, 'one', epoch=_EPOCH)} SELECT * FROM one"

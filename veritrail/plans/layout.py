@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritrail.functions.text import numeric_code
 from veritrail.operators import layout
+from veritrail.operators import page_tables as page_table_plans
 from veritrail.sources.catalog import table
 
 WIDTH, HEIGHT = 1000, 1400
@@ -40,7 +42,7 @@ def boxes_in_columns(spark: SparkSession, d: str) -> DataFrame:
 
 def column_spans(spark: SparkSession, d: str) -> DataFrame:
     """Spans of columns whose numbers have gaps."""
-    return layout.column_spans(regions(spark, d).where("x2 - x1 < 550").withColumn("column", F.col("region") % 2 * 5 + 2), WIDTH)
+    return layout.column_spans(regions(spark, d).withColumn("column", F.col("region") % 2 * 5 + 2), WIDTH)
 
 
 def text_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -71,6 +73,14 @@ def anchor_column(spark: SparkSession, d: str) -> DataFrame:
     return layout.anchor_gaps(regions(spark, d).withColumn("column", F.col("region") % 2))
 
 
+def page_tables(spark: SparkSession, d: str) -> DataFrame:
+    """From a page's regions to a table in Markdown and records, pages of two columns with names of their own."""
+    said = table(spark, d, "events").select(F.col("event_id").alias("region"), F.concat(F.lit(" I"), F.col("event_type"), F.lit(" "), F.col("value").cast("string"), F.lit(" ")).alias("text"))
+    clean = {"Kind": lambda t: F.upper(t), "Number": numeric_code}
+    found = page_table_plans.page_tables(regions(spark, d).join(said, "region"), WIDTH, HEIGHT, {2: ["Kind", "Number"]}, clean)
+    return found.select("page", "columns", "rows", "markdown", F.to_json("records").alias("records"))
+
+
 def question_sections(spark: SparkSession, d: str) -> DataFrame:
     """The header rule of L12 alone."""
     return layout.question_sections(table(spark, d, "conversations"), "conv_id", "turn", F.col("role") == "user").select("conv_id", "turn", "section")
@@ -82,7 +92,7 @@ def conversation_tables(spark: SparkSession, d: str) -> DataFrame:
     return layout.markdown(c, "conv_id", "turn", ["role", "length"])
 
 
-QUERIES = {f.__name__: f for f in (reading_order, column_gutters, page_columns, boxes_in_columns, column_spans, text_lines, without_overlaps, split_boxes, row_alignment, anchor_column, question_sections, conversation_tables)}
+QUERIES = {f.__name__: f for f in (reading_order, column_gutters, page_columns, boxes_in_columns, column_spans, text_lines, without_overlaps, split_boxes, row_alignment, anchor_column, page_tables, question_sections, conversation_tables)}
 _B = """WITH b AS (SELECT user_id AS page, event_id AS region, event_id % 2 * 480 + 60 + event_id % 23 AS x1, event_id * 53 % 1330 AS y1,
     event_id % 2 * 480 + 60 + event_id % 23 + CASE WHEN event_id % 17 = 0 THEN 600 ELSE 300 + event_id % 90 END AS x2, event_id * 53 % 1330 + 20 + event_id % 31 AS y2 FROM events)"""
 _G = f"""{_B}, n AS (SELECT * FROM b WHERE y1 >= 56 AND y2 <= 1288 AND x2 - x1 < 550),
@@ -117,6 +127,23 @@ SQL = {
         SELECT r.page, row, count(*) AS cells FROM r JOIN a ON r.page = a.page AND y >= low AND y < high WHERE region % 2 = 1 GROUP BY 1, 2""",
     "anchor_column": f"""{_B}, g AS (SELECT page, region % 2 AS c, (y1 + y2) / 2 - lag((y1 + y2) / 2) OVER (PARTITION BY page, region % 2 ORDER BY (y1 + y2) / 2, region) AS gap FROM b),
         s AS (SELECT page, c, round(stddev_pop(gap), 9) AS spread FROM g GROUP BY 1, 2 HAVING count(*) >= 3) SELECT page, min_by(c, (spread, c)) AS "column" FROM s GROUP BY 1""",
+    "page_tables": f"""{_K}, t AS (SELECT event_id AS region, ' I' || event_type || ' ' || CAST(value AS VARCHAR) || ' ' AS text FROM events),
+        p AS (SELECT c.*, text, (y1 + y2) / 2 AS mid, len(coalesce(CASE WHEN page IN (SELECT page FROM m) THEN cuts END, [])) + 1 AS columns FROM c JOIN t USING (region) LEFT JOIN q USING (page)
+            WHERE NOT (y2 <= 70 OR (y2 <= 252 AND x2 - x1 > 550) OR (y1 >= 1288 AND x2 - x1 > 550))),
+        gap AS (SELECT page, of, mid - lag(mid) OVER (PARTITION BY page, of ORDER BY mid, region) AS gap FROM p),
+        spread AS (SELECT page, of, count(*) AS n, round(stddev_pop(gap), 9) AS spread FROM gap GROUP BY 1, 2),
+        pick AS (SELECT page, of AS anchor FROM spread QUALIFY row_number() OVER (PARTITION BY page ORDER BY n < 3, CASE WHEN n >= 3 THEN spread ELSE -n END, of) = 1),
+        band AS (SELECT page, region, row_number() OVER w AS row, coalesce((lag(mid) OVER w + mid) / 2, -1e9) AS low, coalesce((lead(mid) OVER w + mid) / 2, 1e9) AS high FROM p JOIN pick USING (page) WHERE of = anchor WINDOW w AS (PARTITION BY page ORDER BY mid, region)),
+        held AS (SELECT p.page, row, of, mid, p.region, text FROM p JOIN band USING (page, region) UNION ALL
+            SELECT p.page, row, of, mid, p.region, text FROM p JOIN pick USING (page) JOIN band ON band.page = p.page AND mid >= low AND mid < high WHERE of <> anchor),
+        cell AS (SELECT page, row, of, string_agg(trim(text), ' ' ORDER BY mid, region) AS text FROM held GROUP BY 1, 2, 3),
+        size AS (SELECT page, max(columns) AS columns FROM p GROUP BY 1), slot AS (SELECT page, columns, unnest(range(0, columns)) AS of FROM size), lineup AS (SELECT DISTINCT page, row FROM cell),
+        named AS (SELECT page, row, columns, of, CASE WHEN columns = 2 THEN ['Kind', 'Number'][of + 1] ELSE 'Column ' || (of + 1) END AS name, coalesce(text, '') AS raw FROM lineup JOIN slot USING (page) LEFT JOIN cell USING (page, row, of)),
+        done AS (SELECT *, CASE name WHEN 'Kind' THEN upper(raw) WHEN 'Number' THEN regexp_replace(translate(upper(raw), 'OILSBG', '011586'), '[^0-9]', '', 'g') ELSE raw END AS text FROM named),
+        line AS (SELECT page, row, columns, '| ' || string_agg(text, ' | ' ORDER BY of) || ' |' AS line, '{{' || string_agg('"' || name || '":"' || text || '"', ',' ORDER BY of) || '}}' AS record,
+            '| ' || string_agg(name, ' | ' ORDER BY of) || ' |' AS head, '| ' || string_agg(':---', ' | ' ORDER BY of) || ' |' AS rule FROM done GROUP BY 1, 2, 3)
+        SELECT page, CAST(columns AS INT) AS columns, CAST(count(*) AS INT) AS rows, any_value(head) || chr(10) || any_value(rule) || chr(10) || string_agg(line, chr(10) ORDER BY row) AS markdown,
+            '[' || string_agg(record, ',' ORDER BY row) || ']' AS records FROM line GROUP BY page, columns""",
     "question_sections": "SELECT conv_id, turn, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations",
     "conversation_tables": """SELECT conv_id, '| role | length |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || role || ' | ' || length(text) || ' |', chr(10) ORDER BY turn) AS "table" FROM conversations GROUP BY 1""",
 }

@@ -13,8 +13,8 @@ from veritrail.sources.catalog import table
 
 #: What a region says, by its kind: {0} is the turn's text in one line, {1} the paper's number.
 KINDS = (
-    "Name: Mary-Ann Smith", "Roll No: CS-{1}/7", "Subject: Data Science 101", "Assignment - 3", "Question 4: {0:60}", "{0:100}",
-    "Ans: {0:50}", "(b) {0:40}", "2. {0:15}", "  ", "{0:90}?", "$x^2$ {0:9}",
+    "Name: Mary-Ann Smith", "Roll No: CS-{1}/7", "Subject: Data Science 101", "Assignment - 3", "Question 4: {0}", "{0}",
+    "Ans: {0}", "(b) {0}", "2. Why is {1}?", "  ", "paper {1} says", "$x^2$ {0}",
 )
 
 
@@ -27,9 +27,7 @@ def regions(spark: SparkSession, d: str) -> DataFrame:
     line, paper, at = F.translate("text", "\n", " "), F.col("conv_id"), ((F.col("conv_id") * 5 + F.col("turn") * 7 + F.floor(F.col("conv_id") / 3)) % len(KINDS)).cast("int")
 
     def put(piece: str):
-        if piece == "{1}":
-            return paper.cast("string")
-        return F.left(line, F.lit(int(piece[3:-1]))) if piece.startswith("{") else F.lit(piece)
+        return {"{0}": line, "{1}": paper.cast("string")}.get(piece, F.lit(piece))
 
     said = F.element_at(F.array(*(F.concat(*map(put, _pieces(k))) for k in KINDS)), at + 1)
     sure = (paper * 31 + F.col("turn") * 17) % 100 / 100
@@ -54,18 +52,22 @@ def paper_documents(spark: SparkSession, d: str) -> DataFrame:
     return parsing.documents(regions(spark, d)).withColumn("parts", F.array_join(F.transform("parts", lambda s: s["number"]), ","))
 
 
+#: Readings of names that the records below have, and what they are.
+MISREAD = ((r"\b(?:Smlth|Srnith|S\s*mith)\b", "Smith"), (r"\b(?:J0nes|Jo\s*nes)\b", "Jones"), (r"\b(?:N[o0]wh?ere)\b", "Nowhere"), (r"^\s*0?2[0-9]\s+", ""))
+
+
 def repaired_names(spark: SparkSession, d: str) -> DataFrame:
     """Records with names, codes and numbers as a reader gives them."""
     p, key = table(spark, d, "part"), F.col("p_partkey")
-    read = F.element_at(F.array(*map(F.lit, ("\\\\text{Ran  Kumar}", "21 jogendra `Singh", "Dr.(Vasch )Kum4r", "\\\\alpha Bonn ^"))), (key % 4 + 1).cast("int"))
+    read = F.element_at(F.array(*map(F.lit, ("\\\\text{S  mith  Ann}", "21 srnith `Lee", "Dr.(J0nes )Nowere", "\\\\alpha Jo nes ^"))), (key % 4 + 1).cast("int"))
     rows = p.select("p_partkey", F.concat(read, F.lit(" "), F.col("p_name")).alias("name"), F.concat(F.lit("so-"), F.hex("p_partkey"), F.lit("ob1l9")).alias("code"), F.concat(F.lit("I"), F.col("p_size").cast("string"), F.lit("O ")).alias("marks"), F.concat(F.lit("  "), F.col("p_brand"), F.lit(" ")).alias("note"))
-    return parsing.clean_records(rows, {"name": "name", "code": "hex_id", "marks": "number", "note": "text"})
+    return parsing.clean_records(rows, {"name": "name", "code": "hex_id", "marks": "number", "note": "text"}, MISREAD)
 
 
 def zipped_columns(spark: SparkSession, d: str) -> DataFrame:
     """The turns of both speakers side by side."""
-    c = table(spark, d, "conversations").select("conv_id", (F.col("turn") % 2).alias("column"), F.floor(F.col("turn") / 3).cast("int").alias("row"), F.left("text", F.lit(20)).alias("text"))
-    return parsing.zipped(c, "conv_id", {0: "left", 1: "right"})
+    c = table(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") % 2).alias("column"), "text")
+    return parsing.zipped(c, "conv_id", "turn", {0: "left", 1: "right"})
 
 
 def fusion_with_vision(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +86,7 @@ def _quoted(x: str) -> str:
 
 
 def _said(kind: str) -> str:
-    put = lambda p: "CAST(conv_id AS VARCHAR)" if p == "{1}" else f"left(line, {p[3:-1]})" if p.startswith("{") else _quoted(p)
+    put = lambda p: {"{0}": "line", "{1}": "CAST(conv_id AS VARCHAR)"}.get(p, _quoted(p))
     return " || ".join(map(put, _pieces(kind)))
 
 
@@ -122,7 +124,7 @@ _SECTIONS = f"""h AS (SELECT *, {_any(parsing.QUESTION, 1)} AS number, {STRIP.fo
 _NAME = "trim(name)"
 for _p, _put in ((r"\\text\{([^}]+)\}", r"\1"), (r"\\[\[\]\(\)]", ""), (r"\\[a-zA-Z]+", " "), (r'["`\^~_\[\]\\{}]+', "")):
     _NAME = f"regexp_replace({_NAME}, {_quoted(_p)}, {_quoted(_put)}, 'g')"
-for _p, _put in parsing.MISREAD:
+for _p, _put in MISREAD:
     _NAME = f"regexp_replace({_NAME}, {_quoted('(?i)' + _p)}, {_quoted(_put)}, 'g')"
 _NAME = rf"trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace({_NAME}, '\s+', ' ', 'g')), '\s*\(\s*', ' (', 'g'), '\s*\)\s*', ') ', 'g'), '\s+', ' ', 'g'))"
 SQL = {
@@ -133,11 +135,13 @@ SQL = {
             (2 * sum(pct * 10) + count(*)) // (2 * count(*)) / 1000 AS mean FROM x GROUP BY 1),
         s AS (SELECT doc, count(*) AS sections, (2 * sum(CAST(round(confidence * 1000) AS BIGINT)) + count(*)) // (2 * count(*)) / 1000 AS sure, string_agg(number, ',' ORDER BY section) AS parts FROM found GROUP BY 1)
         SELECT g.doc, title, name, roll, subject, pages, g.regions, coalesce(sections, 0) AS sections, coalesce(sure, mean) AS confidence, high_confidence_ratio, needs_review, parts FROM g LEFT JOIN m USING (doc) LEFT JOIN s USING (doc)""",
-    "repaired_names": rf"""WITH r AS (SELECT p_partkey, ['\\text{{Ran  Kumar}}', '21 jogendra `Singh', 'Dr.(Vasch )Kum4r', '\\alpha Bonn ^'][p_partkey % 4 + 1] || ' ' || p_name AS name, 'so-' || hex(p_partkey) || 'ob1l9' AS code, 'I' || p_size || 'O ' AS marks, p_brand AS note FROM part),
+    "repaired_names": rf"""WITH r AS (SELECT p_partkey, ['\\text{{S  mith  Ann}}', '21 srnith `Lee', 'Dr.(J0nes )Nowere', '\\alpha Jo nes ^'][p_partkey % 4 + 1] || ' ' || p_name AS name, 'so-' || hex(p_partkey) || 'ob1l9' AS code, 'I' || p_size || 'O ' AS marks, p_brand AS note FROM part),
         k AS (SELECT *, list_filter(list_transform(string_split_regex(code, '\s+'), lambda w: regexp_replace(w, '[^A-Za-z0-9]', '', 'g')), lambda w: length(w) >= 6) AS tokens FROM r)
         SELECT p_partkey, {_NAME} AS name, right(translate(upper(CASE WHEN len(tokens) > 0 THEN tokens[-1] ELSE regexp_replace(code, '[^A-Za-z0-9]', '', 'g') END), 'OIL', '011'), 8) AS code,
             regexp_replace(translate(upper(marks), 'OILSBG', '011586'), '[^0-9]', '', 'g') AS marks, trim(note) AS note FROM k""",
-    "zipped_columns": """SELECT conv_id, CAST(turn // 3 AS INT) AS row, coalesce(max(left(text, 20)) FILTER (turn % 2 = 0), '') AS left, coalesce(max(left(text, 20)) FILTER (turn % 2 = 1), '') AS right FROM conversations GROUP BY 1, 2""",
+    "zipped_columns": """WITH c AS (SELECT conv_id, turn % 2 AS side, text, CAST(row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn, text) - 1 AS INT) AS row FROM conversations),
+        l AS (SELECT * FROM c WHERE side = 0), r AS (SELECT * FROM c WHERE side = 1)
+        SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, coalesce(l.row, r.row) AS row, coalesce(l.text, '') AS left, coalesce(r.text, '') AS right FROM l FULL JOIN r ON l.conv_id = r.conv_id AND l.row = r.row""",
     "fusion_with_vision": f"""WITH two AS ({decisions.SQL["fusion_decision"]}) SELECT p_partkey, CASE WHEN v THEN p_brand ELSE text END AS text, CASE WHEN v THEN p_size / 50 ELSE confidence END AS confidence, CASE WHEN v THEN 'vision' ELSE model END AS model,
         CASE WHEN v THEN p_size / 50 < 0.70 ELSE needs_review END AS needs_review FROM (SELECT *, p_partkey % 4 = 0 AS v FROM part) JOIN two USING (p_partkey)""",
 }

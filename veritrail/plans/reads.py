@@ -79,10 +79,10 @@ def user_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def report_details(spark: SparkSession, d: str) -> DataFrame:
-    """A customer's summary, and of equal names the details."""
-    o = table(spark, d, "orders").where("o_orderkey % 3 <> 0")
-    s = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")).alias("ocr_score"), F.lit(None).cast("string").alias("assignment_title"), F.col("o_orderstatus").alias("label"))
-    detail = o.select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("label"), "o_custkey")
+    """An order's summary, and of equal names what its items say; some orders have no detail of a name, or none at all."""
+    o = table(spark, d, "orders")
+    s = o.select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")).alias("ocr_score"), F.lit(None).cast("string").alias("assignment_title"), F.col("o_orderstatus").alias("label"))
+    detail = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(F.when(F.col("l_linenumber") > 3, F.col("l_returnflag"))).alias("label"), F.count("*").alias("items"))
     return reads.detail_over_summary(reports.summary(s), detail, "o_orderkey")
 
 
@@ -230,10 +230,11 @@ def text_previews(spark: SparkSession, d: str) -> DataFrame:
 
 
 def engine_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Three engines' readings of a document, the first with enough words."""
-    t, id = F.col("text"), F.col("doc_id")
-    said = scoring.first_accepted([("page", F.when(id % 3 != 0, F.left(t, F.lit(60))), 10), ("line", F.left(t, (id % 200).cast("int")), 15), ("plain", F.when(id % 5 != 0, F.left(t, F.lit(30))), 10)])
-    return table(spark, d, "documents").select("doc_id", said.alias("s")).select("doc_id", "s.*")
+    """Three engines' readings of a part's label, of more or fewer words, the first with enough words."""
+    p, id = table(spark, d, "part"), F.col("p_partkey")
+    times = lambda c, n: F.trim(F.repeat(F.concat(F.col(c), F.lit(" ")), n.cast("int")))
+    readings = [("page", F.when(id % 3 != 0, times("p_name", id % 7)), 10), ("line", times("p_type", F.col("p_size") % 8), 15), ("plain", F.when(id % 5 != 0, F.concat_ws(" ", "p_name", "p_brand", "p_type")), 10)]
+    return p.select("p_partkey", scoring.first_accepted(readings).alias("s")).select("p_partkey", "s.*")
 
 
 QUERIES = {
@@ -266,8 +267,9 @@ SQL = {
             CASE WHEN c_custkey % 3 = 0 THEN 'short1' WHEN c_custkey % 7 = 0 THEN 'letters only' ELSE 'pass-' || c_name END AS password FROM customer),
         v AS (SELECT *, CASE WHEN c_custkey % 8 <> 0 THEN password ELSE 'other' END AS repeated FROM u)
         {_broken({"name": "length(trim(name)) >= 2", "role": "role IN ('student', 'teacher', 'hod', 'admin')", "password": "length(password) BETWEEN 8 AND 128 AND regexp_matches(password, '[A-Za-z]') AND regexp_matches(password, '[0-9]')", "password_match": "password = repeated"}, "v", "c_custkey")}""",
-    "report_details": """SELECT s.o_orderkey, CASE WHEN s.o_orderkey % 4 <> 0 THEN s.o_totalprice ELSE 100.0 END AS ocr_score, 'Assignment 1' AS assignment_title,
-        CASE WHEN s.o_orderkey % 3 <> 0 AND s.o_orderkey % 2 = 0 THEN s.o_orderpriority ELSE s.o_orderstatus END AS label, CASE WHEN s.o_orderkey % 3 <> 0 THEN s.o_custkey END AS o_custkey FROM orders s""",
+    "report_details": """WITH l AS (SELECT l_orderkey, max(l_returnflag) FILTER (l_linenumber > 3) AS label, count(*) AS items FROM lineitem GROUP BY 1)
+        SELECT s.o_orderkey, CASE WHEN s.o_orderkey % 4 <> 0 THEN s.o_totalprice ELSE 100.0 END AS ocr_score, 'Assignment 1' AS assignment_title, coalesce(l.label, s.o_orderstatus) AS label, items
+        FROM orders s LEFT JOIN l ON l_orderkey = s.o_orderkey""",
     "content_labels": "SELECT CASE event_id % 4 WHEN 0 THEN 'Mixed' WHEN 1 THEN 'AI-generated' ELSE 'Original' END AS label, count(*) AS n FROM events GROUP BY 1",
     "client_addresses": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '10.0.0.' || event_id % 250 WHEN event_id % 5 <> 0 THEN '192.168.0.' || user_id ELSE 'unknown' END AS address FROM events",
     "section_subjects": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'urgent' ELSE 'No subjects assigned' END AS subject, lower(substr(c_mktsegment, 1, 5)) = 'build' AS taken FROM customer",
@@ -311,8 +313,9 @@ SQL |= {
     "section_drill_down": f"WITH {stand_ins.REPORTS} SELECT report_id, student_id FROM reports WHERE student_id % 7 = 0 OR student_id % 5 = 0",
     "grouping_sets": f"WITH {stand_ins.REPORTS} SELECT subject, hour(created_at) AS hour, count(*) AS n FROM reports GROUP BY GROUPING SETS ((subject), (hour(created_at)), ())",
     "text_previews": "SELECT doc_id, CASE WHEN length(text) > 400 THEN left(text, 400) || '...' ELSE text END AS preview, md5(left(text, 5000)) AS model_md5 FROM documents",
-    "engine_cascade": f"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN left(text, 60) END AS a, left(text, doc_id % 200) AS b, CASE WHEN doc_id % 5 <> 0 THEN left(text, 30) END AS c FROM documents),
+    "engine_cascade": f"""WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN trim(repeat(p_name || ' ', p_partkey % 7)) END AS a, trim(repeat(p_type || ' ', p_size % 8)) AS b,
+            CASE WHEN p_partkey % 5 <> 0 THEN p_name || ' ' || p_brand || ' ' || p_type END AS c FROM part),
         n AS (SELECT *, {_COUNT("a")} AS x, {_COUNT("b")} AS y, {_COUNT("c")} AS z FROM r),
         e AS (SELECT *, CASE WHEN x >= 10 THEN 'page' WHEN y >= 15 THEN 'line' WHEN z >= 10 THEN 'plain' WHEN x >= y AND x >= z THEN 'page' WHEN y >= z THEN 'line' ELSE 'plain' END AS engine FROM n)
-        SELECT doc_id, engine, CASE engine WHEN 'page' THEN a WHEN 'line' THEN b ELSE c END AS text FROM e""",
+        SELECT p_partkey, engine, CASE engine WHEN 'page' THEN a WHEN 'line' THEN b ELSE c END AS text FROM e""",
 }

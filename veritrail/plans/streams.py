@@ -35,10 +35,17 @@ def watermark_dedup(spark: SparkSession, d: str) -> DataFrame:
 def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     """Z1 as a stream."""
     most, seconds = access.POLICIES["resend_verification"]
-    return events.limited(events.stream_of(spark, d, "events"), most, seconds * 40)
+    return events.limited(events.stream_of(spark, d, "events"), most, seconds * 40).select("event_id", "limited")
 
 
-QUERIES = {f.__name__: f for f in (tumbling_counts, sliding_counts, session_windows, watermark_dedup, rate_limit_stream)}
+def rate_limit_reset_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Z9 as a stream: a purchase resets its user."""
+    most, seconds = access.POLICIES["resend_verification"]
+    e = events.stream_of(spark, d, "events")
+    return events.limited(e.withColumn("reset", F.col("event_type") == "purchase"), most, seconds * 40)
+
+
+QUERIES = {f.__name__: f for f in (tumbling_counts, sliding_counts, session_windows, watermark_dedup, rate_limit_stream, rate_limit_reset_stream)}
 SQL = {
     "tumbling_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY 1, 2",
     "sliding_counts": "SELECT s AS start, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY 1",
@@ -48,3 +55,4 @@ SQL = {
     "watermark_dedup": "SELECT DISTINCT user_id, event_type FROM events",
 }
 SQL["rate_limit_stream"] = f"SELECT event_id, limited FROM ({decisions.SQL['rate_limit_decisions']})"
+SQL["rate_limit_reset_stream"] = decisions.SQL["rate_limit_resets"]

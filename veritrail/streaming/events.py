@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from veritrail.operators import access
 from veritrail.sources.catalog import work_dir
 
+#: The store that keyed state with timers needs.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of its files, which may be one file or a folder; its times are instants."""
@@ -37,39 +42,64 @@ def first_seen(events: DataFrame, columns: list[str], late: str = "40 days") ->
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(columns)
 
 
-def limited(requests: DataFrame, most: int, seconds: int) -> DataFrame:
-    """Run a stream of requests over all that there is now; (event_id, limited) of each.
+class Limiter(StatefulProcessor):
+    """A user's accepted requests inside the window, as keyed state that ends by itself.
 
-    A micro-batch is sorted by user and time as a whole before its requests are decided one by one. What it decided is a table, and the accepted
-    requests of that inside the window, at most `most` of a user, go ahead of the next micro-batch. Rows without user are never limited.
+    Requests of a micro-batch are decided in their order; a timer at the moment when the newest one stops counting takes the state away, so that
+    a user who has been idle for a window has none. Rows that reset a user take it away at once.
     """
-    out = work_dir(requests.sparkSession, "limits")
-    requests = requests.select("event_id", "user_id", "ts")
-    schema = T.StructType([*requests.schema.fields, T.StructField("fresh", T.BooleanType()), T.StructField("limited", T.BooleanType())])
-
-    def step(kept: list, row: dict) -> tuple[bool]:
-        now = access._seconds(row["ts"])
-        if row["fresh"]:
-            kept[:] = [x for x in kept if x > now - seconds]
-            if len(kept) >= most:
-                return (True,)
-        kept.append(now)
-        return (False,)
-
-    def decide(batch: DataFrame, n: int) -> None:
-        rows = batch.withColumn("fresh", F.lit(True))
-        if n:
-            before = batch.sparkSession.read.schema(schema).parquet(f"{out}/n={n - 1}")
-            newest = before.groupBy("user_id").agg(F.max("ts").alias("newest"))
-            inside = F.col("ts") > F.col("newest") - F.expr(f"INTERVAL {seconds} SECONDS")
-            kept = before.where("not limited").join(newest, "user_id").where(inside).withColumn("fresh", F.lit(False))
-            rows = rows.unionByName(kept.select(*rows.columns))
-        decided = access._in_order(rows, "user_id", ["fresh", "ts", "event_id"], [schema["limited"]], list, step)
-        decided.write.mode("overwrite").parquet(f"{out}/n={n}")
-
-    query = requests.writeStream.trigger(availableNow=True).option("checkpointLocation", work_dir(requests.sparkSession, "limits-state")).foreachBatch(decide).start()
-    query.awaitTermination()
-    return requests.sparkSession.read.schema(schema).parquet(f"{out}/n=*").where("fresh").select("event_id", "limited")
+
+    def __init__(self, most: int, seconds: int) -> None:
+        self.most, self.seconds = most, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.kept = handle, handle.getValueState("kept", "times array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803, ANN001
+        kept = list(self.kept.get()[0]) if self.kept.exists() else []
+        for r in sorted(rows, key=lambda r: (r["ts"], r["reset"], r["event_id"])):
+            if r["reset"]:
+                kept.clear()
+                yield Row(event_id=r["event_id"], limited=None, retry_after=None)
+            else:
+                limited, after = access.decided(kept, access.at_seconds(r["ts"]), self.most, self.seconds) if r["user_id"] is not None else (False, None)
+                yield Row(event_id=r["event_id"], limited=limited, retry_after=after)
+        for moment in self.handle.listTimers():
+            self.handle.deleteTimer(moment)
+        if kept and key[0] is not None:
+            self.kept.update((kept,))
+            self.handle.registerTimer(int((kept[-1] + self.seconds) * 1000) + 1)
+        else:
+            self.kept.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803, ANN001
+        self.kept.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def limits(requests: DataFrame, most: int, seconds: int, late: str = "1 day") -> DataFrame:
+    """A stream of (event_id, limited, retry_after) from requests (event_id, user_id, ts, and reset if any row resets its user).
+
+    A row that comes more than `late` after the newest one finds no state and is dropped with the watermark. Rows without user are keys of their own
+    and leave no state. The rows that one user has in a micro-batch are sorted in the task's memory: the source bounds a micro-batch.
+    """
+    reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in requests.columns else F.lit(False)
+    rows = requests.select("event_id", "user_id", "ts", reset.alias("reset"), F.when(F.col("user_id").isNull(), F.col("event_id")).alias("lone"))
+    return rows.withWatermark("ts", late).groupBy("user_id", "lone").transformWithState(Limiter(most, seconds), "event_id long, limited boolean, retry_after long", "append", "EventTime")
+
+
+def limited(requests: DataFrame, most: int, seconds: int, late: str = "1 day") -> DataFrame:
+    """Run `limits` over all that there is now and read its result back."""
+    conf, store = requests.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(store)
+    conf.set(store, STORE)
+    try:
+        return finished(limits(requests, most, seconds, late), "append")
+    finally:
+        conf.set(store, before)
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
