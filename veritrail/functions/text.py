@@ -178,8 +178,17 @@ def _bound(text: Column, use: Callable[[Column], Column]) -> Column:
     return let(let(tokens, lambda d: F.struct(d["t"].alias("t"), d["lower"].alias("lower"), d["tokens"].alias("tokens"), F.greatest(F.lit(1), F.size(d["tokens"])).alias("n"))), use)
 
 
-def stylometrics(text: Column) -> Column:
-    """Struct of the eleven stylometric features, rounded to 4; those that need a tagger are 0, as without one."""
+def tag_shares(tags: Column | None, entities: Column | None) -> dict[str, Column]:
+    """Shares of a tagger's tags, one a token, and of named entities; 0 without a tagger or without tags."""
+    n = F.greatest(F.size(tags), F.lit(1)) if tags is not None else F.lit(1)
+    share = lambda *names: F.coalesce(in_list(tags, names) / n, F.lit(0.0)) if tags is not None else F.lit(0.0)
+    density = F.coalesce(entities / n, F.lit(0.0)) if entities is not None else F.lit(0.0)
+    return {"noun_ratio": share("NOUN", "PROPN"), "verb_ratio": share("VERB"), "adjective_ratio": share("ADJ"), "named_entity_density": density}
+
+
+def stylometrics(text: Column, tags: Column | None = None, entities: Column | None = None) -> Column:
+    """Struct of the eleven stylometric features, rounded to 4. `tags`, an array of a tagger's tags by token, and `entities`, how many names it found,
+    give four of them; these are 0 without."""
 
     def of(d: Column) -> Column:
         lengths = F.filter(F.transform(F.split(d["t"], SENTENCE_END), lambda s: F.size(words(s))), lambda n: n > 0)
@@ -195,8 +204,7 @@ def stylometrics(text: Column) -> Column:
             out = {
                 "avg_sentence_length": _ratio(total(s["l"]), k), "sentence_length_std": spread, "type_token_ratio": F.size(F.array_distinct(d["tokens"])) / d["n"],
                 "stop_word_ratio": in_list(d["tokens"], fixed.STOP_WORDS) / d["n"], "punctuation_frequency": _ratio(F.regexp_count(d["t"], F.lit(r"\p{Punct}")), F.length(d["t"])),
-                "contraction_ratio": in_list(contracted, fixed.CONTRACTIONS) / d["n"], "noun_ratio": F.lit(0.0), "verb_ratio": F.lit(0.0), "adjective_ratio": F.lit(0.0),
-                "named_entity_density": F.lit(0.0), "avg_paragraph_length": _ratio(total(s["p"]), F.size(s["p"])),
+                "contraction_ratio": in_list(contracted, fixed.CONTRACTIONS) / d["n"], **tag_shares(tags, entities), "avg_paragraph_length": _ratio(total(s["p"]), F.size(s["p"])),
             }
             return F.struct(*(F.round(c.cast("double"), 4).alias(name) for name, c in out.items()))
 

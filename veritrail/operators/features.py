@@ -12,8 +12,8 @@ FEATURES = list(fixed.FEATURES)
 WITHOUT_MODEL = scoring.NO_STATISTICS
 
 
-def of_text(column: Column) -> Column:
-    """Struct of the fifteen features that the text alone gives, rounded to 4."""
+def of_text(column: Column, tags: Column | None = None, entities: Column | None = None) -> Column:
+    """Struct of the fifteen features that the text alone gives, and a tagger's tags and count of names if there are any, rounded to 4."""
 
     def joined(s: Column) -> Column:
         phrase = {"generic_phrasing": "generic", "lack_of_personal_voice": "impersonal", "over_structured_coherence": "structured"}
@@ -21,14 +21,15 @@ def of_text(column: Column) -> Column:
             *(s["style"][c].alias(c) for c in FEATURES[3:14]), s["ease"].alias("flesch_reading_ease"), *(F.round(s["phrase"][p], 4).alias(c) for c, p in phrase.items()),
         )
 
-    return text.let(F.struct(text.stylometrics(column).alias("style"), text.flesch(column).alias("ease"), text.phrase_features(column).alias("phrase")), joined)
+    return text.let(F.struct(text.stylometrics(column, tags, entities).alias("style"), text.flesch(column).alias("ease"), text.phrase_features(column).alias("phrase")), joined)
 
 
-def all_features(docs: DataFrame, id: str, column: str, losses: DataFrame | None = None) -> DataFrame:
-    """(id, the 18 features) of each document. `losses`: (id, loss, n) of a language model's tokens, from the corpus's bigrams by default."""
+def all_features(docs: DataFrame, id: str, column: str, losses: DataFrame | None = None, tags: str | None = None, entities: str | None = None) -> DataFrame:
+    """(id, the 18 features) of each document. `losses`: (id, loss, n) of a language model's tokens, from the corpus's bigrams by default. `tags` and
+    `entities`: columns with what a tagger found."""
     losses = models.bigram_losses(docs, id, column) if losses is None else losses
     model = models.perplexity(losses, id).select(id, F.col("perplexity").alias("mean_perplexity"), F.col("loss_variance").alias("perplexity_variance"), F.col("mean_token_loss").alias("entropy"))
-    own = docs.select(id, of_text(F.col(column)).alias("f")).select(id, "f.*")
+    own = docs.select(id, of_text(F.col(column), F.col(tags) if tags else None, F.col(entities) if entities else None).alias("f")).select(id, "f.*")
     return own.join(model, id, "left").select(id, *(F.coalesce(c, F.lit(WITHOUT_MODEL[c])).alias(c) if c in WITHOUT_MODEL else F.col(c) for c in FEATURES))
 
 

@@ -12,6 +12,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritrail.functions.text import let
 from veritrail.operators import scoring
 from veritrail.sources.catalog import work_dir
 
@@ -33,7 +34,8 @@ def arrays(trees: DataFrame) -> DataFrame:
     """One row: `forest`, an array of trees, each arrays by node; nodes are numbered from 0 without gaps."""
     p = F.col("ones") / F.nullif(F.col("zeros") + F.col("ones"), F.lit(0.0))
     one = trees.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("node", "feature", "threshold", "left", "right", F.coalesce(p, F.lit(0.0)).alias("p")))).alias("n"))
-    fields = [F.transform("n", lambda x, c=c: x[c]).alias(c) for c in ("feature", "threshold", "left", "right", "p")]
+    of = lambda c: F.transform("n", lambda x: x[c]).alias(c)
+    fields = [of(c) for c in ("feature", "threshold", "left", "right", "p")]
     return one.select("tree", F.struct(*fields).alias("t")).agg(F.transform(F.array_sort(F.collect_list(F.struct("tree", "t"))), lambda x: x["t"]).alias("forest"))
 
 
@@ -53,7 +55,9 @@ def probability(forest: Column, vector: Column, depth: int) -> Column:
 def scored(df: DataFrame, trees: DataFrame, columns: list[str], depth: int) -> DataFrame:
     """`df` with `probability_1`; the forest is one row of a size that its parameters bound, and goes to every task."""
     vector = F.array(*(F.col(c).cast("double") for c in columns))
-    return df.crossJoin(F.broadcast(arrays(trees))).withColumn("probability_1", probability(F.col("forest"), vector, depth)).drop("forest")
+    # the vector is bound once, not made anew at each node
+    found = let(vector, lambda x: probability(F.col("forest"), x, depth))
+    return df.crossJoin(F.broadcast(arrays(trees))).withColumn("probability_1", found).drop("forest")
 
 
 def online(features: DataFrame, trees: DataFrame, columns: list[str], depth: int, length: str) -> DataFrame:

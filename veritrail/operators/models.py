@@ -9,14 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritrail.functions.text import words
+from veritrail.functions.text import long_sentences, stripped, words
+from veritrail.operators import scoring
 
-#: The greatest loss that a perplexity is taken from.
-LOSS_CAP = 50.0
+#: The greatest loss that a perplexity is taken from, in training, in scoring and of a sentence; the greatest loss of a text that has none.
+LOSS_CAP, ONLINE_CAP, SENTENCE_CAP, NO_SPIKE = 50.0, 25.0, 20.0, 5.0
 
 
 def token_losses(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[list[float]]]], into: str = "losses") -> DataFrame:
@@ -31,17 +32,56 @@ def token_losses(df: DataFrame, text: str, load: Callable[[], Callable[[list[str
     return df.withColumn(into, score(text))
 
 
-def bigram_losses(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, loss) for each pair of neighbouring words: -ln((n(a, b) + 1) / (n(a) + v)), v the number of different words. Counts meet the pairs by joins on words."""
-    tokens = docs.select(F.col(id).alias("id"), F.posexplode(words(F.lower(text))).alias("at", "b"))
-    pairs = tokens.withColumn("a", F.lag("b").over(Window.partitionBy("id").orderBy("at"))).where("a is not null").groupBy("id", "a", "b").agg(F.count("*").alias("n"))
+def bigram_table(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """((id, a, b, n), (a, b, loss)): neighbouring words of each text, and of all texts -ln((n(a, b) + 1) / (n(a) + v)), v the number of different words."""
+    tokens = docs.select(F.col(id).alias("id"), words(F.lower(text)).alias("w"))
+    pairs = tokens.select("id", F.explode(_neighbours(F.col("w"))).alias("p")).groupBy("id", "p.a", "p.b").agg(F.count("*").alias("n"))
     ab = pairs.groupBy("a", "b").agg(F.sum("n").alias("nab"))
     na = ab.groupBy("a").agg(F.sum("nab").alias("na"))
-    v = tokens.agg(F.count_distinct("b").alias("v"))
-    loss = ab.join(na, "a").crossJoin(F.broadcast(v)).select("a", "b", (-F.log((F.col("nab") + 1) / (F.col("na") + F.col("v")))).alias("loss"))
+    v = tokens.select(F.explode("w").alias("w")).agg(F.count_distinct("w").alias("v"))
+    return pairs, ab.join(na, "a").crossJoin(F.broadcast(v)).select("a", "b", (-F.log((F.col("nab") + 1) / (F.col("na") + F.col("v")))).alias("loss"))
+
+
+def _neighbours(w: Column) -> Column:
+    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.struct(F.element_at(w, i).alias("a"), F.element_at(w, i + 1).alias("b")))
+    return F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+
+
+def bigram_losses(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, loss, n) for each pair of neighbouring words that a text has n times. Counts meet the pairs by joins on words."""
+    pairs, loss = bigram_table(docs, id, text)
     return pairs.join(loss, ["a", "b"]).select("id", "loss", "n")
 
 
+def sentence_statistics(docs: DataFrame, id: str, text: str, losses: DataFrame | None = None) -> DataFrame:
+    """(id, mean_perplexity, offline_perplexity, perplexity_variance, entropy, greatest, burstiness_cv, sentences, fallback) of each text.
+
+    `losses` (a, b, loss) are of neighbouring words; they are the corpus's own by default. A sentence's tokens are losses of its own: those of
+    more than two words give exp of their mean loss, at most SENTENCE_CAP, and burstiness is the sample deviation of these over their mean; 0 for one
+    sentence. The perplexity of the text is capped at ONLINE_CAP, and at LOSS_CAP as it is trained with. Texts below 50 characters or without
+    two words have the fixed statistics.
+    """
+    pairs, own = bigram_table(docs, id, text)
+    losses = own if losses is None else losses
+    whole = pairs.join(losses, ["a", "b"]).select("id", "loss", "n")
+    sentence = docs.select(F.col(id).alias("id"), F.posexplode(long_sentences(F.col(text))).alias("at", "s")).select("id", "at", words(F.lower("s")).alias("w")).where(F.size("w") > 2)
+    of = sentence.select("id", "at", F.explode(_neighbours(F.col("w"))).alias("p")).select("id", "at", "p.a", "p.b").join(losses, ["a", "b"])
+    each = of.groupBy("id", "at").agg(F.exp(F.least(F.avg("loss"), F.lit(SENTENCE_CAP))).alias("x"))
+    burst = each.groupBy("id").agg(F.count("*").alias("sentences"), F.when(F.count("*") > 1, F.stddev_samp("x") / F.avg("x")).otherwise(0.0).alias("cv"))
+    n, s, q = F.sum("n"), F.sum(F.col("loss") * F.col("n")), F.sum(F.col("loss") * F.col("loss") * F.col("n"))
+    got = whole.groupBy("id").agg(n.alias("n"), (s / n).alias("mean"), F.when(n > 1, (q - s * s / n) / (n - 1)).otherwise(F.lit(0.0)).alias("variance"), F.max("loss").alias("greatest"))
+    every = docs.select(F.col(id).alias("id"), F.length(stripped(F.coalesce(text, F.lit("")))).alias("length")).join(got, "id", "left").join(burst, "id", "left")
+    short = (F.col("length") < 50) | F.col("mean").isNull()
+    plain = scoring.NO_STATISTICS
+    return every.select(
+        F.col("id").alias(id),
+        *(F.round(F.when(short, plain["mean_perplexity"]).otherwise(F.exp(F.least("mean", F.lit(cap)))), 2).alias(c) for c, cap in (("mean_perplexity", ONLINE_CAP), ("offline_perplexity", LOSS_CAP))),
+        F.round(F.when(short, plain["perplexity_variance"]).otherwise(F.abs("variance")), 4).alias("perplexity_variance"), F.round(F.when(short, plain["entropy"]).otherwise(F.col("mean")), 4).alias("entropy"),
+        F.round(F.when(short, NO_SPIKE).otherwise(F.col("greatest")), 4).alias("greatest"), F.round(F.when(short, 0.0).otherwise(F.coalesce("cv", F.lit(0.0))), 4).alias("burstiness_cv"),
+        F.when(short, 0).otherwise(F.coalesce("sentences", F.lit(0))).alias("sentences"), short.alias("fallback"),
+    )
+
+
 def perplexity(losses: DataFrame, id: str) -> DataFrame:
     """(id, mean_token_loss, perplexity, loss_variance, greatest): of each text's losses, weighed by how often they occur; the variance is the sample's."""
     n, s, q = F.sum("n"), F.sum(F.col("loss") * F.col("n")), F.sum(F.col("loss") * F.col("loss") * F.col("n"))

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.operators import ranks
@@ -27,6 +27,15 @@ def sampled(df: DataFrame, id: str, rows: int, seed: int = SEED) -> DataFrame:
     return df.orderBy(draw(F.col(id), seed), id).limit(rows)
 
 
+def sampled_fraction(df: DataFrame, id: str, fraction: float, seed: int = SEED) -> DataFrame:
+    """The share `fraction` of the rows, to the nearest whole row, as if at random and the same in every run: those first by draw, ranked over ranges."""
+    keyed = df.select(id).withColumns({"_draw": draw(F.col(id), seed), "_one": F.lit(1)})
+    ranked = ranks.running(keyed, ["_draw", id], {"_before": "_one"})
+    wanted = ranked.agg(F.bround(F.count("*") * fraction).alias("_wanted"))
+    chosen = ranked.crossJoin(F.broadcast(wanted)).where(F.col("_before") < F.col("_wanted")).select(id)
+    return df.join(chosen, id, "left_semi")
+
+
 def class_ratio(df: DataFrame, label: str, ratio: int = RATIO) -> DataFrame:
     """One row: rows of either class, how many of label 1 there are for one of label 0, and how many of label 1 are let through."""
     zeros, ones = F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)
@@ -42,11 +51,14 @@ def undersampled(df: DataFrame, label: str, author: str, id: str, ratio: int = R
     target, ones = humans * ratio, df.where(F.col(label) == 1)
     if machines <= target:
         return df.where(F.col(label).isin(0, 1))
-    of_author = Window.partitionBy(author)
-    own = F.count("*").over(of_author)
-    quota = F.least(F.greatest(F.lit(1), F.bround(target * (own / machines)).cast("long")), own)
-    rank = F.row_number().over(of_author.orderBy(draw(F.col(id)), id))
-    chosen = ones.withColumns({"quota": quota, "rank": rank}).where(F.col("rank") <= F.col("quota")).select(df.columns)
+    size = ones.groupBy(author).agg(F.count("*").alias("own"))
+    quota = F.least(F.greatest(F.lit(1), F.bround(target * (F.col("own") / machines)).cast("long")), F.col("own"))
+    # ranks inside an author are running counts over ranges of (author, draw), less those of the authors before: no author is one task's
+    drawn = ones.withColumns({"_draw": draw(F.col(id)), "_one": F.lit(1)})
+    ranked = ranks.running(drawn, [author, "_draw", id], {"_before": "_one"})
+    first = ranked.groupBy(author).agg(F.min("_before").alias("_first"))
+    limits = size.withColumn("_quota", quota).join(first.withColumnRenamed(author, "_author"), F.col(author).eqNullSafe(F.col("_author"))).select(F.col(author).alias("_of"), "_quota", "_first")
+    chosen = ranked.join(limits, F.col(author).eqNullSafe(F.col("_of"))).where(F.col("_before") - F.col("_first") < F.col("_quota")).select(df.columns)
     # rounding takes at most one row an author too many: those last by draw go
     over = max(0, chosen.count() - target)
     last = chosen.select(id).orderBy(F.desc(draw(F.col(id))), F.desc(id)).limit(over)

@@ -64,8 +64,24 @@ def replaced(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
 
 
-def without_conflicts(table: DataFrame, changes: DataFrame, key: str, unique: str) -> DataFrame:
-    """Those of `changes` whose new value of `unique` no other row has; a change that leaves it alone has no conflict."""
-    taken = table.select(F.col(key).alias("_holder"), F.col(unique).alias("_value"))
-    clash = changes.join(taken, (F.col(unique) == F.col("_value")) & (F.col(key) != F.col("_holder"))).select(key).distinct()
+def without_conflicts(table: DataFrame, changes: DataFrame, key: str, unique: str | list[str]) -> DataFrame:
+    """Those of `changes` whose new value of `unique` no other row has; a change that leaves it alone has no conflict.
+
+    `unique` may be several columns: what a change leaves null stays as the row has it, and the values that follow are compared, with those of the
+    table as it was. Nulls are equal to nothing.
+    """
+    columns = [unique] if isinstance(unique, str) else unique
+    if isinstance(unique, str):
+        after = changes
+    else:
+        held = table.select(key, *(F.col(c).alias(f"_held_{c}") for c in columns))
+        supplied = [c for c in columns if c in changes.columns]
+        full = changes.select(key, *(F.col(c).alias(f"_new_{c}") for c in supplied)).join(held, key)
+        after = full.select(key, *((F.coalesce(f"_new_{c}", f"_held_{c}") if c in supplied else F.col(f"_held_{c}")).alias(c) for c in columns))
+        after = after.join(table.select(key, *columns), [key, *columns], "left_anti")  # what it has already is no change
+    taken = table.select(F.col(key).alias("_holder"), *(F.col(c).alias(f"_value_{c}") for c in columns))
+    same = (F.col(key) != F.col("_holder"))
+    for c in columns:
+        same = same & (F.col(c) == F.col(f"_value_{c}"))
+    clash = after.join(taken, same).select(key).distinct()
     return changes.join(clash, key, "left_anti")

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.functions import fixed
-from veritrail.operators import features, models, training
+from veritrail.functions.text import stripped, stylometrics, words
+from veritrail.operators import features, forest, models, training
 from veritrail.plans import text
 from veritrail.sources import readers
-from veritrail.sources.catalog import materialise, table, work_dir
+from veritrail.sources.catalog import table, work_dir
 
 FEATURES = features.FEATURES
 
@@ -92,9 +93,30 @@ def roc_curve(spark: SparkSession, d: str) -> DataFrame:
     return training.roc(_labelled(spark, d), "quality", "n_chars")
 
 
-def _forest(spark: SparkSession, d: str):
-    split = materialise(training.group_split(_features(spark, d), "source"), "features")
-    return training.train_forest(split.where("part = 'train'"), FEATURES, "quality"), split
+#: What a session has built for a folder of tables, so that queries that share it build it once: places of tables and models.
+_BUILT: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, d: str, name: str, build) -> str:
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _BUILT:
+        at = work_dir(spark, name)
+        build(at)
+        _BUILT[key] = at
+    return _BUILT[key]
+
+
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    """The features of labelled essays, with the part that each source is of."""
+    at = _once(spark, d, "features", lambda at: training.group_split(_features(spark, d), "source").write.parquet(at))
+    return spark.read.parquet(at)
+
+
+def _forest(spark: SparkSession, d: str, columns: list[str] = FEATURES):
+    """The model as it is stored, loaded again."""
+    split = _split(spark, d)
+    at = _once(spark, d, f"forest-{len(columns)}", lambda at: readers.save_model(training.train_forest(split.where("part = 'train'"), columns, "quality"), at))
+    return readers.load_model(at), split
 
 
 def rf_train_eval(spark: SparkSession, d: str) -> DataFrame:
@@ -110,22 +132,65 @@ def rf_importances(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rf_online_scores(spark: SparkSession, d: str) -> DataFrame:
-    """M9: a stored model, loaded again, scores held-out documents."""
+    """M9: a stored model, loaded again, scores held-out documents by its table of splits."""
     model, split = _forest(spark, d)
-    at = work_dir(spark, "forest")
-    readers.save_model(model, at)
-    found = training.scored(readers.load_model(at), split.where("part = 'test'"))
+    found = forest.scored(split.where("part = 'test'"), forest.exported(spark, model), FEATURES, training.DEPTH)
     return found.select("doc_id", F.round("probability_1", 4).alias("ai_probability"), F.round(100 * F.col("probability_1"), 2).alias("ai_score"))
 
 
 def legacy_forest(spark: SparkSession, d: str) -> DataFrame:
     """The classifier of three features."""
-    split = materialise(training.group_split(_features(spark, d), "source"), "features")
-    model = training.train_forest(split.where("part = 'train'"), FEATURES[:3], "quality")
+    model, split = _forest(spark, d, FEATURES[:3])
     return training.confusion(training.scored(model, split.where("part = 'test'")), "quality", "prediction")
 
 
-QUERIES = {f.__name__: f for f in (sampled_rows, class_ratio, undersample_counts, group_split, standardise, impute, class_means_top5, confusion_metrics, roc_auc, roc_curve, all_features, feature_map, rf_train_eval, rf_importances, rf_online_scores, legacy_forest)}
+#: A forest made by a rule, for scores that SQL gives as well: trees, their depth, and rows (tree, node, feature, threshold, left, right, zeros, ones).
+RULE_TREES, RULE_DEPTH = 9, 3
+
+
+def _rule_forest(features: int) -> list[tuple]:
+    inner, every = 2**RULE_DEPTH - 1, 2 ** (RULE_DEPTH + 1) - 1
+    split = lambda t, i: ((t * 5 + i * 3) % features, ((t * 7 + i * 5) % 11 - 5) / 4 + 0.0137, 2 * i + 1, 2 * i + 2) if i < inner else (-1, None, -1, -1)
+    return [(t, i, *split(t, i), (t * 3 + i * 7) % 10 + 1.37, (t * 11 + i * 13) % 10 + 1.11) for t in range(RULE_TREES) for i in range(every)]
+
+
+def _scored_by_rule(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
+    essays = text.essays(spark, d)
+    length = essays.select("doc_id", F.length(stripped(F.col("text"))).alias("length"))
+    found = features.all_features(essays, "doc_id", "text").select("doc_id", *columns).join(length, "doc_id")
+    return forest.online(found, spark.createDataFrame(_rule_forest(len(columns)), forest.SPLITS), columns, RULE_DEPTH, "length").drop("length")
+
+
+def forest_scores(spark: SparkSession, d: str) -> DataFrame:
+    """M7, M9: scaled features, scores of a forest given as a table, the gate for short texts, label and confidence."""
+    return _scored_by_rule(spark, d, FEATURES)
+
+
+def legacy_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the three features of a language model."""
+    return _scored_by_rule(spark, d, FEATURES[:3])
+
+
+def tagged_features(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of tags that a tagger gave; here words' endings stand for it."""
+    tokens = words(F.lower("text"))
+    tag = lambda w: F.when(w.endswith("ing"), "VERB").when(w.endswith("ed"), "ADJ").when(w.startswith("th"), "PROPN").when(F.length(w) > 6, "NOUN").otherwise("X")
+    e = text.essays(spark, d).select("doc_id", "text", F.transform(tokens, tag).alias("tags"), F.size(F.filter(tokens, lambda w: F.length(w) > 9)).alias("names"))
+    s = stylometrics(F.col("text"), F.col("tags"), F.col("names"))
+    return e.select("doc_id", s.alias("s")).select("doc_id", *(f"s.{c}" for c in ("noun_ratio", "verb_ratio", "adjective_ratio", "named_entity_density")))
+
+
+def sampled_fraction(spark: SparkSession, d: str) -> DataFrame:
+    """T9 by share."""
+    return training.sampled_fraction(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 0.013)
+
+
+def sentence_burstiness(spark: SparkSession, d: str) -> DataFrame:
+    """Losses by sentence."""
+    return models.sentence_statistics(text.essays(spark, d), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (sampled_rows, class_ratio, undersample_counts, group_split, standardise, impute, class_means_top5, confusion_metrics, roc_auc, roc_curve, all_features, feature_map, rf_train_eval, rf_importances, rf_online_scores, legacy_forest, forest_scores, legacy_scores, tagged_features, sampled_fraction, sentence_burstiness)}
 _L = "WITH l AS (SELECT doc_id, source, n_chars, text, quality, toxic FROM documents JOIN labels USING (doc_id))"
 _DRAW = "md5({} || ':42')"
 _COUNTS = "count(*) FILTER (quality = 1 AND n_chars > 1000) AS tp, count(*) FILTER (quality = 0 AND n_chars > 1000) AS fp, count(*) FILTER (quality = 0 AND n_chars <= 1000) AS tn, count(*) FILTER (quality = 1 AND n_chars <= 1000) AS fn"
@@ -147,7 +212,40 @@ def _means() -> str:
         SELECT feature, round(mean_0, 4) AS mean_0, round(mean_1, 4) AS mean_1, round(abs(mean_0 - mean_1), 4) AS difference FROM m ORDER BY abs(mean_0 - mean_1) DESC, feature LIMIT 5"""
 
 
+def _rule_scores(columns: list[str]) -> str:
+    rows = ", ".join(f"({t}, {i}, {f}, {'NULL' if x is None else x}::DOUBLE, {lo}, {hi}, {a}::DOUBLE, {b}::DOUBLE)" for t, i, f, x, lo, hi, a, b in _rule_forest(len(columns)))
+    steps = ", ".join(f"s{k + 1} AS (SELECT doc_id, z, tree, CASE WHEN lo < 0 THEN node WHEN z[feature + 1] <= threshold THEN lo ELSE hi END AS node FROM s{k} JOIN f USING (tree, node))" for k in range(RULE_DEPTH))
+    scaled = ", ".join(f"(CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / coalesce(nullif(stddev_pop(CAST({c} AS DOUBLE)) OVER (), 0), 1)" for c in columns)
+    return f"""WITH {_ALL}, f(tree, node, feature, threshold, lo, hi, zeros, ones) AS (VALUES {rows}), zs AS (SELECT doc_id, [{scaled}] AS z FROM x),
+        s0 AS (SELECT doc_id, z, tree, 0 AS node FROM zs, (SELECT DISTINCT tree FROM f)), {steps},
+        p AS (SELECT doc_id, avg(ones / (zeros + ones)) AS p FROM s{RULE_DEPTH} JOIN f USING (tree, node) GROUP BY 1),
+        g AS (SELECT doc_id, p, length({text._STRIP.format("text")}) < 50 AS short FROM p JOIN (WITH {text._ESSAYS} SELECT * FROM essays) USING (doc_id))
+        SELECT doc_id, CASE WHEN short THEN 0.0 ELSE round(p, 4) END AS ai_probability, CASE WHEN short THEN 0.0 ELSE round(p * 100, 2) END AS ai_score,
+            CASE WHEN short THEN 'Original' WHEN p * 100 > 70 THEN 'AI-generated' WHEN p * 100 < 30 THEN 'Original' ELSE 'Mixed' END AS label, CASE WHEN short THEN 0.0 ELSE round(abs(p - 0.5) * 2, 2) END AS confidence FROM g"""
+
+
+_TAGS = rf"""WITH {text._ESSAYS}, t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM essays),
+    g AS (SELECT doc_id, w, list_transform(w, lambda x: CASE WHEN x LIKE '%ing' THEN 'VERB' WHEN x LIKE '%ed' THEN 'ADJ' WHEN x LIKE 'th%' THEN 'PROPN' WHEN length(x) > 6 THEN 'NOUN' ELSE 'X' END) AS tags FROM t)
+    SELECT doc_id, round(len(list_filter(tags, lambda x: x IN ('NOUN', 'PROPN'))) / greatest(len(w), 1), 4) AS noun_ratio, round(len(list_filter(tags, lambda x: x = 'VERB')) / greatest(len(w), 1), 4) AS verb_ratio,
+        round(len(list_filter(tags, lambda x: x = 'ADJ')) / greatest(len(w), 1), 4) AS adjective_ratio, round(len(list_filter(w, lambda x: length(x) > 9)) / greatest(len(w), 1), 4) AS named_entity_density FROM g"""
+_TOKENS = r"[\p{L}\p{N}_]+"
+_BURST = rf"""WITH {text._ESSAYS}, t AS (SELECT doc_id, regexp_extract_all(lower(text), '{_TOKENS}') AS w FROM essays), p AS (SELECT doc_id, unnest(list_zip(w[:-2], w[2:])) AS ab FROM t WHERE len(w) > 1),
+    c AS (SELECT ab, count(*) AS nab FROM p GROUP BY 1), a AS (SELECT ab[1] AS a, sum(nab) AS na FROM c GROUP BY 1), v AS (SELECT count(DISTINCT x) AS v FROM (SELECT unnest(w) AS x FROM t)),
+    l AS (SELECT ab, -ln((nab + 1) / (na + v)) AS loss FROM c JOIN a ON ab[1] = a.a, v),
+    s AS (SELECT doc_id, unnest(list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\x01|\n+'), lambda s: len({text._SPLIT.format("s")}) >= 3)) AS s FROM essays),
+    n AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(lower(s), '{_TOKENS}') AS w FROM s), q AS (SELECT doc_id, k, unnest(list_zip(w[:-2], w[2:])) AS ab FROM n WHERE len(w) > 2),
+    e AS (SELECT doc_id, k, exp(least(avg(loss), 20)) AS x FROM q JOIN l USING (ab) GROUP BY 1, 2), b AS (SELECT doc_id, count(*) AS sentences, coalesce(stddev_samp(x) / avg(x), 0) AS cv FROM e GROUP BY 1),
+    g AS (SELECT doc_id, avg(loss) AS mean, coalesce(var_samp(loss), 0) AS var, max(loss) AS most FROM p JOIN l USING (ab) GROUP BY 1),
+    f AS (SELECT essays.doc_id, length({text._STRIP.format("text")}) < 50 OR mean IS NULL AS short, mean, var, most, sentences, cv FROM essays LEFT JOIN g USING (doc_id) LEFT JOIN b USING (doc_id))
+    SELECT doc_id, CASE WHEN short THEN 50.0 ELSE round(exp(least(mean, 25)), 2) END AS mean_perplexity, CASE WHEN short THEN 50.0 ELSE round(exp(least(mean, 50)), 2) END AS offline_perplexity,
+        CASE WHEN short THEN 1.0 ELSE round(var, 4) END AS perplexity_variance, CASE WHEN short THEN 3.0 ELSE round(mean, 4) END AS entropy, CASE WHEN short THEN 5.0 ELSE round(most, 4) END AS greatest,
+        CASE WHEN short THEN 0.0 ELSE round(coalesce(cv, 0), 4) END AS burstiness_cv, CASE WHEN short THEN 0 ELSE coalesce(sentences, 0) END AS sentences, short AS fallback FROM f"""
 SQL = {
+    "forest_scores": _rule_scores(FEATURES),
+    "legacy_scores": _rule_scores(FEATURES[:3]),
+    "tagged_features": _TAGS,
+    "sampled_fraction": f"SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (ORDER BY {_DRAW.format('o_orderkey')}, o_orderkey) <= round_even(0.013::DOUBLE * count(*) OVER (), 0)",
+    "sentence_burstiness": _BURST,
     "undersample_counts": f"""{_L}, t AS (SELECT count(*) FILTER (quality = 0) AS humans, count(*) FILTER (quality = 1) AS machines FROM l),
         o AS (SELECT l.*, machines, humans * 2 AS target, count(*) OVER (PARTITION BY source) AS own, row_number() OVER (PARTITION BY source ORDER BY {_DRAW.format("doc_id")}, doc_id) AS rank FROM l, t WHERE quality = 1),
         c AS (SELECT *, row_number() OVER (ORDER BY {_DRAW.format("doc_id")}, doc_id) AS place FROM o WHERE machines <= target OR rank <= least(greatest(1, round_even(target * (own / machines), 0)), own)),

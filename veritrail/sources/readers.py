@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritrail.functions.text import word_count
+
 ESSAY = ("answer", "text_author", "question_id", "dataset")
 #: What is read as text, and from how many words on a page's own text counts.
 TEXT, WORD, PDF, IMAGE = ("txt",), ("docx", "doc"), ("pdf",), ("png", "jpg", "jpeg")
@@ -102,10 +104,21 @@ def chosen_text(own: Column, own_words: Column, recognised: Column) -> Column:
     return F.when(own_words >= LEAST_WORDS, own).otherwise(F.coalesce(recognised, own))
 
 
-def joined_pages(pages: DataFrame, path: str = "path", number: str = "page") -> DataFrame:
-    """(path, text, confidence): a document's pages in order, one a line, and the mean of their confidences to one digit."""
+def joined_pages(pages: DataFrame, path: str = "path", number: str = "page", by: str = "\n") -> DataFrame:
+    """(path, text, confidence): a document's pages in order, joined by `by`, a line's end if nothing else is said, and the mean of their confidences to one digit."""
     listed = F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.coalesce("text", F.lit("")).alias("t"))))
-    return pages.groupBy(path).agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n").alias("text"), F.round(F.avg("confidence"), 1).alias("confidence"))
+    return pages.groupBy(path).agg(F.array_join(F.transform(listed, lambda x: x["t"]), by).alias("text"), F.round(F.avg("confidence"), 1).alias("confidence"))
+
+
+def document_texts(own: DataFrame, recognised: DataFrame, path: str = "path", number: str = "page") -> DataFrame:
+    """(path, text, confidence, scanned): a document's own page texts, a line each, if they have enough words; else the recognised ones, a blank line
+    between pages, with the mean of their confidences. A document that was not recognised keeps what it has; one's own text is sure."""
+    plain = joined_pages(own.withColumn("confidence", F.lit(100.0)), path, number).select(path, F.col("text").alias("_own"))
+    seen = joined_pages(recognised, path, number, "\n\n").select(path, F.col("text").alias("_seen"), F.col("confidence").alias("_sure"))
+    both = plain.join(seen, path, "full")
+    words = F.coalesce(word_count(F.col("_own")), F.lit(0))
+    scanned = (words < LEAST_WORDS) & F.col("_seen").isNotNull()
+    return both.select(path, F.when(scanned, F.col("_seen")).otherwise(F.coalesce("_own", F.lit(""))).alias("text"), F.when(scanned, F.col("_sure")).otherwise(100.0).alias("confidence"), scanned.alias("scanned"))
 
 
 def first_of_files(files: DataFrame) -> DataFrame:
