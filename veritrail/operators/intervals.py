@@ -21,7 +21,7 @@ def _entered(df: DataFrame, side: str, keys: list[str], start: str, end: str, na
     micros, length = int(narrow * 1_000_000), seconds(end) - seconds(start)
     own = F.least(F.greatest(F.ceil(F.log(float(FAN), F.greatest(length, F.lit(1)) / micros)), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
     level = F.explode(F.sequence(F.col("_own"), F.lit(LEVELS - 1)))
-    width = (F.pow(F.lit(float(FAN)), F.col("_level")) * micros).cast("long")
+    width = F.least(F.pow(F.lit(float(FAN)), F.col("_level")) * micros, F.lit(2.0**61)).cast("long")
     bins = df.where((F.col(start) < F.col(end)) & F.col(start).isNotNull()).withColumn("_own", own).select("*", level.alias("_level")).withColumn("_width", width)
     first, last = F.floor(seconds(start) / F.col("_width")), F.floor((seconds(end) - 1) / F.col("_width"))
     return bins.select(
