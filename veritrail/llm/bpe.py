@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,6 +28,8 @@ from pyspark.sql import types as T
 #: Bytes of a generation of remembered pieces, those that an entry takes beside its text and ids, and characters of a piece worth remembering.
 REMEMBERED, ENTRY, LONG = 64 << 20, 160, 64
 STRETCH = 128
+#: And of how many bytes together, unless one is larger.
+STRETCH_BYTES = 4 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -281,9 +284,17 @@ def _encoder(key: str, pattern: str, vocabulary) -> Encoder:
     return _workers[key]
 
 
-def stretches(batch: pa.RecordBatch, most: int = STRETCH) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, most):
-        yield batch.slice(at, most)
+def stretches(batch: pa.RecordBatch, column: str, most: int = STRETCH, size: int = STRETCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of `most` rows, or fewer that hold `size` bytes in `column`; a larger value is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
+    begin = held = 0
+    for at, n in enumerate(sizes):
+        if at > begin and (at - begin == most or held + n > size):
+            yield batch.slice(begin, at - begin)
+            begin, held = at, 0
+        held += n
+    if begin < len(sizes):
+        yield batch.slice(begin)
 
 
 def encode(df: DataFrame, vocab_path: str, pattern: str, text: str = "text", into: str = "ids", count: str = "n_tokens") -> DataFrame:
@@ -295,7 +306,7 @@ def encode(df: DataFrame, vocab_path: str, pattern: str, text: str = "text", int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(key, pattern, vocabulary)
         for batch in batches:
-            for part in stretches(batch):
+            for part in stretches(batch, text):
                 texts = [x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()]
                 ids = encoder.encode(texts)
                 columns = [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
@@ -314,7 +325,7 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "ids", into: str = "decode
         length = np.array([len(t) for t in sent.value], np.int64)
         start, flat = np.cumsum(length) - length, np.frombuffer(b"".join(sent.value), np.uint8)
         for batch in batches:
-            for part in stretches(batch):
+            for part in stretches(batch, ids):
                 found = []
                 for x in part.column(part.schema.get_field_index(ids)).to_pylist():
                     n = np.frombuffer(x or b"", "<u4").astype(np.int64)
