@@ -9,7 +9,7 @@ Texts are dealt out by ranges of their id and sorted, each task writes its stret
 the ids. Only the tasks' totals, one number each, are summed up in one place.
 
 Defined results: a token that the vocabulary's file adds is its own id wherever a text holds it literally; a null text encodes like the empty text, to the end id alone; rows without id come first; rows that repeat an id keep their own
-entries, in the order of their texts; an empty table writes no shard and gives an empty table; other columns are not read.
+entries, in the order of their texts' hashes; an empty table writes no shard and gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -284,7 +284,9 @@ def write(df: DataFrame, out: str, tokenizer_path: str, end_id: int, bits: int =
         if ids:
             yield close()
 
-    dealt = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    dealt = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    # rows of one id, or without one, are ranges by their text, so that no id is one task's
+    dealt = dealt.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
     shards = materialise(dealt.mapInArrow(run, "shard string, tokens long, docs long"), "shards")
     # a task's shards stand in one partition of names; only the tasks' totals are summed up in one place
     by_task = shards.withColumn("task", F.substring("shard", 1, 7))
