@@ -7,7 +7,7 @@ scores it. Labels belong to documents only; vectors and layers are fitted togeth
 documents of each label, by the hash of their id, each with PER_TEXT passages at most, spread evenly over it, and no more than PASSAGES in all.
 
 Defined results: a null text or one without words is one passage without words, scored like any other; without labels of both classes the score is
-their share, 0.5 if there is none; repeated rows are scored one by one; an empty table gives an empty table; other columns stay as they are, and one
+their share, 0.5 if there is none; repeated rows are scored one by one, and of several texts of an id the first is learned from; an empty table gives an empty table; other columns stay as they are, and one
 that has the result's name is replaced.
 """
 
@@ -202,7 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     """The model of the documents that `labels` marks with 0 or 1."""
     marked = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").withColumn("h", F.xxhash64("id"))
     picked = marked.where("y = 0").orderBy("h", "id").limit(per_class).unionByName(marked.where("y = 1").orderBy("h", "id").limit(per_class))
-    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id").select("h", "id", "y", "text")
+    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id")
+    # an id that very many rows share is one text, its first, before anything is brought together
+    texts = texts.groupBy("h", "id", "y").agg(F.min("text").alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
