@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.errors import PythonException
 
-from veritrail.llm import files, queries, sharding, warc
+from veritrail.llm import bpe, files, quality_model, queries, sharding, token_files, warc
 from veritrail.sources.catalog import work_dir
 
 BODY = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>hello</p>"
@@ -101,3 +101,35 @@ def test_queries_take_empty_tables(spark, empty, tmp_path, name):
     for t, df in tables.items():
         df.write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_rows_of_one_id_are_many_ranges(spark):
+    """Token files of rows without id, or of one: they are dealt by their texts, and all come back in one order."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(600).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id")).alias("text"))
+    out = work_dir(spark, "test-tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shards = token_files.write(docs, out, queries.WORD_BPE, 2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert shards.count() > 2
+    got = token_files.read(spark, out, shards).orderBy("start").collect()
+    assert len(got) == 600 and [r["id"] for r in got] == [None] * 300 + [7] * 300
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+
+
+def test_stretches_are_bounded_in_bytes():
+    import pyarrow as pa
+
+    texts = ["a" * 3, None, "b" * 9, "c" * 50, "", "d" * 4, "e" * 4]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    parts = [p.column(0).to_pylist() for p in bpe.stretches(batch, "text", 3, 12)]
+    assert sum(parts, []) == texts and parts == [["aaa", None, "b" * 9], ["c" * 50], ["", "dddd", "eeee"]]
+
+
+def test_an_id_of_many_rows_is_learned_from_once(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality_model, "train", lambda bags, y: seen.update(n=len(y)))
+    docs = spark.createDataFrame([(1, f"text {i} of one") for i in range(500)] + [(2, "another text")], "doc_id long, text string")
+    quality_model.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert seen == {"n": 2}

@@ -44,3 +44,14 @@ def test_run_takes_awkward_rows(spark, edge, empty, tmp_path):
         bench.write.parquet(f"{place}/benchmark.parquet")
         got = corpus_pipeline.run(spark, place).collect()
         assert [r["doc_id"] for r in sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"]))] == [1, None][:least]
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_texts(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(5, one), (5, two), (5, two), (9, two), (7, three), (7, three + " more"), (7, "x y z " + one), (None, one)]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.keep_distinct(spark, docs, SMALL)
+    assert got.columns == corpus_pipeline.COLUMNS
+    # of `two` the row whose id is its own stays, of `one` and of `three` one row each
+    kept = sorted((r["text"][:2], r["doc_id"]) for r in got.where("doc_id is not null").collect())
+    assert [t for t, _ in kept] in (["a0", "b0", "c0"], ["b0", "c0", "x "]) and ("b0", 9) in kept and got.where("doc_id is null").count() == 1
