@@ -120,6 +120,13 @@ SQL = {
         n AS (SELECT *, row_number() OVER w - 1 AS k, lag(x2) OVER w AS before, lead(x1) OVER w AS after FROM s WINDOW w AS (PARTITION BY page ORDER BY c))
         SELECT page, k AS "column", CASE WHEN before IS NULL THEN 0 ELSE greatest(0, least((before + x1) // 2, x1 - 22)) END AS x1,
             CASE WHEN after IS NULL THEN 1000 ELSE least(1000, greatest((x2 + after) // 2, x2 + 15)) END AS x2 FROM n""",
+    "without_overlaps": f"""{_B.replace("WITH b", "WITH RECURSIVE b")}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y1, x1, region) AS k FROM b),
+        w AS (SELECT page, 0::BIGINT AS k, [] ::STRUCT(x1 BIGINT, y1 BIGINT, x2 BIGINT, y2 BIGINT)[] AS kept, NULL::BIGINT AS region FROM (SELECT DISTINCT page FROM b)
+            UNION ALL SELECT page, k, CASE WHEN free THEN list_append(kept, box) ELSE kept END, CASE WHEN free THEN region END
+            FROM (SELECT o.page, o.k, o.region, w.kept, {{'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}} AS box, len(list_filter(w.kept, lambda q:
+                greatest(0, least(o.x2, q.x2) - greatest(o.x1, q.x1)) * greatest(0, least(o.y2, q.y2) - greatest(o.y1, q.y1)) / least(greatest(1, (o.x2 - o.x1) * (o.y2 - o.y1)), greatest(1, (q.x2 - q.x1) * (q.y2 - q.y1))) > 0.7::DOUBLE)) = 0 AS free
+                FROM w JOIN o ON o.page = w.page AND o.k = w.k + 1))
+        SELECT page, region FROM w WHERE region IS NOT NULL""",
     "split_boxes": f"""{_B}, m AS (SELECT *, median(y2 - y1) OVER (PARTITION BY page) AS mid FROM b)
         SELECT page, region, x1, x2, y1, CASE WHEN y2 - y1 > 1.8::DOUBLE * mid THEN (y1 + y2) // 2 ELSE y2 END AS y2 FROM m UNION ALL SELECT page, region, x1, x2, (y1 + y2) // 2, y2 FROM m WHERE y2 - y1 > 1.8::DOUBLE * mid""",
     "row_alignment": f"""{_B}, r AS (SELECT *, (y1 + y2) / 2 AS y FROM b), a AS (SELECT page, row_number() OVER w AS row, coalesce((lag(y) OVER w + y) / 2, 0) AS low, coalesce((lead(y) OVER w + y) / 2, 1e9) AS high

@@ -199,6 +199,18 @@ def supplied_fields(spark: SparkSession, d: str) -> DataFrame:
     return writes.supplied_only(c, writes.without_conflicts(c, changes, "c_custkey", "c_name"), "c_custkey")
 
 
+def subject_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects after changes of codes, branches or semesters, those left out that would take another subject's three."""
+    s = _subjects(spark, d).select("subject_id", "subject_code", "branch", "semester")
+    id = F.col("subject_id")
+    changes = s.where(id % 3 == 0).select(
+        "subject_id", F.when(id % 2 == 0, F.concat(F.lit("NEW-"), id % 40)).otherwise(F.when(id % 5 == 0, F.col("subject_code"))).alias("subject_code"),
+        F.when(id % 4 == 0, F.lit("Brand#11")).alias("branch"), F.when(id % 7 == 0, (id % 14).cast("int")).alias("semester"),
+    )
+    seeded = s.unionByName(s.where(id % 9 == 0).select((-id - 1).alias("subject_id"), F.concat(F.lit("NEW-"), id % 40).alias("subject_code"), F.lit("Brand#11").alias("branch"), "semester"))
+    return writes.supplied_only(seeded, writes.without_conflicts(seeded, changes, "subject_id", ["subject_code", "branch", "semester"]), "subject_id")
+
+
 def dual_rate_limits(spark: SparkSession, d: str) -> DataFrame:
     """A request has to pass the limit of its address and that of its account."""
     e = table(spark, d, "events").select("event_id", (F.col("user_id") % 37).alias("ip"), F.col("user_id").alias("account"), "ts")
@@ -242,7 +254,7 @@ QUERIES = {
     for f in (
         point_lookup, email_lookup, active_subjects, newest_orders, latest_named, readable_lines, subject_violations, user_violations, report_details, content_labels, client_addresses, section_subjects,
         submission_access, visible_users, text_quality, page_confidence, ring_details, forensic_counts, logout_all, rotated_sessions, reset_state, escalation, statistics_fallback, replaced_mappings,
-        supplied_fields, dual_rate_limits, history_search, section_drill_down, grouping_sets, text_previews, engine_cascade,
+        supplied_fields, subject_updates, dual_rate_limits, history_search, section_drill_down, grouping_sets, text_previews, engine_cascade,
     )
 }
 _SUBJECTS = """s AS (SELECT p_partkey AS subject_id, p_type AS subject_code, CASE WHEN p_partkey % 9 <> 0 THEN p_name ELSE ' x ' END AS subject_name, CASE WHEN p_partkey % 11 <> 0 THEN p_brand END AS branch,
@@ -313,6 +325,14 @@ SQL |= {
     "section_drill_down": f"WITH {stand_ins.REPORTS} SELECT report_id, student_id FROM reports WHERE student_id % 7 = 0 OR student_id % 5 = 0",
     "grouping_sets": f"WITH {stand_ins.REPORTS} SELECT subject, hour(created_at) AS hour, count(*) AS n FROM reports GROUP BY GROUPING SETS ((subject), (hour(created_at)), ())",
     "text_previews": "SELECT doc_id, CASE WHEN length(text) > 400 THEN left(text, 400) || '...' ELSE text END AS preview, md5(left(text, 5000)) AS model_md5 FROM documents",
+    "subject_updates": f"""WITH {_SUBJECTS}, b AS (SELECT subject_id, subject_code, branch, semester FROM s),
+        t AS (SELECT * FROM b UNION ALL SELECT -subject_id - 1, 'NEW-' || subject_id % 40, 'Brand#11', semester FROM b WHERE subject_id % 9 = 0),
+        c AS (SELECT subject_id, CASE WHEN subject_id % 2 = 0 THEN 'NEW-' || subject_id % 40 WHEN subject_id % 5 = 0 THEN subject_code END AS code, CASE WHEN subject_id % 4 = 0 THEN 'Brand#11' END AS br,
+            CASE WHEN subject_id % 7 = 0 THEN CAST(subject_id % 14 AS INT) END AS sem FROM b WHERE subject_id % 3 = 0),
+        n AS (SELECT t.*, coalesce(code, subject_code) AS code, coalesce(br, branch) AS br, coalesce(sem, semester) AS sem FROM t JOIN c USING (subject_id)),
+        x AS (SELECT n.subject_id FROM n WHERE (code, br, sem) IS DISTINCT FROM (subject_code, branch, semester) AND EXISTS (SELECT 1 FROM t WHERE t.subject_id <> n.subject_id AND t.subject_code = code AND t.branch = br AND t.semester = sem))
+        SELECT t.subject_id, CASE WHEN k.subject_id IS NOT NULL THEN k.code ELSE t.subject_code END AS subject_code, CASE WHEN k.subject_id IS NOT NULL THEN k.br ELSE t.branch END AS branch,
+            CASE WHEN k.subject_id IS NOT NULL THEN k.sem ELSE t.semester END AS semester FROM t LEFT JOIN (SELECT * FROM n WHERE subject_id NOT IN (SELECT subject_id FROM x)) k USING (subject_id)""",
     "engine_cascade": f"""WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN trim(repeat(p_name || ' ', p_partkey % 7)) END AS a, trim(repeat(p_type || ' ', p_size % 8)) AS b,
             CASE WHEN p_partkey % 5 <> 0 THEN p_name || ' ' || p_brand || ' ' || p_type END AS c FROM part),
         n AS (SELECT *, {_COUNT("a")} AS x, {_COUNT("b")} AS y, {_COUNT("c")} AS z FROM r),

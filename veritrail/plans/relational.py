@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.operators import analytics, reports
+from veritrail.operators import access, analytics, reports
 from veritrail.sources import stand_ins
 from veritrail.sources.catalog import table
 
@@ -153,8 +155,15 @@ def rollup_subject_hour(spark: SparkSession, d: str) -> DataFrame:
 
 
 def approx_students(spark: SparkSession, d: str) -> DataFrame:
-    """2.19: distinct students, approximately."""
-    return stand_ins.reports(spark, d).groupBy("subject").agg(F.approx_count_distinct("student_id").alias("students"))
+    """2.19: distinct students, exactly, and whether the approximate count is within a fifth of that."""
+    seen = stand_ins.reports(spark, d).groupBy("subject").agg(F.count_distinct("student_id").alias("students"), F.approx_count_distinct("student_id", 0.03).alias("about"))
+    return seen.select("subject", "students", (F.abs(F.col("about") - F.col("students")) <= 0.2 * F.col("students")).alias("close"))
+
+
+def gated_vulnerability(spark: SparkSession, d: str) -> DataFrame:
+    """What each role gets to see of the ranking of subjects; students and those without a role see nothing."""
+    found = [access.gated(subject_vulnerability(spark, d), r).withColumn("asked_by", F.lit(r)) for r in (*access.ROLES, "guest")]
+    return reduce(DataFrame.unionByName, found)
 
 
 def latest_status(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +181,7 @@ QUERIES = {
     for f in (
         subject_vulnerability, evaluation_savings, hour_risk_bins, forensic_totals, value_counts_pct, score_describe, score_buckets, section_comparison, role_totals, display_flags,
         roster_page, nation_or_segment, batch_reports, section_reports, my_submissions, dedup_documents, dedup_pages, top_flagged, distinct_sections, intersect_except_groups,
-        semi_anti_roster, asof_last_score, cube_risk, rollup_subject_hour, approx_students, latest_status, key_conflicts,
+        semi_anti_roster, asof_last_score, cube_risk, rollup_subject_hour, approx_students, gated_vulnerability, latest_status, key_conflicts,
     )
 }
 _R = f"WITH {stand_ins.REPORTS}"
@@ -237,5 +246,7 @@ SQL = {
         FROM reports GROUP BY CUBE (subject, hour(created_at))""",
     "rollup_subject_hour": f"{_R} SELECT subject, hour(created_at) AS hour, count(*) AS n, max(plagiarism_score) AS most FROM reports GROUP BY ROLLUP (subject, hour(created_at))",
     "latest_status": "SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id",
+    "approx_students": f"{_R} SELECT subject, count(DISTINCT student_id) AS students, true AS close FROM reports GROUP BY 1",
     "key_conflicts": "SELECT c_nationkey, c_mktsegment, count(*) AS copies FROM customer GROUP BY 1, 2 HAVING count(*) > 1",
 }
+SQL["gated_vulnerability"] = f"SELECT * FROM ({SQL['subject_vulnerability']}), (VALUES {', '.join(f"('{r}')" for r in access.STAFF)}) r(asked_by)"
