@@ -127,5 +127,9 @@ def test_texts_of_one_template_are_not_tied(spark):
     sized, common = ngram_join.shingle_sets(docs, 5)
     classes = ngram_join._first_shingles(docs, ngram_join._common(common), 5, 80)
     assert ngram_join._near(classes, 80).count() == 0
-    found = ngram_join.similar_sets(docs.withColumnRenamed("id", "doc_id"))
-    assert found.where("doc_id <> component_id").count() == 0
+    named = docs.withColumnRenamed("id", "doc_id")
+    assert ngram_join.similar_sets(named).where("doc_id <> component_id").count() == 0
+    signed = minhash._signed(docs, 3).drop("class")
+    near = minhash.candidates(signed, 85)
+    assert near.count() == 400 and ngram_join.refined(docs, near, 3, 85).count() == 0
+    assert minhash.near_duplicates(named).where("doc_id <> component_id").count() == 0

@@ -365,6 +365,23 @@ def _other_links(blocks: DataFrame, joined: DataFrame, percent: int) -> DataFram
     return _links(one.unionByName(other).withColumn("group", F.struct("component", "p", "q")), percent)
 
 
+def refined(named: DataFrame, near: DataFrame, width: int, percent: int) -> DataFrame:
+    """`near` (node, component) with components of more than BLOCK nodes cut into those that shared shingles tie, as steps 1 and 2 do: no two sets that
+    link are parted, and texts that only have a template in common need not all be compared."""
+    spark = named.sparkSession
+    large = near.groupBy("component").agg(F.count("*").alias("nodes")).where(F.col("nodes") > BLOCK).select("component")
+    inside, inside_at = written(near.join(large, "component", "left_semi").select(F.col("node").alias("id")), "inside")
+    if inside.isEmpty():
+        return near
+    some, some_at = written(named.join(inside, "id", "left_semi"), "some")
+    shared = shingle_sets(some, width)[1]
+    classes, classes_at = written(_first_shingles(some, _common(shared), width, percent), "classes")
+    finer = materialise(_near(classes, percent).unionByName(near.join(large, "component", "left_anti").select("node", "component")), "near")
+    for place in (inside_at, some_at, classes_at):
+        remove(spark, place)
+    return finer
+
+
 def confirmed(named: DataFrame, classes: DataFrame, near: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, component) of the classes that links join, from exact comparison of the sets in each component of `near` (node, component).
 
