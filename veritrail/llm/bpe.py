@@ -297,9 +297,11 @@ def stretches(batch: pa.RecordBatch, column: str, most: int = STRETCH, size: int
         yield batch.slice(begin)
 
 
-def encode(df: DataFrame, vocab_path: str, pattern: str, text: str = "text", into: str = "ids", count: str = "n_tokens") -> DataFrame:
-    """`df` with the ids of each whole text, as little-endian unsigned 32-bit integers, and their number."""
+def encode(df: DataFrame, vocab_path: str, pattern: str, text: str = "text", into: str = "ids", count: str = "n_tokens", keep: bool = True) -> DataFrame:
+    """`df` with the ids of each whole text, as little-endian unsigned 32-bit integers, and their number; without the text unless it is to `keep`,
+    so that texts go to the workers but not back."""
     df = df.drop(into, count)
+    kept = [c for c in df.columns if keep or c != text]
     vocabulary = df.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(vocab_path)))
     key = f"{vocab_path} {pattern}"
 
@@ -310,9 +312,9 @@ def encode(df: DataFrame, vocab_path: str, pattern: str, text: str = "text", int
                 texts = [x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()]
                 ids = encoder.encode(texts)
                 columns = [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, into, count])
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), *columns], names=[*kept, into, count])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.BinaryType()), T.StructField(count, T.LongType())]))
+    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), T.StructField(into, T.BinaryType()), T.StructField(count, T.LongType())]))
 
 
 def decode(df: DataFrame, vocab_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

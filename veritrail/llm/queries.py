@@ -15,7 +15,7 @@ BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, BYTE_RANKS, public_tokenizers.PATTERN).drop("text")
+    ids = bpe.encode(docs, BYTE_RANKS, public_tokenizers.PATTERN, keep=False)
     both = bpe.decode(ids, BYTE_RANKS)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
