@@ -104,14 +104,15 @@ def _lengths(fit: Fit, hot: int) -> DataFrame:
     return plain.select("subject", "student", "peer", length.alias("plain")).join(changed, ["subject", "student", "peer"], "left").select("subject", "student", "peer", (F.col("plain") + F.coalesce("change", F.lit(0.0))).alias("length"))
 
 
-def scores(docs: DataFrame, subject: str, id: str, student: str, text: str, cap: int = TERMS, hot: int = HOT) -> DataFrame:
-    """Each document's highest similarity, in percent, to other students' documents of its subject, and how many of them match; 0 for short texts and without peers."""
+def scores(docs: DataFrame, subject: str, id: str, student: str, text: str, cap: int = TERMS, hot: int = HOT, least: int = LEAST_LENGTH) -> DataFrame:
+    """Each document's highest similarity, in percent, to other students' documents of its subject, and how many of them match; 0 for texts of less than
+    `least` characters and without peers."""
     named = docs.select(F.col(subject).alias("subject"), F.col(id).alias("id"), F.col(student).alias("student"), F.col(text).alias("text"))
     corpus = named.where("text <> ''")
     tf = materialise(term_counts(corpus.repartition("id"), ["subject", "id", "student"], "text", True), "tf")
     fit = Fit(tf, corpus, cap)
     mine, pushed = _target_terms(fit)
-    compared = corpus.where(F.length(stripped(F.col("text"))) >= LEAST_LENGTH).select("subject", "id")
+    compared = corpus.where(F.length(stripped(F.col("text"))) >= least).select("subject", "id")
     mine, pushed = (d.join(compared, ["subject", "id"], "left_semi") for d in (mine, pushed))
     n = fit.of.select("subject", "student", (F.col("n") - F.col("m") + 1).alias("corpus"))
     weight = _square(_idf(F.col("corpus"), F.col("df")))

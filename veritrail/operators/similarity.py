@@ -145,6 +145,13 @@ def pairs(vectors: DataFrame, least: float) -> DataFrame:
     return both.select("subject", "a", "b", "ta", "wa", "tb", "wb").mapInArrow(run, f"subject {kind['subject']}, a {kind['id']}, b {kind['id']}, cosine double")
 
 
+def peer_scores(docs: DataFrame, subject: str, id: str, student: str, text: str) -> DataFrame:
+    """Each document against other students' of its subject, as `peers.scores`, however short the texts are."""
+    from veritrail.operators import peers  # which builds on this module
+
+    return peers.scores(docs, subject, id, student, text, least=0)
+
+
 def visual_duplicates(docs: DataFrame, hash: str, id: str, student: str) -> DataFrame:
     """Whether another student has handed in a document with the same visual hash: groups are summed up, no pairs are formed."""
     seen = docs.where(F.col(hash).isNotNull()).groupBy(hash).agg(F.min(student).alias("first"), F.max(student).alias("last"))
