@@ -132,4 +132,4 @@ def test_texts_of_one_template_are_not_tied(spark):
     signed = minhash._signed(docs, 3).drop("class")
     near = minhash.candidates(signed, 85)
     assert near.count() == 400 and ngram_join.refined(docs, near, 3, 85).count() == 0
-    assert minhash.near_duplicates(named).where("doc_id <> component_id").count() == 0
+    assert minhash.near_duplicates(named, templates=True).where("doc_id <> component_id").count() == 0

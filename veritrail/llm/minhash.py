@@ -10,8 +10,9 @@
 3. Pairs under keys of at most FEW classes are formed, if their sizes allow the similarity, and measured once by their signatures. Along a key of
    more classes each is tied to the next by size, as the n-gram join does with frequent shingles; what meets under no smaller key does so
    under keys of three chunks at least (but once in 10^8, as above), so that only classes with as many such chunks are tied that way.
-4. A component of very many candidates is cut along shingles that its sets share, as exactly as the n-gram join ties sets: texts of one template meet
-   under many keys and are no links. In each component the full sets are then compared; components of the links follow.
+4. In each component of these candidates the full sets are compared exactly; components of the links follow. Texts of one template meet under many keys
+   and are no links: where a corpus has many, components of very many candidates can first be cut along shingles that their sets share, as exactly
+   as the n-gram join ties sets, at the price of reading their texts once more.
 
 Defined results: a null or blank text has no shingles and is linked with nothing; so is a row without id (component null, kept null); rows that repeat
 an id are judged each by its own text, and kept each if the id is its component; an empty table gives an empty table; other columns are not read.
@@ -139,13 +140,14 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     return near
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of `docs`: `id`, n_shingles, component_id and kept."""
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, templates: bool = False) -> DataFrame:
+    """One row for each row of `docs`: `id`, n_shingles, component_id and kept. `templates`: cut large components first (step 4); the result is the same."""
     named = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     sized = materialise(_signed(named, width), "signatures")
     told = sized.where("id is not null and n > 0").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sign").alias("sign"))
     classes = materialise(told, "classes")
-    near = ngram_join.refined(named, candidates(classes, percent), width, percent)
+    near = candidates(classes, percent)
+    near = ngram_join.refined(named, near, width, percent) if templates else near
     joined = ngram_join.confirmed(named, classes, near, width, percent)
     found = ngram_join.answered(sized, classes.select("class", "id", "n"), joined, id)
     return found.withColumn("kept", F.col(id) == F.col("component_id"))
