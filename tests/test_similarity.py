@@ -95,3 +95,24 @@ def test_vocabularies_keep_the_most_frequent_terms(spark, monkeypatch):
     most = sorted(terms_of(text + " t06", False).items(), key=lambda x: (-x[1], x[0]))[:10]
     rows = {r["id"]: r["terms"] for r in v.collect()}
     assert rows[1] == list(range(10)) and rows[2] == [[t for t, _ in most].index("t06")]
+
+
+def test_links_leave_their_tasks_without_a_shuffle_of_pairs(spark, texts, monkeypatch):
+    monkeypatch.setattr(similarity, "SMALL", 5)
+    monkeypatch.setattr(similarity, "TILE", 64)
+    docs = spark.createDataFrame(texts, "id long, subject string, student long, text string")
+    found = similarity.linked(docs, "subject", "id", "text", 60, 0.3)
+    assert "hashpartitioning(a" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r["a"], r["b"]): r["cosine"] for r in found.collect()}
+    owner, want, best = {i: s for i, _, s, _ in texts}, {}, {}
+    for subject in "pqrs":
+        v = fitted({j: terms_of(t, False) for j, s, _, t in texts if s == subject}, 60)
+        want |= {(a, b): c for a in v for b in v if a < b and round(c := cosine(v[a], v[b]), 9) > 0.3}
+        for a in v:
+            for b in v:
+                key = (subject, *sorted((owner[a], owner[b])))
+                if owner[a] != owner[b] and round(c := cosine(v[a], v[b]), 9) > 0.3:
+                    best[key] = max(best.get(key, 0), c)
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(c) for p, c in want.items()) and want
+    edges = {(r["subject"], r["a"], r["b"]): r["cosine"] for r in similarity.linked_owners(docs, "subject", "id", "student", "text", 60, 0.3).collect()}
+    assert edges.keys() == best.keys() and all(edges[p] == pytest.approx(c) for p, c in best.items())
