@@ -171,3 +171,21 @@ def test_four_queries_build_the_features_once(spark, monkeypatch):
     for name in ("rf_train_eval", "rf_importances", "rf_online_scores", "legacy_forest"):
         plans.QUERIES[name](spark, SMALL).count()
     assert len(built) == 1
+
+
+@pytest.mark.parametrize("chunk", [40, 400, 1 << 24])
+def test_losses_are_counted_without_moving_pairs(spark, chunk, monkeypatch):
+    monkeypatch.setattr(models, "CHUNK", chunk)
+    draw = random.Random(8)
+    texts = [" ".join(draw.choice(["ab", "Ab", "c", "dé", "e_1"]) + draw.choice(["", "", ".", "!\n"]) for _ in range(n)) for n in (0, 1, 2, 3, 9, 30, 30, 200)] + [None, "", "only", "ΑΣ. ΑΣ ΑΣ. Τα ab c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = models.bigram_losses(docs, "id", "text")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a" not in plan and "hashpartitioning(id" not in plan
+    pairs, loss = models.bigram_table(docs, "id", "text")
+    key = lambda r: (r["id"], round(r["loss"], 9))
+    count = lambda rows: {k: sum(r["n"] for r in rows if key(r) == k) for k in set(map(key, rows))}
+    want = pairs.join(loss, ["a", "b"]).select("id", "loss", "n").collect()
+    assert count(found.collect()) == count(want) and want
+    own, given = (models.sentence_statistics(docs, "id", "text", x).orderBy("id").collect() for x in (None, loss))
+    assert own == given and any(r["sentences"] > 1 for r in own)
