@@ -200,7 +200,9 @@ def stylometrics(text: Column, tags: Column | None = None, entities: Column | No
         def with_lengths(s: Column) -> Column:
             k = F.size(s["l"])
             spread = F.when(k > 1, F.sqrt((squares(s["l"]) - total(s["l"]) * total(s["l"]) / k) / (k - 1))).otherwise(F.lit(0.0))
-            contracted = F.regexp_extract_all(F.lower(d["t"]), F.lit(rf"{WORD}(?:'+{WORD})+"), F.lit(0))
+            # a match begins where a word does, and a run is never given back: no letter is looked at twice
+            found = F.regexp_extract_all(d["lower"], F.lit(rf"(?<!{WORD[:-1]}){WORD}+(?:'+{WORD}+)+"), F.lit(0))
+            contracted = F.when(F.contains(d["lower"], F.lit("'")), found).otherwise(F.array().cast("array<string>"))
             out = {
                 "avg_sentence_length": _ratio(total(s["l"]), k), "sentence_length_std": spread, "type_token_ratio": F.size(F.array_distinct(d["tokens"])) / d["n"],
                 "stop_word_ratio": in_list(d["tokens"], fixed.STOP_WORDS) / d["n"], "punctuation_frequency": _ratio(F.regexp_count(d["t"], F.lit(r"\p{Punct}")), F.length(d["t"])),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.functions import fixed
-from veritrail.functions.text import stripped, stylometrics, words
+from veritrail.functions.text import let, stripped, tag_shares, words
 from veritrail.operators import features, forest, models, training
 from veritrail.plans import text
 from veritrail.sources import readers
@@ -175,9 +175,9 @@ def tagged_features(spark: SparkSession, d: str) -> DataFrame:
     """Shares of tags that a tagger gave; here words' endings stand for it."""
     tokens = words(F.lower("text"))
     tag = lambda w: F.when(w.endswith("ing"), "VERB").when(w.endswith("ed"), "ADJ").when(w.startswith("th"), "PROPN").when(F.length(w) > 6, "NOUN").otherwise("X")
-    e = text.essays(spark, d).select("doc_id", "text", F.transform(tokens, tag).alias("tags"), F.size(F.filter(tokens, lambda w: F.length(w) > 9)).alias("names"))
-    s = stylometrics(F.col("text"), F.col("tags"), F.col("names"))
-    return e.select("doc_id", s.alias("s")).select("doc_id", *(f"s.{c}" for c in ("noun_ratio", "verb_ratio", "adjective_ratio", "named_entity_density")))
+    of = lambda t: F.struct(*(F.round(c.cast("double"), 4).alias(name) for name, c in tag_shares(F.transform(t, tag), F.size(F.filter(t, lambda w: F.length(w) > 9))).items()))
+    # the words are bound once; what only the text gives isn't asked for
+    return text.essays(spark, d).select("doc_id", let(tokens, of).alias("s")).select("doc_id", "s.*")
 
 
 def sampled_fraction(spark: SparkSession, d: str) -> DataFrame:
