@@ -343,3 +343,35 @@ def test_phrases_count_as_written(spark):
     said = "let's dive in, in today's fast-paced world; prior to begin with. multifacetedly rapidly, changing"
     got = spark.range(1).select(text.phrase_hits(F.lit(said), ("let's dive in", "in today's fast-paced", "prior to", "to begin with", "multifaceted", "rapidly changing")).alias("n")).first()
     assert got["n"] == 4
+
+
+def test_long_pages_are_swept(spark):
+    draw, boxes = random.Random(2), []
+    for i in range(4000):
+        x, y = draw.randrange(40) * 20, i * 3
+        boxes.append((i % 2, i, x, y, x + 30 + draw.randrange(30), y + 10 + draw.randrange(20)))
+    df = spark.createDataFrame(boxes, "page int, region int, x1 int, y1 int, x2 int, y2 int")
+    kept = []
+    for p, i, x1, y1, x2, y2 in sorted(boxes, key=lambda b: (b[0], b[3], b[2], b[1])):
+        over = lambda k: max(0, min(x2, k[4]) - max(x1, k[2])) * max(0, min(y2, k[5]) - max(y1, k[3])) / min((x2 - x1) * (y2 - y1), (k[4] - k[2]) * (k[5] - k[3]))  # noqa: E731, B023
+        if all(over(k) <= 0.7 for k in kept[-60:] if k[0] == p):
+            kept.append((p, i, x1, y1, x2, y2))
+    got = layout.without_overlaps(df)
+    assert {r["region"] for r in got.collect()} == {k[1] for k in kept}
+    sweep, most = layout._Lines(), 0
+    for _, _, x1, y1, x2, y2 in sorted((b for b in boxes if b[0] == 0), key=lambda b: ((b[3] + b[5]) / 2, b[2], b[1])):
+        sweep.take(x1, y1, x2, y2, 20.0)
+        most = max(most, len(sweep.open))
+    assert most < 50 < sweep.begun
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("value", ["don't", "it's it''s she's", "xx'yy don'", "a" * 40_000, "'tis won't_ can't-can't", None])
+def test_contractions_begin_where_words_do(spark, value):
+    import re
+
+    from veritrail.functions import fixed
+
+    found = [w for w in re.findall(r"\w+(?:'+\w+)+", (value or "").lower()) if w in fixed.CONTRACTIONS]
+    n = max(1, len(re.findall(r"\w+", value or "")))
+    assert one(spark, value, text.stylometrics)["contraction_ratio"] == pytest.approx(len(found) / n, abs=5.1e-5)

@@ -1,11 +1,13 @@
 """Page regions: zones, reading order, columns, lines and question sections.
 
-Rules that look at neighbours are windows over a page; the two that are greedy by definition, lines and overlap removal, run a page at a time.
+Rules that look at neighbours are windows over a page; the two that are greedy by definition, lines and overlap removal, sweep sorted pages.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,61 +150,94 @@ def question_sections(lines: DataFrame, page: str, order: str, header: Column) -
     return lines.withColumn("section", F.sum(F.when(header, 1).otherwise(0)).over(Window.partitionBy(page).orderBy(order)))
 
 
-def _without_overlaps(page: pd.DataFrame) -> pd.DataFrame:
-    kept: list = []
-    for r in page.sort_values(["y1", "x1", "region"]).itertuples(index=False):
-        area = max(1, (r.x2 - r.x1) * (r.y2 - r.y1))
-        over = ((max(0, min(r.x2, k.x2) - max(r.x1, k.x1)) * max(0, min(r.y2, k.y2) - max(r.y1, k.y1))) / min(area, max(1, (k.x2 - k.x1) * (k.y2 - k.y1))) for k in kept)
-        if all(x <= OVERLAP for x in over):
-            kept.append(r)
-    return pd.DataFrame(kept, columns=page.columns)
+class _Kept:
+    """Boxes of a page that are kept, from the top, and still reach down to the next one."""
+
+    def __init__(self) -> None:
+        self.near: list[tuple] = []
+
+    def take(self, x1, y1, x2, y2) -> bool:
+        # boxes come from the top: one that ends above this one meets none that follows
+        self.near = [k for k in self.near if k[3] > y1]
+        area = max(1, (x2 - x1) * (y2 - y1))
+        for a, b, c, d, of in self.near:
+            wide, high = min(x2, c) - max(x1, a), min(y2, d) - max(y1, b)
+            if wide > 0 and high > 0 and wide * high / min(area, of) > OVERLAP:
+                return False
+        self.near.append((x1, y1, x2, y2, area))
+        return True
+
+
+def _swept(boxes: DataFrame, keys: list[str], order: list[Column], make: Callable[[], Callable], columns: list[str], found: Callable, schema: T.StructType) -> DataFrame:
+    """`found(batch, results)` of batches of `boxes`: each row's result is what a function that `make` gives anew for each of `keys` says of its `columns`, rows in `order`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, take = None, None
+        for batch in batches:
+            results = []
+            for key, row in zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
+                if take is None or key != last:
+                    last, take = key, make()
+                results.append(take(*row))
+            yield found(batch, results)
+
+    return boxes.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def without_overlaps(boxes: DataFrame, page: str = "page") -> DataFrame:
-    """Boxes, from the top, that lie in none of those kept before by more than 0.7 of the smaller area."""
-    return boxes.groupBy(page).applyInPandas(_without_overlaps, boxes.schema)
+    """Boxes, from the top, that lie in none of those kept before by more than 0.7 of the smaller area. A page is swept: only boxes that still reach down are remembered."""
+    order = [F.asc_nulls_last(c) for c in ("y1", "x1", "region")]
+    return _swept(boxes, [page], order, lambda: _Kept().take, ["x1", "y1", "x2", "y2"], lambda batch, kept: batch.filter(pa.array(kept, pa.bool_())), boxes.schema)
 
 
 class _Line:
-    """An open line: its box, the sum of its boxes' middles, and their sides."""
+    """An open line: its box, the sum of its boxes' middles and their number, and their sides."""
+
+    __slots__ = ("x2", "y1", "y2", "mids", "n", "sides")
+
+    def __init__(self) -> None:
+        self.x2, self.y1, self.y2, self.mids, self.n, self.sides = -1.0, float("inf"), float("-inf"), 0, 0, []
+
+    def take(self, x1, y1, x2, y2) -> None:
+        self.x2, self.y1, self.y2 = max(self.x2, x2), min(self.y1, y1), max(self.y2, y2)
+        self.mids, self.n = self.mids + (y1 + y2) / 2, self.n + 1
+        self.sides.append((x1, x2))
+
+    def fits(self, x1, y1, x2, y2, median: float) -> bool:
+        """Whether a box near enough can be of the line."""
+        if any(min(x2, b) - max(x1, a) > SIDE_PIXELS for a, b in self.sides):
+            return False
+        own, height = y2 - y1, self.y2 - self.y1
+        return max(self.y2, y2) - min(self.y1, y1) <= GROWTH * max(own, height, median) and x1 - self.x2 <= GAP * max(own, height)
+
+
+class _Lines:
+    """The lines of a column that a box may still join, and how many have begun."""
 
     def __init__(self) -> None:
-        self.x2, self.y1, self.y2, self.mids, self.sides = -1.0, float("inf"), float("-inf"), [], []
-
-    def take(self, r) -> None:
-        self.x2, self.y1, self.y2 = max(self.x2, r.x2), min(self.y1, r.y1), max(self.y2, r.y2)
-        self.mids.append((r.y1 + r.y2) / 2)
-        self.sides.append((r.x1, r.x2))
-
-    def distance(self, r, median: float) -> float | None:
-        """How far a box's middle is from the line's, or None if it can't be of it."""
-        away, own, height = abs((r.y1 + r.y2) / 2 - sum(self.mids) / len(self.mids)), r.y2 - r.y1, self.y2 - self.y1
-        if away > max(LINE_PIXELS, LINE_SHARE * median) or any(min(r.x2, b) - max(r.x1, a) > SIDE_PIXELS for a, b in self.sides):
-            return None
-        if max(self.y2, r.y2) - min(self.y1, r.y1) > GROWTH * max(own, height, median) or r.x1 - self.x2 > GAP * max(own, height):
-            return None
-        return away
-
-
-def _lines(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.assign(mid=(part["y1"] + part["y2"]) / 2).sort_values(["mid", "x1", "region"], kind="stable").drop(columns="mid")
-    open_: list[_Line] = []
-    number = []
-    for r in part.itertuples(index=False):
-        near = [(d, k) for k, line in enumerate(open_) if (d := line.distance(r, r.median)) is not None]
-        k = min(near)[1] if near else len(open_)
-        if not near:
-            open_.append(_Line())
-        open_[k].take(r)
-        number.append(k + 1)
-    return part.assign(line=number).drop(columns="median")
+        self.open: list[tuple[int, _Line]] = []
+        self.begun = 0
+
+    def take(self, x1, y1, x2, y2, median) -> int:
+        mid, reach = (y1 + y2) / 2, max(LINE_PIXELS, LINE_SHARE * median)
+        # middles only grow: a line whose own is out of reach from above is closed for good
+        self.open = [x for x in self.open if mid - x[1].mids / x[1].n <= reach]
+        near = [(away, k, line) for k, line in self.open if (away := abs(mid - line.mids / line.n)) <= reach and line.fits(x1, y1, x2, y2, median)]
+        if near:
+            _, k, line = min(near, key=lambda x: x[:2])
+        else:
+            k, line = self.begun, _Line()
+            self.begun += 1
+            self.open.append((k, line))
+        line.take(x1, y1, x2, y2)
+        return k + 1
 
 
 def lines(boxes: DataFrame, page: str = "page", column: str = "column") -> DataFrame:
     """Boxes of each column, tall ones in two halves, with the line they belong to.
 
     From the top, by their middles: a box goes to the open line whose mean middle is nearest, of those that it fits in height and side by side, or
-    begins a new one. A column of a page is one group, as large as a page.
+    begins a new one. A column is swept: only lines that are still in reach are remembered.
     """
     height = F.col("y2") - F.col("y1")
     middle = boxes.groupBy(page, column).agg(F.median(height).alias("median"))
@@ -211,7 +246,9 @@ def lines(boxes: DataFrame, page: str = "page", column: str = "column") -> DataF
     rest = [c for c in boxes.columns if c not in ("y1", "y2")]
     split = boxes.join(middle, [page, column]).select(*rest, F.explode(parts).alias("part"), "median").select(*rest, "part.y1", "part.y2", "median")
     schema = T.StructType([*(f for f in split.schema.fields if f.name != "median"), T.StructField("line", T.IntegerType())])
-    return split.groupBy(page, column).applyInPandas(_lines, schema)
+    order = [F.asc_nulls_last((F.col("y1") + F.col("y2")) / 2), F.asc_nulls_last("x1"), F.asc_nulls_last("region")]
+    numbered = lambda batch, line: pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-1]), pa.array(line, pa.int32())], names=schema.names)
+    return _swept(split, [page, column], order, lambda: _Lines().take, ["x1", "y1", "x2", "y2", "median"], numbered, schema)
 
 
 def merged_lines(with_lines: DataFrame, page: str = "page", column: str = "column") -> DataFrame:
