@@ -189,3 +189,23 @@ def test_losses_are_counted_without_moving_pairs(spark, chunk, monkeypatch):
     assert count(found.collect()) == count(want) and want
     own, given = (models.sentence_statistics(docs, "id", "text", x).orderBy("id").collect() for x in (None, loss))
     assert own == given and any(r["sentences"] > 1 for r in own)
+
+
+@pytest.mark.parametrize("bins", [2, 7, 256])
+def test_overlaps_are_summed_up_without_pairs(spark, bins, monkeypatch):
+    monkeypatch.setattr(intervals, "BINS", bins)
+    draw, begin = random.Random(7), datetime(2024, 1, 1)
+    def some(n):
+        spans = [(draw.randrange(100_000, 200_000), begin + timedelta(seconds=draw.randrange(500) * 60)) for _ in range(n)]
+        return [(i, at, at + timedelta(seconds=draw.choice([0, 1, 60, 600, 3600, 20_000]))) for i, at in spans] + [(n, begin, None), (n + 1, begin, begin - timedelta(hours=1)), (n + 2, None, begin)]
+    a, b = some(150), some(200)
+    schema = "id long, start timestamp, end timestamp"
+    got = intervals.overlap_summary(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), "start", "end", "id")
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, s, e in a:
+        met = [j for j, x, y in b if s and e and x and y and s < e and x < y and s < y and x < e]
+        if met:
+            n, first = want.get(i, (0, math.inf))
+            want[i] = (n + len(met), min(first, *met))
+    assert {r["id"]: (r["n"], r["first"]) for r in got.collect()} == want and want

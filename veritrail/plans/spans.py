@@ -32,8 +32,7 @@ def windows_over_all(spark: SparkSession, d: str) -> DataFrame:
     """2.19 without a key: short windows of all users against each other."""
     windows = _spans(spark, d)[1]
     short = windows.where((F.col("event_id") % 5 > 1))
-    found = intervals.overlapping(short, windows, "start", "end")
-    return found.groupBy(F.col("left.event_id").alias("event_id")).agg(F.count("*").alias("windows"), F.min("right.event_id").alias("first"))
+    return intervals.overlap_summary(short, windows, "start", "end", "event_id").select(F.col("id").alias("event_id"), F.col("n").alias("windows"), "first")
 
 
 #: Sides of the pictures that vectors are drawn as.
