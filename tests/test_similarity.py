@@ -116,3 +116,26 @@ def test_links_leave_their_tasks_without_a_shuffle_of_pairs(spark, texts, monkey
     assert got.keys() == want.keys() and all(got[p] == pytest.approx(c) for p, c in want.items()) and want
     edges = {(r["subject"], r["a"], r["b"]): r["cosine"] for r in similarity.linked_owners(docs, "subject", "id", "student", "text", 60, 0.3).collect()}
     assert edges.keys() == best.keys() and all(edges[p] == pytest.approx(c) for p, c in best.items())
+
+
+def test_no_pair_of_peers_is_shuffled(spark, texts):
+    docs = spark.createDataFrame(texts, "id long, subject string, student long, text string")
+    plan = peers.scores(docs, "subject", "id", "student", "text", 60)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan and "peer" not in plan
+
+
+def test_vocabularies_are_made_longer_for_a_student_with_most_texts_and_no_student_is_no_peer(spark, monkeypatch):
+    draw, taken = random.Random(8), []
+    rows = [(i, "s", None if i % 11 == 5 else 1 if i % 8 else 2 + i % 3, " ".join(f"w{draw.randrange(60)}" for _ in range(12))) for i in range(60)]
+    monkeypatch.setattr(peers, "counted", lambda *a: (taken.append(a[5]), similarity.counted(*a))[1])
+    docs = spark.createDataFrame(rows, "id long, subject string, student long, text string")
+    got = {r["id"]: (r["max_similarity"], r["matches"]) for r in peers.scores(docs, "subject", "id", "student", "text", 10, 20).collect()}
+    assert len(taken) > 1 and taken == sorted(taken)
+    for i, _, student, text in rows:
+        want = (0.0, 0)
+        if student is not None:
+            others = {j: terms_of(t, True) for j, _, who, t in rows if who is not None and who != student}
+            v = fitted(others | {i: terms_of(text, True)}, 10)
+            found = [cosine(v[i], v[j]) for j in others]
+            want = (round(max(found), 4), sum(round(c, 9) > peers.MATCH for c in found))
+        assert got[i] == (pytest.approx(want[0], abs=1.1e-4), want[1]), i
