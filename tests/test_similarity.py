@@ -139,3 +139,94 @@ def test_vocabularies_are_made_longer_for_a_student_with_most_texts_and_no_stude
             found = [cosine(v[i], v[j]) for j in others]
             want = (round(max(found), 4), sum(round(c, 9) > peers.MATCH for c in found))
         assert got[i] == (pytest.approx(want[0], abs=1.1e-4), want[1]), i
+
+
+@pytest.mark.parametrize("bigrams,known", [(False, 1 << 21), (True, 1 << 21), (True, 0)])
+def test_terms_are_counted_as_numbers_and_rows_of_one_document_together(spark, texts, bigrams, known, monkeypatch):
+    monkeypatch.setattr(similarity, "KNOWN", known)
+    if known:
+        monkeypatch.setattr(similarity, "term_counts", None)  # no word is dealt out with its document
+    rows = [*texts, *([] if not known else [(0, texts[0][1], texts[0][2], "Straße ÄPFEL ΣΑΣ x 日本 a_b 12 the word1"), (106, "p", None, "word3-word4\tword3, of WORD4")])]
+    docs = spark.createDataFrame(rows, "id long, subject string, student long, text string")
+    bags, vocabulary = similarity.counted(docs, "subject", "id", "text", bigrams, 40, "student")
+    want, size = collections.defaultdict(collections.Counter), collections.Counter(s for _, s, _, _ in rows if s)
+    for i, subject, student, text in rows:
+        if subject:
+            want[subject, i, student].update(terms_of(text, bigrams))
+    names = {}
+    for subject in size:
+        total, df = collections.Counter(), collections.Counter()
+        for (s, _, _), c in want.items():
+            if s == subject:
+                total.update(c)
+                df.update(c.keys())
+        names[subject] = sorted(total, key=lambda t: (-total[t], t))[:40]
+        got = [(r["term"], r["total"], r["df"], r["n"]) for r in vocabulary.where(f"subject = '{subject}'").orderBy("rank").collect()]
+        assert got == [(t, total[t], df[t], size[subject]) for t in names[subject]]
+    got = {(r["subject"], r["id"], r["owner"]): (r["n"], dict(zip((names[r["subject"]][t] for t in r["terms"]), r["counts"]))) for r in bags.collect()}
+    held = {k: (size[k[0]], {t: n for t, n in c.items() if t in names[k[0]]}) for k, c in want.items()}
+    assert got == {k: v for k, v in held.items() if v[1]}
+    assert all(r["terms"] == sorted(r["terms"]) for r in bags.collect())
+
+
+def block(docs, owners):
+    """A block of documents, {term: weight} each."""
+    import numpy as np
+    import pyarrow as pa
+
+    terms = [sorted(d) for d in docs]
+    steps = [[t - s for s, t in zip([0, *ts], ts)] for ts in terms]
+    table = pa.table([pa.array(range(len(docs))), pa.array(owners), pa.array(steps, pa.list_(pa.int32())), pa.array([[d[t] for t in ts] for d, ts in zip(docs, terms)], pa.list_(pa.int32()))], names=["id", "owner", "terms", "values"])
+    return similarity.Block([similarity._stream(table)], np.linspace(1, 2, 30))
+
+
+@pytest.mark.parametrize("often,sums,cells", [(0.0075, 1 << 17, 1 << 23), (2, 7, 1 << 23), (0, 100, 300), (0.2, 1, 100)])
+def test_terms_of_few_and_of_many_documents_give_the_same_cosines(often, sums, cells, monkeypatch):
+    for name, value in {"OFTEN": often, "SUMS": sums, "CELLS": cells, "TILE": 16, "GROUP": 3}.items():
+        monkeypatch.setattr(similarity, name, value)
+    draw = random.Random(5)
+    docs = [{draw.randrange(30) if draw.random() < 0.5 else draw.randrange(4): draw.randrange(1, 5) for _ in range(draw.randrange(1, 9))} for _ in range(60)]
+    a, b = (block(docs[i : i + 30], [draw.randrange(8) for _ in range(30)]) for i in (0, 30))
+    dense = []
+    for x in (a, b):
+        m = similarity.np.zeros((30, 30))
+        m[x.row, x.term] = x.x
+        dense.append(m)
+    import numpy as np
+
+    assert np.allclose(similarity._cosines(a, np.arange(30), b, np.arange(30)), dense[0] @ dense[1].T)
+    for other, y in ((None, a), (b, b)):
+        want = collections.defaultdict(float)
+        for i, j in np.ndindex(30, 30):
+            p, q = sorted((int(a.owner[i]), int(y.owner[j])))
+            if p != q:
+                want[p, q] = max(want[p, q], float(dense[0][i] @ (dense[1] if other else dense[0])[j]))
+        for sure in ([], [(0, 1), (2, 5), (3, 4)], [(p, q) for p in range(8) for q in range(p + 1, 8) if (p + q) % 5]):
+            got = collections.defaultdict(float)
+            for us, vs, cs in similarity._owners(a, other, 0.3, tuple(np.array([x[k] for x in sure], dtype=int) for k in (0, 1))):
+                for u, v, c in zip(us.tolist(), vs.tolist(), cs.tolist()):
+                    got[u, v] = max(got[u, v], c)
+            assert got == pytest.approx({k: c for k, c in want.items() if c > 0.3 and k not in sure})
+
+
+def test_owners_with_equal_documents_are_not_compared_again(spark, monkeypatch):
+    draw = random.Random(6)
+    rows = [(i, draw.choice("pqr"), draw.randrange(6), " ".join(f"w{draw.randrange(30)}" for _ in range(draw.choice([1, 2, 9])))) for i in range(150)]
+    rows += [(200, "q", 1, "w1 w2 w2"), (201, "q", 2, "w2 w1 w2"), (202, "r", 3, "w7"), (203, "r", 4, "w7 w7 w7"), (204, "r", None, "w7")]
+    docs = spark.createDataFrame(rows, "id long, subject string, student long, text string")
+
+    def overall(whole):
+        best = {}
+        for r in similarity.linked_owners(docs, "subject", "id", "student", "text", 60, 0.3, whole).collect():
+            best[r["a"], r["b"]] = max(best.get((r["a"], r["b"]), (0, "")), (round(r["cosine"], 9), r["subject"]))
+        return best
+
+    assert overall(True) == overall(False) and len(overall(True)) == 15
+    bags, _ = similarity.counted(docs, "subject", "id", "text", False, 60, "student")
+    same = {(r["a"], r["b"]): r["subject"] for r in similarity._copies(bags.where("owner is not null")).collect()}
+    assert {(1, 2), (3, 4)} <= same.keys() and all(overall(False)[k] == (1.0, s) for k, s in same.items())
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "_cosines", None)
+    x = block([{1: 1}, {1: 2}, {1: 1, 2: 1}], [1, 2, 3])
+    assert not list(similarity._owners(x, None, 0.3, (np.array([1, 1, 2]), np.array([2, 3, 3]))))

@@ -17,7 +17,7 @@ def edges(submissions: DataFrame, hash: str = "visual_hash") -> DataFrame:
     Students with the same hash are tied to the first of them, which joins the same rings as all pairs would.
     """
     long = submissions.where(F.length(stripped(F.col("text"))) > similarity.LEAST_LENGTH)
-    text = similarity.linked_owners(long, "subject", "submission_id", "student_id", "text", similarity.PAIR_TERMS, similarity.EDGE).withColumnsRenamed({"a": "src", "b": "dst"})
+    text = similarity.linked_owners(long, "subject", "submission_id", "student_id", "text", similarity.PAIR_TERMS, similarity.EDGE, overall=True).withColumnsRenamed({"a": "src", "b": "dst"})
     seen = submissions.where(F.col(hash).isNotNull()).select(hash, "student_id", "subject").distinct()
     first = seen.groupBy(hash).agg(F.min("student_id").alias("first"))
     visual = seen.join(first, hash).select(F.col("first").alias("src"), F.col("student_id").alias("dst"), F.lit(1.0).alias("cosine"), "subject")
