@@ -31,8 +31,10 @@ LEAST_LENGTH = 5
 #: Entries of a term that one task still meets with all others, and in how many parts a vocabulary is cut to its most frequent terms first.
 HOT, PARTS = 1 << 14, 32
 #: Blocks of a subject that two at a time meet in a task, the fewest and the most documents of one, sides and cells of the matrices, rows of a batch, and terms that go to all tasks.
-PIECES, SMALL, BLOCK = 8, 1024, 1 << 16
-TILE, CELLS, ROWS, KNOWN = 2048, 1 << 23, 1 << 17, 1 << 21
+PIECES, SMALL, BLOCK = 6, 2048, 1 << 16
+TILE, CELLS, ROWS, KNOWN = 1024, 1 << 23, 1 << 17, 1 << 21
+#: Partitions of pairs of blocks at most.
+SHARES = 4096
 #: Documents whose words are numbered together, what ends a row of a document of several, and what words are numbers to.
 DOCS, END, BASE = 4096, "\0", 0x100000001B3
 #: The share of a tile's pairs that have a term in common from which it is a matrix's, products that are summed up at a time, and documents of owners that are multiplied together.
@@ -434,7 +436,7 @@ def _owners(a: Block, b: Block | None, least: float, sure: tuple[np.ndarray, np.
         if sure is not None:
             _without(wanted, u, v, sure)
             _without(wanted.T, v, u, sure)
-        for some in _groups(wanted, np.diff(i, append=len(x))):
+        for some in _groups(wanted, np.diff(i, append=len(x)), np.diff(j, append=len(y))):
             there = np.flatnonzero(wanted[some].any(axis=1))
             to = np.flatnonzero(wanted[some].any(axis=0))
             if not len(there):
@@ -443,19 +445,19 @@ def _owners(a: Block, b: Block | None, least: float, sure: tuple[np.ndarray, np.
             held, k = _documents(i, len(x), there)
             met_, l = _documents(j, len(y), to)
             found = _cosines(a, rows[held], other, columns[met_])
-            best = np.maximum.reduceat(np.maximum.reduceat(found, l, axis=1), k, axis=0)
+            best = np.maximum.reduceat(np.maximum.reduceat(found, k, axis=0), l, axis=1)
             p, q = np.nonzero((np.round(best, 9) > least) & wanted[np.ix_(there, to)])
             one, two = u[there[p]], v[to[q]]
             yield np.where(one < two, one, two), np.where(one < two, two, one), best[p, q]
 
 
-def _groups(wanted: np.ndarray, size: np.ndarray) -> list[slice]:
-    """Owners whose documents are multiplied together: all where most pairs are wanted, else as many as have GROUP documents."""
-    if wanted.mean() > 0.4:
+def _groups(wanted: np.ndarray, size: np.ndarray, there: np.ndarray) -> list[slice]:
+    """Owners whose documents are multiplied together: as many as have GROUP documents where that leaves out half of the pairs, else all."""
+    at = _runs((np.cumsum(size) - size) // GROUP)
+    met_ = np.logical_or.reduceat(wanted, at, axis=0) @ there
+    if 2 * (np.add.reduceat(size, at) * met_).sum() > size.sum() * there.sum():
         return [slice(0, len(size))]
-    group = (np.cumsum(size) - size) // GROUP
-    at = [*_runs(group), len(size)]
-    return [slice(i, j) for i, j in zip(at[:-1], at[1:], strict=True)]
+    return [slice(i, j) for i, j in zip(at, [*at[1:], len(size)], strict=True)]
 
 
 def _documents(begin: np.ndarray, n: int, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -513,7 +515,12 @@ def _met_in_blocks(rows: DataFrame, idf: DataFrame | None, least: float, owners:
                 subject = pa.repeat(key[0], len(columns[0]))
                 yield pa.RecordBatch.from_arrays([subject, *columns], names=["subject", "a", "b", "cosine"])
 
-    return met_.groupBy("subject", "i", "j").applyInArrow(run, schema)
+    return met_.repartition(shares(sizes), "subject", "i", "j").groupBy("subject", "i", "j").applyInArrow(run, schema)
+
+
+def shares(sizes: DataFrame) -> int:
+    """Into how many partitions the pairs of blocks of `sizes` are dealt, so that few of them wait for each other in one task."""
+    return int(min(max(2 * (sizes.agg(F.sum(F.col("pieces") * (F.col("pieces") + 1) / 2)).first()[0] or 0), 8), SHARES))
 
 
 def _as_data(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
